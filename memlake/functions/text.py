@@ -45,3 +45,28 @@ def replace_each(text: Column, pattern: str, rewrite: Callable[[Column], Column]
 def join_present(separator: str, *parts: Column) -> Column:
     """Join the parts that are not NULL."""
     return F.concat_ws(separator, *parts)
+
+
+def fixed_point(value: Column, digits: int) -> Column:
+    """``value`` (below 2 in size) with ``digits`` decimals, rounded on its exact binary value as Python's ``%.nf`` does.
+
+    Spark's own formatting rounds the shortest decimal text instead, which differs when that text ends in a 5.
+    """
+    scale, unit = 10 ** digits, 2 ** 62
+
+    def render(x: Column) -> Column:
+        scaled = (F.abs(x) * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(scale).cast("decimal(8,0)")
+
+        def rounded(n: Column) -> Column:
+            whole = F.floor(n / F.lit(unit).cast("decimal(20,0)")).cast("bigint")
+            rest = n - whole.cast("decimal(20,0)") * F.lit(unit).cast("decimal(20,0)")
+            half = F.lit(unit // 2).cast("decimal(20,0)")
+            up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+            return F.format_string(
+                f"%s%d.%0{digits}d", F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                F.floor((whole + up.cast("bigint")) / scale), (whole + up.cast("bigint")) % scale,
+            )
+
+        return let(scaled, rounded)
+
+    return let(value, render)

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream; it may be one Parquet file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _tag(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
@@ -110,12 +120,16 @@ def topic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(table(spark, sf_dir, "documents"))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     suffix = F.element_at(
         F.array(*[F.lit(s) for s in (".py", ".md", ".txt", ".sh", ".json", ".go", ".log", ".rst")]),
         (doc % 8 + 1).cast("int"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id",
         F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/f"), doc.cast("string"), suffix).alias("path"),
         _ntz(_after_base(doc)).alias("mtime"),

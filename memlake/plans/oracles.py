@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from memlake.functions.shorthand import SYMBOLS
+
 AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
 
 VIEWS = {
@@ -78,3 +80,24 @@ def over(views: str, sql: str) -> str:
     if sql.upper().startswith("WITH "):
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"
+
+
+def compressed(expr: str) -> str:
+    """The shorthand of a text expression as nested SQL replacements."""
+    for word, symbol in SYMBOLS:
+        expr = f"regexp_replace({expr}, '{word}', '{symbol}', 'gi')"
+    expr = rf"regexp_replace({expr}, '[ \t]{{2,}}', ' ', 'g')"
+    expr = rf"regexp_replace({expr}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return stripped(expr)
+
+
+def decompressed(expr: str) -> str:
+    """Expansion of shorthand without diffs and function headers."""
+    for word, symbol in reversed(SYMBOLS):
+        if symbol:
+            expr = f"replace({expr}, '{symbol}', '{word}')"
+    return stripped(expr)
+
+
+def stripped(expr: str) -> str:
+    return rf"regexp_replace({expr}, '^\s+|\s+$', '', 'g')"

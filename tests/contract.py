@@ -82,7 +82,7 @@ def main() -> int:
         try:
             verdict, n = compare(spark, con, sf_dir, fn, oracles.get(name))
         except Exception as error:  # report and go on with the other queries
-            verdict, n = f"ERROR {type(error).__name__}: {str(error)[:1500]}", -1
+            verdict, n = f"ERROR {type(error).__name__}: {str(error).splitlines()[0][:600] if str(error) else ''}", -1
         bad += verdict not in ("equal", "rows only")
         print(f"{name:32} {n:8} {time.time() - start:6.1f}s  {verdict}", flush=True)
     print("differences:", bad)
