@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from memlake.functions.text import let
 from memlake.schema import EMBED_DIM
 
 # Fixed value: keeps the norm of a zero vector away from zero.
@@ -25,16 +26,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _digest_bytes(text: Column) -> Column:
     """The 32 bytes of the SHA-256 of the text as doubles 0..255."""
-    digest = F.sha2(text, 256)
-    return F.transform(
+    return let(F.sha2(text, 256), lambda digest: F.transform(
         F.sequence(F.lit(0), F.lit(31)),
         lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"),
-    )
+    ))
 
 
 def _unit(values: Column) -> Column:
-    scaled = F.struct(values.alias("v"), (norm(values) + F.lit(NORM_EPSILON)).alias("n"))
-    return F.transform(F.array(scaled), lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0]
+    """The vector divided by its norm."""
+    def scale(v: Column) -> Column:
+        return let(norm(v) + F.lit(NORM_EPSILON), lambda n: F.transform(v, lambda x: x / n))
+
+    return let(values, scale)
 
 
 def digest_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
@@ -45,5 +48,4 @@ def digest_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
 
 def digest_embedding_padded(text: Column, dim: int = EMBED_DIM) -> Column:
     """Deterministic unit vector: the digest bytes followed by zeros."""
-    raw = _digest_bytes(text)
-    return _unit(F.slice(F.concat(raw, F.array_repeat(F.lit(0.0), max(dim - 32, 0))), 1, dim))
+    return _unit(F.slice(F.concat(_digest_bytes(text), F.array_repeat(F.lit(0.0), max(dim - 32, 0))), 1, dim))

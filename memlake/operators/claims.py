@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from memlake.functions.text import strip
 from memlake.functions.times import as_time
 from memlake.operators import triples as kg
+from memlake.session import materialise
 
 # The two sentence patterns, with the verb each one reports.  Group 1 is the person, group 2 the task.
 CLAIM_PATTERNS = {
@@ -44,19 +45,20 @@ def containment_pairs(containers: DataFrame, parts: DataFrame) -> DataFrame:
     pieces, so an equality join finds exactly its containers.  For a longer part, one of its own pieces is the join key: the
     one found in the fewest containers; ``contains`` then decides.  A part with a piece no container has is in none of them.
     """
-    size = F.least(F.length("part"), F.lit(_PIECE))
-    lengths = [r[0] for r in parts.where(F.length("part") > 0).select(size.alias("n")).distinct().collect()]  # <= _PIECE rows
-    if not lengths:
-        return containers.join(parts, F.lit(False))
-    pieces = containers.select("container", F.explode(_pieces(F.col("container"), lengths)).alias("piece"))
-    short = parts.where(F.length("part").between(1, _PIECE))
-    found = pieces.join(short, F.col("piece") == F.col("part")).select("container", "part")
-    if _PIECE not in lengths:
+    size = F.least(F.length("part"), F.lit(_PIECE + 1))
+    sizes = {r[0] for r in parts.select(size.alias("n")).distinct().collect()} - {0}  # at most _PIECE + 1 rows
+    none = containers.join(parts, F.col("container") == F.col("part")).where(F.lit(False))
+    exact = sorted(n for n in sizes if n <= _PIECE)
+    found = none
+    if exact:
+        pieces = containers.select("container", F.explode(_pieces(F.col("container"), exact)).alias("part"))
+        found = pieces.join(parts.where(F.length("part") <= _PIECE), "part").select("container", "part")
+    if _PIECE + 1 not in sizes:
         return found
 
-    long_parts = parts.where(F.length("part") > _PIECE)
-    frequency = pieces.where(F.length("piece") == _PIECE).groupBy("piece").agg(F.count("*").alias("n"))
-    own = long_parts.select("part", F.explode(_pieces(F.col("part"), [_PIECE])).alias("piece"))
+    pieces = containers.select("container", F.explode(_pieces(F.col("container"), [_PIECE])).alias("piece"))
+    frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    own = parts.where(F.length("part") > _PIECE).select("part", F.explode(_pieces(F.col("part"), [_PIECE])).alias("piece"))
     rarest = (
         own.join(frequency, "piece", "left")
         .groupBy("part").agg(
@@ -83,10 +85,11 @@ def _pieces(text: Column, lengths: list[int]) -> Column:
 def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text") -> DataFrame:
     """Claims that name another person than an active ``assigned_to`` triple about the same task.
 
-    Task and object match when one contains the other, ignoring case.  Distinct texts are matched once; repeated claims and
-    repeated triples are joined back to the matches by equality.
+    Task and object match when one contains the other, ignoring case.  The texts are read once: their claims are written to
+    the shared folder and the text itself is not carried on.  Distinct tasks and objects are matched once; repeated claims
+    and repeated triples are joined back to the matches by equality.
     """
-    claims = extract_claims(texts, text).withColumn("_task", F.lower("task"))
+    claims = materialise(extract_claims(texts, text).drop(text).withColumn("_task", F.lower("task")))
     assigned = kg.active(stored.where(F.col("predicate") == "assigned_to"), as_of).withColumn("_object", F.lower("object"))
     tasks = claims.select(F.col("_task").alias("t")).distinct()
     objects = assigned.select(F.col("_object").alias("o")).distinct()
@@ -113,13 +116,8 @@ def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text
 
 def tenure_headers(stored: DataFrame, as_of) -> DataFrame:
     """One row per tenure conflict with its newest triple as ``stored``."""
-    parts = ["valid_from", "valid_until", "confidence", "source"]
-    newest = F.struct(
-        F.col("stored.id").alias("id"), "subject", "predicate", F.col("stored.object").alias("object"),
-        *[F.col(f"stored.{c}").alias(c) for c in parts],
-    )
     return kg.tenure_conflicts(stored, as_of).select(
-        F.lit("tenure").alias("type"), "subject", "predicate", "n_active", newest.alias("stored")
+        F.lit("tenure").alias("type"), "subject", "predicate", "n_active", _whole_triple().alias("stored")
     )
 
 
@@ -128,11 +126,19 @@ def tenure_conflict_rows(stored: DataFrame, as_of) -> DataFrame:
 
     Very large conflicts come in several rows (``piece``), each describing its share of the objects.
     """
-    listed = kg.tenure_lists(stored, as_of)
-    return listed.join(tenure_headers(stored, as_of), ["subject", "predicate"]).select(
-        "type",
+    return kg.tenure_lists(stored, as_of).select(
+        F.lit("tenure").alias("type"),
         F.concat("subject", F.lit(" "), "predicate", F.lit(" — "), "objects").alias("description"),
-        "subject", "predicate", "piece", "stored",
+        "subject", "predicate", "piece", _whole_triple().alias("stored"),
+    )
+
+
+def _whole_triple() -> Column:
+    """The newest triple of a conflict with its subject and predicate."""
+    rest = ["valid_from", "valid_until", "confidence", "source"]
+    return F.struct(
+        F.col("stored.id").alias("id"), "subject", "predicate", F.col("stored.object").alias("object"),
+        *[F.col(f"stored.{c}").alias(c) for c in rest],
     )
 
 

@@ -1,18 +1,23 @@
 """Joining points to the intervals that contain them.
 
-An equality join on the key with a range test would compare every point of a key with every interval of that key.  Instead
-time is divided into ``cells`` equal cells arranged as a tree with a fixed fan-out.  An interval is written as the few tree
-nodes that exactly cover its cells; a point looks at its own cell's ancestors, one per level.  The join is then an equality on
-(key, level, node), its work follows the number of true matches, and a heavy key is spread over its nodes.
+An equality join on the key with a range test compares every point of a key with every interval of that key.  That is fine
+while a key has few intervals.  For keys with many, time is divided into ``cells`` equal cells arranged as a tree with a fixed
+fan-out.  An interval is written as the few tree nodes that exactly cover its cells; a point looks at its own cell's
+ancestors, one per level.  The join is then an equality on (key, node), its work follows the number of true matches, and a
+heavy key is spread over its nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _FANOUT = 8
+_MAX_LEVELS = 16
+
+# Keys with more intervals than this go through the tree.
+BUSY_KEY_INTERVALS = 1000
 
 
 def point_in_interval_join(
@@ -23,12 +28,32 @@ def point_in_interval_join(
     start: str,
     end: str,
     cells: int = _FANOUT ** 5,
+    busy: int = BUSY_KEY_INTERVALS,
+) -> DataFrame:
+    """Inner join on ``keys`` and ``start <= at <= end``; NULL bounds are open.  Points without a time match nothing.
+
+    Runs one aggregation first, to see whether any key has more than ``busy`` intervals.
+    """
+    keys = list(keys)
+    points = points.where(F.col(at).isNotNull())
+    within = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
+    busy_keys = intervals.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > busy).select(*keys)
+    if busy_keys.isEmpty():
+        return points.join(intervals, keys).where(within)
+    plain = points.join(intervals.join(busy_keys, keys, "left_anti"), keys).where(within)
+    spread = _tree_join(
+        points.join(busy_keys, keys, "left_semi"), intervals.join(busy_keys, keys, "left_semi"), keys, at, start, end, cells
+    )
+    return plain.unionByName(spread.where(within).select(*plain.columns))
+
+
+def _tree_join(
+    points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, cells: int
 ) -> DataFrame:
-    """Inner join on ``keys`` and ``start <= at <= end``; NULL bounds are open.  Points without a time match nothing."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     low, high = points.agg(F.min(micros), F.max(micros)).first()
     if low is None:
-        return points.join(intervals, list(keys)).where(F.lit(False))
+        return points.join(intervals, keys).where(F.lit(False))
     width = max(1, -(-(high - low + 1) // cells))
     levels = 1
     while _FANOUT ** levels < cells:
@@ -46,24 +71,21 @@ def point_in_interval_join(
         .withColumn("_node", F.explode(_cover(F.col("_a"), F.col("_b"), levels)))
         .drop("_a", "_b")
     )
-    probes = F.array(*[
-        F.struct(F.lit(level).alias("level"), F.floor(F.col("_c") / _FANOUT ** level).cast("long").alias("node"))
-        for level in range(levels)
-    ])
-    probing = (
-        points.where(F.col(at).isNotNull()).withColumn("_c", cell(at)).withColumn("_node", F.explode(probes)).drop("_c")
-    )
-    joined = probing.join(covered, [*keys, "_node"])
-    return joined.where(
-        (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
-    ).drop("_node")
+    probes = F.array(*[_node(level, F.floor(F.col("_c") / _FANOUT ** level).cast("long")) for level in range(levels)])
+    probing = points.withColumn("_c", cell(at)).withColumn("_node", F.explode(probes)).drop("_c")
+    return probing.join(covered, [*keys, "_node"]).drop("_node")
+
+
+def _node(level: int, number: Column) -> Column:
+    """A tree node as one number, which joins faster than a (level, number) pair."""
+    return number * _MAX_LEVELS + level
 
 
-def _cover(a, b, levels: int):
-    """Tree nodes that cover cells ``a..b`` exactly once, as an array of (level, node)."""
+def _cover(a: Column, b: Column, levels: int) -> Column:
+    """Tree nodes that cover cells ``a..b`` exactly once."""
     def nodes(level, first, last, when):
         run = F.when(when & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(run, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+        return F.transform(run, lambda n: _node(level, n))
 
     parts = []
     for level in range(levels):

@@ -140,10 +140,10 @@ def active(triples: DataFrame, as_of) -> DataFrame:
     return triples.where(is_active(as_of))
 
 
-def facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, cells: int = 8 ** 5) -> DataFrame:
+def facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, **options) -> DataFrame:
     """Each row of ``points`` with every triple about its ``entity`` that is active at its own time ``at``."""
     facts = triples.withColumnRenamed("subject", entity)
-    return point_in_interval_join(points, facts, [entity], at, "valid_from", "valid_until", cells=cells)
+    return point_in_interval_join(points, facts, [entity], at, "valid_from", "valid_until", **options)
 
 
 def _narrow(triples: DataFrame, predicate: str | None, active_at) -> DataFrame:
@@ -179,24 +179,28 @@ def tenure_conflicts(triples: DataFrame, as_of) -> DataFrame:
 def tenure_members(triples: DataFrame, as_of, conflicts: DataFrame | None = None) -> DataFrame:
     """The active triples of every conflicting pair, one row each (all of them, however many a pair has)."""
     conflicts = tenure_conflicts(triples, as_of) if conflicts is None else conflicts
-    keys = conflicts.select("subject", "predicate", "n_active", "first_id", F.col("stored.id").alias("last_id"))
+    keys = conflicts.select("subject", "predicate", "n_active", "first_id", "stored")
     return active(triples, as_of).join(keys, ["subject", "predicate"])
 
 
 def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ") -> DataFrame:
-    """Objects of each conflict joined newest id first.
+    """Objects of each conflict joined newest id first, with its newest triple.
 
     A pair with more than ``_ITEMS_PER_PIECE`` members gets several rows: its id range is cut into that many equal steps and
     each row (``piece`` 0, 1, ...) lists one step.  Reading the pieces in order gives the whole list.
     """
     members = tenure_members(triples, as_of)
     pieces = F.ceil(F.col("n_active") / _ITEMS_PER_PIECE)
-    width = F.col("last_id") - F.col("first_id") + 1
+    last_id = F.col("stored.id")
+    width = last_id - F.col("first_id") + 1
     # Cast first: id distance times piece count may leave 64 bits.
-    piece = F.floor((F.col("last_id") - F.col("id")).cast("decimal(28,0)") * pieces / width)
+    piece = F.floor((last_id - F.col("id")).cast("decimal(28,0)") * pieces / width)
     listed = F.sort_array(F.collect_list(F.struct("id", "object")), asc=False)
     return (
         members.withColumn("piece", piece.cast("long"))
         .groupBy("subject", "predicate", "piece")
-        .agg(F.array_join(F.transform(listed, lambda m: m["object"]), separator).alias("objects"))
+        .agg(
+            F.array_join(F.transform(listed, lambda m: m["object"]), separator).alias("objects"),
+            F.first("stored").alias("stored"),  # the same in every row of the pair
+        )
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from memlake.session import use_utc
+from memlake.session import use_all_cores, use_utc
 
 AS_OF = "2024-01-20 00:00:00"
 BASE = "2023-08-01 00:00:00"
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return use_all_cores(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return use_all_cores(table(spark, sf_dir, "pages"), "page_id")
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream; it may be one Parquet file or a folder of them."""
     path = f"{sf_dir}/{name}.parquet"
@@ -123,18 +131,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(table(spark, sf_dir, "documents"))
 
 
-def files_of(documents: DataFrame) -> DataFrame:
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for queries that work on the whole text."""
+    return files_of(documents(spark, sf_dir))
+
+
+def files_of(docs: DataFrame, *more: str) -> DataFrame:
     doc = F.col("doc_id")
     suffix = F.element_at(
         F.array(*[F.lit(s) for s in (".py", ".md", ".txt", ".sh", ".json", ".go", ".log", ".rst")]),
         (doc % 8 + 1).cast("int"),
     )
-    return documents.select(
+    return docs.select(
         "doc_id",
         F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/f"), doc.cast("string"), suffix).alias("path"),
         _ntz(_after_base(doc)).alias("mtime"),
         F.col("n_chars").alias("length"),
         "text",
+        *more,
     )
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.operators.tables import read_current, save_table, write_change
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import compressed, over, stripped
 from memlake.plans.registry import query
+from memlake.session import shared_folder
 from memlake.sources import conversations as cv
 from memlake.sources import entries as en
 from memlake.sources import files as fi
@@ -24,16 +22,6 @@ _CLASSIFIED = f"""SELECT *, {_HALL} AS hall, ext IN ('.py','.js','.ts','.tsx','.
   FROM (SELECT *, regexp_extract(path, '(\\.[^./]+)$', 1) AS ext, split_part(path, '/', -2) AS room FROM fx_files)"""
 
 
-def _scratch(spark) -> str:
-    """A fresh folder every executor can reach: below the cluster's checkpoint folder, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="memlake-")
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 # ---- files ----------------------------------------------------------------------------------------------------------
 
 @query("files_classify", over("files", f"SELECT doc_id, ext, hall, is_code FROM ({_CLASSIFIED})"))
@@ -53,7 +41,7 @@ SELECT substr(sha256(path), 1, 16) AS id, 'docs' AS wing, room, hall, md5({compr
   concat(substr(ext, 2), ',file') AS tags
 FROM ({_CLASSIFIED}) WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
 def files_to_drawers(spark, sf_dir):
-    return fi.files_to_drawers(fx.files(spark, sf_dir), fx.AS_OF, "docs").select(
+    return fi.files_to_drawers(fx.text_files(spark, sf_dir), fx.AS_OF, "docs").select(
         "id", "wing", "room", "hall", F.md5("content").alias("digest"), F.array_join("tags", ",").alias("tags")
     )
 
@@ -62,7 +50,7 @@ def files_to_drawers(spark, sf_dir):
 SELECT substr(sha256(path), 1, 16) AS id, md5(substr(text, 1, 2000)) AS digest, path, 'docs' AS wing, 384 AS dim
 FROM fx_files WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
 def file_vector_entries(spark, sf_dir):
-    mined = fi.files_to_drawers(fx.files(spark, sf_dir), fx.AS_OF, "docs")
+    mined = fi.files_to_drawers(fx.text_files(spark, sf_dir), fx.AS_OF, "docs")
     return en.vector_entries(mined, extra=("path",)).select(
         "id", F.md5("text").alias("digest"), F.col("metadata")["path"].alias("path"),
         F.col("metadata")["wing"].alias("wing"), F.size("embedding").alias("dim"),
@@ -186,9 +174,10 @@ def _notes(spark, sf_dir) -> DataFrame:
     doc = F.col("doc_id").cast("string")
     heading = F.concat(F.lit("---\nname: Note "), doc, F.lit("\ntags: [doc, "), "lang", F.lit("]\ncreated: 2023-11-05T10:00:00\n---\n\n"))
     noted = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(heading, "text"))
-    return fx.files(spark, sf_dir).join(
-        fx.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"
-    ).select(F.concat(F.lit("/vault/n"), doc, F.lit(".md")).alias("path"), F.col("mtime").cast("timestamp").alias("mtime"), noted.alias("text"))
+    docs = fx.documents(spark, sf_dir)
+    return fx.files_of(docs, "lang").select(
+        F.concat(F.lit("/vault/n"), doc, F.lit(".md")).alias("path"), F.col("mtime").cast("timestamp").alias("mtime"), noted.alias("text")
+    )
 
 
 @query("vault_notes", over("files", rf"""
@@ -214,7 +203,7 @@ def vault_tags_filter(spark, sf_dir):
 @query("page_export", rf"""
 SELECT concat('p', page_id) AS title, md5({stripped('html')}) AS digest FROM pages WHERE regexp_matches(html, '\S')""")
 def page_export(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages").select(
+    pages = fx.pages(spark, sf_dir).select(
         F.concat(F.lit("/export/p"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
         F.lit(fx.BASE).cast("timestamp").alias("mtime"), F.col("html").alias("text"),
     )
@@ -232,7 +221,7 @@ def _issues(spark, sf_dir) -> DataFrame:
         F.lit("}"),
     )
     wrapped = F.when(doc % 5 == 0, F.concat(F.lit('{"issues":['), issue, F.lit("]}"))).otherwise(F.concat(F.lit("["), issue, F.lit("]")))
-    return fx.table(spark, sf_dir, "documents").select(
+    return fx.documents(spark, sf_dir).select(
         F.concat(F.lit("/issues/i"), doc.cast("string"), F.lit(".json")).alias("path"), wrapped.alias("text")
     )
 
@@ -259,7 +248,7 @@ SELECT room, digest, tags FROM (
   FROM pages WHERE regexp_matches(html, '\S')
   UNION ALL SELECT 'unknown', md5({_ISSUE_TEXT}), 'plugin,linear' FROM documents)""")
 def documents_to_drawers(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages").select(
+    pages = fx.pages(spark, sf_dir).select(
         F.concat(F.lit("/export/p"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
         F.lit(fx.BASE).cast("timestamp").alias("mtime"), F.col("html").alias("text"),
     )
@@ -276,7 +265,7 @@ SELECT id, wing, hall, CASE WHEN role = 'assistant' THEN concat('v2 ', content)
 FROM fx_drawers WHERE hall <> 'misc'"""))
 def table_merge_on_read(spark, sf_dir):
     """Save a partitioned table, write two change sets (the second one twice) and a deletion, read the merged state."""
-    path = f"{_scratch(spark)}/drawers"
+    path = f"{shared_folder(spark)}/drawers"
     drawers = fx.drawers(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     save_table(drawers, path, ["wing", "hall"])
     said = drawers.where(F.col("role") == "assistant")
@@ -293,7 +282,7 @@ SELECT substr(sha256(path), 1, 16) AS id, 'watched' AS wing, regexp_extract(path
 FROM ({_CLASSIFIED}) WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
 def watch_ingest(spark, sf_dir):
     """The documents table read as a stream of files and ingested, twice; the second run finds nothing new."""
-    path = f"{_scratch(spark)}/drawers"
+    path = f"{shared_folder(spark)}/drawers"
     for _ in range(2):
         arriving = fx.files_of(fx.table_stream(spark, sf_dir, "documents")).select("path", "mtime", "length", "text", F.lit(True).alias("is_text"))
         wa.watch(arriving, path, fx.AS_OF, wing="watched", available_now=True).awaitTermination()

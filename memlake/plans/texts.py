@@ -24,12 +24,12 @@ def _compress(df, key: str, text: str):
 
 @query("es_compress_documents", _measured("doc_id", "text", "documents"))
 def es_compress_documents(spark, sf_dir):
-    return _compress(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _compress(fx.documents(spark, sf_dir), "doc_id", "text")
 
 
 @query("es_compress_pages", _measured("page_id", "html", "pages"))
 def es_compress_pages(spark, sf_dir):
-    return _compress(fx.table(spark, sf_dir, "pages"), "page_id", "html")
+    return _compress(fx.pages(spark, sf_dir), "page_id", "html")
 
 
 @query("es_ratio_stats", f"""
@@ -37,7 +37,7 @@ SELECT lang AS class, round(avg(r), 2) AS mean, round(min(r), 2) AS min, round(m
 FROM (SELECT lang, CASE WHEN length(c) = 0 THEN 1.0 ELSE length(text) / length(c) END AS r
   FROM (SELECT lang, text, {compressed('text')} AS c FROM documents)) GROUP BY lang""")
 def es_ratio_stats(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("lang", "text", sh.compress(F.col("text")).alias("c"))
+    docs = fx.documents(spark, sf_dir).select("lang", "text", sh.compress(F.col("text")).alias("c"))
     return ratio_stats(docs, "lang", F.col("text"), F.col("c"))
 
 
@@ -49,7 +49,7 @@ _BODY = r"concat(chr(10), '  pass', chr(10), text)"
 SELECT doc_id, md5({compressed(f"concat(CASE WHEN doc_id % 2 = 0 THEN 'async_fn:' ELSE 'fn:' END, 'f', doc_id, '(a: int,b: str,rest)->bool', {_BODY})")}) AS digest
 FROM documents""")
 def es_code_signature(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     start = F.when(F.col("doc_id") % 2 == 0, F.lit("async  def f")).otherwise(F.lit("def f"))
     code = F.concat(start, F.col("doc_id").cast("string"),
                     F.lit("(a: int = 1,\n    b: str='x' , **rest) -> bool :\n  pass\n"), F.col("text"))
@@ -60,7 +60,7 @@ def es_code_signature(spark, sf_dir):
 SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'async def ' ELSE 'def ' END, 'f', doc_id, '(a: int,b)',
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' -> bool' END, ':', chr(10), text) AS code FROM documents""")
 def es_code_expand(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     start = F.when(F.col("doc_id") % 2 == 0, F.lit("async_fn:f")).otherwise(F.lit("fn:f"))
     arrow = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.lit("->bool"))
     short = F.concat(start, F.col("doc_id").cast("string"), F.lit("(a: int,b)"), arrow, F.lit("\n"), F.col("text"))
@@ -89,7 +89,7 @@ def es_diff(spark, sf_dir):
 SELECT doc_id, concat('Changes to ', source, '.md:', chr(10), '  + a', doc_id, chr(10), '  + ', lang, chr(10), '  - z', n_chars) AS text
 FROM documents""")
 def es_diff_expand(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     short = F.concat(F.lit("CHANGE:"), "source", F.lit(".md add:a"), F.col("doc_id").cast("string"), F.lit("|"), "lang",
                      F.lit(" rm:z"), F.col("n_chars").cast("string"))
     return docs.select("doc_id", sh.decompress(short).alias("text"))
@@ -121,7 +121,7 @@ SELECT doc_id, round(list_sum(list_transform(b, lambda x: x / 255.0)) * 12
   round(b[32] / (sqrt(list_sum(list_transform(b, lambda x: x * x))) + 1e-9), 6) AS padded_value, 384 AS dim
 FROM (SELECT doc_id, {_BYTES} AS b FROM documents)""")
 def stub_embedding(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select(
+    docs = fx.documents(spark, sf_dir).select(
         "doc_id", vx.digest_embedding(F.col("text")).alias("e"), vx.digest_embedding_padded(F.col("text")).alias("p")
     )
     total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)

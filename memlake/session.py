@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,19 +34,34 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer tasks than there are cores; larger scans are left as they are.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local-mode session without one gets a folder of its own; on a
-    cluster a machine-local folder would be lost with its executor, so that is an error.
+    Meant for CPU-heavy text work on small tables: a small Parquet file is one row group and so one task.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="memlake-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that every executor can reach, below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local-mode session without that setting gets a temporary folder; on a cluster a machine-local folder would be lost
+    with its machine, so there it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="memlake-")
+    return f"{shared.rstrip('/')}/memlake-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: for results that several later steps read.
+
+    The copy survives lost executors and, unlike a cached frame, is read column by column.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

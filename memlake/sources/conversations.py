@@ -39,80 +39,76 @@ def detect_format(path: Column, text: Column) -> Column:
     return F.when(suffix(path) == ".md", "markdown").when(suffix(path) == ".json", kind).otherwise("unknown")
 
 
-def _carried(files: DataFrame) -> list[str]:
-    return [c for c in files.columns if c != "text"]
+def _variant_text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
-def _messages(df: DataFrame, carried: list[str], fmt: str, role: Column, text: Column, ts: Column) -> DataFrame:
-    return df.select(
-        *carried, F.lit(fmt).alias("format"), "convo_idx", "msg_idx",
-        F.coalesce(role, F.lit("unknown")).alias("role"), strip(text).alias("text"), ts.alias("ts"),
-    ).where(F.col("text") != "")
+def _joined(texts: Column) -> Column:
+    return F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
 
 
-def _variant_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def _message(convo_idx: Column, msg_idx: Column, role: Column, text: Column, ts: Column) -> Column:
+    return F.struct(
+        convo_idx.cast("int").alias("convo_idx"), msg_idx.cast("int").alias("msg_idx"),
+        F.coalesce(role, F.lit("unknown")).alias("role"), strip(text).alias("text"), ts.alias("ts"),
+    )
 
 
-def parse_claude(files: DataFrame) -> DataFrame:
+def claude_messages(text: Column) -> Column:
     """Message content is either one string or a list of parts whose texts are joined by line breaks."""
-    kept = _carried(files)
-    convos = files.select(*kept, F.posexplode(F.from_json("text", _CLAUDE)).alias("convo_idx", "c"))
-    msgs = convos.select(*kept, "convo_idx", F.posexplode("c.chat_messages").alias("msg_idx", "m"))
-    parts = F.transform(
-        F.try_variant_get("m.content", "$", "array<variant>"), lambda p: F.try_variant_get(p, "$.text", "string")
-    )
-    is_list = F.startswith(F.schema_of_variant("m.content"), F.lit("ARRAY"))
-    listed = F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), "\n")
-    single = F.when(F.schema_of_variant("m.content") == "STRING", _variant_text(F.col("m.content")))
-    return _messages(msgs, kept, "claude", F.col("m.sender"), F.when(is_list, listed).otherwise(single), parse_time(F.col("m.created_at")))
+    def content(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        parts = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda p: F.try_variant_get(p, "$.text", "string"))
+        return F.when(F.startswith(kind, F.lit("ARRAY")), _joined(parts)).when(kind == "STRING", _variant_text(value))
 
+    return F.flatten(F.transform(F.from_json(text, _CLAUDE), lambda c, ci: F.transform(
+        F.coalesce(c["chat_messages"], F.array()),
+        lambda m, mi: _message(ci, mi, m["sender"], content(m["content"]), parse_time(m["created_at"])),
+    )))
 
-def parse_chatgpt(files: DataFrame) -> DataFrame:
+
+def chatgpt_messages(text: Column) -> Column:
     """Nodes in file order; parts joined by line breaks; times are epoch seconds."""
-    kept = _carried(files)
-    convos = files.select(*kept, F.posexplode(F.from_json("text", _CHATGPT)).alias("convo_idx", "c"))
-    nodes = convos.select(*kept, "convo_idx", F.posexplode(F.map_values("c.mapping")).alias("msg_idx", "n"))
-    msgs = nodes.select(*kept, "convo_idx", "msg_idx", F.col("n.message").alias("m")).where(F.col("m").isNotNull())
-    texts = F.transform("m.content.parts", _variant_text)
-    joined = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
-    return _messages(msgs, kept, "chatgpt", F.col("m.author.role"), joined, parse_epoch(F.col("m.create_time")))
+    return F.flatten(F.transform(F.from_json(text, _CHATGPT), lambda c, ci: F.transform(
+        F.coalesce(F.map_values(c["mapping"]), F.array()),
+        lambda n, ni: _message(
+            ci, ni, n["message"]["author"]["role"], _joined(F.transform(n["message"]["content"]["parts"], _variant_text)),
+            parse_epoch(n["message"]["create_time"]),
+        ),
+    )))
 
 
-def parse_slack(files: DataFrame) -> DataFrame:
-    kept = _carried(files)
-    msgs = files.select(*kept, F.lit(0).alias("convo_idx"), F.posexplode(F.from_json("text", _SLACK)).alias("msg_idx", "m"))
-    return _messages(msgs, kept, "slack", F.coalesce("m.user", "m.username"), F.col("m.text"), parse_epoch(F.col("m.ts")))
+def slack_messages(text: Column) -> Column:
+    return F.transform(F.from_json(text, _SLACK), lambda m, mi: _message(
+        F.lit(0), mi, F.coalesce(m["user"], m["username"]), m["text"], parse_epoch(m["ts"])
+    ))
 
 
-def parse_markdown(files: DataFrame) -> DataFrame:
+def markdown_messages(text: Column) -> Column:
     """Text between speaker headings; text before the first heading has the role ``unknown``."""
     speakers = F.transform(
-        F.regexp_extract_all("text", F.lit(SPEAKER), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(SPEAKER), F.lit(1)),
         lambda s: F.when(F.lower(s).isin("human", "user"), F.lit("human")).otherwise(F.lit("assistant")),
     )
     turns = F.arrays_zip(
-        F.concat(F.array(F.lit("unknown")), speakers).alias("role"), F.split("text", SPEAKER, -1).alias("body")
+        F.concat(F.array(F.lit("unknown")), speakers).alias("role"), F.split(text, SPEAKER, -1).alias("body")
     )
-    kept = _carried(files)
-    msgs = files.select(*kept, F.lit(0).alias("convo_idx"), F.posexplode(turns).alias("msg_idx", "m"))
-    return _messages(msgs, kept, "markdown", F.col("m.role"), F.col("m.body"), F.lit(None).cast("timestamp"))
+    return F.transform(turns, lambda t, i: _message(F.lit(0), i, t["role"], t["body"], F.lit(None).cast("timestamp")))
 
 
-PARSERS = {"claude": parse_claude, "chatgpt": parse_chatgpt, "slack": parse_slack, "markdown": parse_markdown}
+PARSERS = {
+    "claude": claude_messages, "chatgpt": chatgpt_messages, "slack": slack_messages, "markdown": markdown_messages,
+}
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
-    """Messages of all formats from export files (``path``, ``text``).
-
-    One pass per format over the same scan; each pass drops the files of other formats before parsing.
-    """
-    tagged = files.withColumn("_format", detect_format(F.col("path"), F.col("text")))
-    messages = None
+    """Messages of all formats from export files (``path``, ``text``), in one pass: each file meets its own parser only."""
+    carried = [c for c in files.columns if c != "text"]
+    messages = F.lit(None)
     for name, parser in PARSERS.items():
-        part = parser(tagged.where(F.col("_format") == name).drop("_format"))
-        messages = part if messages is None else messages.unionByName(part)
-    return messages
+        messages = F.when(F.col("format") == name, parser(F.col("text"))).otherwise(messages)
+    tagged = files.withColumn("format", detect_format(F.col("path"), F.col("text")))  # unknown: no messages
+    return tagged.select(*carried, "format", F.inline(messages)).where(F.col("text") != "")
 
 
 def unparsed(files: DataFrame) -> DataFrame:
