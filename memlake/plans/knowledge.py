@@ -104,6 +104,16 @@ def tenure_descriptions(spark, sf_dir):
     )
 
 
+@query("kg_overlap_conflicts", over("triples", """
+SELECT a.id, any_value(a.subject) AS subject, any_value(a.predicate) AS predicate, any_value(a.object) AS object, count(*) AS n_overlaps
+FROM fx_triples a JOIN fx_triples b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object
+  AND (a.valid_from IS NULL OR b.valid_until IS NULL OR a.valid_from <= b.valid_until)
+  AND (b.valid_from IS NULL OR a.valid_until IS NULL OR b.valid_from <= a.valid_until)
+GROUP BY a.id"""))
+def overlap_conflicts(spark, sf_dir):
+    return kg.overlap_conflicts(fx.triples(spark, sf_dir))
+
+
 @query("kg_as_of_join", over("triples", """
 SELECT e.event_type, t.predicate, count(*) AS n_facts, count(DISTINCT e.event_id) AS n_events
 FROM events e JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.operators import cells as ce
 from memlake.operators import search as se
 from memlake.operators import vectors as ve
 from memlake.plans import fixtures as fx
@@ -59,3 +60,25 @@ def vector_topk_inner(spark, sf_dir):
     hits = ve.top_k(fx.vectors(spark, sf_dir), fx.topic_queries(spark, sf_dir), 10, metric="inner",
                     where=F.col("hall") == "advice")
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_BITS, _FLIPS, _DIM = 6, 1, 64
+
+
+def _cell_sql(vector: str) -> str:
+    bits = [
+        f"CASE WHEN list_dot_product({vector}, {plane.tolist()}::double[]) > 0 THEN {1 << i} ELSE 0 END"
+        for i, plane in enumerate(ce.planes(_BITS, _DIM))
+    ]
+    return f"({' + '.join(bits)})"
+
+
+@query("vector_topk_cells", over("vectors queries", f"""
+WITH probed AS (SELECT DISTINCT xor({_cell_sql('q.embedding')}, m) AS cell FROM fx_queries q, (VALUES (0), (1), (2), (4), (8), (16), (32)) v(m))
+SELECT query_id, id, round(sem, 6) AS score, rank FROM (
+{_ranked(10, f"{_cell_sql('v.embedding')} IN (SELECT cell FROM probed)")})"""))
+def vector_topk_cells(spark, sf_dir):
+    """Approximate search: only the cells near the queries are scored."""
+    stored = ce.assign_cells(fx.vectors(spark, sf_dir), _BITS)
+    hits = ce.top_k_near(stored, fx.topic_queries(spark, sf_dir), 10, _BITS, _FLIPS)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
