@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.times import age_days, as_time
+from memlake.functions.vectors import digest_embedding
 from memlake.operators.ranking import top_n
 from memlake.operators.vectors import top_k
 from memlake.schema import DECAY_FACTOR, DECAY_MAX_DAYS
@@ -73,6 +76,12 @@ def search(
     return top_n(scored, ["query_id"], order, n).drop("_sem")
 
 
+def search_text(vectors: DataFrame, texts: DataFrame, as_of, embedder: Callable[[Column], Column] = digest_embedding, **options) -> DataFrame:
+    """``search`` for query texts (``query_id``, ``query``), embedded the way the table was."""
+    queries = texts.select("query_id", embedder(F.col("query")).alias("embedding"))
+    return search(vectors, queries, as_of, **options)
+
+
 def with_text(results: DataFrame, vectors: DataFrame) -> DataFrame:
     """Fetch the stored text of the hits only; the ranking above never reads the text column."""
     return results.join(vectors.select("id", "text", "metadata"), "id", "left")

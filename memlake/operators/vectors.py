@@ -7,7 +7,7 @@ holds.  Filters are plain column predicates in front of the scan and reach Parqu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from memlake.functions.vectors import NORM_EPSILON
 from memlake.operators.ranking import top_n
+from memlake.session import shared_folder
 
 # A query batch is shipped to every task.  This many vectors of 384 doubles are about 12 MB; larger batches are split.
 MAX_QUERIES_PER_PASS = 4096
@@ -67,16 +68,36 @@ def top_k(
     return top_n(merged, ["query_id"], best, k)
 
 
-def _query_chunks(queries: DataFrame) -> list[pa.Table]:
-    """The query batch as Arrow tables of a bounded size each; one pass over the vectors per table."""
+def _query_chunks(queries: DataFrame) -> list[Callable[[], pa.Table]]:
+    """Loaders for the query batch, each giving a table of bounded size; one pass over the vectors per loader.
+
+    A batch of up to ``MAX_QUERIES_PER_PASS`` travels with the tasks.  A larger one never comes to the driver: it is written to
+    the shared folder in parts of about half that size, and the tasks of each pass read their part there.
+    """
     queries = queries.select("query_id", "embedding")
     head = queries.limit(MAX_QUERIES_PER_PASS + 1).toArrow()
     if head.num_rows <= MAX_QUERIES_PER_PASS:
-        return [head] if head.num_rows else []
+        return [lambda: head] if head.num_rows else []
+    path = shared_folder(queries.sparkSession)
     parts = -(-queries.count() * 2 // MAX_QUERIES_PER_PASS)
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    chunks = [queries.where(part == i).toArrow() for i in range(parts)]
-    return [c for c in chunks if c.num_rows]
+    queries.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(path)
+    return [_part_loader(f"{path}/part={i}") for i in range(parts)]
+
+
+def _part_loader(path: str) -> Callable[[], pa.Table]:
+    def load() -> pa.Table:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        filesystem, folder = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        found = filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        files = [f.path for f in found if f.path.endswith(".parquet")]
+        if not files:
+            return pa.table({"query_id": pa.array([], pa.string()), "embedding": pa.array([], pa.list_(pa.float64()))})
+        return ds.dataset(files, format="parquet", filesystem=filesystem).to_table()
+
+    return load
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -95,12 +116,7 @@ def _inverse_norms(matrix: np.ndarray) -> np.ndarray:
     return 1.0 / (np.sqrt((matrix * matrix).sum(axis=1)) + NORM_EPSILON)
 
 
-def _partial_top_k(queries: pa.Table, k: int, metric: str, keep: tuple[str, ...], digits: int):
-    query_ids = queries.column("query_id").combine_chunks()
-    query_matrix = _matrix(queries.column("embedding"))
-    if metric == "cosine":
-        query_matrix = query_matrix * _inverse_norms(query_matrix)[:, None]
-
+def _partial_top_k(load: Callable[[], pa.Table], k: int, metric: str, keep: tuple[str, ...], digits: int):
     def best_rows(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Positions of the k best scores, ties by id."""
         if len(scores) <= k:
@@ -120,6 +136,12 @@ def _partial_top_k(queries: pa.Table, k: int, metric: str, keep: tuple[str, ...]
         return pool.take(pa.array(order[position < k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = load()
+        if queries.num_rows == 0:
+            return
+        query_matrix = _matrix(queries.column("embedding"))
+        if metric == "cosine":
+            query_matrix = query_matrix * _inverse_norms(query_matrix)[:, None]
         pool: pa.Table | None = None
         limit = 4 * k * max(1, query_matrix.shape[0]) + 10_000
         for batch in batches:
@@ -152,7 +174,7 @@ def _partial_top_k(queries: pa.Table, k: int, metric: str, keep: tuple[str, ...]
         if pool is None:
             return
         pool = prune(pool)
-        owner = query_ids.take(pool.column("_q").combine_chunks())
+        owner = queries.column("query_id").combine_chunks().take(pool.column("_q").combine_chunks())
         result = pool.drop_columns(["_q"]).add_column(0, "query_id", owner)
         yield from result.combine_chunks().to_batches()
 

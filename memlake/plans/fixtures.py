@@ -168,9 +168,13 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_of(table(spark, sf_dir, "orders"))
+
+
+def claims_of(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     person = _tag("Clerk", (F.col("o_custkey") + key % 2) % 50)
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         key.alias("claim_id"),
         F.concat(person, F.lit(" finished the task-"), key.cast("string"), F.lit(". Then rest.")).alias("text"),
     )

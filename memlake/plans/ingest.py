@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from memlake.functions.shorthand import compress
+from memlake.operators import store as st
 from memlake.operators.tables import read_current, save_table, write_change
 from memlake.plans import fixtures as fx
-from memlake.plans.oracles import compressed, over, stripped
+from memlake.plans.knowledge import _CLAIM
+from memlake.plans.oracles import ACTIVE, compressed, over, stripped
 from memlake.plans.registry import query
 from memlake.session import shared_folder
 from memlake.sources import conversations as cv
 from memlake.sources import entries as en
 from memlake.sources import files as fi
 from memlake.sources import notes as no
+from memlake.sources import stored as sd
 from memlake.sources import transcripts as tr
 from memlake.streaming import watch as wa
 
@@ -287,3 +291,49 @@ def watch_ingest(spark, sf_dir):
         arriving = fx.files_of(fx.table_stream(spark, sf_dir, "documents")).select("path", "mtime", "length", "text", F.lit(True).alias("is_text"))
         wa.watch(arriving, path, fx.AS_OF, wing="watched", available_now=True).awaitTermination()
     return read_current(spark, path, ["id"]).select("id", "wing", "room", "hall", F.md5("content").alias("digest"))
+
+
+# ---- adding and importing memories ----------------------------------------------------------------------------------
+
+@query("memories_add", f"""
+SELECT substr(sha256(concat('["default","general","facts",', q, ']')), 1, 32) AS id, wing, room, hall, digest, pinned FROM (
+  SELECT to_json(text) AS q, 'default' AS wing, 'general' AS room, 'facts' AS hall, md5({compressed('text')}) AS digest, false AS pinned
+  FROM benchmark)""")
+def memories_add(spark, sf_dir):
+    texts = fx.table(spark, sf_dir, "benchmark").select(F.col("text").alias("content"))
+    return st.add_memories(texts, fx.AS_OF, compress).select("id", "wing", "room", "hall", F.md5("content").alias("digest"), "pinned")
+
+
+@query("drawer_json_import", over("drawers", """
+SELECT id, wing, room, hall, content, epoch_us(ts) AS at_micros, pinned, 'a,b' AS tags FROM fx_drawers WHERE hall <> 'misc'"""))
+def drawer_json_import(spark, sf_dir):
+    """Every drawer written as its JSON file and read back; those of the unknown hall are cut short and so malformed."""
+    drawers = fx.drawers(spark, sf_dir)
+    record = F.to_json(F.struct(
+        "content", "wing", "room", "hall", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"), "pinned",
+        F.lit(1.0).alias("decay_weight"), "id", F.array(F.lit("a"), F.lit("b")).alias("tags"),
+    ))
+    whole = F.when(F.col("hall") == "misc", F.substring(record, F.lit(1), F.length(record) - 5)).otherwise(record)
+    files = drawers.select(F.concat_ws("/", F.lit("/store"), "wing", "room", "hall", F.concat("id", F.lit(".json"))).alias("path"), whole.alias("text"))
+    return sd.drawers_from(files).select(
+        "id", "wing", "room", "hall", "content", F.unix_micros("ts").alias("at_micros"), "pinned", F.array_join("tags", ",").alias("tags")
+    )
+
+
+@query("watch_conflicts", over("claims assignments", rf"""
+WITH said AS (SELECT claim_id, trim(regexp_extract(text, '{_CLAIM}', 1, 'i')) AS person,
+  trim(regexp_extract(text, '{_CLAIM}', 2, 'i')) AS task FROM fx_claims)
+SELECT c.claim_id, t.id AS stored_id FROM said c JOIN fx_assignments t
+  ON (contains(lower(c.task), lower(t.object)) OR contains(lower(t.object), lower(c.task))) AND lower(t.subject) <> lower(c.person)
+WHERE c.task <> '' AND {ACTIVE}"""))
+def watch_conflicts(spark, sf_dir):
+    """Claims arriving as a stream, checked against the stored assignments."""
+    path = f"{shared_folder(spark)}/conflicts"
+    arriving = fx.claims_of(fx.table_stream(spark, sf_dir, "orders")).select(
+        "claim_id", F.concat(F.lit("/notes/"), F.col("claim_id").cast("string")).alias("path"),
+        F.lit(fx.AS_OF).cast("timestamp").alias("mtime"), "text", F.lit(True).alias("is_text"),
+    )
+    stored = fx.assignments(spark, sf_dir)
+    wa.watch_conflicts(arriving, stored, fx.AS_OF, path, available_now=True).awaitTermination()
+    found = read_current(spark, path, ["path", "verb", "claim_no", "stored_id"])
+    return found.select(F.substring("path", 8, 20).cast("long").alias("claim_id"), "stored_id")

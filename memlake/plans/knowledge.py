@@ -38,6 +38,20 @@ def find(spark, sf_dir):
     return kg.find(fx.triples(spark, sf_dir), predicate="purchase", obj="k7")
 
 
+@query("kg_all_triples", over("triples", "SELECT *, (SELECT count(*) FROM fx_triples) AS total FROM fx_triples"))
+def all_triples(spark, sf_dir):
+    triples = fx.triples(spark, sf_dir)
+    return kg.all_triples(triples.withColumn("total", triples.agg(F.count("*")).scalar()))
+
+
+@query("kg_timeline_many", over("triples", f"""
+SELECT e.entity, {_TRIPLE} FROM fx_triples t JOIN (SELECT DISTINCT object AS entity FROM fx_triples) e
+  ON t.subject = e.entity OR t.object = e.entity"""))
+def timeline_many(spark, sf_dir):
+    triples = fx.triples(spark, sf_dir)
+    return kg.timeline_many(triples, triples.select(F.col("object").alias("entity")))
+
+
 @query("kg_missing_valid_from", over("triples", "SELECT * FROM fx_triples WHERE valid_from IS NULL"))
 def missing(spark, sf_dir):
     return kg.missing_valid_from(fx.triples(spark, sf_dir))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.functions.vectors import digest_embedding
 from memlake.operators import cells as ce
 from memlake.operators import search as se
 from memlake.operators import vectors as ve
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import AS_OF, over
 from memlake.plans.registry import query
+from memlake.schema import EXCERPT_CHARS
 
 # Cosine with the same guard against zero norms as the operator.
 _SCORE = """round(list_dot_product(v.embedding, q.embedding) / ((sqrt(list_dot_product(v.embedding, v.embedding)) + 1e-9)
@@ -18,7 +20,7 @@ _SCORE = """round(list_dot_product(v.embedding, q.embedding) / ((sqrt(list_dot_p
 
 def _ranked(k: int, where: str = "true", score: str = _SCORE) -> str:
     return f"""
-SELECT query_id, id, wing, room, hall, ts, pinned, sem, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, id) AS rank FROM (
+SELECT query_id, id, wing, room, hall, ts, pinned, sem, cast(row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, id) AS int) AS rank FROM (
   SELECT q.query_id, v.id, v.wing, v.room, v.hall, v.ts, v.pinned, {score} AS sem FROM fx_vectors v, fx_queries q WHERE {where})
 QUALIFY rank <= {k}"""
 
@@ -31,7 +33,7 @@ WITH hits AS ({_ranked(3 * n, where)}),
 scored AS (SELECT query_id, id, wing, room, hall, ts, pinned, sem, round(sem, 4) AS semantic_score,
   round(cast({boost} AS double), 4) AS recency_boost, round(sem * (1.0 + cast({boost} AS double)), 4) AS final_score FROM hits)
 SELECT query_id, id, wing, room, hall, ts, pinned, semantic_score, recency_boost, final_score,
-  row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, sem DESC, id) AS rank
+  cast(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, sem DESC, id) AS int) AS rank
 FROM scored QUALIFY rank <= {n}""")
 
 
@@ -82,3 +84,26 @@ def vector_topk_cells(spark, sf_dir):
     stored = ce.assign_cells(fx.vectors(spark, sf_dir), _BITS)
     hits = ce.top_k_near(stored, fx.topic_queries(spark, sf_dir), 10, _BITS, _FLIPS)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _embedded(text: str) -> str:
+    """The digest embedding in SQL, without its repetition: 32 values give the same cosine as their twelve copies."""
+    return f"list_transform(range(0, 32), lambda i: cast(('0x' || substr(sha256({text}), cast(i * 2 + 1 AS int), 2)) AS int) / 255.0::double)"
+
+
+@query("search_text", f"""
+WITH v AS (SELECT concat('d', doc_id) AS id, doc_id % 17 = 0 AS pinned, {_embedded('substr(text, 1, 2000)')} AS e FROM documents),
+q AS (SELECT item_id AS query_id, {_embedded('text')} AS e FROM benchmark),
+s AS (SELECT query_id, id, pinned, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS sem FROM v, q),
+best AS (SELECT query_id, max(sem) AS sem FROM s GROUP BY query_id)
+SELECT query_id, round(sem, 4) AS best FROM best""")
+def search_text(spark, sf_dir):
+    """Every benchmark passage as a query text over the documents; the best similarity per query."""
+    docs = fx.documents(spark, sf_dir).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, EXCERPT_CHARS).alias("text"),
+        F.lit("w").alias("wing"), F.lit("r").alias("room"), F.lit("facts").alias("hall"),
+        F.lit(fx.AS_OF).cast("timestamp").alias("ts"), (F.col("doc_id") % 17 == 0).alias("pinned"),
+    )
+    texts = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = se.search_text(ve.embed(docs, digest_embedding), texts, fx.AS_OF, n=10, no_decay=True)
+    return hits.where(F.col("rank") == 1).select("query_id", F.col("semantic_score").alias("best"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.functions.shorthand import compress
 from memlake.operators import audit as au
 from memlake.operators import context as co
 from memlake.operators import diary as di
@@ -15,6 +16,7 @@ from memlake.plans import fixtures as fx
 from memlake.plans.oracles import AS_OF, compressed, decompressed, over
 from memlake.plans.recall import _ranked
 from memlake.plans.registry import query
+from memlake.schema import AGENT
 
 _KNOWN = "hall IN ('facts','events','discoveries','preferences','advice')"
 
@@ -95,7 +97,7 @@ def deep_search_block(spark, sf_dir):
 
 @query("replay_rows", over("drawers", f"""
 SELECT wing, room, id, ts, hall, {decompressed('content')} AS content, pinned, seq FROM (
-  SELECT *, row_number() OVER (PARTITION BY wing, room ORDER BY ts, id) AS seq FROM fx_drawers QUALIFY seq <= 100)"""))
+  SELECT *, cast(row_number() OVER (PARTITION BY wing, room ORDER BY ts, id) AS int) AS seq FROM fx_drawers QUALIFY seq <= 100)"""))
 def replay_rows(spark, sf_dir):
     return re.replay_rows(fx.drawers(spark, sf_dir))
 
@@ -121,7 +123,7 @@ def replay_text_by_room(spark, sf_dir):
     return re.replay_text(fx.drawers(spark, sf_dir), keys=("room",))
 
 
-@query("audit_metrics", over("drawers rooms closets tunnels triples", f"""
+_AUDIT_SQL = f"""
 SELECT 'orphaned_drawers' AS metric, (SELECT count(*) FROM fx_drawers WHERE NOT ({_KNOWN})) AS value
 UNION ALL SELECT 'rooms_no_closet', (SELECT count(*) FROM fx_rooms r WHERE NOT EXISTS (SELECT 1 FROM fx_closets c WHERE c.wing = r.wing AND c.room = r.room))
 UNION ALL SELECT 'inactive_wings', (SELECT count(*) FROM (SELECT wing FROM fx_drawers GROUP BY wing HAVING floor(date_diff('microsecond', max(ts), {AS_OF}) / 86400000000.0) > 90))
@@ -130,7 +132,10 @@ UNION ALL SELECT 'pinned_count', (SELECT count(*) FROM fx_drawers WHERE pinned)
 UNION ALL SELECT 'total_drawers', (SELECT count(*) FROM fx_drawers)
 UNION ALL SELECT 'total_rooms', (SELECT count(*) FROM fx_rooms)
 UNION ALL SELECT 'total_wings', (SELECT count(DISTINCT wing) FROM fx_drawers)
-UNION ALL SELECT 'kg_missing_valid_from', (SELECT count(*) FROM fx_triples WHERE valid_from IS NULL)"""))
+UNION ALL SELECT 'kg_missing_valid_from', (SELECT count(*) FROM fx_triples WHERE valid_from IS NULL)"""
+
+
+@query("audit_metrics", over("drawers rooms closets tunnels triples", _AUDIT_SQL))
 def audit_metrics(spark, sf_dir):
     return au.audit(fx.drawers(spark, sf_dir), fx.closets(spark, sf_dir), fx.tunnels(spark, sf_dir),
                     fx.triples(spark, sf_dir), fx.AS_OF)
@@ -161,7 +166,7 @@ def rooms_without_tunnel(spark, sf_dir):
 
 
 @query("diary_last_n", over("diary", """
-SELECT agent, id, ts, content, row_number() OVER (PARTITION BY agent ORDER BY ts, id) AS seq FROM (
+SELECT agent, id, ts, content, cast(row_number() OVER (PARTITION BY agent ORDER BY ts, id) AS int) AS seq FROM (
   SELECT * FROM fx_diary QUALIFY row_number() OVER (PARTITION BY agent ORDER BY ts DESC, id DESC) <= 10)"""))
 def diary_last_n(spark, sf_dir):
     return di.read_last(fx.diary(spark, sf_dir), tie=F.col("id")).select("agent", "id", "ts", "content", "seq")
@@ -188,3 +193,37 @@ def diary_write_clear(spark, sf_dir):
     written = di.new_entries(diary.select("agent", "content"), fx.AS_OF)
     cleared = di.clear(written, diary.where(F.col("agent") == "system").select("agent").distinct())
     return cleared.select("agent", "content")
+
+
+_AUDIT_TITLES = """VALUES ('orphaned_drawers', 0, 'Orphaned drawers (unknown hall)'), ('rooms_no_closet', 1, 'Rooms with no closet (uncompressed)'),
+  ('inactive_wings', 2, 'Wings inactive > 90 days'), ('kg_missing_valid_from', 3, 'KG triples missing valid_from'),
+  ('rooms_without_tunnel', 4, 'Rooms in only 1 wing (no tunnels)'), ('pinned_count', 5, 'Pinned memories'), ('total_wings', 6, 'Total wings'),
+  ('total_rooms', 7, 'Total rooms'), ('total_drawers', 8, 'Total drawers')"""
+
+
+@query("audit_report", over("drawers rooms closets tunnels triples", f"""
+WITH m AS ({_AUDIT_SQL})
+SELECT cast(t.n AS int) AS line_no, concat(t.title, ': ', m.value) AS line FROM m JOIN ({_AUDIT_TITLES}) t(metric, n, title) USING (metric)
+UNION ALL SELECT 9, concat('  → ', wing) FROM fx_drawers GROUP BY wing HAVING floor(date_diff('microsecond', max(ts), {AS_OF}) / 86400000000.0) > 90"""))
+def audit_report(spark, sf_dir):
+    return au.report_text(audit_metrics(spark, sf_dir), inactive_wings(spark, sf_dir))
+
+
+@query("agent_profiles", over("diary", """
+SELECT agent AS name, CASE WHEN agent = 'system' THEN '' ELSE concat('focus of ', agent) END AS focus,
+  CASE WHEN agent = 'system' THEN '' ELSE concat(agent, '_diary.jsonl') END AS diary_path FROM (SELECT DISTINCT agent FROM fx_diary)"""))
+def agent_profiles(spark, sf_dir):
+    """Profiles saved twice for all agents but one, then loaded for every agent."""
+    names = fx.diary(spark, sf_dir).select(F.col("agent").alias("name")).distinct()
+    blank = F.lit(None).cast("string")
+    known = names.where(F.col("name") != "system").select("name", F.concat(F.lit("focus of "), "name").alias("focus"), blank.alias("model_hint"))
+    none = spark.createDataFrame([], AGENT)
+    agents = di.save_profiles(di.save_profiles(none, known.withColumn("focus", F.lit("old")), fx.AS_OF), known, fx.AS_OF)
+    return di.load_profiles(agents, names).select("name", "focus", "diary_path")
+
+
+@query("diary_readable", over("diary", f"""
+SELECT id, {decompressed(compressed('content'))} AS content FROM fx_diary"""))
+def diary_readable(spark, sf_dir):
+    diary = fx.diary(spark, sf_dir)
+    return di.readable(diary.withColumn("content", compress(F.col("content")))).select("id", "content")

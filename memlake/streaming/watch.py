@@ -26,12 +26,19 @@ WATCHED = (".py", ".js", ".ts", ".md", ".txt", ".json", ".yaml")
 _BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch_folder(spark: SparkSession, path: str, max_files_per_trigger: int = 10_000) -> DataFrame:
-    """Stream of new files (path, mtime, length, text, is_text) with a watched suffix, at any depth."""
+def watch_folder(
+    spark: SparkSession, path: str, mode: str = "files", max_files_per_trigger: int = 10_000
+) -> DataFrame:
+    """Stream of new files (path, mtime, length, text, is_text) with a watched suffix, at any depth.
+
+    In ``files`` mode, files above the size limit are dropped before their content is read.
+    """
     arrived = (
         spark.readStream.format("binaryFile").schema(_BINARY_FILE)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger).load(path)
     )
+    if mode == "files":
+        arrived = arrived.where(F.col("length") <= fi.MAX_FILE_BYTES)
     return watched_text(arrived)
 
 
@@ -110,11 +117,12 @@ def watch(
     micro-batch numbers, which name the change sets, belong to one table.
     """
     def each_batch(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
         batch.persist()  # read for drawers, vectors and errors
         try:
-            ingest_batch(batch, f"stream-{number:012d}", drawers_path, vectors_path, errors_path, as_of, wing, mode, **options)
+            if batch.isEmpty():
+                return
+            name = f"stream-{number:012d}"
+            ingest_batch(batch, name, drawers_path, vectors_path, errors_path, as_of, wing, mode, **options)
         finally:
             batch.unpersist()
 
@@ -123,12 +131,15 @@ def watch(
 
 
 def watch_conflicts(files: DataFrame, triples: DataFrame, as_of, conflicts_path: str, available_now: bool = False) -> StreamingQuery:
-    """Check every arriving text against the stored assignments; conflicts are written per micro-batch."""
+    """Check every arriving text against the stored assignments; conflicts are written per micro-batch.
+
+    A conflict is identified by path, verb, claim_no and stored_id: read the table with these keys.
+    """
     def each_batch(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         found = text_conflicts(batch.where("is_text").select("path", "mtime", "text"), triples, as_of)
-        write_change(found.drop("text"), conflicts_path, f"stream-{number:012d}",
+        write_change(found.withColumn("stored_id", F.col("stored.id")), conflicts_path, f"stream-{number:012d}",
                      F.unix_micros(F.col("mtime").cast("timestamp")))
 
     writer = files.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{conflicts_path}/_checkpoint")

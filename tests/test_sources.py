@@ -182,7 +182,7 @@ def test_watch_files(spark, tmp_path):
 
 def test_watch_conversations(spark, exports, tmp_path):
     out, err = str(tmp_path / "d"), str(tmp_path / "e")
-    stream = wa.watch_folder(spark, exports)
+    stream = wa.watch_folder(spark, exports, mode="convos")
     wa.watch(stream, out, AS_OF, mode="convos", errors_path=err, available_now=True).awaitTermination()
     assert [r.content for r in read_current(spark, out, ["id"]).where("room = 'c'").collect()] == ["first part\nsecond part"]
     reasons = {r.path.rsplit("/", 1)[1] for r in read_current(spark, err, ["path"]).collect()}
@@ -197,3 +197,27 @@ def test_watch_conflicts(spark, tmp_path):
     triples = table(spark, ("Maya", "assigned_to", "auth"))
     wa.watch_conflicts(wa.watch_folder(spark, src), triples, AS_OF, out, available_now=True).awaitTermination()
     assert [(r.path, r.person) for r in read_current(spark, out, ["path", "person"]).collect()] == [(f"{src}/a.md", "Soren")]
+
+
+def test_import_of_a_file_store(spark, tmp_path):
+    from memlake.sources import stored as sd
+
+    drawer = {"content": "c", "wing": "w", "room": "r", "hall": "facts", "timestamp": "2024-01-01T00:00:00+00:00", "pinned": True,
+              "decay_weight": 1.0, "id": "d1", "tags": ["t"]}
+    root = write(tmp_path / "store", {
+        "w/wing.json": json.dumps({"name": "w", "created": "2024-01-01", "description": "x"}),
+        "w/r/room.json": json.dumps({"name": "r", "wing": "w", "created": "bad"}),
+        "w/r/facts/d1.json": json.dumps(drawer, indent=2), "w/r/facts/d2.json": "{broken", "w/r/facts/d3.json": json.dumps({"content": "no place"}),
+        "w/r/facts/closet.es": "short", "w/tunnels.json": json.dumps([{"room": "r", "source_wing": "w", "target_wing": "v", "created": ""}, {"room": "x"}]),
+        "v/tunnels.json": "oops", "_odd/r/facts/d4.json": json.dumps({**drawer, "id": "d4", "wing": "_odd"}),
+    })
+    files = sd.read_store(spark, root)
+    assert sorted((r.id, r.wing, r.pinned, r.tags[0]) for r in sd.drawers_from(files).collect()) == [("d1", "w", True, "t"), ("d4", "_odd", True, "t")]
+    assert [(r.wing, r.room, r.hall, r.content) for r in sd.closets_from(files).collect()] == [("w", "r", "facts", "short")]
+    assert [(r.room, r.target_wing) for r in sd.tunnels_from(files).collect()] == [("r", "v")]
+    assert [(r.name, r.description) for r in sd.wings_from(files).collect()] == [("w", "x")]
+    assert [(r.name, r.wing, r.created) for r in sd.rooms_from(files).collect()] == [("r", "w", None)]
+    lines = spark.createDataFrame([('{"agent":"a","content":"x","timestamp":"2024-01-01","tags":[]}',), ("junk",), ('{"agent":"a"}',)], "value string")
+    assert [(r.agent, r.content) for r in sd.diary_from(lines).collect()] == [("a", "x")]
+    agents = write(tmp_path / "agents", {"a.json": '{"name":"a","focus":"f","other":1}', "a_diary.jsonl": "{}", "b.json": "junk"})
+    assert [(r.name, r.focus, r.model_hint) for r in sd.agents_from(sd.read_store(spark, agents)).collect()] == [("a", "f", "")]
