@@ -116,9 +116,8 @@ def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text
 
 def tenure_headers(stored: DataFrame, as_of) -> DataFrame:
     """One row per tenure conflict with its newest triple as ``stored``."""
-    return kg.tenure_conflicts(stored, as_of).select(
-        F.lit("tenure").alias("type"), "subject", "predicate", "n_active", _whole_triple().alias("stored")
-    )
+    found = kg.tenure_conflicts(stored, as_of).select("subject", "predicate", "n_active", "stored_id")
+    return _with_stored(found, stored).select(F.lit("tenure").alias("type"), "subject", "predicate", "n_active", "stored")
 
 
 def tenure_conflict_rows(stored: DataFrame, as_of) -> DataFrame:
@@ -126,20 +125,17 @@ def tenure_conflict_rows(stored: DataFrame, as_of) -> DataFrame:
 
     Very large conflicts come in several rows (``piece``), each describing its share of the objects.
     """
-    return kg.tenure_lists(stored, as_of).select(
+    return _with_stored(kg.tenure_lists(stored, as_of), stored).select(
         F.lit("tenure").alias("type"),
         F.concat("subject", F.lit(" "), "predicate", F.lit(" — "), "objects").alias("description"),
-        "subject", "predicate", "piece", _whole_triple().alias("stored"),
+        "subject", "predicate", "piece", "stored",
     )
 
 
-def _whole_triple() -> Column:
-    """The newest triple of a conflict with its subject and predicate."""
-    rest = ["valid_from", "valid_until", "confidence", "source"]
-    return F.struct(
-        F.col("stored.id").alias("id"), "subject", "predicate", F.col("stored.object").alias("object"),
-        *[F.col(f"stored.{c}").alias(c) for c in rest],
-    )
+def _with_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Add the triple named by ``stored_id`` as one column."""
+    whole = stored.select(F.col("id").alias("stored_id"), F.struct(*stored.columns).alias("stored"))
+    return found.join(whole, "stored_id")
 
 
 def quoted_entity(text: Column) -> Column:

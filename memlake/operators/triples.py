@@ -162,50 +162,47 @@ def _narrow(triples: DataFrame, predicate: str | None, active_at) -> DataFrame:
 def tenure_conflicts(triples: DataFrame, as_of) -> DataFrame:
     """(subject, predicate) pairs with different objects active at ``as_of``.
 
-    One row per conflict: number of active triples, number of objects and the newest triple (largest id).  Rows are first
-    reduced per object, then per pair, so a pair that holds much of the table never meets in one task.
+    One row per conflict: number of active triples and of objects, and id and object of the newest triple (largest id).  Rows
+    are first reduced per object (numbers only, so by hash), then per pair; a pair that holds much of the table never meets
+    in one task.
     """
-    newest = F.struct("id", "object", "valid_from", "valid_until", "confidence", "source")
     per_object = active(triples, as_of).groupBy(*SPO).agg(
-        F.count("*").alias("_n"), F.max(newest).alias("_newest"), F.min("id").alias("_first_id")
+        F.count("*").alias("_n"), F.max("id").alias("_last"), F.min("id").alias("_first")
     )
     return (
         per_object.groupBy("subject", "predicate")
         .agg(
             F.sum("_n").alias("n_active"), F.count("*").alias("n_objects"),
-            F.max("_newest").alias("stored"), F.min("_first_id").alias("first_id"),
+            F.max(F.struct("_last", "object")).alias("_top"), F.min("_first").alias("first_id"),
         )
         .where(F.col("n_objects") > 1)
+        .select("subject", "predicate", "n_active", "n_objects", "first_id",
+                F.col("_top._last").alias("stored_id"), F.col("_top.object").alias("stored_object"))
     )
 
 
-def tenure_members(triples: DataFrame, as_of, conflicts: DataFrame | None = None) -> DataFrame:
+def tenure_members(triples: DataFrame, as_of) -> DataFrame:
     """The active triples of every conflicting pair, one row each (all of them, however many a pair has)."""
-    conflicts = tenure_conflicts(triples, as_of) if conflicts is None else conflicts
-    keys = conflicts.select("subject", "predicate", "n_active", "first_id", "stored")
+    keys = tenure_conflicts(triples, as_of).select("subject", "predicate", "n_active", "first_id", "stored_id")
     return active(triples, as_of).join(keys, ["subject", "predicate"])
 
 
 def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ") -> DataFrame:
-    """Objects of each conflict joined newest id first, with its newest triple.
+    """Objects of each conflict joined newest id first, with the id of its newest triple.
 
     A pair with more than ``_ITEMS_PER_PIECE`` members gets several rows: its id range is cut into that many equal steps and
     each row (``piece`` 0, 1, ...) lists one step.  Reading the pieces in order gives the whole list.
     """
     members = tenure_members(triples, as_of)
     pieces = F.ceil(F.col("n_active") / _ITEMS_PER_PIECE)
-    last_id = F.col("stored.id")
-    width = last_id - F.col("first_id") + 1
+    width = F.col("stored_id") - F.col("first_id") + 1
     # Cast first: id distance times piece count may leave 64 bits.
-    piece = F.floor((last_id - F.col("id")).cast("decimal(28,0)") * pieces / width)
+    piece = F.floor((F.col("stored_id") - F.col("id")).cast("decimal(28,0)") * pieces / width)
     listed = F.sort_array(F.collect_list(F.struct("id", "object")), asc=False)
     return (
         members.withColumn("piece", piece.cast("long"))
-        .groupBy("subject", "predicate", "piece")
-        .agg(
-            F.array_join(F.transform(listed, lambda m: m["object"]), separator).alias("objects"),
-            F.first("stored").alias("stored"),  # the same in every row of the pair
-        )
+        .groupBy("subject", "predicate", "stored_id", "piece")
+        .agg(F.array_join(F.transform(listed, lambda m: m["object"]), separator).alias("objects"))
     )
 
 

@@ -102,10 +102,7 @@ SELECT subject, predicate, count(*) AS n_active, count(DISTINCT object) AS n_obj
   arg_max(object, id) AS stored_object
 FROM fx_triples WHERE {ACTIVE} GROUP BY subject, predicate HAVING count(*) > 1 AND count(DISTINCT object) > 1"""))
 def tenure_conflicts(spark, sf_dir):
-    return kg.tenure_conflicts(fx.triples(spark, sf_dir), fx.AS_OF).select(
-        "subject", "predicate", "n_active", "n_objects",
-        F.col("stored.id").alias("stored_id"), F.col("stored.object").alias("stored_object"),
-    )
+    return kg.tenure_conflicts(fx.triples(spark, sf_dir), fx.AS_OF).drop("first_id")
 
 
 @query("kg_tenure_descriptions", over("triples", f"""

@@ -85,17 +85,24 @@ def scan_files(
     Size and time limits are pushed into the listing, before any content is read.  Spark's own listing leaves out names
     that start with ``_`` or ``.`` (such as ``__init__.py``); ``hidden`` adds those with a second, distributed listing.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = full_path(spark, path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kept = _limit(listed, since, max_bytes)
     if hidden:
-        kept = kept.unionByName(_scan_hidden(spark, path, since, max_bytes, skip_dirs))
+        kept = kept.unionByName(_scan_hidden(spark, root, since, max_bytes, skip_dirs))
     kept = kept.withColumn("path", plain_path(F.col("path")))
-    below = F.split(F.replace("path", F.lit(path.rstrip("/") + "/"), F.lit("")), "/")
+    below = F.split(F.replace("path", F.concat(plain_path(F.lit(root)), F.lit("/")), F.lit("")), "/")
     in_skipped = F.arrays_overlap(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))),
                                   F.array(*[F.lit(d) for d in skip_dirs]))
     return kept.where(~in_skipped & ~file_name(F.col("path")).isin(*skip_files))
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it, without a trailing slash."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+
+
 def _limit(files: DataFrame, since, max_bytes: int | None) -> DataFrame:
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
@@ -104,7 +111,7 @@ def _limit(files: DataFrame, since, max_bytes: int | None) -> DataFrame:
     return files
 
 
-def _scan_hidden(spark: SparkSession, path: str, since, max_bytes, skip_dirs) -> DataFrame:
+def _scan_hidden(spark: SparkSession, uri: str, since, max_bytes, skip_dirs) -> DataFrame:
     """Files whose path below the root has a part that Spark's listing ignores.
 
     The folders directly under the root are walked by different tasks; contents are then read in a second stage that is
@@ -112,8 +119,7 @@ def _scan_hidden(spark: SparkSession, path: str, since, max_bytes, skip_dirs) ->
     """
     from pyarrow import fs
 
-    filesystem, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    uri = path if "://" in path else None
+    filesystem, root = _filesystem(uri)
     if filesystem.get_file_info(root).type != fs.FileType.Directory:
         return spark.createDataFrame([], _FILE)
     top = filesystem.get_file_info(fs.FileSelector(root))
@@ -122,26 +128,30 @@ def _scan_hidden(spark: SparkSession, path: str, since, max_bytes, skip_dirs) ->
     tasks = min(len(starts), spark.sparkContext.defaultParallelism * 4)
     found = (
         spark.createDataFrame(starts, "start string, deep boolean").repartition(tasks, "start")
-        .mapInArrow(_walk_hidden(uri, root, skip_dirs), listing)
+        .mapInArrow(_walk_hidden(uri, skip_dirs), listing)
     )
     return _limit(found, since, max_bytes).repartition("path").mapInArrow(_read_contents(uri), _FILE)
 
 
-def _filesystem(uri: str | None):
+def _filesystem(uri: str):
+    """File system and the root's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)[0] if uri else fs.LocalFileSystem()
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def _ignored_by_listing(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def _walk_hidden(uri: str | None, root: str, skip_dirs: tuple[str, ...]):
+def _walk_hidden(uri: str, skip_dirs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        filesystem = _filesystem(uri)
+        filesystem, root = _filesystem(uri)
+        scheme = "" if uri.startswith("file:") else uri[: len(uri) - len(root)]
         for batch in batches:
             for row in batch.to_pylist():
                 open_dirs = [row["start"]]
@@ -152,7 +162,7 @@ def _walk_hidden(uri: str | None, root: str, skip_dirs: tuple[str, ...]):
                             if row["deep"] and info.base_name not in skip_dirs:
                                 open_dirs.append(info.path)
                         elif any(_ignored_by_listing(part) for part in info.path[len(root):].strip("/").split("/")):
-                            rows.append((info.path, info.mtime, info.size))
+                            rows.append((scheme + info.path, info.mtime, info.size))
                 if rows:
                     paths, times, sizes = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -163,13 +173,14 @@ def _walk_hidden(uri: str | None, root: str, skip_dirs: tuple[str, ...]):
     return run
 
 
-def _read_contents(uri: str | None):
+def _read_contents(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem = _filesystem(uri)
+        filesystem, root = _filesystem(uri)
+        scheme = "" if uri.startswith("file:") else uri[: len(uri) - len(root)]
         for batch in batches:
             for i in range(batch.num_rows):  # one file per output batch keeps memory flat
                 row = batch.slice(i, 1)
-                with filesystem.open_input_stream(row.column("path")[0].as_py()) as stream:
+                with filesystem.open_input_stream(row.column("path")[0].as_py()[len(scheme):]) as stream:
                     content = stream.read()
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*row.schema.names, "content"])
 
@@ -239,6 +250,6 @@ def mine_files(spark: SparkSession, path: str, as_of, wing: str = "default", roo
     Pass the result to ``drawer_columns`` and ``vector_entries`` for the two tables.
     """
     files = read_text(scan_files(spark, path, since))
-    single = F.col("path") == plain_path(F.lit(path.rstrip("/")))
+    single = F.col("path") == plain_path(F.lit(full_path(spark, path)))
     place = F.lit(room) if room else F.when(single, stem(F.col("path"))).otherwise(parent_name(F.col("path")))
     return files_to_drawers(files, as_of, wing, place)

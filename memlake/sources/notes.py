@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from memlake.functions.text import join_present, strip
 from memlake.functions.times import as_time, parse_time
 from memlake.operators.store import content_id
-from memlake.sources.files import decode_text, plain_path, scan_files, stem, suffix
+from memlake.sources.files import decode_text, full_path, plain_path, scan_files, stem, suffix
 
 # Folders of a vault that hold no notes, the heading block of a note, and text lengths.
 VAULT_SKIP_DIRS = (".obsidian", ".trash", "node_modules")
@@ -134,7 +134,7 @@ def parse_issues(files: DataFrame) -> DataFrame:
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     files = scan_files(spark, path, max_bytes=None, skip_dirs=(), skip_files=())
-    json_files = files.where((suffix(F.col("path")) == ".json") | (F.col("path") == plain_path(F.lit(path))))
+    json_files = files.where((suffix(F.col("path")) == ".json") | (F.col("path") == plain_path(F.lit(full_path(spark, path)))))
     return parse_issues(json_files.select("path", decode_text(F.col("content")).alias("text")))
 
 
