@@ -12,10 +12,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.operators.vectors import _matrix, top_k
+from memlake.operators.vectors import top_k
 
 _SEED = 20240120
 
@@ -42,17 +41,13 @@ def assign_cells(vectors: DataFrame, bits: int = 10) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull()).withColumn("cell", cell("embedding"))
 
 
-def probed_cells(queries: pa.Table, bits: int, flips: int) -> list[int]:
+def probed_cells(queries: DataFrame, bits: int, flips: int) -> list[int]:
     """The queries' own cells and those that differ in up to ``flips`` planes; at most 2^bits numbers."""
     masks = [sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)]
-    own = _cells_of(_matrix(queries.column("embedding")), bits)
-    return sorted({int(c) ^ m for c in set(own.tolist()) for m in masks})
+    own = [r.cell for r in assign_cells(queries.select("embedding"), bits).select("cell").distinct().collect()]
+    return sorted({cell ^ mask for cell in own for mask in masks})
 
 
 def top_k_near(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 10, flips: int = 1, **options) -> DataFrame:
-    """``top_k`` over the probed cells of a table that has ``cell``.
-
-    ``queries`` is a small batch (as for ``top_k``).  Every query sees all cells probed for the batch.
-    """
-    cells = probed_cells(queries.select("embedding").toArrow(), bits, flips)
-    return top_k(vectors.where(F.col("cell").isin(cells)), queries, k, **options)
+    """``top_k`` over the probed cells of a table that has ``cell``.  Every query sees all cells probed for the batch."""
+    return top_k(vectors.where(F.col("cell").isin(probed_cells(queries, bits, flips))), queries, k, **options)

@@ -152,3 +152,42 @@ def graph_suggest_links(spark, sf_dir):
     rooms = gr.all_rooms(fx.drawers(spark, sf_dir))
     listed = gr.suggestion_lists(gr.suggest_links(rooms, fx.tunnels(spark, sf_dir)))
     return listed.withColumn("wings", F.array_join("wings", ","))
+
+
+@query("closet_upsert", over("drawers closets", """
+WITH fresh AS (SELECT wing, room, hall, concat('latest: ', max(content)) AS content, TIMESTAMP '2024-01-20 00:00:00' AS updated
+  FROM fx_drawers WHERE pinned GROUP BY ALL)
+SELECT * FROM fresh UNION ALL SELECT c.wing, c.room, c.hall, c.content, c.updated FROM fx_closets c ANTI JOIN fresh USING (wing, room, hall)"""))
+def closet_upsert(spark, sf_dir):
+    """New closets for the places with pinned drawers replace the old ones."""
+    fresh = fx.drawers(spark, sf_dir).where("pinned").groupBy("wing", "room", "hall").agg(
+        F.concat(F.lit("latest: "), F.max("content")).alias("content"), F.lit(fx.AS_OF).cast("timestamp_ntz").alias("updated")
+    )
+    return st.upsert(fx.closets(spark, sf_dir), fresh, ["wing", "room", "hall"])
+
+
+@query("vector_upsert_delete", over("vectors", """
+SELECT id, CASE WHEN pinned THEN 'moved' ELSE wing END AS wing, room, hall, pinned, round(embedding[1], 6) AS first_value,
+  (SELECT count(*) FROM fx_vectors WHERE hall <> 'advice') AS total
+FROM fx_vectors WHERE hall <> 'advice'"""))
+def vector_upsert_delete(spark, sf_dir):
+    """Move the pinned vectors to another wing, delete those of one hall, count the rest."""
+    vectors = fx.vectors(spark, sf_dir)
+    moved = st.upsert(vectors, vectors.where("pinned").withColumn("wing", F.lit("moved")), ["id"])
+    kept = st.delete(moved, vectors.where(F.col("hall") == "advice").select("id"))
+    return kept.select(
+        "id", "wing", "room", "hall", "pinned", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"),
+        kept.agg(F.count("*")).scalar().alias("total"),
+    )
+
+
+@query("wings_create", over("drawers tunnels", """
+WITH have AS (SELECT DISTINCT target_wing AS name, 'linked' AS description FROM fx_tunnels),
+named AS (SELECT wing AS name, concat('holds ', max(room)) AS description FROM fx_drawers GROUP BY wing)
+SELECT name, description FROM named UNION ALL SELECT name, description FROM have ANTI JOIN named USING (name)"""))
+def wings_create(spark, sf_dir):
+    """Create a record for every wing in use, replacing the ones that exist."""
+    names = fx.drawers(spark, sf_dir).groupBy(F.col("wing").alias("name")).agg(
+        F.concat(F.lit("holds "), F.max("room")).alias("description")
+    )
+    return st.create_wings(_wing_records(spark, sf_dir), names, fx.AS_OF).select("name", "description")

@@ -271,7 +271,7 @@ def table_merge_on_read(spark, sf_dir):
     """Save a partitioned table, write two change sets (the second one twice) and a deletion, read the merged state."""
     path = f"{shared_folder(spark)}/drawers"
     drawers = fx.drawers(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    save_table(drawers, path, ["wing", "hall"])
+    save_table(drawers, path, ["wing", "hall"], ["room", "id"])
     said = drawers.where(F.col("role") == "assistant")
     for version in (1, 2, 2):
         newer = said.withColumn("content", F.concat(F.lit(f"v{version} "), "content"))
