@@ -1,21 +1,28 @@
-"""Joining points to the intervals that contain them.
+"""Joining points to the intervals that contain them, and counting without joining.
 
 An equality join on the key with a range test compares every point of a key with every interval of that key.  That is fine
 while a key has few intervals.  For keys with many, time is divided into ``cells`` equal cells arranged as a tree with a fixed
 fan-out.  An interval is written as the few tree nodes that exactly cover its cells; a point looks at its own cell's
 ancestors, one per level.  The join is then an equality on (key, node), its work follows the number of true matches, and a
 heavy key is spread over its nodes.
+
+Where only numbers are wanted, ``count_covering`` and ``count_overlapping`` need no pairs at all: an interval that starts no later
+than a time and does not end before it covers it, so differences of running counts give the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _FANOUT = 8
 _MAX_LEVELS = 16
 
+# Open bounds as numbers, and the length of a cell of the running counts (one hour), in microseconds.
+_ALWAYS = 2 ** 62
+_CELL_MICROS = 3_600_000_000
+
 # Keys with more intervals than this go through the tree.
 BUSY_KEY_INTERVALS = 1000
 
@@ -103,3 +110,73 @@ def _cover(a: Column, b: Column, levels: int) -> Column:
         parts.append(nodes(level, first, up_first * _FANOUT - 1, present & climbs))
         parts.append(nodes(level, (up_last + 1) * _FANOUT, last, present & climbs))
     return F.concat(*parts)
+
+
+# ---- counting -------------------------------------------------------------------------------------------------------
+
+def count_covering(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, name: str = "n"
+) -> DataFrame:
+    """``points`` with the number of intervals of their key that cover them (0 for points without a time or key)."""
+    keys = list(keys)
+    timed = points.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    probes = timed.where(F.col("_at").isNotNull()).select(*keys, "_at", F.lit(0).alias("_s"), F.lit(0).alias("_e"))
+    running = _running_counts(_bounds(_as_numbers(intervals, start, end), keys).unionByName(probes), keys)
+    counted = timed.join(running, [*keys, "_at"], "left")
+    return counted.select(
+        *points.columns, F.coalesce(F.col("_started") - F.col("_ended"), F.lit(0)).cast("long").alias(name)
+    )
+
+
+def count_overlapping(intervals: DataFrame, groups: dict[str, Sequence[str]], start: str, end: str) -> DataFrame:
+    """``intervals`` with, for each named list of key columns, the number of intervals of that group that overlap them.
+
+    An interval counts itself.  Intervals that end before they start overlap nothing and are left out.
+    """
+    numbered = _as_numbers(intervals, start, end)
+    counted = numbered
+    for name, keys in groups.items():
+        running = _running_counts(_bounds(numbered, list(keys)), list(keys))
+        at_end = running.select(*keys, F.col("_at").alias("_end"), "_started")
+        at_start = running.select(*keys, F.col("_at").alias("_start"), "_ended")
+        counted = counted.join(at_end, [*keys, "_end"]).join(at_start, [*keys, "_start"]).withColumn(
+            name, F.col("_started") - F.col("_ended")
+        ).drop("_started", "_ended")
+    return counted.select(*intervals.columns, *groups)
+
+
+def _as_numbers(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Bounds as microseconds, open ones as far away; only intervals that do not end before they start."""
+    micros = lambda c, default: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(default))
+    return intervals.withColumn("_start", micros(start, -_ALWAYS)).withColumn("_end", micros(end, _ALWAYS)).where(
+        F.col("_start") <= F.col("_end")
+    )
+
+
+def _bounds(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """Two rows per interval: one start and one end."""
+    return numbered.select(*keys, F.inline(F.array(
+        F.struct(F.col("_start").alias("_at"), F.lit(1).alias("_s"), F.lit(0).alias("_e")),
+        F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_s"), F.lit(1).alias("_e")),
+    )))
+
+
+def _running_counts(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and time: how many intervals have started by then (``_started``) and ended before it (``_ended``).
+
+    Rows are first reduced to one per key and time.  Running counts are those of whole cells of the time axis plus the rows
+    inside the cell, so that a key with very many rows is counted by many tasks.
+    """
+    times = bounds.groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")).withColumn(
+        "_cell", F.floor(F.col("_at") / _CELL_MICROS).cast("long")
+    )
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = times.groupBy(*keys, "_cell").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")).select(
+        *keys, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_cs"),
+        F.coalesce(F.sum("_e").over(before), F.lit(0)).alias("_ce"),
+    )
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = times.withColumn("_s", F.sum("_s").over(inside)).withColumn("_e", F.sum("_e").over(inside) - F.col("_e"))
+    return running.join(cells, [*keys, "_cell"]).select(
+        *keys, "_at", (F.col("_s") + F.col("_cs")).alias("_started"), (F.col("_e") + F.col("_ce")).alias("_ended")
+    )

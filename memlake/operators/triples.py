@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.functions.times import as_time
-from memlake.operators.intervals import point_in_interval_join
+from memlake.operators.intervals import count_covering, count_overlapping, point_in_interval_join
 
 SPO = ["subject", "predicate", "object"]
 _COLUMNS = ["id", *SPO, "valid_from", "valid_until", "confidence", "source"]
@@ -17,9 +17,6 @@ _COLUMNS = ["id", *SPO, "valid_from", "valid_until", "confidence", "source"]
 _ID_BUCKETS = 2048
 # Exact copies of one new triple that are written out by one row of work.
 _COPIES_PER_ROW = 100_000
-# Open bounds as numbers, and the length of a cell of the time axis (one hour), in microseconds.
-_ALWAYS = 2 ** 62
-_CELL_MICROS = 3_600_000_000
 # Longest list of objects (or other members) put into one result row.
 _ITEMS_PER_PIECE = 1000
 
@@ -149,6 +146,12 @@ def facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, **opti
     return point_in_interval_join(points, facts, [entity], at, "valid_from", "valid_until", **options)
 
 
+def count_facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, name: str = "n_facts") -> DataFrame:
+    """Each row of ``points`` with the number of triples about its ``entity`` active at its own time; no pairs are formed."""
+    facts = triples.select(F.col("subject").alias(entity), "valid_from", "valid_until")
+    return count_covering(points, facts, [entity], at, "valid_from", "valid_until", name)
+
+
 def _narrow(triples: DataFrame, predicate: str | None, active_at) -> DataFrame:
     if predicate:
         triples = triples.where(F.col("predicate") == predicate)
@@ -209,45 +212,10 @@ def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ") -> DataFram
 def overlap_conflicts(triples: DataFrame) -> DataFrame:
     """Triples whose period overlaps that of another object of the same subject and predicate, at any time.
 
-    ``n_overlaps`` counts those other triples.  They are counted, not paired: a period overlaps as many others of its group
-    as start no later than its end, less those that end before its start.  Counting once per (subject, predicate) and once
-    per object, the difference leaves the other objects.  Periods that end before they start overlap nothing.
+    ``n_overlaps`` counts those other triples: the overlaps in the (subject, predicate) group less those of the same object.
     """
-    micros = lambda c, default: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(default))
-    periods = triples.select(
-        "id", *SPO, micros("valid_from", -_ALWAYS).alias("_start"), micros("valid_until", _ALWAYS).alias("_end")
-    ).where(F.col("_start") <= F.col("_end"))
-    counted = _count_overlaps(_count_overlaps(periods, ["subject", "predicate"], "_all"), SPO, "_same")
+    periods = triples.select("id", *SPO, "valid_from", "valid_until")
+    counted = count_overlapping(periods, {"_all": ["subject", "predicate"], "_same": SPO}, "valid_from", "valid_until")
     return counted.withColumn("n_overlaps", F.col("_all") - F.col("_same")).where(F.col("n_overlaps") > 0).select(
         "id", *SPO, "n_overlaps"
     )
-
-
-def _count_overlaps(periods: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add the number of periods of the same group (itself included) that overlap each period.
-
-    Bounds are first reduced to one row per group and time.  Their running counts are built from whole cells of the time axis
-    plus the rows inside a cell, so that a large group is counted by many tasks.
-    """
-    bounds = F.inline(F.array(
-        F.struct(F.col("_start").alias("_at"), F.lit(1).alias("_s"), F.lit(0).alias("_e")),
-        F.struct(F.col("_end").alias("_at"), F.lit(0).alias("_s"), F.lit(1).alias("_e")),
-    ))
-    times = (
-        periods.select(*keys, bounds).groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
-        .withColumn("_cell", F.floor(F.col("_at") / _CELL_MICROS).cast("long"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = times.groupBy(*keys, "_cell").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")).select(
-        *keys, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_cs"),
-        F.coalesce(F.sum("_e").over(before), F.lit(0)).alias("_ce"),
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    running = times.withColumn("_s", F.sum("_s").over(inside)).withColumn("_e", F.sum("_e").over(inside) - F.col("_e"))
-    running = running.join(cells, [*keys, "_cell"]).select(
-        *keys, "_at", (F.col("_s") + F.col("_cs")).alias("_started"), (F.col("_e") + F.col("_ce")).alias("_ended")
-    )
-    at_end = running.select(*keys, F.col("_at").alias("_end"), "_started")
-    at_start = running.select(*keys, F.col("_at").alias("_start"), "_ended")
-    joined = periods.join(at_end, [*keys, "_end"]).join(at_start, [*keys, "_start"])
-    return joined.withColumn(name, F.col("_started") - F.col("_ended")).drop("_started", "_ended")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memlake.functions.times import as_time
 from memlake.operators import claims as cl
 from memlake.operators import triples as kg
+from memlake.operators.intervals import point_in_interval_join
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import ACTIVE, AS_OF, over
 from memlake.plans.registry import query
@@ -126,19 +127,34 @@ def overlap_conflicts(spark, sf_dir):
 
 
 @query("kg_as_of_join", over("triples", """
-SELECT e.event_type, t.predicate, count(*) AS n_facts, count(DISTINCT e.event_id) AS n_events
-FROM events e JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))
+SELECT e.event_id, any_value(e.event_type) AS event_type, count(t.id) AS n_facts
+FROM events e LEFT JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))
   AND (t.valid_from IS NULL OR t.valid_from <= e.ts) AND (t.valid_until IS NULL OR t.valid_until >= e.ts)
-GROUP BY e.event_type, t.predicate"""))
+GROUP BY e.event_id"""))
 def as_of_join(spark, sf_dir):
-    """Facts known about a user at the time of each of their events."""
-    points = fx.table(spark, sf_dir, "events").select(
-        "event_id", "event_type", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user")
+    """How many facts were known about a user at the time of each of their events."""
+    return kg.count_facts_at(_user_events(spark, sf_dir), fx.triples(spark, sf_dir), "user", "ts").select(
+        "event_id", "event_type", "n_facts"
     )
-    known = kg.facts_at(points, fx.triples(spark, sf_dir).drop("source", "confidence", "object"), "user", "ts")
-    per_event = known.groupBy("event_id", "event_type", "predicate").agg(F.count("*").alias("n"))
-    return per_event.groupBy("event_type", "predicate").agg(
-        F.sum("n").alias("n_facts"), F.count("*").alias("n_events")
+
+
+@query("kg_facts_at_event", over("triples", """
+SELECT e.event_id, t.id, t.object FROM events e JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))
+  AND t.object = concat('k', regexp_extract(e.props, '([0-9]+)', 1))
+  AND (t.valid_from IS NULL OR t.valid_from <= e.ts) AND (t.valid_until IS NULL OR t.valid_until >= e.ts)"""))
+def facts_at_event(spark, sf_dir):
+    """The facts about a user and the event's own object that held at the time of each event."""
+    points = _user_events(spark, sf_dir).withColumnRenamed("key", "object")
+    facts = fx.triples(spark, sf_dir).select("id", F.col("subject").alias("user"), "object", "valid_from", "valid_until")
+    return point_in_interval_join(points, facts, ["user", "object"], "ts", "valid_from", "valid_until").select(
+        "event_id", "id", "object"
+    )
+
+
+def _user_events(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select(
+        "event_id", "event_type", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
+        F.concat(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1)).alias("key"),
     )
 
 

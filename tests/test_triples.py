@@ -163,6 +163,21 @@ def test_overlap_counts_match_brute_force(spark):
     assert {r.id: r.n_overlaps for r in kg.overlap_conflicts(periods_table(spark, rows)).collect()} == expected
 
 
+def test_counts_at_times_match_brute_force(spark):
+    rows = random_periods(4, 250, 4)
+    rng = random.Random(5)
+    points = [(i, rng.choice(["hot", "k0", "k1", "absent", None]), rng.choice([None, *range(-10, 3200, 11)])) for i in range(200)]
+    expected = {
+        i: sum(key == s and t is not None and (a is None or a <= t) and (b is None or t <= b) and (a is None or b is None or a <= b)
+               for _, s, _, _, a, b in rows)
+        for i, key, t in points
+    }
+    df = spark.createDataFrame(points, "pid long, subject string, t long").withColumn(
+        "ts", F.timestamp_seconds(F.col("t") * 600 + 1_700_000_000))
+    got = kg.count_facts_at(df, periods_table(spark, rows), "subject", "ts").collect()
+    assert {r.pid: r.n_facts for r in got} == expected
+
+
 @pytest.mark.parametrize("busy,cells", [(10 ** 6, 512), (20, 512), (20, 8), (0, 1), (0, 8 ** 4)])
 def test_interval_join_matches_brute_force(spark, busy, cells):
     rows = random_periods(2, 250, 4)
