@@ -1,7 +1,7 @@
 """Joining points to the intervals that contain them, and counting without joining.
 
 An equality join on the key with a range test compares every point of a key with every interval of that key.  That is fine
-while a key has few intervals.  For keys with many, time is divided into ``cells`` equal cells arranged as a tree with a fixed
+while a key has few points or few intervals.  For keys with many of both, time is divided into ``cells`` equal cells arranged as a tree with a fixed
 fan-out.  An interval is written as the few tree nodes that exactly cover its cells; a point looks at its own cell's
 ancestors, one per level.  The join is then an equality on (key, node), its work follows the number of true matches, and a
 heavy key is spread over its nodes.
@@ -23,8 +23,8 @@ _MAX_LEVELS = 16
 _ALWAYS = 2 ** 62
 _CELL_MICROS = 3_600_000_000
 
-# Keys with more intervals than this go through the tree.
-BUSY_KEY_INTERVALS = 1000
+# Keys with more points and more intervals than this go through the tree.
+BUSY_KEY_ROWS = 1000
 
 
 def point_in_interval_join(
@@ -35,16 +35,20 @@ def point_in_interval_join(
     start: str,
     end: str,
     cells: int = _FANOUT ** 5,
-    busy: int = BUSY_KEY_INTERVALS,
+    busy: int = BUSY_KEY_ROWS,
 ) -> DataFrame:
     """Inner join on ``keys`` and ``start <= at <= end``; NULL bounds are open.  Points without a time match nothing.
 
-    Runs one aggregation first, to see whether any key has more than ``busy`` intervals.
+    Runs one aggregation first, to see whether any key has more than ``busy`` points and intervals.
     """
     keys = list(keys)
     points = points.where(F.col(at).isNotNull())
     within = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
-    busy_keys = intervals.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > busy).select(*keys)
+
+    def frequent(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > busy).select(*keys)
+
+    busy_keys = frequent(intervals).join(frequent(points), keys, "left_semi")
     if busy_keys.isEmpty():
         return points.join(intervals, keys).where(within)
     plain = points.join(intervals.join(busy_keys, keys, "left_anti"), keys).where(within)

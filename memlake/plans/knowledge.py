@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from memlake.functions.times import as_time
 from memlake.operators import claims as cl
 from memlake.operators import triples as kg
-from memlake.operators.intervals import point_in_interval_join
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import ACTIVE, AS_OF, over
 from memlake.plans.registry import query
@@ -138,23 +137,19 @@ def as_of_join(spark, sf_dir):
     )
 
 
-@query("kg_facts_at_event", over("triples", """
-SELECT e.event_id, t.id, t.object FROM events e JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))
-  AND t.object = concat('k', regexp_extract(e.props, '([0-9]+)', 1))
-  AND (t.valid_from IS NULL OR t.valid_from <= e.ts) AND (t.valid_until IS NULL OR t.valid_until >= e.ts)"""))
-def facts_at_event(spark, sf_dir):
-    """The facts about a user and the event's own object that held at the time of each event."""
-    points = _user_events(spark, sf_dir).withColumnRenamed("key", "object")
-    facts = fx.triples(spark, sf_dir).select("id", F.col("subject").alias("user"), "object", "valid_from", "valid_until")
-    return point_in_interval_join(points, facts, ["user", "object"], "ts", "valid_from", "valid_until").select(
-        "event_id", "id", "object"
-    )
+@query("kg_facts_at", over("triples", """
+SELECT p.user, t.id, t.predicate, t.object FROM (SELECT concat('u', cast(user_id AS varchar)) AS user, max(ts) AS ts FROM events GROUP BY 1) p
+  JOIN fx_triples t ON t.subject = p.user
+  AND (t.valid_from IS NULL OR t.valid_from <= p.ts) AND (t.valid_until IS NULL OR t.valid_until >= p.ts)"""))
+def facts_at(spark, sf_dir):
+    """What was known about every user at the time of their last event."""
+    last = _user_events(spark, sf_dir).groupBy("user").agg(F.max("ts").alias("ts"))
+    return kg.facts_at(last, fx.triples(spark, sf_dir), "user", "ts").select("user", "id", "predicate", "object")
 
 
 def _user_events(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select(
-        "event_id", "event_type", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
-        F.concat(F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1)).alias("key"),
+        "event_id", "event_type", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user")
     )
 
 
