@@ -103,6 +103,15 @@ def get_by_id(drawers: DataFrame, ids: DataFrame) -> DataFrame:
     return drawers.join(ids.select("id"), "id", "left_semi")
 
 
+def save_drawers(
+    drawers: DataFrame, rooms: DataFrame, wings: DataFrame, new: DataFrame, as_of
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Save drawers (the newest of each id wins) and the rooms and wings they need; returns (drawers, rooms, wings)."""
+    saved = upsert(drawers, new, ["id"], [F.col("ts").desc_nulls_last(), F.col("content").desc()])
+    places = new.select("wing", F.col("room").alias("name")).distinct()
+    return saved, *ensure_rooms(rooms, wings, places, as_of)
+
+
 def add_memories(memories: DataFrame, as_of, compress) -> DataFrame:
     """New drawers from raw ``content``; absent location columns take the usual defaults.
 

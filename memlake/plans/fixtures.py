@@ -24,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return use_all_cores(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return use_all_cores(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return use_all_cores(table(spark, sf_dir, "pages"), "page_id")
 
@@ -189,6 +193,6 @@ def diary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns with the export file they are written to: at most ``TURNS_PER_FILE`` turns per file."""
     part = F.floor(F.col("turn") / TURNS_PER_FILE).cast("string")
-    return table(spark, sf_dir, "conversations").withColumn(
+    return turns(spark, sf_dir).withColumn(
         "file", F.concat(F.lit("/exports/c"), F.col("conv_id").cast("string"), F.lit("_"), part)
     )

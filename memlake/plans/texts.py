@@ -77,7 +77,7 @@ def _diff_part(mark: str, label: str) -> str:
 SELECT conv_id, turn, concat('CHANGE:', role, '.md', {_diff_part('+', 'add')}, {_diff_part('-', 'rm')}) AS short
 FROM (SELECT *, concat('- ', role, chr(10), '+ ', replace(text, chr(10), chr(10) || '+ ')) AS d FROM conversations)""")
 def es_diff(spark, sf_dir):
-    turns = fx.table(spark, sf_dir, "conversations")
+    turns = fx.turns(spark, sf_dir)
     diff = F.concat(F.lit("- "), "role", F.lit("\n+ "), F.replace("text", F.lit("\n"), F.lit("\n+ ")))
     return turns.select(
         "conv_id", "turn",
@@ -98,7 +98,7 @@ def es_diff_expand(spark, sf_dir):
 @query("es_decompress", f"""
 SELECT conv_id, turn, {decompressed('c')} AS text FROM (SELECT conv_id, turn, {compressed('text')} AS c FROM conversations)""")
 def es_decompress(spark, sf_dir):
-    turns = fx.table(spark, sf_dir, "conversations")
+    turns = fx.turns(spark, sf_dir)
     return turns.select("conv_id", "turn", sh.decompress(sh.compress(F.col("text"))).alias("text"))
 
 
@@ -106,7 +106,7 @@ def es_decompress(spark, sf_dir):
 SELECT conv_id, turn, concat({compressed('text')}, ' [', repeat('★', cast(greatest(1, least(5, turn)) AS int)), ']') AS text
 FROM conversations""")
 def es_confidence(spark, sf_dir):
-    turns = fx.table(spark, sf_dir, "conversations")
+    turns = fx.turns(spark, sf_dir)
     short = sh.compress(F.col("text"), confidence=F.col("turn").cast("int"))
     return turns.select("conv_id", "turn", short.alias("text"))
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from memlake.functions import vectors as vx
 from memlake.operators import cells as ce
 from memlake.operators import search as se
 from memlake.operators import vectors as ve
+from memlake.sources import entries as en
 
 AS_OF = "2026-01-20 00:00:00"
 VECTORS = "id string, embedding array<float>, wing string, room string, hall string, ts timestamp, pinned boolean"
@@ -121,6 +123,21 @@ def test_native_cosine_and_digest_embeddings(spark):
         assert abs(row.c - 1) < 1e-6
 
 
+def test_model_embedder_hook(spark):
+    """Any Column function works as embedder, for example a pandas UDF around a model."""
+    @F.pandas_udf("array<float>")
+    def model(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(t.count("a")), float(t.count("b")), 1.0])
+
+    memories = spark.createDataFrame([("m1", "aaa"), ("m2", "bbb"), ("m3", "abab")], "id string, raw string").select(
+        "id", "raw", *[F.lit(x).alias(c) for c, x in (("wing", "w"), ("room", "r"), ("hall", "facts"))],
+        F.lit(AS_OF).cast("timestamp").alias("ts"))
+    vectors = en.vector_entries(memories, embedder=model)
+    texts = spark.createDataFrame([(1, "aaaa"), (2, "b b")], "query_id int, query string")
+    hits = se.with_text(se.search_text(vectors, texts, AS_OF, embedder=model, n=1), vectors).collect()
+    assert {r.query_id: (r.id, r.text) for r in hits} == {1: ("m1", "aaa"), 2: ("m2", "bbb")}
+
+
 def test_metadata_values(spark):
     df = spark.createDataFrame([(1, True, ["a"], None)], "n int, b boolean, l array<string>, z string")
     value = df.select(ve.metadata_map(n=ve.metadata_value(df, "n"), b=ve.metadata_value(df, "b"), l=ve.metadata_value(df, "l"),

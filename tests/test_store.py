@@ -78,6 +78,14 @@ def test_add_memories_is_idempotent(spark):
     assert added.select("id").distinct().count() == 1
 
 
+def test_save_drawers_creates_parents(spark, base):
+    new = drawers(spark, ("n", "w7", "attic", "facts", "old", 2, False), ("n", "w7", "attic", "facts", "new", 1, False))
+    saved, rooms, wings = st.save_drawers(base, spark.createDataFrame([], ROOM), spark.createDataFrame([], WING), new, AS_OF)
+    assert {r.id: r.content for r in saved.collect()}["n"] == "new" and saved.count() == 6
+    assert [(r.wing, r.name) for r in rooms.collect()] == [("w7", "attic")]
+    assert [r.name for r in wings.collect()] == ["w7"]
+
+
 def test_upsert_takes_first_in_order(spark, base):
     new = drawers(spark, ("a", "w1", "auth", "facts", "v1", 1, False), ("a", "w1", "auth", "facts", "v2", 0, False), ("n", "w", "r", "facts", "n", 0, False))
     merged = {r.id: r.content for r in st.upsert(base, new, ["id"], [F.col("ts").desc()]).collect()}
@@ -151,6 +159,14 @@ def test_replay(spark, base):
     assert re.replay_rows(base, limit=1).where("room = 'auth'").count() == 2
 
 
+def test_diary_append(spark, tmp_path):
+    path = str(tmp_path / "diary")
+    for text in ("the first", "the second"):
+        entry = spark.createDataFrame([("bot", text)], "agent string, content string")
+        tb.append_rows(di.new_entries(entry, AS_OF), path)
+    assert sorted(r.content for r in spark.read.parquet(path).collect()) == ["first", "second"]
+
+
 def test_diary(spark):
     empty = spark.createDataFrame([], AGENT)
     agents = di.save_profiles(empty, spark.createDataFrame([("bot", "review", None)], "name string, focus string, model_hint string"), AS_OF)
