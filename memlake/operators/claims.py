@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.text import strip
@@ -47,18 +49,23 @@ def containment_pairs(containers: DataFrame, parts: DataFrame) -> DataFrame:
     """
     size = F.least(F.length("part"), F.lit(_PIECE + 1))
     sizes = {r[0] for r in parts.select(size.alias("n")).distinct().collect()} - {0}  # at most _PIECE + 1 rows
-    none = containers.join(parts, F.col("container") == F.col("part")).where(F.lit(False))
-    exact = sorted(n for n in sizes if n <= _PIECE)
-    found = none
-    if exact:
-        pieces = containers.select("container", F.explode(_pieces(F.col("container"), exact)).alias("part"))
-        found = pieces.join(parts.where(F.length("part") <= _PIECE), "part").select("container", "part")
-    if _PIECE + 1 not in sizes:
-        return found
-
+    found = []
+    short = sorted(n for n in sizes if n <= _PIECE)
+    if short:
+        pieces = containers.select("container", F.explode(_pieces(F.col("container"), short)).alias("part"))
+        found.append(pieces.join(parts.where(F.length("part") <= _PIECE), "part").select("container", "part"))
+    if _PIECE + 1 in sizes:
+        found.append(_long_containment(containers, parts.where(F.length("part") > _PIECE)))
+    if not found:
+        return containers.join(parts, F.col("container") == F.col("part")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _long_containment(containers: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same for parts longer than ``_PIECE``."""
     pieces = containers.select("container", F.explode(_pieces(F.col("container"), [_PIECE])).alias("piece"))
     frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    own = parts.where(F.length("part") > _PIECE).select("part", F.explode(_pieces(F.col("part"), [_PIECE])).alias("piece"))
+    own = parts.select("part", F.explode(_pieces(F.col("part"), [_PIECE])).alias("piece"))
     rarest = (
         own.join(frequency, "piece", "left")
         .groupBy("part").agg(
@@ -67,8 +74,7 @@ def containment_pairs(containers: DataFrame, parts: DataFrame) -> DataFrame:
         .where(F.col("missing") == 0)
         .select("part", F.col("k.piece").alias("piece"))
     )
-    verified = pieces.join(rarest, "piece").where(F.contains("container", "part")).select("container", "part")
-    return found.unionByName(verified)
+    return pieces.join(rarest, "piece").where(F.contains("container", "part")).select("container", "part")
 
 
 def _pieces(text: Column, lengths: list[int]) -> Column:

@@ -13,6 +13,7 @@ than a time and does not end before it covers it, so differences of running coun
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -135,18 +136,23 @@ def count_covering(
 def count_overlapping(intervals: DataFrame, groups: dict[str, Sequence[str]], start: str, end: str) -> DataFrame:
     """``intervals`` with, for each named list of key columns, the number of intervals of that group that overlap them.
 
-    An interval counts itself.  Intervals that end before they start overlap nothing and are left out.
+    An interval counts itself.  Rows must be distinct (have an id).  Intervals that end before they start overlap nothing and
+    are left out.
     """
     numbered = _as_numbers(intervals, start, end)
-    counted = numbered
+    both_ends = F.inline(F.array(
+        F.struct(F.col("_end").alias("_at"), F.lit(True).alias("_is_end")),
+        F.struct(F.col("_start").alias("_at"), F.lit(False).alias("_is_end")),
+    ))
+    looked_up = []
     for name, keys in groups.items():
         running = _running_counts(_bounds(numbered, list(keys)), list(keys))
-        at_end = running.select(*keys, F.col("_at").alias("_end"), "_started")
-        at_start = running.select(*keys, F.col("_at").alias("_start"), "_ended")
-        counted = counted.join(at_end, [*keys, "_end"]).join(at_start, [*keys, "_start"]).withColumn(
-            name, F.col("_started") - F.col("_ended")
-        ).drop("_started", "_ended")
-    return counted.select(*intervals.columns, *groups)
+        found = numbered.select(*intervals.columns, both_ends).join(running, [*keys, "_at"])
+        share = F.when(F.col("_is_end"), F.col("_started")).otherwise(-F.col("_ended"))
+        looked_up.append(found.select(*intervals.columns, F.lit(name).alias("_group"), share.alias("_share")))
+    return reduce(DataFrame.unionByName, looked_up).groupBy(*intervals.columns).agg(
+        *[F.sum(F.when(F.col("_group") == name, F.col("_share"))).alias(name) for name in groups]
+    )
 
 
 def _as_numbers(intervals: DataFrame, start: str, end: str) -> DataFrame:

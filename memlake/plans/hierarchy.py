@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memlake.operators import graph as gr
 from memlake.operators import store as st
 from memlake.plans import fixtures as fx
-from memlake.plans.oracles import AS_OF, over
+from memlake.plans.oracles import over
 from memlake.plans.registry import query
 
 

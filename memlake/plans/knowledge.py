@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.functions.times import as_time
 from memlake.operators import claims as cl
 from memlake.operators import triples as kg
 from memlake.plans import fixtures as fx

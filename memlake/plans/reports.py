@@ -9,7 +9,7 @@ from memlake.operators import audit as au
 from memlake.operators import context as co
 from memlake.operators import diary as di
 from memlake.operators import graph as gr
-from memlake.operators import replay as re
+from memlake.operators import replay as rp
 from memlake.operators import search as se
 from memlake.operators import summaries as su
 from memlake.plans import fixtures as fx
@@ -99,7 +99,7 @@ def deep_search_block(spark, sf_dir):
 SELECT wing, room, id, ts, hall, {decompressed('content')} AS content, pinned, seq FROM (
   SELECT *, cast(row_number() OVER (PARTITION BY wing, room ORDER BY ts, id) AS int) AS seq FROM fx_drawers QUALIFY seq <= 100)"""))
 def replay_rows(spark, sf_dir):
-    return re.replay_rows(fx.drawers(spark, sf_dir))
+    return rp.replay_rows(fx.drawers(spark, sf_dir))
 
 
 def _story(keys: str, title: str) -> str:
@@ -115,12 +115,12 @@ SELECT {keys}, concat(repeat('=', 60), chr(10), {title}, chr(10), '  ', count(*)
 
 @query("replay_text", _story("wing, room", "'Room: ', room, '  Wing: ', wing"))
 def replay_text(spark, sf_dir):
-    return re.replay_text(fx.drawers(spark, sf_dir))
+    return rp.replay_text(fx.drawers(spark, sf_dir))
 
 
 @query("replay_text_by_room", _story("room", "'Room: ', room"))
 def replay_text_by_room(spark, sf_dir):
-    return re.replay_text(fx.drawers(spark, sf_dir), keys=("room",))
+    return rp.replay_text(fx.drawers(spark, sf_dir), keys=("room",))
 
 
 _AUDIT_SQL = f"""

@@ -8,7 +8,7 @@ from memlake.functions import shorthand as sh
 from memlake.functions import vectors as vx
 from memlake.operators.summaries import ratio_stats
 from memlake.plans import fixtures as fx
-from memlake.plans.oracles import compressed, decompressed, over, stripped
+from memlake.plans.oracles import compressed, decompressed, stripped
 from memlake.plans.registry import query
 
 

@@ -6,7 +6,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.functions import shorthand as sh
 from memlake.operators.tables import read_current
 from memlake.sources import conversations as cv
 from memlake.sources import entries as en
