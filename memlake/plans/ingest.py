@@ -8,8 +8,8 @@ from memlake.functions.shorthand import compress
 from memlake.operators import store as st
 from memlake.operators.tables import read_current, save_table, write_change
 from memlake.plans import fixtures as fx
-from memlake.plans.knowledge import _CLAIM
-from memlake.plans.oracles import ACTIVE, compressed, over, stripped
+from memlake.plans.knowledge import CONTRADICTIONS
+from memlake.plans.oracles import compressed, over, stripped
 from memlake.plans.registry import query
 from memlake.session import shared_folder
 from memlake.sources import conversations as cv
@@ -320,12 +320,8 @@ def drawer_json_import(spark, sf_dir):
     )
 
 
-@query("watch_conflicts", over("claims assignments", rf"""
-WITH said AS (SELECT claim_id, trim(regexp_extract(text, '{_CLAIM}', 1, 'i')) AS person,
-  trim(regexp_extract(text, '{_CLAIM}', 2, 'i')) AS task FROM fx_claims)
-SELECT c.claim_id, t.id AS stored_id FROM said c JOIN fx_assignments t
-  ON (contains(lower(c.task), lower(t.object)) OR contains(lower(t.object), lower(c.task))) AND lower(t.subject) <> lower(c.person)
-WHERE c.task <> '' AND {ACTIVE}"""))
+@query("watch_conflicts", over("claims assignments", f"""WITH {CONTRADICTIONS}
+SELECT claim_id, id AS stored_id FROM found"""))
 def watch_conflicts(spark, sf_dir):
     """Claims arriving as a stream, checked against the stored assignments."""
     path = f"{shared_folder(spark)}/conflicts"

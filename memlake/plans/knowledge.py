@@ -163,14 +163,19 @@ def text_claims(spark, sf_dir):
     return cl.extract_claims(fx.claims(spark, sf_dir)).select("claim_id", "person", "verb", "task")
 
 
-@query("text_assignment_conflicts", over("claims assignments", rf"""
-WITH said AS (SELECT claim_id, trim(regexp_extract(text, '{_CLAIM}', 1, 'i')) AS person,
-  trim(regexp_extract(text, '{_CLAIM}', 2, 'i')) AS task FROM fx_claims)
-SELECT c.claim_id, t.id AS stored_id, concat('Attribution conflict on ''', t.object, '''') AS description,
-  concat('"', c.person, ' finished ', c.task, '"') AS incoming_text
-FROM said c JOIN fx_assignments t ON (contains(lower(c.task), lower(t.object)) OR contains(lower(t.object), lower(c.task)))
-  AND lower(t.subject) <> lower(c.person)
-WHERE c.task <> '' AND {ACTIVE}"""))
+# Claims and active assignments with their lower-cased texts, and the pairs that contradict each other.
+CONTRADICTIONS = rf"""
+said AS MATERIALIZED (SELECT *, lower(task) AS low_task, lower(person) AS low_person FROM (
+  SELECT claim_id, trim(regexp_extract(text, '{_CLAIM}', 1, 'i')) AS person,
+    trim(regexp_extract(text, '{_CLAIM}', 2, 'i')) AS task FROM fx_claims) WHERE task <> ''),
+assigned AS MATERIALIZED (SELECT id, object, lower(object) AS low_object, lower(subject) AS low_subject FROM fx_assignments WHERE {ACTIVE}),
+found AS (SELECT * FROM said c JOIN assigned t ON contains(c.low_task, t.low_object) OR contains(t.low_object, c.low_task)
+  WHERE t.low_subject <> c.low_person)"""
+
+
+@query("text_assignment_conflicts", over("claims assignments", f"""WITH {CONTRADICTIONS}
+SELECT claim_id, id AS stored_id, concat('Attribution conflict on ''', object, '''') AS description,
+  concat('"', person, ' finished ', task, '"') AS incoming_text FROM found"""))
 def text_assignment_conflicts(spark, sf_dir):
     found = cl.text_conflicts(fx.claims(spark, sf_dir), fx.assignments(spark, sf_dir), fx.AS_OF)
     return found.select("claim_id", F.col("stored.id").alias("stored_id"), "description", "incoming_text")
