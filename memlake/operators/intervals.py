@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _FANOUT = 8
 _MAX_LEVELS = 16
 
-# Open bounds as numbers, and the length of a cell of the running counts (one hour), in microseconds.
+# Open bounds as numbers, and the length of a cell of the running counts: 2^32 microseconds, a little over an hour.
 _ALWAYS = 2 ** 62
-_CELL_MICROS = 3_600_000_000
+_CELL_BITS = 32
 
 # Keys with more points and more intervals than this go through the tree.
 BUSY_KEY_ROWS = 1000
@@ -125,7 +125,9 @@ def count_covering(
     """``points`` with the number of intervals of their key that cover them (0 for points without a time or key)."""
     keys = list(keys)
     timed = points.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
-    probes = timed.where(F.col("_at").isNotNull()).select(*keys, "_at", F.lit(0).alias("_s"), F.lit(0).alias("_e"))
+    # Never NULL, so that no extra filter keeps Spark from reusing the shuffle below.
+    known = F.coalesce("_at", F.lit(0).cast("long")).alias("_at")
+    probes = timed.where(F.col("_at").isNotNull()).select(*keys, known, F.lit(0).alias("_s"), F.lit(0).alias("_e"))
     running = _running_counts(_bounds(_as_numbers(intervals, start, end), keys).unionByName(probes), keys)
     counted = timed.join(running, [*keys, "_at"], "left")
     return counted.select(
@@ -177,16 +179,19 @@ def _running_counts(bounds: DataFrame, keys: list[str]) -> DataFrame:
     Rows are first reduced to one per key and time.  Running counts are those of whole cells of the time axis plus the rows
     inside the cell, so that a key with very many rows is counted by many tasks.
     """
-    times = bounds.groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")).withColumn(
-        "_cell", F.floor(F.col("_at") / _CELL_MICROS).cast("long")
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    times = (
+        bounds.groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
+        .withColumn("_cell", F.shiftright("_at", _CELL_BITS))
+        .withColumn("_in_s", F.sum("_s").over(inside)).withColumn("_in_e", F.sum("_e").over(inside))
     )
+    # A cell's totals are its last running counts; reading them from the same rows lets Spark shuffle those only once.
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = times.groupBy(*keys, "_cell").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e")).select(
+    cells = times.groupBy(*keys, "_cell").agg(F.max("_in_s").alias("_s"), F.max("_in_e").alias("_e")).select(
         *keys, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_cs"),
         F.coalesce(F.sum("_e").over(before), F.lit(0)).alias("_ce"),
     )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    running = times.withColumn("_s", F.sum("_s").over(inside)).withColumn("_e", F.sum("_e").over(inside) - F.col("_e"))
-    return running.join(cells, [*keys, "_cell"]).select(
-        *keys, "_at", (F.col("_s") + F.col("_cs")).alias("_started"), (F.col("_e") + F.col("_ce")).alias("_ended")
+    return times.join(cells, [*keys, "_cell"]).select(
+        *keys, "_at", (F.col("_in_s") + F.col("_cs")).alias("_started"),
+        (F.col("_in_e") - F.col("_e") + F.col("_ce")).alias("_ended"),
     )
