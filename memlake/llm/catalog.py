@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import language, mixing, ngram_join, packing, quality, records, secrets  # noqa: F401
+from memlake.llm import class_lm, language, media, mixing, ngram_join, packing, quality, records, secrets, surrogates  # noqa: F401
 from memlake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
