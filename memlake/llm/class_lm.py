@@ -30,7 +30,6 @@ CLASSES = 32
 ROUNDS = 8
 SMOOTHING = 10.0
 FLUSH_TOKENS = 2_000_000
-PAIRS = 200_000
 CHUNK = 256
 
 
@@ -108,10 +107,7 @@ def _bigram_counter(wid: np.ndarray, n_train: np.ndarray):
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, n = _added(held, counts)
-            for a in range(0, len(keys), PAIRS):
-                part, many = keys[a:a + PAIRS], n[a:a + PAIRS]
-                yield pa.RecordBatch.from_pydict({"left": [(part // width).astype(np.int32)], "right": [(part % width).astype(np.int32)], "n": [many]},
-                                                 schema=pa.schema([("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(n)], names=["left", "right", "n"])
             held.clear()
             counts.clear()
 
@@ -134,24 +130,22 @@ def _bigram_counter(wid: np.ndarray, n_train: np.ndarray):
 
 
 def _class_vectors(classes: np.ndarray, contexts: int):
-    """Partial counts of each clustered word with the classes after and before it, and with itself, in chunks of words."""
-    words = len(classes) - 2
+    """Partial counts of each index with the classes after and before it, and with itself, in chunks of words."""
+    words, width = len(classes), 2 * contexts + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after, before, own = np.zeros(words * contexts), np.zeros(words * contexts), np.zeros(words)
+        total = np.zeros(words * width, np.int64)
         for batch in batches:
-            for left, right, n in zip(*(batch.column(k) for k in range(3))):
-                left, right, n = left.values.to_numpy(), right.values.to_numpy(), n.values.to_numpy()
-                known = left < words
-                after += np.bincount(left[known].astype(np.int64) * contexts + classes[right[known]], n[known], words * contexts)
-                known = right < words
-                before += np.bincount(right[known].astype(np.int64) * contexts + classes[left[known]], n[known], words * contexts)
-                same = (left == right) & known
-                own += np.bincount(left[same], n[same], words)
-        if after.any() or before.any():
-            whole = np.concatenate([after.reshape(words, contexts), before.reshape(words, contexts), own[:, None]], 1).astype(np.int64)
-            for chunk in range(0, words, CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([whole[chunk:chunk + CHUNK].tobytes()], pa.binary())], names=["chunk", "counts"])
+            left, right, n = (batch.column(k).to_numpy() for k in range(3))
+            np.add.at(total, left.astype(np.int64) * width + classes[right], n)
+            np.add.at(total, right.astype(np.int64) * width + contexts + classes[left], n)
+            same = left == right
+            np.add.at(total, left[same].astype(np.int64) * width + 2 * contexts, n[same])
+        total = total.reshape(words, width)
+        for chunk in range(0, words, CHUNK):
+            part = total[chunk:chunk + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     return run
 
@@ -226,57 +220,60 @@ def _movers(table_of: np.ndarray, assigned: np.ndarray, classes: int):
     return run
 
 
-def _class_table(bigrams: DataFrame, assigned: np.ndarray, contexts: int) -> np.ndarray:
+def _class_table(vectors: DataFrame, assigned: np.ndarray, contexts: int) -> np.ndarray:
     """Class bigram counts, ``contexts`` squared numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(contexts * contexts)
+        total = np.zeros((contexts, contexts), np.int64)
         for batch in batches:
-            for left, right, n in zip(*(batch.column(k) for k in range(3))):
-                total += np.bincount(assigned[left.values.to_numpy()] * contexts + assigned[right.values.to_numpy()], n.values.to_numpy(), contexts * contexts)
+            after = batch.column("counts").flatten().to_numpy().reshape(batch.num_rows, -1)[:, :contexts]
+            np.add.at(total, assigned[batch.column("word").to_numpy()], after)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["cell", "n"])
 
     out = np.zeros(contexts * contexts, np.int64)
-    for row in bigrams.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in vectors.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[row["cell"]] = row["n"]
     return out.reshape(contexts, contexts)
 
 
+def likelihood(table_of: np.ndarray) -> float:
+    """The part of the class bigram log-likelihood that depends on the classes."""
+    return float(_xlogx(table_of.astype(float)).sum() - _xlogx(table_of.sum(0).astype(float)).sum() - _xlogx(table_of.sum(1).astype(float)).sum())
+
+
 def exchange(bigrams: DataFrame, frequent: Frequent, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each index (words, tail, end) and the class bigram counts.
+    """Class of each index (words, tail, end) and the class bigram counts.  ``bigrams`` (left, right, n) may hold a pair several times.
 
     Words start in the classes in turn, the most frequent first.  A round that does not raise the likelihood is taken back and the next
-    one makes fewer moves.
+    one makes fewer moves.  Each round reads the bigrams once; a task sums ``words x classes`` numbers at most.
     """
     contexts = classes + 2
     assigned = np.empty(frequent.end + 1, np.int64)
     assigned[np.lexsort((frequent.wid, -frequent.n_train))] = np.arange(frequent.tail) % classes
     assigned[:frequent.tail][frequent.n_train == 0] = classes
     assigned[frequent.tail], assigned[frequent.end] = classes, classes + 1
-    if not frequent.tail:
-        return assigned, _class_table(bigrams, assigned, contexts)
-    spark = bigrams.sparkSession
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    value = lambda t: float(_xlogx(t.astype(float)).sum() - _xlogx(t.sum(0).astype(float)).sum() - _xlogx(t.sum(1).astype(float)).sum())
-    table_of = _class_table(bigrams, assigned, contexts)
+    tasks = max(1, bigrams.sparkSession.sparkContext.defaultParallelism)
+    best: tuple | None = None
     part = 0.5
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         partial = bigrams.coalesce(tasks).mapInArrow(_class_vectors(assigned, contexts), "chunk int, counts binary")
-        summed = partial.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_add_chunks(contexts), "word long, counts array<long>")
-        moves = summed.mapInArrow(_movers(table_of, assigned, classes), "word long, to int, gain double").where("gain > 1e-9").toArrow()
+        vectors = materialise(partial.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_add_chunks(contexts), "word long, counts array<long>"))
+        table_of = _class_table(vectors, assigned, contexts)
+        if best is None or likelihood(table_of) > likelihood(best[1]):
+            best = assigned, table_of, vectors
+        else:
+            part /= 4
+        if turn == rounds:
+            break
+        moves = best[2].mapInArrow(_movers(best[1], best[0], classes), "word long, to int, gain double").where("gain > 1e-9").toArrow()
         if not moves.num_rows:
             break
         word, to, gain = (moves.column(k).to_numpy() for k in range(3))
         order = np.lexsort((word, -gain))[:max(1, int(len(word) * part))]
-        new = assigned.copy()
-        new[word[order]] = to[order]
-        new_table = _class_table(bigrams, new, contexts)
-        if value(new_table) > value(table_of):
-            assigned, table_of = new, new_table
-        else:
-            part /= 4
-    return assigned, table_of
+        assigned = best[0].copy()
+        assigned[word[order]] = to[order]
+    return best[0], best[1]
 
 
 def _scorer(wid: np.ndarray, n_train: np.ndarray, assigned: np.ndarray, transition: np.ndarray, emission: np.ndarray, end_count: int):
@@ -344,7 +341,7 @@ def score(docs: DataFrame, held: Column, *, min_share: float = MIN_SHARE, classe
     order = np.argsort(wid)
     frequent = Frequent(wid[order], n_train[order])
 
-    bigrams = materialise(rows.where(~F.col("held_out")).select("text").mapInArrow(_bigram_counter(frequent.wid, frequent.n_train), "left array<int>, right array<int>, n array<long>"))
+    bigrams = materialise(rows.where(~F.col("held_out")).select("text").mapInArrow(_bigram_counter(frequent.wid, frequent.n_train), "left int, right int, n long"))
     assigned, table_of = exchange(bigrams, frequent, classes, rounds)
 
     contexts = classes + 2
