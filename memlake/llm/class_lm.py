@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.language import held_out
 from memlake.llm.registry import query, table
-from memlake.llm.words import Words, raw_texts, slices
+from memlake.llm.words import raw_texts, slices, small, Words
 from memlake.session import materialise
 
 MIN_SHARE = 5e-6
@@ -55,7 +55,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), counts if train else zero, counts], names=["wid", "n_train", "n_all"])
                 parts.clear()
 
-    for batch in batches:
+    for batch in small(batches):
         raws, train = _lowered(batch.column("text")), batch.column("train").to_numpy(zero_copy_only=False)
         for lo, hi in slices(raws):
             words = Words(raws[lo:hi])
@@ -111,7 +111,7 @@ def _bigram_counter(wid: np.ndarray, n_train: np.ndarray):
             held.clear()
             counts.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             raws = _lowered(batch.column("text"))
             for lo, hi in slices(raws):
                 words = Words(raws[lo:hi])
@@ -284,7 +284,7 @@ def _scorer(wid: np.ndarray, n_train: np.ndarray, assigned: np.ndarray, transiti
         seen = np.concatenate([n_train, [0, end_count]])
         base = np.log10(seen + 0.5)
         base[frequent.tail] = 0.0
-        for batch in batches:
+        for batch in small(batches):
             raws = _lowered(batch.column("text"))
             for lo, hi in slices(raws):
                 words = Words(raws[lo:hi])

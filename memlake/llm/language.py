@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.worker import kept
-from memlake.llm.words import mix
+from memlake.llm.words import mix, small
 
 UNDETERMINED = "und"
 BITS = 18
@@ -60,7 +60,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["lang", "bucket", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in small(batches):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lo, hi in _text_slices(texts):
             bucket, doc = trigrams(texts[lo:hi])
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str] | None = None, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = Model({})
         learned.langs, learned.log_p = shared.value
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("_read")
             pred, score, sets, shares = identify(batch.column(at).to_pylist(), learned, penalty)
             found = [[{"lang": a, "share": b} for a, b in zip(*x)] for x in zip(sets, shares)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import load_part, part_of, placed, save_parts
-from memlake.llm.words import raw_texts, slices
+from memlake.llm.words import raw_texts, slices, small
 from memlake.session import materialise, shared_folder
 
 UNIT = 192
@@ -79,7 +79,7 @@ def _chunks(payload: bytes, ends: list[int]) -> list[bytes]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         raws = raw_texts(batch.column("media"))
         for lo, hi in slices(raws, 4 << 20):
             payloads = [payload_of(r) for r in raws[lo:hi]]
@@ -99,7 +99,7 @@ _STORE = pa.schema([("media_id", pa.binary()), ("plan", _PLAN), ("own", pa.binar
 def _packer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners: dict[int, tuple] | None = None
-        for batch in batches:
+        for batch in small(batches):
             uids = batch.column("uid").to_pylist()
             if uids and owners is None:
                 part = load_part(folder, part_of(uids[0]), ["uid", "media_id", "lent", "borrowed"])
@@ -184,7 +184,7 @@ def feature_of(payload: bytes, n_chunks: int) -> str:
 
 def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for media_id, plan, own, given, lent in zip(*(batch.column(c).to_pylist() for c in ["media_id", "plan", "own", "given", "lent"])):
                 payload = _rebuild(plan, own, given, lent)

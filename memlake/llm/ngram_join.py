@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import load_part, part_of, placed, save_parts, without
-from memlake.llm.words import Words, mix, raw_texts, seeded, slices
+from memlake.llm.words import mix, raw_texts, seeded, slices, small, Words
 from memlake.session import materialise
 
 SHINGLE = 5
@@ -81,7 +81,7 @@ def _picker(similarity: float, runs: int, seed: int):
     factors = np.array([[seeded(seed + 1000 * level + run) | np.uint64(1) for run in range(runs)] for level in range(LEVELS)], np.uint64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raws = raw_texts(batch.column("text"))
             for lo, hi in slices(raws):
                 sets = shingle_sets(raws[lo:hi])
@@ -319,7 +319,7 @@ def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: flo
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, bytes] | None = None
-        for batch in batches:
+        for batch in small(batches):
             uids = batch.column("uid").to_pylist()
             if uids and known is None:
                 part = load_part(wanted, part_of(uids[0]), ["uid", "cid"])

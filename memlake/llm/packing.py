@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.tokens import default_vocabulary, encoder
-from memlake.llm.words import mix, seeded
+from memlake.llm.words import mix, seeded, small
 
 SEQUENCE = 1024
 GROUP_PIECES = 2048
@@ -62,7 +62,7 @@ def _cutter(vocabulary: str, size: int, end_id: int, groups: int, seed: int):
         encode = encoder(vocabulary)
         width, end = encode.width, np.array([end_id], encode.dtype).tobytes()
         salt = seeded(seed)
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             held = 0
             for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import placed, without
-from memlake.llm.words import Words, mix, raw_texts, slices
+from memlake.llm.words import mix, raw_texts, slices, small, Words
 from memlake.session import materialise
 
 WINDOW = 8
@@ -60,7 +60,7 @@ def measure(raws: list[bytes]) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         at = batch.schema.get_field_index("_measured")
         values = measure(raw_texts(batch.column(at)))
         columns = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(values[:, k]) for k in range(len(MEASURES))]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
+from memlake.llm.words import small
 from memlake.llm.rescan import file_system
 from memlake.llm.tokens import default_vocabulary, encoder
 from memlake.session import shared_folder
@@ -57,7 +58,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         offsets, tokens, at = [], 0, HEADER
         with system.open_output_stream(f"{root}/{name}.bin") as out:
             out.write(MAGIC + struct.pack("<II", encode.width, 0))
-            for batch in batches:
+            for batch in small(batches):
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                     ids = encode.encode(text or "") + end
                     record = frame(struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
+from memlake.llm.words import small
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -97,7 +98,7 @@ def _scanner(allowed: list[str]):
     pattern = re.compile("|".join(f"(?:{a})" for a in allowed) if allowed else r"(?!)", re.A)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("_scanned")
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t, pattern)] if t else []
                      for t in batch.column(at).to_pylist()]
@@ -133,7 +134,7 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile("|".join(f"(?:{a})" for a in ALLOWED), re.A)
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             texts = [t if t is None else _redacted(t, spans(t, pattern), mark) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)

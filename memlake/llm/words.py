@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from memlake.llm.worker import keep, kept
 
-SLICE = 1 << 21
+SLICE = 1 << 20
+BATCH_ROWS = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -54,6 +55,13 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: Python copies of texts exist for one such batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(raws: list[bytes], limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes, one text at least."""
     lo, size = 0, 0
