@@ -194,7 +194,8 @@ def best_move(table_of: np.ndarray, counts: np.ndarray, now: int, classes: int)
     base[now, :] -= after
     base[:, now] -= before
     base[now, now] -= own
-    rows, columns = base.sum(1), base.sum(0)
+    # Sums of rows and columns with the word's neighbours, which stay in their classes; only the word's own part goes with it.
+    rows, columns = base.sum(1) + before, base.sum(0) + after
     # Placed into class b: row b gains `after`, column b gains `before`, and the cell (b, b) also the word with itself.
     b = np.arange(classes)
     row_new, column_new = base[:classes] + after[None, :], base[:, :classes].T + before[None, :]
@@ -203,7 +204,6 @@ def best_move(table_of: np.ndarray, counts: np.ndarray, now: int, classes: int)
     gain += _xlogx(cell + after[b] + before[b] + own) - _xlogx(cell + after[b]) - _xlogx(cell + before[b]) + _xlogx(cell)
     moved_after, moved_before = after.sum() + own, before.sum() + own
     gain -= _xlogx(rows[b] + moved_after) - _xlogx(rows[b]) + _xlogx(columns[b] + moved_before) - _xlogx(columns[b])
-    # The row and column sums of the other classes don't change with b: their words keep the same neighbours.
     best = int(gain.argmax())
     return best, float(gain[best] - gain[now])
 
