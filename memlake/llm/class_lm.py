@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.language import held_out
 from memlake.llm.registry import query, table
-from memlake.llm.words import raw_texts, slices, small, Words
+from memlake.llm.words import Words, bounded, raw_texts, slices, small
 from memlake.session import materialise
 
 MIN_SHARE = 5e-6
@@ -327,7 +327,7 @@ def score(docs: DataFrame, held: Column, *, min_share: float = MIN_SHARE, classe
     A null or empty text is its end alone; words that training lacks are emitted by the tail as one more word that was never seen;
     without training rows all scores are those of the smoothing alone; other columns are not looked at; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held_out"))
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     counted = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count_words, "wid long, n_train long, n_all long")
     vocabulary = materialise(counted.groupBy("wid").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
     ends = rows.agg(F.sum((~F.col("held_out")).cast("long")).alias("train"), F.count("*").alias("docs")).first()

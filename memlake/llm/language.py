@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.worker import kept
-from memlake.llm.words import mix, small
+from memlake.llm.words import bounded, mix, small
 
 UNDETERMINED = "und"
 BITS = 18
@@ -160,7 +160,7 @@ def train(labelled: DataFrame) -> Model:
 
     Counts are added up by Spark; what reaches the driver is at most 2**BITS numbers for each language.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    rows = bounded(labelled).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     summed = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow().to_pandas()
     return Model({lang: (part["bucket"].to_numpy(), part["n"].to_numpy()) for lang, part in found.groupby("lang")})
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str] | None = None, tex
     """
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p))
-    rows = docs.select(*keep, F.col(text).alias("_read"))
+    rows = bounded(docs).select(*keep, F.col(text).alias("_read"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     found_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

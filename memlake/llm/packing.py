@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.tokens import default_vocabulary, encoder
-from memlake.llm.words import mix, seeded, small
+from memlake.llm.words import bounded, mix, seeded, small
 
 SEQUENCE = 1024
 GROUP_PIECES = 2048
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, *, size: int = SEQUENCE, end_id: int = 0, vocabulary:
     vocabulary = vocabulary or default_vocabulary()
     # A third of the pieces at least are whole sequences or ends of documents, so the number of documents measures the groups.
     groups = max(1, -(-docs.count() // group_pieces))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = rows.mapInArrow(_cutter(vocabulary, size, end_id, groups, seed),
                           "group long, doc_id long, start long, length int, doc_tokens long, ids binary")
     dealt = cut.repartition("group").sortWithinPartitions("group")

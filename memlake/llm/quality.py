@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import placed, without
-from memlake.llm.words import mix, raw_texts, slices, small, Words
+from memlake.llm.words import Words, bounded, mix, raw_texts, slices, small
 from memlake.session import materialise
 
 WINDOW = 8
@@ -80,7 +80,7 @@ def soft_failed() -> Column:
 
 def measure_documents(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and the MEASURES of every whole text."""
-    rows = docs.select(*keep, F.col(text).alias("_measured"))
+    rows = bounded(docs).select(*keep, F.col(text).alias("_measured"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(_measured, f"{kept}, " + ", ".join(f"{m} long" for m in MEASURES))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
-from memlake.llm.words import small
+from memlake.llm.words import bounded, small
 from memlake.llm.rescan import file_system
 from memlake.llm.tokens import default_vocabulary, encoder
 from memlake.session import shared_folder
@@ -85,7 +85,7 @@ def write_records(docs: DataFrame, folder: str, *, end_id: int = 2, vocabulary:
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"),
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"),
                        F.monotonically_increasing_id().alias("row"))
     order = ["doc_id", "hash", "row"]  # the last two split what many rows share
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))

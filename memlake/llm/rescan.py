@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.words import bounded
 from memlake.session import shared_folder
 
 
 def placed(df: DataFrame, name: str = "uid") -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias(name), "*")
+    return bounded(df).select(F.monotonically_increasing_id().alias(name), "*")
 
 
 def part_of(uid: int) -> int:

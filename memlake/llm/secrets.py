@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
-from memlake.llm.words import small
+from memlake.llm.words import bounded, small
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -123,7 +123,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     keep = ["doc_id"] if keep is None else keep
     if "spans" in keep:
         raise ValueError("the result's own column is called spans")
-    rows = docs.select(*keep, F.col(text).alias("_scanned"))
+    rows = bounded(docs).select(*keep, F.col(text).alias("_scanned"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     allowed_now = ALLOWED if allowed is None else allowed
     return rows.mapInArrow(_scanner(allowed_now), f"{kept + ', ' if kept else ''}spans array<struct<kind:string,start:int,end:int>>")
@@ -141,7 +141,7 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    cleaned = docs.mapInArrow(clean, docs.schema)
+    cleaned = bounded(docs).mapInArrow(clean, docs.schema)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from memlake.llm.worker import keep, kept
 
@@ -55,6 +56,14 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session sends rows to Python in batches of at most BATCH_ROWS, so that neither side holds thousands of long texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: Python copies of texts exist for one such batch at a time."""
     for batch in batches:
