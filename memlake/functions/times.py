@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+_EPOCH_LIMIT = 250_000_000_000.0  # about the year 9892
 _MICROS_PER_DAY = 86_400_000_000
 
 
@@ -24,8 +25,10 @@ def parse_time(text: Column) -> Column:
 
 
 def parse_epoch(text: Column) -> Column:
-    """Epoch seconds (number or text, with fractions) to timestamp; junk becomes NULL."""
-    return F.timestamp_micros(F.round(text.try_cast("double") * 1_000_000).cast("long"))
+    """Epoch seconds (number or text, with fractions) to timestamp; junk, and what no timestamp can hold, becomes NULL."""
+    seconds = text.try_cast("double")
+    inside = F.abs(seconds) < _EPOCH_LIMIT  # NaN is larger than every number
+    return F.timestamp_micros(F.when(inside, F.round(seconds * 1_000_000)).try_cast("long"))
 
 
 def age_days(ts: Column, as_of: Column) -> Column:

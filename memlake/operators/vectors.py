@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from memlake.functions.vectors import NORM_EPSILON
@@ -112,6 +113,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _usable(column: pa.Array, length: int) -> np.ndarray:
+    """Which vectors have ``length`` numbers, all of them finite; the others can't be compared and are no hits."""
+    usable = pc.fill_null(pc.equal(pc.list_value_length(column), length), False).to_numpy(zero_copy_only=False)
+    matrix = _matrix(column.filter(pa.array(usable)))
+    if len(matrix):
+        usable[usable] = np.isfinite(matrix).all(axis=1)
+    return usable
+
+
 def _inverse_norms(matrix: np.ndarray) -> np.ndarray:
     return 1.0 / (np.sqrt((matrix * matrix).sum(axis=1)) + NORM_EPSILON)
 
@@ -145,6 +155,8 @@ def _partial_top_k(load: Callable[[], pa.Table], k: int, metric: str, keep: tupl
         pool: pa.Table | None = None
         limit = 4 * k * max(1, query_matrix.shape[0]) + 10_000
         for batch in batches:
+            usable = _usable(batch.column("embedding"), query_matrix.shape[1])
+            batch = batch if usable.all() else batch.filter(pa.array(usable))
             if batch.num_rows == 0:
                 continue
             matrix = _matrix(batch.column("embedding"))

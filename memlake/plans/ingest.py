@@ -34,16 +34,16 @@ def files_classify(spark, sf_dir):
 
 
 @query("files_since", over("files", """
-SELECT doc_id FROM fx_files WHERE length <= 500000 AND mtime >= TIMESTAMP '2023-08-01 06:00:00'"""))
+SELECT doc_id FROM fx_files WHERE mtime >= TIMESTAMP '2023-08-01 06:00:00'"""))
 def files_since(spark, sf_dir):
     files = fx.files(spark, sf_dir).withColumnRenamed("mtime", "modificationTime")
-    return fi._limit(files, "2023-08-01 06:00:00", fi.MAX_FILE_BYTES).select("doc_id")
+    return fi._limit(files, "2023-08-01 06:00:00", None).select("doc_id")
 
 
 @query("files_to_drawers", over("files", rf"""
 SELECT substr(sha256(path), 1, 16) AS id, 'docs' AS wing, room, hall, md5({compressed('text')}) AS digest,
   concat(substr(ext, 2), ',file') AS tags
-FROM ({_CLASSIFIED}) WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
+FROM ({_CLASSIFIED}) WHERE regexp_matches(text, '\S')"""))
 def files_to_drawers(spark, sf_dir):
     return fi.files_to_drawers(fx.text_files(spark, sf_dir), fx.AS_OF, "docs").select(
         "id", "wing", "room", "hall", F.md5("content").alias("digest"), F.array_join("tags", ",").alias("tags")
@@ -51,8 +51,8 @@ def files_to_drawers(spark, sf_dir):
 
 
 @query("file_vector_entries", over("files", r"""
-SELECT substr(sha256(path), 1, 16) AS id, md5(substr(text, 1, 2000)) AS digest, path, 'docs' AS wing, 384 AS dim
-FROM fx_files WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
+SELECT substr(sha256(path), 1, 16) AS id, md5(text) AS digest, path, 'docs' AS wing, 384 AS dim
+FROM fx_files WHERE regexp_matches(text, '\S')"""))
 def file_vector_entries(spark, sf_dir):
     mined = fi.files_to_drawers(fx.text_files(spark, sf_dir), fx.AS_OF, "docs")
     return en.vector_entries(mined, extra=("path",)).select(
@@ -248,7 +248,7 @@ def issue_export(spark, sf_dir):
 
 @query("documents_to_drawers", rf"""
 SELECT room, digest, tags FROM (
-  SELECT concat('p', page_id) AS room, md5(substr({stripped('html')}, 1, 4000)) AS digest, 'plugin,notion' AS tags
+  SELECT concat('p', page_id) AS room, md5({stripped('html')}) AS digest, 'plugin,notion' AS tags
   FROM pages WHERE regexp_matches(html, '\S')
   UNION ALL SELECT 'unknown', md5({_ISSUE_TEXT}), 'plugin,linear' FROM documents)""")
 def documents_to_drawers(spark, sf_dir):
@@ -283,7 +283,7 @@ def table_merge_on_read(spark, sf_dir):
 @query("watch_ingest", over("files", rf"""
 SELECT substr(sha256(path), 1, 16) AS id, 'watched' AS wing, regexp_extract(path, '([^/]+)\.[^./]+$', 1) AS room, hall,
   md5({compressed('text')}) AS digest
-FROM ({_CLASSIFIED}) WHERE length <= 500000 AND regexp_matches(text, '\S')"""))
+FROM ({_CLASSIFIED}) WHERE regexp_matches(text, '\S')"""))
 def watch_ingest(spark, sf_dir):
     """The documents table read as a stream of files and ingested, twice; the second run finds nothing new."""
     path = f"{shared_folder(spark)}/drawers"

@@ -217,13 +217,12 @@ def conflict_resolve_policy(spark, sf_dir):
 @query("conflict_labels", over("triples", f"""
 SELECT concat('🔴 [TENURE] ', subject, ' ', predicate, ' — ', string_agg(object, ' vs ' ORDER BY id DESC)) AS label,
   concat('  Stored:  ', subject, ' ', predicate, ' ', arg_max(object, id),
-    CASE WHEN arg_max(valid_from, id) IS NOT NULL OR max(CASE WHEN valid_from IS NULL THEN id ELSE -1 END) < max(id)
-      THEN concat(' (from ', strftime(arg_max(valid_from, id), '%Y-%m-%d %H:%M:%S'), ')') ELSE '' END) AS detail
+    CASE WHEN max(CASE WHEN id = top_id THEN valid_from END) IS NOT NULL
+      THEN concat(' (from ', strftime(max(CASE WHEN id = top_id THEN valid_from END), '%Y-%m-%d %H:%M:%S'), ')') ELSE '' END) AS detail
 FROM (SELECT *, max(id) OVER (PARTITION BY subject, predicate) AS top_id FROM fx_triples WHERE {ACTIVE})
-GROUP BY subject, predicate HAVING count(DISTINCT object) > 1
-  AND max(CASE WHEN id = top_id AND valid_from IS NOT NULL THEN 1 ELSE 0 END) = 1"""))
+GROUP BY subject, predicate HAVING count(DISTINCT object) > 1"""))
 def conflict_labels(spark, sf_dir):
-    rows = cl.tenure_conflict_rows(fx.triples(spark, sf_dir), fx.AS_OF).where(F.col("stored.valid_from").isNotNull())
+    rows = cl.tenure_conflict_rows(fx.triples(spark, sf_dir), fx.AS_OF)
     none = F.lit(None).cast("string")
     return rows.select(
         cl.label(F.col("type"), F.col("description")).alias("label"),

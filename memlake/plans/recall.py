@@ -11,7 +11,6 @@ from memlake.operators import vectors as ve
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import AS_OF, over
 from memlake.plans.registry import query
-from memlake.schema import EXCERPT_CHARS
 
 # Cosine with the same guard against zero norms as the operator.
 _SCORE = """round(list_dot_product(v.embedding, q.embedding) / ((sqrt(list_dot_product(v.embedding, v.embedding)) + 1e-9)
@@ -92,7 +91,7 @@ def _embedded(text: str) -> str:
 
 
 @query("search_text", f"""
-WITH v AS (SELECT concat('d', doc_id) AS id, doc_id % 17 = 0 AS pinned, {_embedded('substr(text, 1, 2000)')} AS e FROM documents),
+WITH v AS (SELECT concat('d', doc_id) AS id, doc_id % 17 = 0 AS pinned, {_embedded('text')} AS e FROM documents),
 q AS (SELECT item_id AS query_id, {_embedded('text')} AS e FROM benchmark),
 s AS (SELECT query_id, id, pinned, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS sem FROM v, q),
 best AS (SELECT query_id, max(sem) AS sem FROM s GROUP BY query_id)
@@ -100,7 +99,7 @@ SELECT query_id, round(sem, 4) AS best FROM best""")
 def search_text(spark, sf_dir):
     """Every benchmark passage as a query text over the documents; the best similarity per query."""
     docs = fx.documents(spark, sf_dir).select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, EXCERPT_CHARS).alias("text"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text",
         F.lit("w").alias("wing"), F.lit("r").alias("room"), F.lit("facts").alias("hall"),
         F.lit(fx.AS_OF).cast("timestamp").alias("ts"), (F.col("doc_id") % 17 == 0).alias("pinned"),
     )

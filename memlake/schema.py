@@ -13,7 +13,7 @@ DECAY_MAX_DAYS = 90
 
 # Fixed value: characters of raw text a vector entry keeps beside its embedding.
 # Pass ``excerpt_chars=None`` to keep (and embed) the whole text instead.
-EXCERPT_CHARS = 2000
+EXCERPT_CHARS: int | None = None
 
 EMBED_DIM = 384
 

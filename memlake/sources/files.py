@@ -29,7 +29,7 @@ SKIP_DIRS = (
     "chroma_db", ".memlake",
 )
 SKIP_FILES = (".DS_Store", "Thumbs.db", ".gitignore")
-MAX_FILE_BYTES = 500_000
+MAX_FILE_BYTES = 500_000  # a usual ``max_bytes``; without one every file is read
 SNIFF_BYTES = 512
 
 _FILE = T.StructType([
@@ -75,7 +75,7 @@ def scan_files(
     spark: SparkSession,
     path: str,
     since=None,
-    max_bytes: int | None = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     skip_dirs: tuple[str, ...] = SKIP_DIRS,
     skip_files: tuple[str, ...] = SKIP_FILES,
     hidden: bool = True,
@@ -107,7 +107,9 @@ def _limit(files: DataFrame, since, max_bytes: int | None) -> DataFrame:
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
     if since is not None:
-        files = files.where(F.col("modificationTime") >= as_time(since))
+        # A time that can't be read is no filter.
+        start = F.try_to_timestamp(F.lit(since)) if isinstance(since, str) else as_time(since)
+        files = files.where(start.isNull() | (F.col("modificationTime") >= start))
     return files
 
 
@@ -226,7 +228,7 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def files_to_drawers(files: DataFrame, as_of, wing: str = "default", room: str | Column | None = None,
-                     max_bytes: int | None = MAX_FILE_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+                     max_bytes: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drawers from text files (path, length, text), keeping ``raw`` and ``path`` for the vector entry.
 
     The room is the given one or the name of the file's folder.  Blank and oversized files are left out.

@@ -151,7 +151,7 @@ def get_reader(name: str) -> Callable[..., DataFrame]:
 
 
 def documents_to_drawers(documents: DataFrame, reader: str, as_of, wing: str = "default",
-                         max_chars: int | None = DOCUMENT_CHARS) -> DataFrame:
+                         max_chars: int | None = None) -> DataFrame:
     """Drawers from documents, not in shorthand; the room is the stem of the document's path, else ``unknown``.
 
     A drawer keeps the first ``max_chars`` characters of a document (None: all of it); ``raw`` is always whole.

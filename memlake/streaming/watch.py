@@ -37,8 +37,6 @@ def watch_folder(
         spark.readStream.format("binaryFile").schema(_BINARY_FILE)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger).load(path)
     )
-    if mode == "files":
-        arrived = arrived.where(F.col("length") <= fi.MAX_FILE_BYTES)
     return watched_text(arrived)
 
 

@@ -12,6 +12,8 @@ from contract import DATA, compare, duck
 SF = str(DATA / "sf0.001")
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
+#: Modified too late in the smallest tables; 640 rows at 0.01.
+EMPTY_AT_SMALLEST = {"files_since"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
     verdict, _ = compare(spark, con, SF, QUERIES[name], ORACLES.get(name))
-    assert verdict in ("equal", "rows only", "equal but EMPTY"), verdict
+    assert verdict in ("equal", "rows only") or (name in EMPTY_AT_SMALLEST and verdict == "equal but EMPTY"), verdict
 
 
 def test_oracles_belong_to_queries():

@@ -143,3 +143,13 @@ def test_metadata_values(spark):
     value = df.select(ve.metadata_map(n=ve.metadata_value(df, "n"), b=ve.metadata_value(df, "b"), l=ve.metadata_value(df, "l"),
                                       z=ve.metadata_value(df, "z")).alias("m")).first().m
     assert value == {"n": "1", "b": "true", "l": '["a"]'}
+
+
+def test_vectors_that_cannot_be_compared_are_no_hits(spark):
+    good = [(f"g{i}", [1.0, float(i)]) for i in range(8)]
+    bad = [("nan", [float("nan"), 1.0]), ("inf", [float("inf"), 1.0]), ("null", [None, 1.0]), ("short", [1.0]), ("long", [0.0, 1.0, 0.0]), ("none", None)]
+    schema = "id string, embedding array<double>"
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    clean = ve.top_k(spark.createDataFrame(good, schema), query, 3).collect()
+    mixed = ve.top_k(spark.createDataFrame(bad[:3] + good + bad[3:], schema).coalesce(1), query, 3).collect()
+    assert len(clean) == 3 and sorted(map(tuple, mixed)) == sorted(map(tuple, clean))

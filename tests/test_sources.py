@@ -43,7 +43,7 @@ def test_project_scan(spark, project):
     rows = {r.path[len(project) + 1:]: r for r in fi.mine_files(spark, project, AS_OF, wing="w").collect()}
     assert set(rows) == {
         "app/main.py", "app/__init__.py", "app/.env", ".hidden/notes.md", "docs/read me%20.md", "docs/run.sh", "docs/conf.json",
-        "docs/late.txt", "docs/cut.txt", "noext", "_private/p.rst"}
+        "docs/late.txt", "docs/cut.txt", "docs/huge.txt", "noext", "_private/p.rst"}
     main = rows["app/main.py"]
     assert (main.room, main.hall, main.tags, main.content) == ("app", "discoveries", ["py", "file"], "fn:run(a: int)->None\n pass")
     assert rows["docs/run.sh"].hall == "advice" and rows["docs/read me%20.md"].content == "docs"
@@ -58,17 +58,17 @@ def test_single_file_and_since(spark, project):
     assert row.room == "main"
     os.utime(project + "/noext", (1_000_000_000, 1_000_000_000))
     recent = fi.mine_files(spark, project, AS_OF, since="2010-01-01")
-    assert recent.where(F.col("path").endswith("noext")).count() == 0 and recent.count() == 10
+    assert recent.where(F.col("path").endswith("noext")).count() == 0 and recent.count() == 11
     assert fi.mine_files(spark, project, AS_OF, room="fixed").select("room").distinct().first().room == "fixed"
 
 
 def test_entries(spark):
     files = spark.createDataFrame([("/x/y/a.md", 5, "é" * 3000)], "path string, length long, text string")
     mined = fi.files_to_drawers(files, AS_OF, "w")
-    entry = en.vector_entries(mined, extra=("path",)).first()
+    entry = en.vector_entries(mined, extra=("path",), excerpt_chars=2000).first()
     assert entry.text == "é" * 2000 and len(entry.embedding) == 384
     assert entry.metadata == {"wing": "w", "room": "y", "hall": "facts", "path": "/x/y/a.md", "timestamp": AS_OF}
-    assert en.vector_entries(mined, excerpt_chars=None).first().text == "é" * 3000
+    assert en.vector_entries(mined).first().text == "é" * 3000
     assert en.drawer_columns(mined).columns == ["id", "wing", "room", "hall", "content", "ts", "pinned", "decay_weight", "tags"]
 
 
@@ -220,3 +220,14 @@ def test_import_of_a_file_store(spark, tmp_path):
     assert [(r.agent, r.content) for r in sd.diary_from(lines).collect()] == [("a", "x")]
     agents = write(tmp_path / "agents", {"a.json": '{"name":"a","focus":"f","other":1}', "a_diary.jsonl": "{}", "b.json": "junk"})
     assert [(r.name, r.focus, r.model_hint) for r in sd.agents_from(sd.read_store(spark, agents)).collect()] == [("a", "f", "")]
+
+
+def test_times_that_cannot_be_read(spark):
+    from memlake.functions import times
+
+    texts = ["NaN", "Infinity", "-Infinity", "1e300", "junk", "", None, "1700000000.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(times.parse_epoch(F.col("t"))).alias("u"))
+    assert [r.u for r in df.collect()] == [None] * 7 + [1_700_000_000_500_000]
+    files = spark.createDataFrame([("a", 1)], "path string, length long").withColumn("modificationTime", F.current_timestamp())
+    assert fi._limit(files, "not a time", None).count() == 1
+    assert fi._limit(files, "2999-01-01", None).count() == 0
