@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.text import strip
@@ -17,12 +15,16 @@ CLAIM_PATTERNS = {
     "owns": r"(?iU)(\w+)\s+(?:is\s+)?(?:assigned\s+to|owns?|working\s+on)\s+(?:the\s+)?([a-z0-9_\-\s]+)",
 }
 
+# A word that every claim of the pattern has: most texts have none and never meet the pattern itself.
+CLAIM_WORDS = {"finished": "(?iu)finished|completed|closed|resolved|shipped", "owns": "(?iu)assigned|own|working"}
+
 # Marks shown before a conflict's label.
 LABEL_MARKS = {"tenure": "🔴", "assignment": "🟡", "date": "🟠"}
 OTHER_MARK = "⚪"
 
-# Text pieces of this length are the join keys of the containment search.
+# Text pieces of up to this length are the join keys of the containment search; texts are cut block by block.
 _PIECE = 8
+_BLOCK = 1024
 
 
 def extract_claims(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -30,7 +32,8 @@ def extract_claims(texts: DataFrame, text: str = "text") -> DataFrame:
     claims = None
     for verb, pattern in CLAIM_PATTERNS.items():
         found = (
-            texts.select("*", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("claim_no", "_m"))
+            texts.where(F.rlike(F.col(text), F.lit(CLAIM_WORDS[verb])))
+            .select("*", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("claim_no", "_m"))
             .withColumn("person", strip(F.regexp_extract("_m", pattern, 1)))
             .withColumn("verb", F.lit(verb))
             .withColumn("task", strip(F.regexp_extract("_m", pattern, 2)))
@@ -41,51 +44,59 @@ def extract_claims(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def containment_pairs(containers: DataFrame, parts: DataFrame) -> DataFrame:
-    """All (container, part) with ``part`` a substring of ``container``.  Inputs are distinct texts named so.
+    """All (container, part) with ``part`` a substring of ``container``.  Inputs are distinct texts named so."""
+    containers = containers.select(text_id("container").alias("container_id"), "container")
+    parts = parts.select(text_id("part").alias("part_id"), "part")
+    found = containment_ids(_named(containers), _named(parts))
+    return found.join(parts, "part_id").join(containers, "container_id").select("container", "part")
+
+
+def text_id(text: str) -> Column:
+    """A text's 128-bit digest, by which it travels through joins."""
+    return F.unhex(F.md5(F.col(text)))
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    return texts.toDF("id", "text")
+
+
+def containment_ids(containers: DataFrame, parts: DataFrame) -> DataFrame:
+    """(container_id, part_id) of all parts found in containers.  Inputs are distinct texts with columns ``id`` and ``text``.
 
-    Containers are cut into all their pieces of up to ``_PIECE`` characters.  A part no longer than that equals one of these
-    pieces, so an equality join finds exactly its containers.  For a longer part, one of its own pieces is the join key: the
-    one found in the fewest containers; ``contains`` then decides.  A part with a piece no container has is in none of them.
+    Containers are cut into all their pieces of the lengths that parts have, up to ``_PIECE`` characters; a piece travels with
+    the id of its text only.  A part no longer than that equals one of these pieces.  For a longer part, one of its own pieces
+    is the join key: the one found least often; a part with a piece no container has is in none of them.  The texts of the
+    pairs so found are then compared, the longer one fetched last.  Empty and NULL texts are in no pair.
     """
-    size = F.least(F.length("part"), F.lit(_PIECE + 1))
-    sizes = {r[0] for r in parts.select(size.alias("n")).distinct().collect()} - {0}  # at most _PIECE + 1 rows
-    found = []
-    short = sorted(n for n in sizes if n <= _PIECE)
-    if short:
-        pieces = containers.select("container", F.explode(_pieces(F.col("container"), short)).alias("part"))
-        found.append(pieces.join(parts.where(F.length("part") <= _PIECE), "part").select("container", "part"))
-    if _PIECE + 1 in sizes:
-        found.append(_long_containment(containers, parts.where(F.length("part") > _PIECE)))
-    if not found:
-        return containers.join(parts, F.col("container") == F.col("part")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _long_containment(containers: DataFrame, parts: DataFrame) -> DataFrame:
-    """The same for parts longer than ``_PIECE``."""
-    pieces = containers.select("container", F.explode(_pieces(F.col("container"), [_PIECE])).alias("piece"))
-    frequency = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    own = parts.select("part", F.explode(_pieces(F.col("part"), [_PIECE])).alias("piece"))
+    parts = parts.where(F.length("text") > 0)
+    lengths = parts.agg(F.collect_set(F.least(F.length("text"), F.lit(_PIECE)))).scalar()  # at most _PIECE numbers
+    pieces = _pieces(containers, lengths)
+    frequency = pieces.where(F.length("piece") == _PIECE).groupBy("piece").agg(F.count("*").alias("n"))
+    own = _pieces(parts.where(F.length("text") > _PIECE), F.array(F.lit(_PIECE)))
     rarest = (
         own.join(frequency, "piece", "left")
-        .groupBy("part").agg(
-            F.min(F.struct("n", "piece")).alias("k"), F.count_if(F.col("n").isNull()).alias("missing"),
-        )
+        .groupBy("id").agg(F.min(F.struct("n", "piece")).alias("k"), F.count_if(F.col("n").isNull()).alias("missing"))
         .where(F.col("missing") == 0)
-        .select("part", F.col("k.piece").alias("piece"))
+        .select("id", F.col("k.piece").alias("piece"))
     )
-    return pieces.join(rarest, "piece").where(F.contains("container", "part")).select("container", "part")
-
-
-def _pieces(text: Column, lengths: list[int]) -> Column:
-    """All distinct substrings with one of the given lengths."""
-    def of_length(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-    return F.array_distinct(F.concat(*[of_length(n) for n in sorted(lengths)]))
+    short = parts.where(F.length("text") <= _PIECE).select("id", F.col("text").alias("piece"))
+    keys = short.unionByName(rarest).select(F.col("id").alias("part_id"), "piece")
+    candidates = pieces.join(keys, "piece").select(F.col("id").alias("container_id"), "part_id").distinct()
+    with_part = candidates.join(parts.select(F.col("id").alias("part_id"), F.col("text").alias("_part")), "part_id")
+    whole = containers.select(F.col("id").alias("container_id"), F.col("text").alias("_whole"))
+    return with_part.join(whole, "container_id").where(F.contains("_whole", "_part")).select("container_id", "part_id")
+
+
+def _pieces(texts: DataFrame, lengths: Column) -> DataFrame:
+    """(id, piece): all substrings with one of the given lengths, distinct within a block of the text."""
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(_BLOCK))
+    blocks = texts.where(F.length("text") > 0).select(
+        "id", F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(_BLOCK + _PIECE - 1)))).alias("block"),
+    )
+    sized = blocks.select("id", "block", F.explode(lengths).alias("n")).where(F.length("block") >= F.col("n"))
+    places = F.sequence(F.lit(1), F.least(F.lit(_BLOCK), F.length("block") - F.col("n") + 1))
+    cut = F.array_distinct(F.transform(places, lambda i: F.substring("block", i, F.col("n"))))
+    return sized.select("id", F.explode(cut).alias("piece"))
 
 
 def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text") -> DataFrame:
@@ -95,23 +106,24 @@ def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text
     the shared folder and the text itself is not carried on.  Distinct tasks and objects are matched once; repeated claims
     and repeated triples are joined back to the matches by equality.
     """
-    claims = materialise(extract_claims(texts, text).drop(text).withColumn("_task", F.lower("task")))
-    assigned = kg.active(stored.where(F.col("predicate") == "assigned_to"), as_of).withColumn("_object", F.lower("object"))
-    tasks = claims.select(F.col("_task").alias("t")).distinct()
-    objects = assigned.select(F.col("_object").alias("o")).distinct()
-    in_task = containment_pairs(
-        tasks.withColumnRenamed("t", "container"), objects.withColumnRenamed("o", "part")
-    ).select(F.col("container").alias("_task"), F.col("part").alias("_object"))
+    claims = materialise(
+        extract_claims(texts, text).drop(text).withColumn("_low", F.lower("task")).withColumn("_task", text_id("_low"))
+    )
+    assigned = kg.active(stored.where(F.col("predicate") == "assigned_to"), as_of).withColumn("_low", F.lower("object"))
+    assigned = assigned.withColumn("_object", text_id("_low"))
+    tasks = _named(claims.select("_task", "_low").distinct())
+    objects = _named(assigned.select("_object", "_low").distinct())
+    in_task = containment_ids(tasks, objects).select(F.col("container_id").alias("_task"), F.col("part_id").alias("_object"))
     in_object = (
-        containment_pairs(objects.withColumnRenamed("o", "container"), tasks.withColumnRenamed("t", "part"))
-        .where(F.col("container") != F.col("part"))
-        .select(F.col("part").alias("_task"), F.col("container").alias("_object"))
+        containment_ids(objects, tasks)
+        .where(F.col("container_id") != F.col("part_id"))
+        .select(F.col("part_id").alias("_task"), F.col("container_id").alias("_object"))
     )
     pairs = in_task.unionByName(in_object)
     other = assigned.select(
         "_object", F.struct(*[c for c in stored.columns]).alias("stored"), F.lower("subject").alias("_subject")
     )
-    joined = claims.join(pairs, "_task").join(other, "_object").where(F.col("_subject") != F.lower("person"))
+    joined = claims.drop("_low").join(pairs, "_task").join(other, "_object").where(F.col("_subject") != F.lower("person"))
     return joined.drop("_task", "_object", "_subject").select(
         "*",
         F.lit("assignment").alias("type"),

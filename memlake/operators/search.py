@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.times import age_days, as_time
 from memlake.functions.vectors import digest_embedding
-from memlake.operators.ranking import top_n
+from memlake.operators.ranking import rank_bounded
 from memlake.operators.vectors import top_k
 from memlake.schema import DECAY_FACTOR, DECAY_MAX_DAYS
 
@@ -73,7 +73,7 @@ def search(
         F.round(F.col("score") * (F.lit(1.0) + F.col("_boost")), 4).alias("final_score"),
     )
     order = [F.col("final_score").desc(), F.col("_sem").desc(), F.col("id")]
-    return top_n(scored, ["query_id"], order, n).drop("_sem")
+    return rank_bounded(scored, ["query_id"], order, n).drop("_sem")
 
 
 def search_text(vectors: DataFrame, texts: DataFrame, as_of, embedder: Callable[[Column], Column] = digest_embedding, **options) -> DataFrame:

@@ -23,8 +23,11 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_
 
     Rows are rebalanced by the partition columns first: small partitions share a task and so get one file, and Spark splits
     those that are too large.  ``sort_by`` orders the rows of each file, so that lookups on these columns (``id``, ``subject``)
-    skip row groups by their statistics.
+    skip row groups by their statistics.  A folder that already has change sets is refused: they are newer than any base, so
+    they would show through the new rows.
     """
+    if _exists(df.sparkSession, f"{path}/{CHANGES}"):
+        raise ValueError(f"{path} has change sets: save the table in a new folder")
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     if partition_by or sort_by:

@@ -25,9 +25,6 @@ MAX_QUERIES_PER_PASS = 4096
 # Columns of the score matrix computed at once inside a task.
 _QUERY_BLOCK = 256
 
-# Final ranking runs in two steps so that no single task sees every partition's candidates of a query.
-_MERGE_GROUPS = 32
-
 
 def top_k(
     vectors: DataFrame,
@@ -64,9 +61,7 @@ def top_k(
         return empty.withColumn("rank", F.lit(1))
     best = [F.col("score").desc(), F.col("id")]
     candidates = reduce(DataFrame.unionByName, passes)
-    merged = top_n(candidates.withColumn("_group", F.pmod(F.xxhash64("id"), F.lit(_MERGE_GROUPS))),
-                   ["query_id", "_group"], best, k, "_r").drop("_group", "_r")
-    return top_n(merged, ["query_id"], best, k)
+    return top_n(candidates, ["query_id"], best, k)
 
 
 def _query_chunks(queries: DataFrame) -> list[Callable[[], pa.Table]]:

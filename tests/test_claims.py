@@ -14,25 +14,31 @@ def conflicts(spark, text, *triples):
 
 
 def test_other_person_is_a_conflict(spark):
-    rows = conflicts(spark, "Soren finished the auth-migration project.", ("Maya", "assigned_to", "auth-migration"))
+    rows = conflicts(spark, "On Monday Ines shipped the billing-portal again.", ("Tomas", "assigned_to", "billing-portal"))
     assert [(r.type, r.incoming_text, r.description, r.stored.subject) for r in rows] == [
-        ("assignment", '"Soren finished auth-migration project"', "Attribution conflict on 'auth-migration'", "Maya")]
+        ("assignment", '"Ines finished billing-portal again"', "Attribution conflict on 'billing-portal'", "Tomas")]
 
 
 def test_same_person_ended_triple_or_empty_table_is_none(spark):
-    assert conflicts(spark, "maya finished auth-migration.", ("Maya", "assigned_to", "auth-migration")) == []
-    assert conflicts(spark, "Soren finished auth.", ("Maya", "assigned_to", "auth", None, "2020-01-01")) == []
-    assert conflicts(spark, "Soren finished auth.", ("Maya", "works_on", "auth")) == []
-    assert conflicts(spark, "Soren finished auth.") == []
+    assert conflicts(spark, "tomas closed billing-portal.", ("Tomas", "assigned_to", "billing-portal")) == []
+    assert conflicts(spark, "Ines closed ledger.", ("Tomas", "assigned_to", "ledger", None, "2021-06-30")) == []
+    assert conflicts(spark, "Ines closed ledger.", ("Tomas", "likes", "ledger")) == []
+    assert conflicts(spark, "Ines closed ledger.") == []
 
 
 def test_both_patterns_and_both_directions(spark):
     rows = conflicts(
-        spark, "Ann is working on the db. Bob owns Search; Cy closed x",
-        ("Maya", "assigned_to", "db migration of everything"), ("Maya", "assigned_to", "sea"), ("Maya", "assigned_to", "zzz"),
+        spark, "Ravi is working on the cache. Uma owns Ledger; Jo closed q",
+        ("Tomas", "assigned_to", "cache rewrite for everyone"), ("Tomas", "assigned_to", "led"), ("Tomas", "assigned_to", "zzz"),
     )
     assert sorted((r.person, r.verb, r.stored.object) for r in rows) == [
-        ("Ann", "owns", "db migration of everything"), ("Bob", "owns", "sea")]
+        ("Ravi", "owns", "cache rewrite for everyone"), ("Uma", "owns", "led")]
+
+
+def test_very_long_claim_is_matched_whole(spark):
+    words = " ".join(f"w{i}" for i in range(20_000))
+    rows = conflicts(spark, f"Uma owns {words} harbour", ("Tomas", "assigned_to", "w19999 harbour"), ("Tomas", "assigned_to", "harbours"))
+    assert [r.stored.object for r in rows] == ["w19999 harbour"]
 
 
 def test_containment_pairs_match_brute_force(spark):
@@ -49,14 +55,14 @@ def test_containment_pairs_match_brute_force(spark):
 
 
 def test_label_detail_and_quoted_entity(spark):
-    df = spark.createDataFrame([("tenure", "test"), ("assignment", "test"), ("date", "test"), ("odd", "x")], "k string, d string")
+    df = spark.createDataFrame([("tenure", "a b"), ("assignment", "a b"), ("date", ""), ("other kind", "c")], "k string, d string")
     assert [r[0] for r in df.select(cl.label(F.col("k"), F.col("d"))).collect()] == [
-        "🔴 [TENURE] test", "🟡 [ASSIGNMENT] test", "🟠 [DATE] test", "⚪ [ODD] x"]
-    texts = spark.createDataFrame([('"auth-migration" completed',), ("no quotes here",)], "t string")
-    assert [r[0] for r in texts.select(cl.quoted_entity(F.col("t"))).collect()] == ["auth-migration", None]
+        "🔴 [TENURE] a b", "🟡 [ASSIGNMENT] a b", "🟠 [DATE] ", "⚪ [OTHER KIND] c"]
+    texts = spark.createDataFrame([('report on "north pier", then "south"',), ("nothing marked",)], "t string")
+    assert [r[0] for r in texts.select(cl.quoted_entity(F.col("t"))).collect()] == ["north pier", None]
     rows = spark.createDataFrame(
-        [("Kai", "works_on", "Orion", "2025-01-01", "new", "w/r", "d"), (None, None, None, None, "", None, "stale deadline")],
+        [("Uma", "runs", "Ledger", "2023-03-04", "fresh", "dock/crane", "d"), (None, None, None, None, "", None, "only this")],
         "s string, p string, o string, f string, i string, l string, d string")
     detail = rows.select(cl.detail_text(*[F.col(c) for c in "spofild"]).alias("t")).collect()
-    assert detail[0].t == "  Stored:  Kai works_on Orion (from 2025-01-01)\n  New:     new\n  Location: w/r"
-    assert detail[1].t == "stale deadline"
+    assert detail[0].t == "  Stored:  Uma runs Ledger (from 2023-03-04)\n  New:     fresh\n  Location: dock/crane"
+    assert detail[1].t == "only this"

@@ -1,6 +1,4 @@
-"""Shorthand expressions against a plain Python statement of the same rules."""
-
-import re
+"""Shorthand expressions against results written by hand, and properties that hold for every text."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,134 +6,135 @@ from pyspark.sql import functions as F
 from contract import DATA
 from memlake.functions import shorthand as sh
 
-HEADER = r"def\s+(\w+)\s*\(([^)]*)\)\s*(?:->\s*([\w\[\], |None]+))?\s*:"
-
-
-def py_args(text):
-    if not text.strip():
-        return ""
-    kept = []
-    for arg in text.split(","):
-        arg = re.sub(r"^\*{1,2}", "", re.sub(r"\s*=\s*[^,]+", "", arg.strip()))
-        if arg:
-            kept.append(arg.strip())
-    return ",".join(kept)
-
-
-def py_headers(text):
-    for prefix, pattern in (("async_fn:", r"async\s+" + HEADER), ("fn:", HEADER)):
-        text = re.sub(pattern, lambda m: f"{prefix}{m[1]}({py_args(m[2])})" + (f"->{m[3].strip()}" if m[3] else ""), text)
-    return text
-
-
-def py_compress(text, is_code=False):
-    if is_code:
-        text = py_headers(text)
-    for word, symbol in sh.SYMBOLS:
-        text = re.sub(re.escape(word), lambda m: symbol, text, flags=re.IGNORECASE)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", text)).strip()
-
-
-def py_decompress(text):
-    if text.startswith(("CHANGE:", "CHANGE ")):
-        m = re.match(r"CHANGE:?(\S+)?\s*(add:[^\s]+)?\s*(rm:[^\s]+)?", text)
-        lines = [f"Changes to {m[1] or 'file'}:"]
-        for group, mark, bullet in ((m[2], "add:", "+"), (m[3], "rm:", "-")):
-            lines += [f"  {bullet} {item}" for item in (group or "").replace(mark, "").split("|") if item]
-        return "\n".join(lines)
-
-    def header(m):
-        return f"{'async def' if m[1] else 'def'} {m[2]}({m[3]})" + (f" -> {m[4]}" if m[4] else "") + ":"
-
-    text = re.sub(r"(async_)?fn:(\w+)\(([^)]*)\)(?:->(\S+))?", header, text)
-    for word, symbol in reversed(sh.SYMBOLS):
-        if symbol:
-            text = text.replace(symbol, word)
-    return re.sub(r"\s*\[★+\]$", "", text).strip()
-
-
-def py_diff(text, name=""):
-    adds, rms = (re.findall(p, text, re.MULTILINE) for p in (r"^\+\s*(.+)$", r"^-\s*(.+)$"))
-    if not adds and not rms:
-        return text
-    out = [f"CHANGE:{name}" if name else "CHANGE"]
-    for mark, found in (("add:", adds), ("rm:", rms)):
-        if found:
-            out.append(mark + "|".join(x.strip() for x in found[:5]))
-    return " ".join(out)
-
-
-TEXTS = [
-    "", "   ", "therefore this is correct", "THEREFORE The AND the", "not equal to or not equal",
-    "Maya completed the migration and is a critical person", "a   b\t\tc", "line1\n\n\n\n\nline2\n\n",
-    "authothe rization", "auth failure implies logout", "deploy with the new config", "\x1c　 padded \x85\x1f",
-    "İs a test ıs a tеst ſ", "theKey RELATED TO K", "has had will be does not do not", "high priority breaking change",
-    "The authentication database of the user interface was deprecated", "isIS is is a is ", "a\tb \t c", "$1 \\ $0 and \\Q or \\E",
-    "Σίσυφος and ΟΔΟΣ or ß", "x" * 50 + " and " + "y" * 50,
-]
-CODE = [
-    "def authenticate(user: str, token: str) -> bool:", "async def fetch_user(user_id: int) -> dict:",
-    "def setup_logging(level: str):\n    pass", "def f(level: str = 'INFO', *args, **kw) -> list[int] | None :\n x",
-    "def g():\nasync  def h( a , b=1,\n c ) ->  Dict[str, int]  :\n  return", "no header at all", "def broken(", "undef x():",
-    "def é(ñ: int):", "async def a(): pass\ndef b(x=(1,2)): pass",
-]
-DIFFS = [
-    "+    def middleware_check(self):\n-    manual_verify()", "nothing", "+a\n+b\n+c\n+d\n+e\n+f\n-x", "+\nfoo\n- \n-bar",
-    "+ a\r\n- b\r\n", "--- a/f\n+++ b/f\n@@ -1 +1 @@\n-x\n+y\n",
-]
-SHORT = [
-    "CHANGE:auth.py add:a|b rm:c", "CHANGE add:x", "CHANGE:f.py rm:a||b", "CHANGE:", "fn:f(a,b)->int x", "async_fn:f(fn:g(x))->y",
-    "fn:a() fn:b(x)", "text [★★★]", "db→@+:<> ✓✗ w/o x", "  padded  ", "authz", "⚠️deprecated 💥", "xasync_fn:q(z)",
-]
-
-
-def run(spark, values, expression):
-    df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
-    return [r.r for r in df.select("i", expression(F.col("t")).alias("r")).orderBy("i").collect()]
+COMPRESSED = {
+    "": "",
+    "   ": "",
+    "Rain falls because clouds gather": "Rain falls ∵ clouds gather",
+    "BECAUSE of it": "∵ of it",
+    "not equal, not equal to": "≠, ≠",          # the longer phrase goes first
+    "greater than or equal 5": "≥ 5",
+    "approximately ten": "≈ ten",
+    "results in leaks": "→ leaks",
+    "caused by rust": "← rust",
+    "leadſ to x": "→ x",                          # long s is an s when case is ignored
+    "sand for knot tied": "s& f| k¬tied",         # rules act inside words
+    "bathe often": "baoften",
+    "Lena is a pilot": "Lena =pilot",
+    "sky is blue": "sky:blue",
+    "they were late": "they<late",
+    "it will be sunny": "it>sunny",
+    "he has had luck": "he+had luck",             # no blank is left in front of "had"
+    "cats do not swim": "cats do ¬swim",          # "not " acts before " do not "
+    "tea without milk": "tea w/o milk",
+    "go with me": "go w/me",
+    "assigned to Pia": "@Pia",
+    "works on pumps": "w|ks on pumps",            # "or" acts before "works on "
+    "critical path": "★★ path",
+    "important": "imp|tant",
+    "high priority": "high pri|ity",
+    "incomplete work": "✗w|k",
+    "deprecated": "⚠️deprecated",
+    "authentication server": "auth server",
+    "authorization": "auth|ization",
+    "database, environment": "db, env",
+    "machine learning pull request": "ML PR",
+    "a  b\t\tc": "a b c",
+    "p\n\n\n\n\nq": "p\n\nq",
+    "$1 \\ $0": "$1 \\ $0",
+}
+COMPRESSED_CODE = {
+    "def area(w: float, h: float = 1.0) -> float:": "fn:area(w: float,h: float)->float",
+    "async def pull(url):": "async_fn:pull(url)",
+    "def run(*jobs, **opts):\n    return 1": "fn:run(jobs,opts)\n return 1",
+    "undef q():": "unfn:q()",
+    "def f() -> int | None:": "fn:f()->int | None",
+    "def broken(": "def broken(",
+    "plain line": "plain line",
+}
+COMPRESSED_DIFFS = {
+    "+alpha\n-beta": "CHANGE{} add:alpha rm:beta",
+    "+1\n+2\n+3\n+4\n+5\n+6": "CHANGE{} add:1|2|3|4|5",
+    "-x \n-  y": "CHANGE{} rm:x|y",
+    "+\nnext": "CHANGE{} add:next",
+    "plain": "plain",
+}
+EXPANDED = {
+    "CHANGE:m.py add:a|b rm:c": "Changes to m.py:\n  + a\n  + b\n  - c",
+    "CHANGE add:x": "Changes to file:\n  + x",
+    "CHANGE:": "Changes to file:",
+    "fn:f(a)": "def f(a) are",                    # the colon of the header is a symbol too
+    "fn:f(a,b)->int x": "def f(a,b) - will be  int are  x",
+    "async_fn:g()": "async def g() are",
+    "db down": "database down",
+    "a & b": "a and b",
+    "x ∵ y": "x because y",
+    "p → q": "p works on  q",                     # the last of the words that share the arrow
+    "sky:blue": "sky are blue",
+    "text [★★★]": "text [criticalimportant]",
+    "  padded  ": "padded",
+}
+ARGUMENTS = {"user: str, n: int = 3": "user: str,n: int", "": "", " *rest ,\n**more": "rest,more", "p,,q": "p,q"}
+
+
+def check(spark, expected, expression):
+    df = spark.createDataFrame(list(expected.items()), "t string, expected string")
+    rows = df.select("t", "expected", expression(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == expected
 
 
 def test_compress(spark):
-    assert run(spark, TEXTS, sh.compress) == [py_compress(t) for t in TEXTS]
+    check(spark, COMPRESSED, sh.compress)
 
 
 def test_compress_code(spark):
-    assert run(spark, CODE, lambda t: sh.compress(t, is_code=True)) == [py_compress(t, True) for t in CODE]
+    check(spark, COMPRESSED_CODE, lambda t: sh.compress(t, is_code=True))
 
 
 def test_compress_flag_column(spark):
-    both = run(spark, CODE, lambda t: sh.compress(t, is_code=F.length(t) % 2 == 0))
-    assert both == [py_compress(t, len(t) % 2 == 0) for t in CODE]
+    mixed = {"def sky(x):": "fn:sky(x)", "def sky(xy):": "def sky(xy):"}
+    check(spark, mixed, lambda t: sh.compress(t, is_code=F.length(t) < 12))
 
 
-def test_diff(spark):
-    assert run(spark, DIFFS, lambda t: sh.compress(t, is_diff=True)) == [py_diff(t) for t in DIFFS]
-    assert run(spark, DIFFS, lambda t: sh.compress(t, is_diff=True, diff_filename="a.py")) == [py_diff(t, "a.py") for t in DIFFS]
+@pytest.mark.parametrize("name", ["", "a.py"])
+def test_diff(spark, name):
+    expected = {text: short.format(name and ":" + name) for text, short in COMPRESSED_DIFFS.items()}
+    check(spark, expected, lambda t: sh.compress(t, is_diff=True, diff_filename=name))
 
 
 def test_decompress(spark):
-    values = SHORT + [py_compress(t) for t in TEXTS] + [py_compress(t, True) for t in CODE] + [py_diff(t, "f") for t in DIFFS]
-    assert run(spark, values, sh.decompress) == [py_decompress(t) for t in values]
+    check(spark, EXPANDED, sh.decompress)
+
 
+def test_compact_args(spark):
+    check(spark, ARGUMENTS, sh.compact_args)
 
-@pytest.mark.parametrize("weight,stars", [(0, 1), (1, 1), (4, 4), (5, 5), (10, 5)])
+
+@pytest.mark.parametrize("weight,stars", [(-3, "★"), (2, "★★"), (5, "★★★★★"), (99, "★★★★★")])
 def test_confidence_is_clamped(spark, weight, stars):
-    assert run(spark, ["test"], lambda t: sh.annotate_confidence(t, weight)) == [f"test [{'★' * stars}]"]
+    check(spark, {"note": f"note [{stars}]"}, lambda t: sh.annotate_confidence(t, weight))
 
 
 def test_ratio(spark):
-    df = spark.createDataFrame([("abcd", "ab"), ("abc", "")], "o string, c string")
-    assert [r[0] for r in df.select(sh.ratio(F.col("o"), F.col("c"))).collect()] == [2.0, 1.0]
+    df = spark.createDataFrame([("abcdef", "ab"), ("abc", "")], "o string, c string")
+    assert [r[0] for r in df.select(sh.ratio(F.col("o"), F.col("c"))).collect()] == [3.0, 1.0]
 
 
-def test_compact_args(spark):
-    args = ["user: str, token: str", "level: str = 'INFO', count: int = 0", "", " *args ,\n**kw", "a,,b"]
-    assert run(spark, args, sh.compact_args) == [py_args(a) for a in args]
+def test_null_stays_null(spark):
+    df = spark.createDataFrame([(None,)], "t string")
+    assert df.select(sh.compress(F.col("t")), sh.decompress(F.col("t"))).first() == (None, None)
 
 
 @pytest.mark.parametrize("table,column", [("documents", "text"), ("conversations", "text"), ("pages", "html")])
-def test_whole_tables_match_python(spark, table, column):
-    df = spark.read.parquet(str(DATA / "sf0.001" / f"{table}.parquet"))
-    rows = df.select(column, sh.compress(F.col(column)).alias("c")).withColumn("d", sh.decompress(F.col("c"))).collect()
-    for row in rows:
-        assert row.c == py_compress(row[0])
-        assert row.d == py_decompress(row.c)
+def test_properties_of_whole_tables(spark, table, column):
+    """Short forms are tidy and free of the words, however these are written; expansion leaves no unambiguous symbol."""
+    text = F.col(column)
+    df = spark.read.parquet(str(DATA / "sf0.001" / f"{table}.parquet")).select(
+        text, sh.compress(text).alias("c"), sh.compress(F.upper(text)).alias("u"))
+    for row in df.withColumn("d", sh.decompress(F.col("c"))).collect():
+        if row[0] is None:
+            assert row.c is None and row.d is None
+            continue
+        assert "  " not in row.c and "\n\n\n" not in row.c and row.c == row.c.strip()
+        for short in (row.c, row.u):
+            assert not any(word in short.lower() for word in ("because", "therefore", "and", "database", "not equal"))
+        assert not any(symbol in row.d for symbol in "∵∴≠≈≥≤∞&")
