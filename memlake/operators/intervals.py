@@ -1,10 +1,10 @@
 """Joining points to the intervals that contain them, and counting without joining.
 
-An equality join on the key with a range test compares every point of a key with every interval of that key.  That is fine
-while a key has few points or few intervals.  For keys with many of both, time is divided into ``cells`` equal cells arranged as a tree with a fixed
-fan-out.  An interval is written as the few tree nodes that exactly cover its cells; a point looks at its own cell's
-ancestors, one per level.  The join is then an equality on (key, node), its work follows the number of true matches, and a
-heavy key is spread over its nodes.
+An equality join on the key with a range test compares every point of a key with every interval of that key.  Instead, time is
+divided into fixed cells of 2^36 microseconds (about 19 hours) arranged as a tree with a fixed fan-out.  An interval is written
+as the few tree nodes that exactly cover its cells; a point looks at its own cell's ancestors, one per level.  The join is then
+an equality on (key, node), its work follows the number of true matches, and a heavy key is spread over its nodes.  Times
+outside 1831 to 2401 share the first and last cell, so outliers change nothing for the others.
 
 Where only numbers are wanted, ``count_covering`` and ``count_overlapping`` need no pairs at all: an interval that starts no later
 than a time and does not end before it covers it, so differences of running counts give the answer.
@@ -19,73 +19,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _FANOUT = 8
 _MAX_LEVELS = 16
+_NODE_CELL_BITS = 36
+_LEVELS = 6
+_CELLS = _FANOUT ** _LEVELS
+_FIRST_CELL = -64_000  # cell 0 of the tree starts in the year 1831
 
 # Open bounds as numbers, and the length of a cell of the running counts: 2^32 microseconds, a little over an hour.
 _ALWAYS = 2 ** 62
 _CELL_BITS = 32
 
-# Keys with more points and more intervals than this go through the tree.
-BUSY_KEY_ROWS = 1000
-
 
 def point_in_interval_join(
-    points: DataFrame,
-    intervals: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    start: str,
-    end: str,
-    cells: int = _FANOUT ** 5,
-    busy: int = BUSY_KEY_ROWS,
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str,
 ) -> DataFrame:
-    """Inner join on ``keys`` and ``start <= at <= end``; NULL bounds are open.  Points without a time match nothing.
-
-    Runs one aggregation first, to see whether any key has more than ``busy`` points and intervals.
-    """
+    """Inner join on ``keys`` and ``start <= at <= end``; NULL bounds are open.  Points without a time match nothing."""
     keys = list(keys)
-    points = points.where(F.col(at).isNotNull())
-    within = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
+    last = _CELLS - 1
 
-    def frequent(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > busy).select(*keys)
+    def cell(name: str) -> Column:
+        number = F.shiftright(F.unix_micros(F.col(name).cast("timestamp")), _NODE_CELL_BITS) - _FIRST_CELL
+        return F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), number))
 
-    busy_keys = frequent(intervals).join(frequent(points), keys, "left_semi")
-    if busy_keys.isEmpty():
-        return points.join(intervals, keys).where(within)
-    plain = points.join(intervals.join(busy_keys, keys, "left_anti"), keys).where(within)
-    spread = _tree_join(
-        points.join(busy_keys, keys, "left_semi"), intervals.join(busy_keys, keys, "left_semi"), keys, at, start, end, cells
-    )
-    return plain.unionByName(spread.where(within).select(*plain.columns))
+    def known(name: str, otherwise: int) -> Column:
+        return F.when(F.col(name).isNull(), F.lit(otherwise).cast("long")).otherwise(cell(name))
 
-
-def _tree_join(
-    points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, cells: int
-) -> DataFrame:
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    low, high = points.agg(F.min(micros), F.max(micros)).first()
-    if low is None:
-        return points.join(intervals, keys).where(F.lit(False))
-    width = max(1, -(-(high - low + 1) // cells))
-    levels = 1
-    while _FANOUT ** levels < cells:
-        levels += 1
-
-    def cell(name: str):
-        return F.floor((F.unix_micros(F.col(name).cast("timestamp")) - low) / width).cast("long")
-
-    last = cells - 1
     covered = (
         intervals
-        .withColumn("_a", F.greatest(F.lit(0), F.coalesce(cell(start), F.lit(0))))
-        .withColumn("_b", F.least(F.lit(last), F.coalesce(cell(end), F.lit(last))))
+        .withColumn("_a", known(start, 0)).withColumn("_b", known(end, last))
         .where(F.col("_a") <= F.col("_b"))
-        .withColumn("_node", F.explode(_cover(F.col("_a"), F.col("_b"), levels)))
+        .withColumn("_node", F.explode(_cover(F.col("_a"), F.col("_b"), _LEVELS + 1)))
         .drop("_a", "_b")
     )
-    probes = F.array(*[_node(level, F.floor(F.col("_c") / _FANOUT ** level).cast("long")) for level in range(levels)])
-    probing = points.withColumn("_c", cell(at)).withColumn("_node", F.explode(probes)).drop("_c")
-    return probing.join(covered, [*keys, "_node"]).drop("_node")
+    probes = F.array(*[_node(level, F.shiftright("_c", 3 * level)) for level in range(_LEVELS + 1)])
+    probing = (
+        points.where(F.col(at).isNotNull())
+        .withColumn("_c", cell(at)).withColumn("_node", F.explode(probes)).drop("_c")
+    )
+    within = (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) >= F.col(at)))
+    return probing.join(covered, [*keys, "_node"]).where(within).drop("_node")
 
 
 def _node(level: int, number: Column) -> Column:

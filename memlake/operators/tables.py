@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from memlake.operators.ranking import latest
 
 BASE = "base"
 CHANGES = "changes"
+_MARKS = [T.StructField("_seq", T.LongType()), T.StructField("_deleted", T.BooleanType()), T.StructField("change", T.StringType())]
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
@@ -48,31 +49,41 @@ def write_change(df: DataFrame, path: str, name: str, seq: Column, deleted: Colu
     marked.write.mode("overwrite").parquet(f"{path}/{CHANGES}/change={name}")
 
 
-def read_current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+def read_current(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """The newest version of every row; deleted rows are left out.
 
-    Only the change sets are ranked.  The base is read once and loses the keys they mention.
+    Only the change sets are ranked.  The base is read once and loses the keys they mention.  ``schema`` is that of the table's
+    rows (see ``memlake.schema``): with it a partition column keeps its type ("007" stays text), and a text column declared
+    without NULLs gives back an empty partition value as empty.  Without it Spark guesses the types of partition columns.
     """
+    def read(folder: str, marks: Sequence[T.StructField] = ()) -> DataFrame:
+        if schema is None:
+            return spark.read.parquet(f"{path}/{folder}")
+        rows = spark.read.schema(T.StructType([*schema.fields, *marks])).parquet(f"{path}/{folder}")
+        whole = [f.name for f in schema if not f.nullable and f.dataType == T.StringType()]
+        return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in whole})
+
     has_base, has_changes = _exists(spark, f"{path}/{BASE}"), _exists(spark, f"{path}/{CHANGES}")
     if not has_changes:
-        return spark.read.parquet(f"{path}/{BASE}")
-    changes = spark.read.parquet(f"{path}/{CHANGES}")
+        return read(BASE)
+    changes = read(CHANGES, _MARKS)
     newest = latest(changes, keys, [F.col("_seq").desc(), F.col("change").desc()])
     alive = newest.where(~F.col("_deleted")).drop("_seq", "_deleted", "change")
     if not has_base:
         return alive
-    base = spark.read.parquet(f"{path}/{BASE}")
+    base = read(BASE)
     untouched = base.join(changes.select(*keys).distinct(), list(keys), "left_anti")
     return untouched.select(*base.columns).unionByName(alive.select(*base.columns))
 
 
 def compact(
-    spark: SparkSession, path: str, to: str, keys: Sequence[str], partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+    spark: SparkSession, path: str, to: str, keys: Sequence[str], partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
+    schema: T.StructType | None = None,
 ) -> None:
     """Write the merged table into another folder; the folder being read is never overwritten."""
     if to.rstrip("/") == path.rstrip("/"):
         raise ValueError("compact needs a new folder: the table is read while it is written")
-    save_table(read_current(spark, path, keys), to, partition_by, sort_by)
+    save_table(read_current(spark, path, keys, schema), to, partition_by, sort_by)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

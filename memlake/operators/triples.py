@@ -140,10 +140,10 @@ def active(triples: DataFrame, as_of) -> DataFrame:
     return triples.where(is_active(as_of))
 
 
-def facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, **options) -> DataFrame:
+def facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str) -> DataFrame:
     """Each row of ``points`` with every triple about its ``entity`` that is active at its own time ``at``."""
     facts = triples.withColumnRenamed("subject", entity)
-    return point_in_interval_join(points, facts, [entity], at, "valid_from", "valid_until", **options)
+    return point_in_interval_join(points, facts, [entity], at, "valid_from", "valid_until")
 
 
 def count_facts_at(points: DataFrame, triples: DataFrame, entity: str, at: str, name: str = "n_facts") -> DataFrame:

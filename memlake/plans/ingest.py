@@ -277,7 +277,7 @@ def table_merge_on_read(spark, sf_dir):
         newer = said.withColumn("content", F.concat(F.lit(f"v{version} "), "content"))
         write_change(newer, path, f"batch-{version}", F.lit(version))
     write_change(drawers.where(F.col("hall") == "misc"), path, "batch-3", F.lit(3), deleted=F.lit(True))
-    return read_current(spark, path, ["id"]).select("id", "wing", "hall", "content")
+    return read_current(spark, path, ["id"], drawers.schema).select("id", "wing", "hall", "content")
 
 
 @query("watch_ingest", over("files", rf"""

@@ -3,13 +3,14 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from memlake.functions.shorthand import compress
 from memlake.operators import audit as au
 from memlake.operators import context as co
 from memlake.operators import diary as di
 from memlake.operators import graph as gr
+from memlake.operators import ranking as rk
 from memlake.operators import replay as re
 from memlake.operators import store as st
 from memlake.operators import summaries as su
@@ -206,3 +207,30 @@ def test_location_filter_prunes_partitions(spark, base, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(wing" in plan
     assert found.count() == 2
+
+
+def test_partition_values_keep_their_type_and_old_changes_never_show(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("1", "007", "a"), ("2", "010", "b"), ("3", "", "c")], "id string, wing string, content string")
+    declared = T.StructType([T.StructField(c, T.StringType(), False) for c in ("id", "wing", "content")])
+    tb.save_table(rows, path, ["wing"])
+    assert sorted(map(tuple, tb.read_current(spark, path, ["id"], declared).select("id", "wing").collect())) == [
+        ("1", "007"), ("2", "010"), ("3", "")]
+    tb.write_change(rows.where("id = '3'").withColumn("content", F.lit("new")), path, "7", F.lit(1))
+    current = tb.read_current(spark, path, ["id"], declared)
+    assert sorted(map(tuple, current.select("id", "wing", "content").collect())) == [("1", "007", "a"), ("2", "010", "b"), ("3", "", "new")]
+    with pytest.raises(ValueError, match="change sets"):
+        tb.save_table(rows, path, ["wing"])
+
+
+@pytest.mark.parametrize("n", [1, 7, 1500])
+def test_top_n_of_a_hot_group_matches_sorting(spark, n):
+    rows = [("hot" if i % 9 else f"k{i % 4}", i, (i * 37) % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id int, v int")
+    got = rk.top_n(df, ["k"], [F.col("v").desc(), F.col("id")], n).collect()
+    expected = set()
+    for key in {k for k, _, _ in rows}:
+        best = sorted((-v, i) for k, i, v in rows if k == key)[:n]
+        expected |= {(key, i, -v, r) for r, (v, i) in enumerate(best, 1)}
+    assert {(r.k, r.id, r.v, r["rank"]) for r in got} == expected
+    assert len(got) == len(expected)

@@ -178,8 +178,9 @@ def test_counts_at_times_match_brute_force(spark):
     assert {r.pid: r.n_facts for r in got} == expected
 
 
-@pytest.mark.parametrize("busy,cells", [(10 ** 6, 512), (20, 512), (20, 8), (0, 1), (0, 8 ** 4)])
-def test_interval_join_matches_brute_force(spark, busy, cells):
+@pytest.mark.parametrize("stretch", [1, 1000, 50_000])
+def test_interval_join_matches_brute_force(spark, stretch):
+    """Times minutes, months or years apart; the longest leave the range of the cells on both sides."""
     rows = random_periods(2, 250, 4)
     rng = random.Random(3)
     points = [(i, "hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}", rng.choice([None, *range(-10, 3200, 7)])) for i in range(200)]
@@ -189,7 +190,12 @@ def test_interval_join_matches_brute_force(spark, busy, cells):
     }
     df = spark.createDataFrame(points, "pid long, subject string, t long").withColumn(
         "ts", F.timestamp_seconds(F.col("t") * 600 + 1_700_000_000))
-    joined = point_in_interval_join(df, periods_table(spark, rows), ["subject"], "ts", "valid_from", "valid_until", cells=cells, busy=busy)
+    def stretched(name):
+        return F.timestamp_seconds((F.unix_seconds(F.col(name)) - 1_700_000_000 - 600 * 1500) * stretch + 1_700_000_000)
+
+    periods = periods_table(spark, rows).withColumns({c: stretched(c) for c in ("valid_from", "valid_until")})
+    joined = point_in_interval_join(
+        df.withColumn("ts", stretched("ts")), periods, ["subject"], "ts", "valid_from", "valid_until")
     got = [(r.pid, r.id) for r in joined.collect()]
     assert len(got) == len(set(got))
     assert set(got) == expected
