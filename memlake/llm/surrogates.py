@@ -20,9 +20,10 @@ ROUNDS = 4
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Doña", "Lady", "Госпожа", "Κυρία"]
 _TITLES = "|".join(sorted(MALE + FEMALE, key=lambda t: (-len(t), t)))
-#: Lengths are bounded and quantifiers possessive, so that no text makes the search slow.
+#: Lengths are bounded and quantifiers possessive, so that no text makes the search slow; only an address's labels are given back, as what
+#: follows it may be a full stop.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}+(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,7}\.[A-Za-z]{2,24}+(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,4}(?![0-9])|\+[0-9]{9,15}+(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",

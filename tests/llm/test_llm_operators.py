@@ -366,6 +366,16 @@ def test_surrogates(parquet, odd, empty):
     assert surrogates.replace_personal_data(empty, "key").count() == 0
 
 
+def test_addresses_before_punctuation(parquet):
+    forms = ["Write to {}. Then", "({})", "see {}...", "to {}", "to {}.", "<{}>, ok", "{}- or", "{};{}", "{}: hello", "{}!"]
+    rows = [(k, f.replace("{}", "ann.lee@mail.example.org"), "en", "a") for k, f in enumerate(forms)]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(parquet(rows), "key").collect()}
+    mail = got[3].text[3:]
+    assert mail != "ann.lee@mail.example.org" and mail.endswith(".example")
+    for k, f in enumerate(forms):
+        assert got[k].text == f.replace("{}", mail) and got[k].entities == {"email": f.count("{}")}
+
+
 def test_surrogates_never_collide(spark):
     entities = spark.createDataFrame([("ip", f"e{i}") for i in range(40)], "kind string, entity string")
     narrow = lambda kind, entity, drawn: F.concat(F.lit("e"), (F.conv(F.substr(drawn, F.lit(1), F.lit(4)), 16, 10).cast("int") % 90).cast("string"))
