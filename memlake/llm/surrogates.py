@@ -1,6 +1,7 @@
 """Personal data: every detected entity is replaced by a keyed surrogate of its own kind and form.
 
-DataFrame operations only.  Entities are e-mail addresses, IPv4 addresses, phone numbers, card numbers, and names after a title.
+DataFrame operations only.  Entities are e-mail addresses, IPv4 addresses, phone numbers, card numbers, names after a title, and
+the surnames of these wherever else they stand in the same text.
 
 Equal entities get equal surrogates in the whole table, also where they are written differently (phone numbers by their digits,
 addresses without regard to case, a surname after different titles); different entities get different ones.  Surrogates are drawn by
@@ -22,12 +23,27 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Seño
 _TITLES = "|".join(sorted(MALE + FEMALE, key=lambda t: (-len(t), t)))
 #: Lengths are bounded and quantifiers possessive, so that no text makes the search slow; only an address's labels are given back, as what
 #: follows it may be a full stop.
+_DATE = r"[0-9]{2}[./-][0-9]{2}[./-](?:1[5-9]|2[01])[0-9]{2}(?![0-9])"
+_CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+#: With area code in brackets, with country code, with a trunk zero, and without one in groups of 3-3-4, 3-3-3 or 2-3-2-2; 15 digits at most.
+_PHONES = [
+    r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    r"(?<![0-9])\(0[0-9]{1,5}\)(?:[ ./-]?[0-9]){4,10}(?![0-9])",
+    r"\+[0-9](?:(?:[ ./-]|[ .-]?\(|\)[ ./-]?)?[0-9]){6,14}(?![0-9])",
+    rf"(?<![0-9]|[0-9][.,/-])(?!{_DATE}|(?:{_CARD})(?![0-9]))(?=0[0-9]{{1,5}}[ ./-][0-9])0(?:[ ./-]?[0-9]){{6,14}}(?![0-9])",
+    r"(?<![0-9]|[0-9][.,/-])(?:1[ .-])?[2-9][0-9]{2}(?:[ .-][0-9]{3}[ .-][0-9]{4}|-[0-9]{3}-[0-9]{3})(?![0-9])",
+    r"(?<![0-9]|[0-9][.,/-])[1-9][0-9]{1,2}[ .-][0-9]{3}[ .-][0-9]{2}[ .-][0-9]{2}(?![0-9])",
+]
+#: A possessive "'s" is no part of a name.
+_END = r"(?!\p{L}|['-](?!s(?!\p{L}))\p{L})"
+_WORD = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L})){1,39}+"
+_PARTICLES = "(?:(?:von|van|vom|zu|zur|de|der|den|del|della|da|di|du|dos|la|le|el|al|bin|ten|ter) ){0,3}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,7}\.[A-Za-z]{2,24}+(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,4}(?![0-9])|\+[0-9]{9,15}+(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,39}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,39}}+)?",
+    "phone": "|".join(_PHONES),
+    "card": rf"(?<![0-9])(?:{_CARD})(?![0-9])",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.?(?: {_PARTICLES}{_WORD}| \p{{Lu}}\.(?= (?:\p{{Lu}}\. ){{0,3}}+{_PARTICLES}{_WORD})){{1,6}}+",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap necessary sign of an entity: most texts go no further.
@@ -36,11 +52,29 @@ SIGN = rf"@|[0-9]|{_TITLES}"
 
 def _kind(mention: Column) -> Column:
     return (F.when(F.instr(mention, "@") > 0, "email").when(mention.rlike(r"\p{L}"), "name")
-            .when(mention.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(mention.rlike(r"^[+(]"), "phone").otherwise("card"))
+            .when(mention.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(mention.rlike(f"^(?:{_CARD})$"), "card").otherwise("phone"))
+
+
+def _entity_pattern(text: Column) -> Column:
+    """ENTITY, and the surnames that follow a title somewhere in the text, also where they have none."""
+    names = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
+    surnames = F.array_distinct(F.transform(names, lambda n: F.element_at(F.split(n, " "), -1)))
+    untitled = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:"), F.array_join(surnames, "|"), F.lit(f"){_END}"))
+    return F.when(text.rlike(PATTERNS["name"]), untitled).otherwise(F.lit(ENTITY))
+
+
+def _name_words(mention: Column) -> Column:
+    """The words after a title; a mention of one word is a surname without title."""
+    words = F.split(mention, " ")
+    return F.when(F.size(words) > 1, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+
+
+def _is_particle(word: Column) -> Column:
+    return word.rlike(r"^\p{Ll}")
 
 
 def _parts(mention: Column, kind: Column) -> Column:
-    """The entities in a mention, each (kind, canonical text): names have a given name, of the title's gender, and a surname."""
+    """The entities in a mention, each (kind, canonical text): names have given names, of the title's gender, and a surname last."""
     words = F.split(mention, " ")
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
     gender = F.when(title.isin(FEMALE), "given_f").otherwise("given_m")
@@ -48,8 +82,8 @@ def _parts(mention: Column, kind: Column) -> Column:
     def entity(kind_column: Column, text: Column) -> Column:
         return F.struct(kind_column.alias("kind"), text.alias("entity"))
 
-    surname = entity(F.lit("surname"), F.lower(F.element_at(words, -1)))
-    name = F.when(F.size(words) > 2, F.array(entity(gender, F.lower(F.element_at(words, 2))), surname)).otherwise(F.array(surname))
+    own = F.filter(_name_words(mention), lambda w: ~_is_particle(w))
+    name = F.transform(own, lambda w, i: entity(F.when(i == F.size(own) - 1, "surname").otherwise(gender), F.lower(w)))
     digits = F.regexp_replace(mention, "[^0-9]", "")
     plain = F.when(kind.isin("phone", "card"), digits).otherwise(F.lower(mention))
     return F.when(kind == "name", name).otherwise(F.array(entity(kind, plain)))
@@ -147,13 +181,22 @@ def _rendered(mention: Column, kind: Column, found: Column) -> Column:
     with_digits = F.aggregate(F.split(mention, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
                               lambda a, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(a["out"], F.substr(first, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")))
                               .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
-    names = F.concat_ws(" ", F.element_at(F.split(mention, " "), 1), F.array_join(F.transform(found, F.initcap), " "))
+    # The n-th word of a name becomes the n-th surrogate, an initial its initial; titles and particles stay.
+    def written(w: Column, at: Column) -> Column:
+        new = F.initcap(F.element_at(found, at))
+        return F.when(w.endswith("."), F.concat(F.substr(new, F.lit(1), F.lit(1)), F.lit("."))).otherwise(new)
+
+    words = F.split(mention, " ")
+    titled = F.when(F.size(words) > 1, F.slice(words, 1, 1)).otherwise(F.array().cast("array<string>"))
+    names = F.aggregate(_name_words(mention), F.struct(titled.alias("out"), F.lit(1).alias("at")),
+                        lambda a, w: F.when(_is_particle(w), F.struct(F.concat(a["out"], F.array(w)).alias("out"), a["at"].alias("at")))
+                        .otherwise(F.struct(F.concat(a["out"], F.array(written(w, a["at"]))).alias("out"), (a["at"] + 1).alias("at"))), lambda a: F.array_join(a["out"], " "))
     return F.when(kind == "name", names).when(kind.isin("phone", "card") & ~first.startswith("["), with_digits).otherwise(first)
 
 
 def surrogate_table(docs: DataFrame, key: str, *, text: str = "text", **options) -> DataFrame:
     """(mention, kind, replacement) for every distinct mention in ``docs``."""
-    mentions = docs.where(F.col(text).rlike(SIGN)).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))).alias("mention"))
+    mentions = docs.where(F.col(text).rlike(SIGN)).select(F.explode(F.regexp_extract_all(F.col(text), _entity_pattern(F.col(text)), F.lit(0))).alias("mention"))
     distinct = materialise(mentions.distinct().withColumn("kind", _kind(F.col("mention"))))
     parts = distinct.select("mention", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("at", "part")).select("mention", "at", "part.kind", "part.entity")
     assigned = assign_surrogates(materialise(parts.select("kind", "entity").distinct()), key, **options)
@@ -171,14 +214,14 @@ def replace_personal_data(docs: DataFrame, key: str, *, text: str = "text", **op
     """
     docs = docs.drop("entities")
     table_of = surrogate_table(docs, key, text=text, **options)
-    found = F.when(F.col(text).rlike(SIGN), F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col(text).rlike(SIGN), F.regexp_extract_all(F.col(text), _entity_pattern(F.col(text)), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     empty = F.create_map().cast("map<string,long>")
     plain = marked.where(F.size("_found") == 0).drop("_found").withColumn("entities", empty)
     others = [c for c in docs.columns if c != text]
     pieces = (marked.where(F.size("_found") > 0)
               .select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_rest") if others else F.lit(True).alias("_rest"),
-                      F.split(F.col(text), ENTITY, -1).alias("_between"), "_found"))
+                      F.split(F.col(text), _entity_pattern(F.col(text)), -1).alias("_between"), "_found"))
     # One row for each mention; what follows it in the text goes with it, and the first carries the start and the other columns.
     start = F.col("_at") == 0
     rows = pieces.select("_row", "_rest", "_between", F.posexplode("_found").alias("_at", "mention")).select(

@@ -376,6 +376,29 @@ def test_addresses_before_punctuation(parquet):
         assert got[k].text == f.replace("{}", mail) and got[k].entities == {"email": f.count("{}")}
 
 
+def test_forms_of_numbers(parquet):
+    phones = ["555-123-4567", "555.123.4567", "030 1234567", "+49 30 1234567", "+33 1 42 68 53 00", "+49 (0)30 1234567", "01 42 68 53 00", "0171/1234567",
+              "(030) 1234567", "1-800-555-0199", "612-345-678", "91 123 45 67", "+1 (212) 555-0123"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4539 5787 6362 1486", "0000 1111 2222 3333"]
+    plain = ["on 01.02.2024 or 2024-01-20 1030, 03/14/2024", "12 of 345 and 0.25 1000 000", "1.05 2000 300", "v 1.2.3"]
+    rows = [(k, f"Call {x}, or not.", "en", "a") for k, x in enumerate(phones + cards)] + [(100 + k, x, "en", "a") for k, x in enumerate(plain)]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(parquet(rows), "key").collect()}
+    for k, x in enumerate(phones + cards):
+        assert got[k].entities == {"phone" if k < len(phones) else "card": 1}, x
+        assert got[k].text != rows[k][1] and re.sub("[0-9]", "9", got[k].text) == re.sub("[0-9]", "9", rows[k][1]), x
+    assert [got[100 + k].text for k in range(len(plain))] == plain
+
+
+def test_names_of_several_words_and_without_title(parquet):
+    rows = [(1, "Kennedy spoke. Mr John Fitzgerald Kennedy left; Kennedy's car, Kennedyan and Mrs Kennedy's hat. Kennedy.", "en", "a"),
+            (2, "Kennedy without title, Herr Otto von Bismarck, Mr John F. Kennedy-Smith", "en", "a"), (3, "Kennedy", "en", "a")]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(parquet(rows), "key").collect()}
+    first = re.fullmatch(r"(\w+) spoke\. Mr (\w+) (\w+) (\w+) left; (\w+)'s car, Kennedyan and Mrs (\w+)'s hat\. (\w+)\.", got[1].text).groups()
+    assert {first[k] for k in (0, 3, 4, 5, 6)} == {first[0]} and not {"John", "Fitzgerald", "Kennedy"} & set(first) and got[1].entities == {"name": 5}
+    second = re.fullmatch(r"Kennedy without title, Herr (\w+) von (\w+), Mr (\w+) (\w)\. (\w+)", got[2].text).groups()
+    assert second[2] == first[1] and second[1] != "Bismarck" and second[4] != first[0] and got[3].text == "Kennedy"
+
+
 def test_surrogates_never_collide(spark):
     entities = spark.createDataFrame([("ip", f"e{i}") for i in range(40)], "kind string, entity string")
     narrow = lambda kind, entity, drawn: F.concat(F.lit("e"), (F.conv(F.substr(drawn, F.lit(1), F.lit(4)), 16, 10).cast("int") % 90).cast("string"))
