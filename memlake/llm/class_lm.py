@@ -3,7 +3,7 @@
     log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word | class)
 
 Tokens are the lower-cased (A-Z) words of a text and one end; the end also stands before the first word.  Words with at least
-``MIN_SHARE`` of all tokens, of which there can be no more than ``1 / MIN_SHARE``, are clustered; all rarer ones form one further
+``MIN_SHARE`` of the training tokens, of which there can be no more than ``1 / MIN_SHARE``, are clustered; all rarer ones form one further
 class, the tail, in which each word has its own count.  The list of clustered words is therefore small however large the corpus is;
 the counts of the tail stay in a table that is joined.
 
@@ -251,7 +251,6 @@ def exchange(bigrams: DataFrame, frequent: Frequent, classes: int = CLASSES, rou
     contexts = classes + 2
     assigned = np.empty(frequent.end + 1, np.int64)
     assigned[np.lexsort((frequent.wid, -frequent.n_train))] = np.arange(frequent.tail) % classes
-    assigned[:frequent.tail][frequent.n_train == 0] = classes
     assigned[frequent.tail], assigned[frequent.end] = classes, classes + 1
     tasks = max(1, bigrams.sparkSession.sparkContext.defaultParallelism)
     best: tuple | None = None
@@ -276,11 +275,12 @@ def exchange(bigrams: DataFrame, frequent: Frequent, classes: int = CLASSES, rou
     return best[0], best[1]
 
 
-def _scorer(wid: np.ndarray, n_train: np.ndarray, assigned: np.ndarray, transition: np.ndarray, emission: np.ndarray, end_count: int):
-    """Per text what the clustered words and the end give, and its tail words with their counts in it."""
+def _scorer(wid: np.ndarray, n_train: np.ndarray, hot_wid: np.ndarray, hot_train: np.ndarray, assigned: np.ndarray, transition: np.ndarray, emission: np.ndarray, end_count: int):
+    """Per text what the clustered words, the end and the hot tail words give, and its other tail words with their counts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = Frequent(wid, n_train)
+        frequent, hot = Frequent(wid, n_train), Frequent(hot_wid, hot_train)
+        hot_base = np.log10(hot_train + 0.5)
         seen = np.concatenate([n_train, [0, end_count]])
         base = np.log10(seen + 0.5)
         base[frequent.tail] = 0.0
@@ -293,15 +293,19 @@ def _scorer(wid: np.ndarray, n_train: np.ndarray, assigned: np.ndarray, transiti
                 n = hi - lo
                 total = np.bincount(doc, minlength=n)
                 model = np.bincount(doc, transition[assigned[before], assigned[now]] + emission[now], n)
-                # Clustered words that training lacks are emitted by the tail too.
                 in_tail = np.bincount(doc, assigned[now] == assigned[frequent.tail], n).astype(np.int64)
                 rare = index == frequent.tail
-                keys, first, many = _pairs(words.doc[rare], words.id[rare])
+                place = hot.index(words.id[rare])
+                is_hot = place < hot.tail
+                hot_doc, place = words.doc[rare][is_hot], place[is_hot]
+                hot_part = np.bincount(hot_doc, hot_base[place], n)
+                known = np.bincount(doc, seen[now] > 0, n) + np.bincount(hot_doc, hot_train[place] > 0, n)
+                keys, first, many = _pairs(words.doc[rare][~is_hot], words.id[rare][~is_hot])
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=n))]).astype(np.int32)
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(total.astype(np.int64)),
-                     pa.array(np.bincount(doc, seen[now] > 0, n).astype(np.int64)), pa.array(np.bincount(doc, base[now], n)), pa.array(model), pa.array(in_tail),
+                     pa.array(known.astype(np.int64)), pa.array(np.bincount(doc, base[now], n) + hot_part), pa.array(model + hot_part), pa.array(in_tail),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(first.view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(many))],
                     names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "in_tail", "wids", "ns"])
 
@@ -335,11 +339,18 @@ def score(docs: DataFrame, held: Column, *, min_share: float = MIN_SHARE, classe
     train_docs = ends["train"] or 0
     train_tokens = (sums["train"] or 0) + train_docs
     types = (sums["types"] or 0) + (train_docs > 0)
-    least = min_share * ((sums["words"] or 0) + ends["docs"])
-    listed = vocabulary.where(F.col("n_all") >= least).toArrow()  # 1 / min_share words at most
-    wid, n_train = listed.column("wid").to_numpy().view(np.uint64), listed.column("n_train").to_numpy()
-    order = np.argsort(wid)
-    frequent = Frequent(wid[order], n_train[order])
+    # What is learned depends on training texts only.
+    clustered = (F.col("n_train") > 0) & (F.col("n_train") >= min_share * train_tokens)
+    # Tail words that are frequent in all texts would be hot keys of the join below, so their counts go to the scorer.
+    hot_tail = ~clustered & (F.col("n_all") >= min_share * ((sums["words"] or 0) + ends["docs"]))
+
+    def sorted_words(which: Column) -> Frequent:
+        listed = vocabulary.where(which).toArrow()  # 1 / min_share words at most
+        wid, n_train = listed.column("wid").to_numpy().view(np.uint64), listed.column("n_train").to_numpy()
+        order = np.argsort(wid)
+        return Frequent(wid[order], n_train[order])
+
+    frequent, hot = sorted_words(clustered), sorted_words(hot_tail)
 
     bigrams = materialise(rows.where(~F.col("held_out")).select("text").mapInArrow(_bigram_counter(frequent.wid, frequent.n_train), "left int, right int, n long"))
     assigned, table_of = exchange(bigrams, frequent, classes, rounds)
@@ -348,21 +359,19 @@ def score(docs: DataFrame, held: Column, *, min_share: float = MIN_SHARE, classe
     by_class = table_of.sum(0).astype(float)
     prior = (by_class + 1) / (by_class.sum() + contexts)
     transition = np.log10((table_of + SMOOTHING * prior[None, :]) / (table_of.sum(1, keepdims=True) + SMOOTHING))
-    kept_words = frequent.n_train > 0
     tail_tokens = train_tokens - train_docs - int(frequent.n_train.sum())
-    tail_types = types - (train_docs > 0) - int(kept_words.sum())
+    tail_types = types - (train_docs > 0) - frequent.tail
     of_class = np.bincount(assigned[:frequent.tail], frequent.n_train, contexts)
     emission = np.zeros(frequent.end + 1)
-    emission[:frequent.tail][kept_words] = np.log10(frequent.n_train[kept_words] / of_class[assigned[:frequent.tail]][kept_words])
-    emission[:frequent.tail][~kept_words] = np.log10(0.5)  # the rest of a tail word's share follows below
+    emission[:frequent.tail] = np.log10(frequent.n_train / of_class[assigned[:frequent.tail]])
     tail_scale = float(np.log10(tail_tokens + 0.5 * (tail_types + 1)))
     base_scale = float(np.log10(train_tokens + 0.5 * (types + 1)))
 
-    parts = materialise(rows.mapInArrow(_scorer(frequent.wid, frequent.n_train, assigned, transition, emission, train_docs),
+    parts = materialise(rows.mapInArrow(_scorer(frequent.wid, frequent.n_train, hot.wid, hot.n_train, assigned, transition, emission, train_docs),
                                         "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, in_tail long, wids array<long>, ns array<long>"))
     rare = parts.select("uid", F.explode(F.arrays_zip("wids", "ns")).alias("w")).select("uid", F.col("w.wids").alias("wid"), F.col("w.ns").alias("n"))
-    known = vocabulary.where((F.col("n_all") < least) & (F.col("n_train") > 0)).select("wid", "n_train")
-    # No tail word has more than min_share of the tokens, so no key of this join is hot.
+    known = vocabulary.where(~clustered & ~hot_tail & (F.col("n_train") > 0)).select("wid", "n_train")
+    # None of these words has more than min_share of the tokens, so no key of this join is hot.
     met = rare.join(known, "wid", "left").withColumn("c", F.coalesce("n_train", F.lit(0)))
     tails = met.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     zero = F.lit(0.0)

@@ -268,6 +268,24 @@ def test_moves_raise_the_likelihood():
         assert gain == pytest.approx(max(tries)) and tries[to] == pytest.approx(max(tries))
 
 
+def test_model_learns_nothing_from_held_out_texts(parquet):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 3 * 300)}" for _ in range(40)), "en", "a") for i in range(150)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
+    # longer texts, of words that are rare in the others
+    other = [(i, "w280 unseen " * 400 if h else t, *rest) for (i, t, *rest), h in zip(rows, held)]
+    scores = []
+    for table in (rows, other):
+        got = class_lm.score(parquet(table), language.held_out(1), min_share=5e-3, classes=4, rounds=3).collect()
+        scores.append({r.doc_id: r for r in got})
+        n = Counter(w for (_, t, *_), h in zip(table, held) if not h for w in WORD.findall(t))
+        for i, t, *_ in table:
+            assert scores[-1][i].n_known == sum(n[w] > 0 for w in WORD.findall(t)) + 1
+    for (i, *_), h in zip(rows, held):
+        if not h:
+            assert scores[0][i].score == pytest.approx(scores[1][i].score, rel=1e-12) and scores[0][i].base_score == pytest.approx(scores[1][i].base_score, rel=1e-12)
+
+
 def test_language_model_without_training(parquet, odd, empty):
     assert class_lm.score(empty, language.held_out(1)).count() == 0
     alone = class_lm.score(odd, F.lit(True)).collect()
