@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from memlake.llm.registry import query, table
 from memlake.llm.tokens import default_vocabulary, encoder
 from memlake.llm.words import bounded, mix, seeded, small
+from memlake.session import materialise
 
 SEQUENCE = 1024
 GROUP_PIECES = 2048
-_CUT = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()),
+_CUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()),
                   ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -57,7 +58,7 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return number, place
 
 
-def _cutter(vocabulary: str, size: int, end_id: int, groups: int, seed: int):
+def _cutter(vocabulary: str, size: int, end_id: int, seed: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         width, end = encode.width, np.array([end_id], encode.dtype).tobytes()
@@ -70,9 +71,9 @@ def _cutter(vocabulary: str, size: int, end_id: int, groups: int, seed: int):
                 total = len(ids) // width
                 starts = np.arange(0, total, size, dtype=np.int64)
                 keys = mix(mix(np.array([uid], np.uint64) + salt) + starts.astype(np.uint64))
-                for start, group in zip(starts.tolist(), (keys % np.uint64(groups)).tolist()):
+                for start, key in zip(starts.tolist(), keys.view(np.int64).tolist()):
                     part = ids[start * width:(start + size) * width]
-                    out.append((group, doc_id, start, len(part) // width, total, part))
+                    out.append((key, doc_id, start, len(part) // width, total, part))
                 held += len(ids)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CUT.types)], schema=_CUT)
@@ -120,20 +121,20 @@ def pack(docs: DataFrame, *, size: int = SEQUENCE, end_id: int = 0, vocabulary:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32 bit).
 
     A document is its token ids and ``end_id``.  It is cut every ``size`` ids; all pieces are dealt to groups by a seeded hash of
-    their row and place (so that copies of a document part) and each group is packed by itself, so the work of a group is bounded
-    and the order of the corpus doesn't matter.  Sequences are gapless from offset 0; at most ``size`` long.  What is left free at
+    their row and place (so that copies of a document part) and each group, of about ``group_pieces`` pieces, is packed by itself, so
+    the work of a group is bounded for any length of text and the order of the corpus doesn't matter.  Sequences are gapless from offset 0; at most ``size`` long.  What is left free at
     the end of a sequence is padding.
 
     A null or empty text is a document of ``end_id`` alone; a null doc_id stays null; repeated rows are documents of their own;
     very long texts become many pieces; an empty table gives no rows; other columns are not looked at.
     """
     vocabulary = vocabulary or default_vocabulary()
-    # A third of the pieces at least are whole sequences or ends of documents, so the number of documents measures the groups.
-    groups = max(1, -(-docs.count() // group_pieces))
     rows = bounded(docs).select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = rows.mapInArrow(_cutter(vocabulary, size, end_id, groups, seed),
-                          "group long, doc_id long, start long, length int, doc_tokens long, ids binary")
-    dealt = cut.repartition("group").sortWithinPartitions("group")
+    cut = materialise(rows.mapInArrow(_cutter(vocabulary, size, end_id, seed),
+                                      "key long, doc_id long, start long, length int, doc_tokens long, ids binary"))
+    groups = max(1, -(-cut.count() // group_pieces))
+    dealt = cut.withColumn("key", F.pmod("key", F.lit(groups).cast("long"))).withColumnRenamed("key", "group")
+    dealt = dealt.repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(_packer(vocabulary, size), "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
                                                        "offset long, ids binary")
 

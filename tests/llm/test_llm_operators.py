@@ -135,6 +135,13 @@ def test_pack_round_trip(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_groups_are_bounded_by_pieces(parquet):
+    rows = [(i, " ".join(f"w{k % 97}" for k in range(3000)), "en", "a") for i in range(20)]
+    packed = packing.pack(parquet(rows), size=16, group_pieces=100).collect()
+    groups = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) > 3000 and max(groups.values()) < 200
+
+
 # --- 3: record files
 
 def test_records_round_trip(spark, odd, empty, tmp_path):
