@@ -1,10 +1,11 @@
 """N-gram Jaccard join: chosen-path recursion on sampled shingles, brute force in small buckets, repeated runs.
 
 A document is the set of its five-word shingles (48-bit hashes); documents with equal sets are one node.  In each run a node picks, by
-hash, about ``BRANCH / similarity`` of its shingles for each level.  Nodes that picked the same shingle share a bucket; a bucket
+hash, about ``BRANCH[level] / similarity`` of its shingles for each level.  Nodes that picked the same shingle share a bucket; a bucket
 that is too large is split by the next level's shingles, unless its nodes are so alike that splitting keeps most of them together.
-A pair of nodes at the threshold shares ``BRANCH`` picked shingles at a level on average, and so stays together with probability
-``1 - exp(-BRANCH)``; the number of runs follows from that and the target recall.
+A pair of nodes at the threshold shares ``BRANCH[level]`` picked shingles at a level on average, and so stays together with probability
+``1 - exp(-BRANCH[level])`` at least; the number of runs follows from that and the target recall.  Levels after the first pick more, as
+only nodes of large buckets use them and a pair lost there must be found by another run.
 
 Each pair is compared in one bucket only, the first of those that both nodes are in, so that links can be counted without listing
 pairs, and only nodes with such a pair are sent on with their sets.  Large buckets are compared block by block.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, exp, log
+from math import ceil, exp, log, prod
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,15 @@ from memlake.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.95  # of a pair at the threshold all of whose buckets are split down to the last level; 0.99999 after one level
-BRANCH = 1.2
-LEVELS = 4
+RECALL = 0.9999  # of a pair at the threshold all of whose buckets are split down to the last level
+BRANCH = (1.2, 2.5, 2.5, 2.5)
+LEVELS = len(BRANCH)
 BUCKET = 256
 _48 = np.uint64((1 << 48) - 1)
 
 
-def runs_for(recall: float, branch: float = BRANCH, levels: int = LEVELS) -> int:
-    kept = (1 - exp(-branch)) ** levels
+def runs_for(recall: float, branch: tuple[float, ...] = BRANCH) -> int:
+    kept = prod(1 - exp(-b) for b in branch)
     return max(1, ceil(log(1 - recall) / log(1 - kept)))
 
 
@@ -89,10 +90,10 @@ def _picker(similarity: float, runs: int, seed: int):
                 doc = np.repeat(np.arange(hi - lo), sizes)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 spread = mix(tokens)
-                chance = np.minimum(1.0, BRANCH / similarity / np.maximum(sizes, 1))
-                limit = (chance * float(2**64 - 2**12)).astype(np.uint64)[doc]
                 columns = []
                 for level in range(LEVELS):
+                    chance = np.minimum(1.0, BRANCH[level] / similarity / np.maximum(sizes, 1))
+                    limit = (chance * float(2**64 - 2**12)).astype(np.uint64)[doc]
                     found = [np.flatnonzero(spread * factors[level, run] <= limit) for run in range(runs)]
                     at = np.concatenate(found)
                     columns.append(_nested(doc[at], np.repeat(np.arange(runs), [len(f) for f in found]), tokens[at], hi - lo, runs))

@@ -9,6 +9,7 @@ from collections import Counter
 from math import log2, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def test_join_large_and_split_buckets(parquet):
     check_join(parquet(rows), rows, bucket=8, recall=0.999)
 
 
+def test_production_recall_at_the_last_level():
+    pairs = 2000
+    texts = []
+    for i in range(pairs):  # 80 shingles, and these with 20 others
+        words = " ".join(f"c{i}_{k}" for k in range(84))
+        texts += [words, words + "".join(f" x{i}_{k}" for k in range(20))]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(2 * pairs)), "doc_id": list(range(2 * pairs)), "text": texts})
+    runs = ngram_join.runs_for(ngram_join.RECALL)
+    out = pa.Table.from_batches(ngram_join._picker(ngram_join.SIMILARITY, runs, 7)([batch]))
+    picks = [out.column(f"pick{level}").to_pylist() for level in range(ngram_join.LEVELS)]
+    found = sum(any(all(set(p[2 * i][run]) & set(p[2 * i + 1][run]) for p in picks) for run in range(runs)) for i in range(pairs))
+    assert found >= 0.999 * pairs
+
+
 def test_one_of_each_class_stays(odd):
     kept = ngram_join.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
