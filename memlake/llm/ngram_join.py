@@ -1,11 +1,14 @@
 """N-gram Jaccard join: chosen-path recursion on sampled shingles, brute force in small buckets, repeated runs.
 
 A document is the set of its five-word shingles (48-bit hashes); documents with equal sets are one node.  In each run a node picks, by
-hash, about ``BRANCH[level] / similarity`` of its shingles for each level.  Nodes that picked the same shingle share a bucket; a bucket
-that is too large is split by the next level's shingles, unless its nodes are so alike that splitting keeps most of them together.
-A pair of nodes at the threshold shares ``BRANCH[level]`` picked shingles at a level on average, and so stays together with probability
-``1 - exp(-BRANCH[level])`` at least; the number of runs follows from that and the target recall.  Levels after the first pick more, as
-only nodes of large buckets use them and a pair lost there must be found by another run.
+hash, about ``BRANCH / similarity`` of its shingles.  Nodes that picked the same shingle share a bucket; a bucket that is too large is
+split by the shingles that its nodes pick next, ``CHILDREN`` of each node and level, those of smallest hash, unless its nodes are so
+alike that splitting keeps most of them together.  Only nodes of large buckets pick more than once, so only their texts are read
+again for it.
+
+A pair of nodes at the threshold shares ``BRANCH`` first picks on average, and so stays together with probability
+``1 - exp(-BRANCH)`` at least; a later pick is equal with a probability of their similarity, so ``CHILDREN`` of them keep it with
+``1 - (1 - similarity) ** CHILDREN``.  The number of runs follows from that and the target recall.
 
 Each pair is compared in one bucket only, the first of those that both nodes are in, so that links can be counted without listing
 pairs, and only nodes with such a pair are sent on with their sets.  Large buckets are compared block by block.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, exp, log, prod
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +28,21 @@ from pyspark.sql import functions as F
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import load_part, part_of, placed, save_parts, without
 from memlake.llm.words import mix, raw_texts, seeded, slices, small, Words
+from memlake.llm.worker import forget_large
 from memlake.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999  # of a pair at the threshold all of whose buckets are split down to the last level
-BRANCH = (1.2, 2.5, 2.5, 2.5)
-LEVELS = len(BRANCH)
+BRANCH = 1.2
+CHILDREN = 2
+LEVELS = 4
 BUCKET = 256
 _48 = np.uint64((1 << 48) - 1)
 
 
-def runs_for(recall: float, branch: tuple[float, ...] = BRANCH) -> int:
-    kept = prod(1 - exp(-b) for b in branch)
+def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
+    kept = (1 - exp(-BRANCH)) * (1 - (1 - similarity) ** CHILDREN) ** (LEVELS - 1)
     return max(1, ceil(log(1 - recall) / log(1 - kept)))
 
 
@@ -79,9 +84,11 @@ def _nested(doc: np.ndarray, run: np.ndarray, token: np.ndarray, n: int, runs: i
 
 
 def _picker(similarity: float, runs: int, seed: int):
-    factors = np.array([[seeded(seed + 1000 * level + run) | np.uint64(1) for run in range(runs)] for level in range(LEVELS)], np.uint64)
+    """Digest and size of each row's set, and its first picks of every run."""
+    factors = np.array([seeded(seed + run) | np.uint64(1) for run in range(runs)], np.uint64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_large()
         for batch in small(batches):
             raws = raw_texts(batch.column("text"))
             for lo, hi in slices(raws):
@@ -90,23 +97,72 @@ def _picker(similarity: float, runs: int, seed: int):
                 doc = np.repeat(np.arange(hi - lo), sizes)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 spread = mix(tokens)
-                columns = []
-                for level in range(LEVELS):
-                    chance = np.minimum(1.0, BRANCH[level] / similarity / np.maximum(sizes, 1))
-                    limit = (chance * float(2**64 - 2**12)).astype(np.uint64)[doc]
-                    found = [np.flatnonzero(spread * factors[level, run] <= limit) for run in range(runs)]
-                    at = np.concatenate(found)
-                    columns.append(_nested(doc[at], np.repeat(np.arange(runs), [len(f) for f in found]), tokens[at], hi - lo, runs))
+                chance = np.minimum(1.0, BRANCH / similarity / np.maximum(sizes, 1))
+                limit = (chance * float(2**64 - 2**12)).astype(np.uint64)[doc]
+                found = [np.flatnonzero(spread * factor <= limit) for factor in factors]
+                at = np.concatenate(found)
+                picks = _nested(doc[at], np.repeat(np.arange(runs), [len(f) for f in found]), tokens[at], hi - lo, runs)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(sizes), *columns],
-                    names=["uid", "doc_id", "cid", "size", *[f"pick{k}" for k in range(LEVELS)]])
+                    [part.column("uid"), part.column("doc_id"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(sizes), picks],
+                    names=["uid", "doc_id", "cid", "size", "picks"])
 
     return pick
 
 
+def next_picks(shingles: np.ndarray, run: int, seed: int) -> list[list[int]]:
+    """For each level after the first, the shingles of smallest hash under ``CHILDREN`` keys."""
+    factors = np.array([seeded(seed + 1000 * level + 100_000 * k + run) | np.uint64(1) for level in range(1, LEVELS) for k in range(CHILDREN)], np.uint64)
+    least = shingles[(mix(shingles)[None, :] * factors[:, None]).argmin(1)].view(np.int64).reshape(LEVELS - 1, CHILDREN)
+    return [list(dict.fromkeys(row)) for row in least.tolist()]
+
+
+def _read_again(rows: DataFrame, wanted: DataFrame, columns: list[str], given, schema: str) -> DataFrame:
+    """What ``given(uid, shingles, entries)`` makes of the sets of the ``wanted`` rows (uid, cid, columns; an entry a row).
+
+    The sets are made again by the tasks that hold the texts, which fetch their own rows of ``wanted``; a digest shows whether the sets
+    are the same."""
+    folder = save_parts(wanted.select("uid", "cid", *columns))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_large()
+        part, starts, ends = None, {}, {}
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+
+        for batch in small(batches):
+            uids = batch.column("uid").to_pylist()
+            if uids and part is None:
+                part = load_part(folder, part_of(uids[0]), ["uid", "cid", *columns])
+                if part is None:
+                    return
+                part = part.sort_by("uid")
+                known, first = np.unique(part.column("uid").to_numpy(), return_index=True)
+                starts, ends = dict(zip(known.tolist(), first.tolist())), dict(zip(known.tolist(), [*first[1:].tolist(), part.num_rows]))
+            at = [k for k, u in enumerate(uids) if u in starts]
+            found = shingle_sets(raw_texts(batch.column("text").take(pa.array(at, pa.int64()))))
+            for shingles, k in zip(found, at):
+                uid = uids[k]
+                own = part.slice(starts[uid], ends[uid] - starts[uid])
+                if set_digest(shingles) != own.column("cid")[0].as_py():
+                    raise ValueError("docs gave other rows when read again")
+                for row in given(uid, shingles, list(zip(*[own.column(c).to_pylist() for c in columns]))):
+                    out.append(row)
+                    if len(out) >= 128:
+                        yield made()
+                        out = []
+        if out:
+            yield made()
+
+    return rows.select("uid", "text").mapInArrow(run, schema)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with equal values in the first ``keys`` columns; the rows come sorted by them."""
+    forget_large()
     parts: list[pa.RecordBatch] = []
     current = None
     for batch in batches:
@@ -149,6 +205,7 @@ def _candidate_pairs(own: int, block: np.ndarray, sizes: np.ndarray, leaves: lis
 
 
 def _prefilter(similarity: float):
+    """The nodes of each bucket that have a pair to compare there, in order, and with which of them (``wanted``, a bit for each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _groups(batches, 3):
@@ -158,8 +215,9 @@ def _prefilter(similarity: float):
             node, block, sizes = (group.column(k).to_numpy() for k in (3, 4, 5))
             leaves = [np.array(x, np.int64) for x in group.column(6).to_pylist()]
             wanted = _candidate_pairs(leaf, block, sizes, leaves, i, j, similarity)
-            for k in np.flatnonzero(wanted.any(0) | wanted.any(1)).tolist():
-                out.append((leaf, i, j, int(node[k]), int(block[k]), leaves[k]))
+            met = np.flatnonzero(wanted.any(0) | wanted.any(1))
+            bits = np.packbits(wanted[np.ix_(met, met)], axis=1)
+            out += [(leaf, i, j, int(node[k]), row.tobytes()) for k, row in zip(met, bits)]
             if len(out) > 5000:
                 yield _rows(out)
                 out = []
@@ -167,8 +225,8 @@ def _prefilter(similarity: float):
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["leaf", "i", "j", "node", "block", "leaves"])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["leaf", "i", "j", "node", "wanted"])
 
     return run
 
@@ -212,12 +270,11 @@ def _linker(similarity: float):
         for group in _groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            leaf, i, j = (group.column(k)[0].as_py() for k in range(3))
-            node, block, copies = (group.column(k).to_numpy() for k in (3, 4, 5))
-            sets = [_unpack(x) for x in group.column(6).to_pylist()]
-            leaves = [np.array(x, np.int64) for x in group.column(7).to_pylist()]
+            node, copies = (group.column(k).to_numpy() for k in (3, 4))
+            sets = [_unpack(x) for x in group.column(5).to_pylist()]
             sizes = np.array([len(s) for s in sets])
-            wanted = _candidate_pairs(leaf, block, sizes, leaves, i, j, similarity)
+            bits = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(len(sets), -1)
+            wanted = np.unpackbits(bits, axis=1, count=len(sets)).astype(bool)
             both = _overlaps(sets)
             linked = wanted & (both + 1e-9 >= similarity * (sizes[:, None] + sizes[None, :] - both))
             linked |= linked.T
@@ -244,11 +301,12 @@ def _linker(similarity: float):
     return run
 
 
-def _buckets(picks: DataFrame, classes: DataFrame, bucket: int) -> DataFrame:
+def _buckets(rows: DataFrame, picks: DataFrame, classes: DataFrame, bucket: int, seed: int) -> DataFrame:
     """Final buckets with two nodes or more: (leaf, node, n)."""
-    first = picks.select(F.col("uid").alias("node"), F.posexplode("pick0").alias("run", "tokens")).join(classes.select("node"), "node", "left_semi")
+    first = picks.select(F.col("uid").alias("node"), F.posexplode("picks").alias("run", "tokens")).withColumn("run", F.col("run").cast("long")).join(classes.select("node"), "node", "left_semi")
     members = materialise(first.select(F.explode("tokens").alias("token"), "run", "node").select(F.xxhash64("run", "token").alias("path"), "run", "node"))
     leaves: DataFrame | None = None
+    further: DataFrame | None = None
     for level in range(LEVELS):
         counts = members.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         counted = materialise(members.join(counts, "path"))
@@ -260,14 +318,18 @@ def _buckets(picks: DataFrame, classes: DataFrame, bucket: int) -> DataFrame:
         elif large.isEmpty():
             large = None
         else:
-            picked = picks.select(F.col("uid").alias("node"), F.col(f"pick{level + 1}").alias("picked"))
-            children = materialise(large.join(picked, "node").select("path", "n", "run", "node", F.explode(F.element_at("picked", F.col("run") + 1)).alias("token"))
-                                   .select(F.col("path").alias("parent"), "n", F.xxhash64("path", "token").alias("path"), "run", "node"))
-            sizes = children.groupBy("parent", "n", "path").agg(F.count("*").alias("c"))
-            alike = sizes.groupBy("parent", "n").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("usual"))
-            alike = materialise(alike.where(F.col("usual") >= 0.5 * F.col("n")).select(F.col("parent").alias("path")))
+            if further is None:
+                asked = large.select(F.col("node").alias("uid"), "run").distinct().join(classes.select(F.col("node").alias("uid"), "cid"), "uid")
+                further = materialise(_read_again(rows, asked, ["run"], lambda uid, shingles, runs: ((uid, r, next_picks(shingles, r, seed)) for r, in runs),
+                                                  "node long, run long, picks array<array<long>>"))
+            split = materialise(large.join(further.select("node", "run", F.col("picks")[level].alias("tokens")), ["node", "run"]))
+            # Two nodes pick the same first token with a probability of their similarity: their shares of the bucket tell how alike it is.
+            sizes = split.groupBy("path", "n", F.col("tokens")[0].alias("token")).agg(F.count("*").alias("c"))
+            alike = sizes.groupBy("path", "n").agg((F.sum(F.col("c") * F.col("c")) / F.col("n")).alias("usual"))
+            alike = materialise(alike.where(F.col("usual") >= 0.5 * F.col("n")).select("path"))
             small = small.unionByName(large.join(alike, "path", "left_semi"))
-            members = children.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "run", "node")
+            members = materialise(split.join(alike, "path", "left_anti").select("path", "run", "node", F.explode("tokens").alias("token"))
+                                  .select(F.xxhash64("path", "token").alias("path"), "run", "node"))
         done = small.select(F.col("path").alias("leaf"), "node", "n")
         leaves = done if leaves is None else leaves.unionByName(done)
         if large is None:
@@ -298,44 +360,29 @@ def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: flo
     A text without words (null, empty or white space) links with nothing and is a class by itself; a shorter text than a shingle links
     with equal texts; repeated rows are rows of their own and link; a null doc_id is null in the result, and a class of null doc_ids
     only has a null class_id; of equal doc_ids the earlier row comes first; very long texts are whole sets; other columns are not
-    looked at; an empty table gives no rows.  ``docs`` is read twice and must give the same rows both times, as files do.
+    looked at; an empty table gives no rows.  ``docs`` is read up to three times and
+    must give the same rows each time, as files do.
     """
-    runs = runs_for(recall)
+    runs = runs_for(recall, similarity)
     rows = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    picks = materialise(rows.mapInArrow(_picker(similarity, runs, seed), "uid long, doc_id long, cid binary, size long, " + ", ".join(f"pick{k} array<array<long>>" for k in range(LEVELS))))
+    picks = materialise(rows.mapInArrow(_picker(similarity, runs, seed), "uid long, doc_id long, cid binary, size long, picks array<array<long>>"))
     classes = materialise(picks.where("cid is not null").groupBy("cid").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size")))
 
-    leaves = materialise(_buckets(picks, classes, bucket))
+    leaves = materialise(_buckets(rows, picks, classes, bucket, seed))
     lists = leaves.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(classes.select("node", "size"), "node")
     blocks = F.ceil(F.col("n") / bucket).cast("int")
     dealt = leaves.join(lists, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "leaf"), "blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "size", "leaves")
     met = dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "node")
-    pairs = materialise(met.mapInArrow(_prefilter(similarity), "leaf long, i int, j int, node long, block int, leaves array<long>"))
-
-    # The sets of the nodes that have a pair to compare, made again by the tasks that hold their texts.
-    wanted = save_parts(pairs.select(F.col("node").alias("uid")).distinct().join(classes.select(F.col("node").alias("uid"), "cid"), "uid"))
+    pairs = materialise(met.mapInArrow(_prefilter(similarity), "leaf long, i int, j int, node long, wanted binary"))
 
-    def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, bytes] | None = None
-        for batch in small(batches):
-            uids = batch.column("uid").to_pylist()
-            if uids and known is None:
-                part = load_part(wanted, part_of(uids[0]), ["uid", "cid"])
-                known = {} if part is None else dict(zip(part.column("uid").to_pylist(), part.column("cid").to_pylist()))
-            at = [k for k, u in enumerate(uids) if u in known]
-            if not at:
-                continue
-            found = shingle_sets(raw_texts(batch.column("text").take(pa.array(at))))
-            if any(set_digest(s) != known[uids[k]] for s, k in zip(found, at)):
-                raise ValueError("docs gave other rows when read again")
-            yield pa.RecordBatch.from_arrays([pa.array([uids[k] for k in at], pa.int64()), pa.array([_pack(s) for s in found], pa.binary())],
-                                             names=["node", "shingles"])
-
-    sets = rows.select("uid", "text").mapInArrow(sets_again, "node long, shingles binary").join(classes.select("node", "copies"), "node")
-    compared = pairs.join(sets, "node").select("leaf", "i", "j", "node", "block", "copies", "shingles", "leaves")
+    # Sets go straight from the tasks that hold the texts to the buckets where they have a pair to compare.
+    wanted = pairs.join(classes.select("node", "cid", "copies"), "node").withColumnRenamed("node", "uid")
+    compared = _read_again(rows, wanted, ["leaf", "i", "j", "copies", "wanted"],
+                           lambda uid, shingles, entries: ((leaf, i, j, uid, copies, _pack(shingles), bits) for leaf, i, j, copies, bits in entries),
+                           "leaf long, i long, j long, node long, copies long, shingles binary, wanted binary")
     found = materialise(compared.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "node")
                         .mapInArrow(_linker(similarity), "node long, links long, root long"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from memlake.llm.registry import query, table
 from memlake.llm.rescan import placed, without
 from memlake.llm.words import Words, bounded, mix, raw_texts, slices, small
+from memlake.llm.worker import forget_large
 from memlake.session import materialise
 
 WINDOW = 8
@@ -60,6 +61,7 @@ def measure(raws: list[bytes]) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_large()
     for batch in small(batches):
         at = batch.schema.get_field_index("_measured")
         values = measure(raw_texts(batch.column(at)))

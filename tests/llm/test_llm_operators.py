@@ -96,12 +96,32 @@ def test_production_recall_at_the_last_level():
         texts += [words, words + "".join(f" x{i}_{k}" for k in range(20))]
     batch = pa.RecordBatch.from_pydict({"uid": list(range(2 * pairs)), "doc_id": list(range(2 * pairs)), "text": texts})
     runs = ngram_join.runs_for(ngram_join.RECALL)
-    out = pa.Table.from_batches(ngram_join._picker(ngram_join.SIMILARITY, runs, 7)([batch]))
-    picks = [out.column(f"pick{level}").to_pylist() for level in range(ngram_join.LEVELS)]
-    found = sum(any(all(set(p[2 * i][run]) & set(p[2 * i + 1][run]) for p in picks) for run in range(runs)) for i in range(pairs))
+    first = pa.Table.from_batches(ngram_join._picker(ngram_join.SIMILARITY, runs, 7)([batch])).column("picks").to_pylist()
+    sets = ngram_join.shingle_sets([t.encode() for t in texts])
+    later = [[ngram_join.next_picks(s, run, 7) for run in range(runs)] for s in sets]
+
+    def together(a, b, run):
+        return set(first[a][run]) & set(first[b][run]) and all(set(x) & set(y) for x, y in zip(later[a][run], later[b][run]))
+
+    found = sum(any(together(2 * i, 2 * i + 1, run) for run in range(runs)) for i in range(pairs))
     assert found >= 0.999 * pairs
 
 
+def test_production_join_loses_no_link(parquet):
+    """The whole join as it runs in production, over groups larger than a bucket: near copies, and texts that share a passage."""
+    rng = random.Random(8)
+    base, line, rows = [f"b{i}" for i in range(120)], [f"l{i}" for i in range(40)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(120)] = f"x{i}"
+        rows.append((len(rows), " ".join(words), "en", "a"))
+    for i in range(300):  # unlike texts with a passage in common, each with a near copy
+        words = [f"o{i}_{k}" for k in range(60)] + line
+        rows += [(len(rows), " ".join(words), "en", "a"), (len(rows) + 1, " ".join([f"y{i}", *words[1:]]), "en", "a")]
+    check_join(parquet(rows), rows)
+
+
 def test_one_of_each_class_stays(odd):
     kept = ngram_join.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
