@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
-from memlake.llm.rescan import load_part, part_of, placed, save_parts, without
+from memlake.llm.rescan import check_of, load_part, part_of, placed, save_parts, without
 from memlake.llm.words import mix, raw_texts, seeded, slices, small, Words
 from memlake.llm.worker import forget_large
 from memlake.session import materialise
@@ -104,8 +104,8 @@ def _picker(similarity: float, runs: int, seed: int):
                 picks = _nested(doc[at], np.repeat(np.arange(runs), [len(f) for f in found]), tokens[at], hi - lo, runs)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(sizes), picks],
-                    names=["uid", "doc_id", "cid", "size", "picks"])
+                    [part.column("uid"), part.column("check"), part.column("doc_id"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(sizes), picks],
+                    names=["uid", "check", "doc_id", "cid", "size", "picks"])
 
     return pick
 
@@ -352,7 +352,7 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET, seed: int = 7) -> DataFrame:
-    """A row for each row of ``docs``: uid (its place), doc_id, cid (digest of its shingle set), class_id, n_links, first (one row a class).
+    """A row for each row of ``docs``: uid (its place), check (hash of doc_id and text), doc_id, cid (digest of its shingle set), class_id, n_links, first (one row a class).
 
     Rows link if the Jaccard similarity of their shingle sets is ``similarity`` or more; ``n_links`` counts the other rows a row links
     with, equal ones included; ``class_id`` is the smallest doc_id of all rows connected by links.
@@ -364,8 +364,8 @@ def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: flo
     must give the same rows each time, as files do.
     """
     runs = runs_for(recall, similarity)
-    rows = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    picks = materialise(rows.mapInArrow(_picker(similarity, runs, seed), "uid long, doc_id long, cid binary, size long, picks array<array<long>>"))
+    rows = placed(docs.select(check_of(["doc_id", "text"]).alias("check"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    picks = materialise(rows.mapInArrow(_picker(similarity, runs, seed), "uid long, check long, doc_id long, cid binary, size long, picks array<array<long>>"))
     classes = materialise(picks.where("cid is not null").groupBy("cid").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size")))
 
@@ -394,9 +394,9 @@ def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: flo
         "cid", "node", "class_id", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     firsts = picks.where("cid is not null").groupBy("cid").agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first_uid"))
     named = named.join(firsts, "cid")
-    out = picks.select("uid", "doc_id", "cid").join(named, "cid", "left")
+    out = picks.select("uid", "check", "doc_id", "cid").join(named, "cid", "left")
     alone = F.col("cid").isNull()
-    return out.select("uid", "doc_id", "cid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("uid", "check", "doc_id", "cid", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       (alone | ((F.col("node") == F.col("head")) & (F.col("uid") == F.col("first_uid")))).alias("first"))
 
@@ -404,7 +404,7 @@ def join_classes(docs: DataFrame, *, similarity: float = SIMILARITY, recall: flo
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id.  All columns stay as they are; no text is shuffled."""
     classed = join_classes(docs, **parameters)
-    return without(docs, classed.where(~F.col("first")).select("uid"))
+    return without(docs, classed.where(~F.col("first")), ["doc_id", "text"])
 
 
 _ORACLE = r"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.registry import query, table
-from memlake.llm.rescan import placed, without
+from memlake.llm.rescan import check_of, placed, without
 from memlake.llm.words import Words, bounded, mix, raw_texts, slices, small
 from memlake.llm.worker import forget_large
 from memlake.session import materialise
@@ -132,10 +132,11 @@ def assess(docs: DataFrame, *, host: str = "source", keep: list[str] | None = No
 
 
 def drop_rejected(docs: DataFrame, *, host: str = "source", text: str = "text", **rates: float) -> DataFrame:
-    """``docs`` without the rows that ``assess`` rejects.  ``docs`` is read twice and must give the same rows both times, as files do."""
-    placed_docs = placed(docs.select(F.col(host), F.col(text)))
-    judged = assess(placed_docs, host=host, keep=["uid"], text=text, **rates)
-    return without(docs, judged.where(~F.col("kept")).select("uid"))
+    """``docs`` without the rows that ``assess`` rejects.  ``docs`` is read twice and must give the same rows both times, as files do;
+    other rows are noticed by a hash and end the job."""
+    rows = placed(docs.select(F.col(host).alias("host"), F.col(text).alias("text"), check_of([host, text]).alias("check")))
+    judged = assess(rows, host="host", keep=["uid", "check"], text="text", **rates)
+    return without(docs, judged.where(~F.col("kept")), [host, text])
 
 
 _ORACLE = r"""

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest_rows import LONG, ROWS
-from memlake.llm import class_lm, language, media, mixing, ngram_join, packing, quality, records, secrets, surrogates, tokens
+from memlake.llm import class_lm, language, media, mixing, ngram_join, packing, quality, records, rescan, secrets, surrogates, tokens
 from memlake.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,7 +94,7 @@ def test_production_recall_at_the_last_level():
     for i in range(pairs):  # 80 shingles, and these with 20 others
         words = " ".join(f"c{i}_{k}" for k in range(84))
         texts += [words, words + "".join(f" x{i}_{k}" for k in range(20))]
-    batch = pa.RecordBatch.from_pydict({"uid": list(range(2 * pairs)), "doc_id": list(range(2 * pairs)), "text": texts})
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(2 * pairs)), "check": list(range(2 * pairs)), "doc_id": list(range(2 * pairs)), "text": texts})
     runs = ngram_join.runs_for(ngram_join.RECALL)
     first = pa.Table.from_batches(ngram_join._picker(ngram_join.SIMILARITY, runs, 7)([batch])).column("picks").to_pylist()
     sets = ngram_join.shingle_sets([t.encode() for t in texts])
@@ -128,6 +128,17 @@ def test_one_of_each_class_stays(odd):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_rows_that_changed_between_readings_end_the_job(spark, parquet):
+    docs = parquet([(i, f"text {i} " * 30, "en", "a") for i in range(50)])
+    first = rescan.placed(docs.select("doc_id", "text")).select("uid", rescan.check_of(["doc_id", "text"]).alias("check"), "doc_id").where("doc_id % 2 = 0")
+    kept = rescan.without(docs, first, ["doc_id", "text"])
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1, 50, 2)) and kept.columns == docs.columns
+    other = spark.createDataFrame([r for r in reversed(docs.collect())], docs.schema).coalesce(2)
+    with pytest.raises(Exception, match="other rows|fewer rows"):
+        rescan.without(other, first, ["doc_id", "text"]).collect()
+    assert rescan.without(docs, first.where("false"), ["doc_id", "text"]).count() == 50
+
+
 # --- 2: packing
 
 def test_first_fit_decreasing():
