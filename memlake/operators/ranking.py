@@ -2,14 +2,14 @@
 
 ``row_number() <= n`` lets Spark put a WindowGroupLimit before the shuffle, so each map task sends at most ``n`` rows per
 group however large the group is (for ``n`` below ``spark.sql.optimizer.windowGroupLimitThreshold``).  What many map tasks send
-of one group is ranked in ``_PARTS`` parts first, whatever ``n`` is, so that no task meets a whole group.
+of one group is ranked in ``_PARTS`` parts first, by the task it comes from, so that no task meets a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 _PARTS = 64
@@ -17,8 +17,7 @@ _PARTS = 64
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group in ``order``, numbered from 1 in column ``rank``."""
-    spread = ["id"] if "id" in df.columns else [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
-    part = F.pmod(F.xxhash64(*spread), F.lit(_PARTS))
+    part = F.pmod(F.spark_partition_id(), F.lit(_PARTS))
     parts = rank_bounded(df.withColumn("_part", part), [*keys, "_part"], order, n, "_in_part")
     return rank_bounded(parts.drop("_part", "_in_part"), keys, order, n, rank)
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.times import age_days, as_time
 from memlake.functions.vectors import digest_embedding
+from memlake.operators.cells import find
 from memlake.operators.ranking import rank_bounded
-from memlake.operators.vectors import top_k
 from memlake.schema import DECAY_FACTOR, DECAY_MAX_DAYS
 
 # Fixed value: semantic candidates fetched per wanted result before re-ranking.
@@ -57,10 +57,15 @@ def search(
     decay_factor: float = DECAY_FACTOR,
     decay_max_days: float = DECAY_MAX_DAYS,
     metric: str = "cosine",
+    method: str = "exact",
+    **options,
 ) -> DataFrame:
-    """Per query, the best ``3n`` vectors by similarity re-ranked by ``similarity * (1 + boost)`` and cut to ``n``."""
-    hits = top_k(
-        vectors, queries, n * OVERFETCH, metric=metric,
+    """Per query, the best ``3n`` vectors by similarity re-ranked by ``similarity * (1 + boost)`` and cut to ``n``.
+
+    ``method`` is ``exact`` or ``cells``; ``options`` are those of the method (``centres`` and ``probes`` for cells).
+    """
+    hits = find(
+        vectors, queries, n * OVERFETCH, method, metric=metric, **options,
         keep=("wing", "room", "hall", "ts", "pinned"), where=location_filter(wing, room, hall),
     )
     boost = recency_boost(F.col("ts"), F.col("pinned"), as_time(as_of), decay_factor, decay_max_days, no_decay)

@@ -1,14 +1,14 @@
-"""Exact vector top-k for a batch of queries, and the vector table's write side.
+"""Exact vector top-k for query batches of any size, and the vector table's write side.
 
-The score is a matrix product, so each task multiplies Arrow batches of vectors by the query matrix and keeps its own best
-``k`` rows per query; only those leave the task.  What is shuffled is therefore tasks x queries x k rows, whatever the table
-holds.  Filters are plain column predicates in front of the scan and reach Parquet.
+The score is a matrix product.  Tasks pack the vectors they scan into blocks, one row each, and queries are packed into chunks, one row
+each; every block meets every chunk (or, in ``cells.py``, the chunks of its cell) and gives its best ``k`` rows per query.  Vectors are
+never shuffled and queries never come to the driver; each task cuts what it found to ``k`` rows per query before the shuffle.
+Filters are plain column predicates in front of the scan and reach Parquet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from memlake.functions.vectors import NORM_EPSILON
 from memlake.operators.ranking import top_n
-from memlake.session import shared_folder
+from memlake.session import materialise
 
-# A query batch is shipped to every task.  This many vectors of 384 doubles are about 12 MB; larger batches are split.
-MAX_QUERIES_PER_PASS = 4096
-
-# Columns of the score matrix computed at once inside a task.
-_QUERY_BLOCK = 256
+#: Vectors in a block and queries in a chunk: with 384 numbers 3 MB and 0.8 MB.
+BLOCK_ROWS = 2048
+CHUNK_ROWS = 256
 
 
 def top_k(
@@ -34,162 +32,147 @@ def top_k(
     keep: Sequence[str] = (),
     where: Column | None = None,
     digits: int = 9,
+    first_pass: float | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors per query: ``query_id, id, <keep>, score, rank``.
 
     ``vectors`` has ``id`` and ``embedding``; ``queries`` has ``query_id`` and ``embedding``.  ``metric`` is ``cosine`` or
     ``inner``.  Scores are rounded to ``digits`` and ties go to the smaller id, so the result is the same for any partitioning.
+    Vectors and queries that are NULL, hold NULL or other than finite numbers, or differ in length can't be compared: they are no
+    hits, and get none.
+
+    ``first_pass`` is a share of the vectors that is searched first: what a query finds there is a lower bound of its k-th best
+    score, and the whole search gives rows at or above it only.  The rows shuffled then are about ``k / first_pass`` per query in place
+    of ``k`` per query and task, for a second scan: worth it for large batches over very many tasks.
     """
-    if metric not in ("cosine", "inner"):
-        raise ValueError(f"unknown metric {metric!r}: use 'cosine' or 'inner'")
     if where is not None:
         vectors = vectors.where(where)
-    vectors = vectors.select("id", "embedding", *keep).where(F.col("embedding").isNotNull())
-
-    chunks = _query_chunks(queries)
-    query_type = queries.schema["query_id"].dataType
-    schema = T.StructType(
-        [T.StructField("query_id", query_type), vectors.schema["id"]]
-        + [vectors.schema[c] for c in keep]
-        + [T.StructField("score", T.DoubleType())]
-    )
-    passes = [
-        vectors.mapInArrow(_partial_top_k(chunk, k, metric, tuple(keep), digits), schema) for chunk in chunks
-    ]
-    if not passes:
-        empty = vectors.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(1))
-    best = [F.col("score").desc(), F.col("id")]
-    candidates = reduce(DataFrame.unionByName, passes)
-    return top_n(candidates, ["query_id"], best, k)
-
-
-def _query_chunks(queries: DataFrame) -> list[Callable[[], pa.Table]]:
-    """Loaders for the query batch, each giving a table of bounded size; one pass over the vectors per loader.
-
-    A batch of up to ``MAX_QUERIES_PER_PASS`` travels with the tasks.  A larger one never comes to the driver: it is written to
-    the shared folder in parts of about half that size, and the tasks of each pass read their part there.
-    """
-    queries = queries.select("query_id", "embedding")
-    head = queries.limit(MAX_QUERIES_PER_PASS + 1).toArrow()
-    if head.num_rows <= MAX_QUERIES_PER_PASS:
-        return [lambda: head] if head.num_rows else []
-    path = shared_folder(queries.sparkSession)
-    parts = -(-queries.count() * 2 // MAX_QUERIES_PER_PASS)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    queries.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(path)
-    return [_part_loader(f"{path}/part={i}") for i in range(parts)]
-
-
-def _part_loader(path: str) -> Callable[[], pa.Table]:
-    def load() -> pa.Table:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        filesystem, folder = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
-        found = filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        files = [f.path for f in found if f.path.endswith(".parquet")]
-        if not files:
-            return pa.table({"query_id": pa.array([], pa.string()), "embedding": pa.array([], pa.list_(pa.float64()))})
-        return ds.dataset(files, format="parquet", filesystem=filesystem).to_table()
-
-    return load
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column as a float64 matrix; every vector must have the same length."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(column) == 0:
-        return flat.reshape(0, 0)
-    if len(flat) % len(column):
-        raise ValueError("vectors of different lengths in one column")
-    return flat.reshape(len(column), -1)
-
-
-def _usable(column: pa.Array, length: int) -> np.ndarray:
-    """Which vectors have ``length`` numbers, all of them finite; the others can't be compared and are no hits."""
-    usable = pc.fill_null(pc.equal(pc.list_value_length(column), length), False).to_numpy(zero_copy_only=False)
-    matrix = _matrix(column.filter(pa.array(usable)))
-    if len(matrix):
-        usable[usable] = np.isfinite(matrix).all(axis=1)
-    return usable
+    asked = usable_queries(queries)
+    if first_pass is not None:
+        # Chosen by id, so that both passes mean the same vectors.
+        sampled = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(first_pass * (1 << 20)))
+        first = materialise(_search(sampled, asked, k, metric, (), digits).select("query_id", "score"))
+        bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        asked = asked.drop("least").join(bounds, "query_id", "left")
+    return _search(vectors, asked, k, metric, keep, digits)
 
 
-def _inverse_norms(matrix: np.ndarray) -> np.ndarray:
-    return 1.0 / (np.sqrt((matrix * matrix).sum(axis=1)) + NORM_EPSILON)
+def usable_queries(queries: DataFrame) -> DataFrame:
+    """``query_id, embedding, least`` of the queries that can be compared with anything."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where(finite & (F.size("embedding") > 0))
+    return asked.withColumn("least", F.lit(None).cast("double"))
+
+
+def _search(vectors: DataFrame, asked: DataFrame, k: int, metric: str, keep: Sequence[str], digits: int) -> DataFrame:
+    blocks = packed(vectors.withColumn("cell", F.lit(0)), metric, keep)
+    chunks = chunked(asked.withColumn("cells", F.array(F.lit(0))))
+    # Every block meets every chunk, once: a batch of queries against all vectors, in blocks.
+    return best_of(blocks.drop("cell").crossJoin(materialise(chunks).drop("cell")), vectors, asked, k, metric, keep, digits)
+
+
+def packed(vectors: DataFrame, metric: str, keep: Sequence[str]) -> DataFrame:
+    """Blocks of the vectors (id, embedding, cell, ``keep``): ``cell, dim, matrix`` and a list of each of the other columns.
 
+    For cosine the rows of a matrix are divided by their norms.
+    """
+    if metric not in ("cosine", "inner"):
+        raise ValueError(f"unknown metric {metric!r}: use 'cosine' or 'inner'")
+    names = ["id", *keep]
+    rows = vectors.select("cell", "embedding", *[F.col(c).alias(f"v{i}") for i, c in enumerate(names)]).where(F.size("embedding") > 0)
+    lists = [T.StructField(f"v{i}", T.ArrayType(vectors.schema[c].dataType)) for i, c in enumerate(names)]
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("matrix", T.BinaryType()), *lists])
 
-def _partial_top_k(load: Callable[[], pa.Table], k: int, metric: str, keep: tuple[str, ...], digits: int):
-    def best_rows(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Positions of the k best scores, ties by id."""
-        if len(scores) <= k:
-            return np.arange(len(scores))
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= floor)
-        if len(near) == k:
-            return near
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-
-    def prune(pool: pa.Table) -> pa.Table:
-        """Cut the pooled candidates to k per query."""
-        query, score = pool.column("_q").to_numpy(), pool.column("score").to_numpy()
-        order = np.lexsort((_sortable(pool.column("id")), -score, query))
-        starts = np.r_[0, np.flatnonzero(np.diff(query[order])) + 1]
-        position = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        return pool.take(pa.array(order[position < k]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            embedding = batch.column(1)
+            lengths = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
+            cells = batch.column(0).to_numpy(zero_copy_only=False)
+            for cell, dim in sorted(set(zip(cells.tolist(), lengths.tolist()))):
+                found = np.flatnonzero((cells == cell) & (lengths == dim))
+                for at in range(0, len(found), BLOCK_ROWS):
+                    part = pa.array(found[at:at + BLOCK_ROWS])
+                    matrix = _matrix(embedding.take(part))
+                    good = np.isfinite(matrix).all(axis=1)
+                    if not good.all():
+                        part, matrix = part.filter(pa.array(good)), matrix[good]
+                    if not len(part):
+                        continue
+                    if metric == "cosine":
+                        matrix = matrix * _inverse_norms(matrix)[:, None]
+                    columns = [batch.column(2 + i).take(part) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cell], pa.int32()), pa.array([dim], pa.int32()), pa.array([matrix.tobytes()], pa.binary()),
+                         *[pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in columns]],
+                        names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def chunked(asked: DataFrame) -> DataFrame:
+    """Chunks of the queries (query_id, embedding, least, cells): ``cell`` and ``queries``, a list of at most CHUNK_ROWS."""
+    numbered = asked.withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK_ROWS))
+    one = F.struct("query_id", "embedding", "least")
+    return numbered.select("chunk", F.explode("cells").alias("cell"), one.alias("one")).groupBy("cell", "chunk").agg(F.collect_list("one").alias("queries")).drop("chunk")
+
+
+def best_of(met: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, metric: str, keep: Sequence[str], digits: int) -> DataFrame:
+    """The best ``k`` rows per query of blocks that met chunks."""
+    names = ["id", *keep]
+    lists = [f"v{i}" for i in range(len(names))]
+    fields = [T.StructField("query_id", asked.schema["query_id"].dataType), *[T.StructField(c, vectors.schema[c].dataType) for c in names]]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = load()
-        if queries.num_rows == 0:
-            return
-        query_matrix = _matrix(queries.column("embedding"))
-        if metric == "cosine":
-            query_matrix = query_matrix * _inverse_norms(query_matrix)[:, None]
-        pool: pa.Table | None = None
-        limit = 4 * k * max(1, query_matrix.shape[0]) + 10_000
         for batch in batches:
-            usable = _usable(batch.column("embedding"), query_matrix.shape[1])
-            batch = batch if usable.all() else batch.filter(pa.array(usable))
-            if batch.num_rows == 0:
-                continue
-            matrix = _matrix(batch.column("embedding"))
-            ids = _sortable(batch.column("id"))
-            inverse = _inverse_norms(matrix)[:, None] if metric == "cosine" else None
-            rows, which, values = [], [], []
-            for start in range(0, query_matrix.shape[0], _QUERY_BLOCK):
-                scores = matrix @ query_matrix[start:start + _QUERY_BLOCK].T
-                if inverse is not None:
-                    scores *= inverse
-                np.round(scores, digits, out=scores)
-                for j in range(scores.shape[1]):
-                    picked = best_rows(scores[:, j], ids)
-                    rows.append(picked)
-                    which.append(np.full(len(picked), start + j))
-                    values.append(scores[picked, j])
-            taken = pa.array(np.concatenate(rows))
-            found = pa.table({
-                "_q": np.concatenate(which),
-                "id": batch.column("id").take(taken),
-                **{c: batch.column(c).take(taken) for c in keep},
-                "score": np.concatenate(values),
-            })
-            pool = found if pool is None else pa.concat_tables([pool, found])
-            if pool.num_rows > limit:
-                pool = prune(pool)
-        if pool is None:
-            return
-        pool = prune(pool)
-        owner = queries.column("query_id").combine_chunks().take(pool.column("_q").combine_chunks())
-        result = pool.drop_columns(["_q"]).add_column(0, "query_id", owner)
-        yield from result.combine_chunks().to_batches()
-
-    return run
-
-
-def _sortable(column) -> np.ndarray:
-    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+            dims, matrices, queries = batch.column("dim").to_pylist(), batch.column("matrix"), batch.column("queries")
+            for row, dim in enumerate(dims):
+                asked = queries[row].values
+                vectors, least = asked.field("embedding"), asked.field("least").to_numpy(zero_copy_only=False)
+                fitting = np.flatnonzero(pc.equal(pc.list_value_length(vectors), dim).to_numpy(zero_copy_only=False))
+                if not len(fitting):
+                    continue
+                wanted = _matrix(vectors.take(pa.array(fitting)))
+                if metric == "cosine":
+                    wanted = wanted * _inverse_norms(wanted)[:, None]
+                columns = [batch.column(c)[row].values for c in lists]
+                matrix = np.frombuffer(matrices[row].as_buffer()).reshape(-1, dim)
+                which, picked, scores = _best_rows(matrix, wanted, least[fitting], k, columns[0], digits)
+                if len(which):
+                    owner = asked.field("query_id").take(pa.array(fitting[which]))
+                    taken = pa.array(picked)
+                    yield pa.RecordBatch.from_arrays([owner, *[c.take(taken) for c in columns], pa.array(scores)], names=schema.names)
+
+    return top_n(met.select("dim", "matrix", *lists, "queries").mapInArrow(run, schema), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
+def _best_rows(matrix: np.ndarray, wanted: np.ndarray, least: np.ndarray, k: int, ids: pa.Array, digits: int):
+    """Query, row and score of the ``k`` best rows for each query, those below its ``least`` left out; ties by id."""
+    scores = np.round(matrix @ wanted.T, digits)
+    floor = np.where(np.isnan(least), -np.inf, least)
+    if len(scores) > k:
+        floor = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+    which, picked = np.nonzero((scores >= floor).T)
+    if len(which) > k * scores.shape[1]:  # more rows than k share the last place
+        order = np.lexsort((_sortable(ids)[picked], -scores[picked, which], which))
+        which, picked = which[order], picked[order]
+        starts = np.searchsorted(which, np.arange(scores.shape[1]))
+        first = np.arange(len(which)) - starts[which] < k
+        which, picked = which[first], picked[first]
+    return which, picked, scores[picked, which]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a float64 matrix; NULLs become NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _inverse_norms(matrix: np.ndarray) -> np.ndarray:
+    return 1.0 / (np.sqrt((matrix * matrix).sum(axis=1)) + NORM_EPSILON)
+
+
+def _sortable(column: pa.Array) -> np.ndarray:
+    values = column.to_numpy(zero_copy_only=False)
     return values.astype(str) if values.dtype == object else values
 
 

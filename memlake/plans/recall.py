@@ -63,25 +63,42 @@ def vector_topk_inner(spark, sf_dir):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-_BITS, _FLIPS, _DIM = 6, 1, 64
-
-
-def _cell_sql(vector: str) -> str:
-    bits = [
-        f"CASE WHEN list_dot_product({vector}, {plane.tolist()}::double[]) > 0 THEN {1 << i} ELSE 0 END"
-        for i, plane in enumerate(ce.planes(_BITS, _DIM))
-    ]
-    return f"({' + '.join(bits)})"
+@query("vector_topk_all", over("vectors", f"""
+WITH fx_queries AS (SELECT id AS query_id, embedding FROM fx_vectors)
+SELECT query_id, id, round(sem, 6) AS score, rank FROM ({_ranked(5)})"""))
+def vector_topk_all(spark, sf_dir):
+    """The nearest of every vector: a batch as large as the table, its bounds found in an eighth of the vectors first."""
+    vectors = fx.vectors(spark, sf_dir)
+    hits = ve.top_k(vectors, vectors.select(F.col("id").alias("query_id"), "embedding"), 5, first_pass=1 / 8)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vector_topk_cells", over("vectors queries", f"""
-WITH probed AS (SELECT DISTINCT xor({_cell_sql('q.embedding')}, m) AS cell FROM fx_queries q, (VALUES (0), (1), (2), (4), (8), (16), (32)) v(m))
-SELECT query_id, id, round(sem, 6) AS score, rank FROM (
-{_ranked(10, f"{_cell_sql('v.embedding')} IN (SELECT cell FROM probed)")})"""))
+@query("vector_topk_damaged", over("vectors", f"""
+WITH sound AS (SELECT * FROM fx_vectors WHERE cast(substr(id, 2) AS bigint) % 11 > 5),
+ranked AS ({_ranked(7).replace("fx_vectors v, fx_queries q", "sound v, (SELECT id AS query_id, embedding FROM sound WHERE cast(substr(id, 2) AS bigint) % 7 = 0) q")})
+SELECT query_id, id, round(sem, 6) AS score, rank FROM ranked"""))
+def vector_topk_damaged(spark, sf_dir):
+    """More than half of the vectors are damaged, each in one of six ways, and so are the queries taken from them: they neither hit nor
+    are hit, and the others' results are those of the sound vectors alone."""
+    vectors = fx.vectors(spark, sf_dir)
+    kind, e = F.substring("id", 2, 20).cast("long") % 11, F.col("embedding").cast("array<double>")
+    at = lambda place, value: F.transform(e, lambda x, i: F.when(i == place, F.lit(value).cast("double")).otherwise(x))
+    forms = [F.lit(None).cast("array<double>"), F.array().cast("array<double>"), F.slice(e, 1, 63), at(4, float("nan")), at(63, float("inf")), at(0, None)]
+    damaged = e
+    for i, form in enumerate(forms):
+        damaged = F.when(kind == i, form).otherwise(damaged)
+    damaged = vectors.withColumn("embedding", damaged)
+    # Those of 63 numbers would find each other.
+    queries = damaged.where((F.substring("id", 2, 20).cast("long") % 7 == 0) & (kind != 2)).select(F.col("id").alias("query_id"), "embedding")
+    return ve.top_k(damaged, queries, 7).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("vector_topk_cells")
 def vector_topk_cells(spark, sf_dir):
-    """Approximate search: only the cells near the queries are scored."""
-    stored = ce.assign_cells(fx.vectors(spark, sf_dir), _BITS)
-    hits = ce.top_k_near(stored, fx.topic_queries(spark, sf_dir), 10, _BITS, _FLIPS)
+    """Approximate search by name: 512 cells trained on the table (its directions hardly cluster), 110 probed by each query."""
+    vectors = fx.vectors(spark, sf_dir)
+    centres = ce.train_cells(vectors, cells=512)
+    hits = ce.find(ce.assign_cells(vectors, centres), fx.topic_queries(spark, sf_dir), 10, "cells", centres=centres, probes=110)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

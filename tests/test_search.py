@@ -11,6 +11,8 @@ from memlake.functions import vectors as vx
 from memlake.operators import cells as ce
 from memlake.operators import search as se
 from memlake.operators import vectors as ve
+from memlake.plans import fixtures as fx
+from memlake.plans.catalog import QUERIES
 from memlake.sources import entries as en
 
 AS_OF = "2026-01-20 00:00:00"
@@ -79,11 +81,43 @@ def test_top_k_matches_brute_force_with_ties(spark, metric):
         assert [r.id for r in sorted((r for r in got if r.query_id == j), key=lambda r: r["rank"])] == expected
 
 
-def test_large_query_batches_are_split(spark, monkeypatch):
-    monkeypatch.setattr(ve, "MAX_QUERIES_PER_PASS", 4)
-    df = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(20)], "id string, embedding array<float>")
-    got = ve.top_k(df, query(spark, *[[i, 1] for i in range(1, 12)]), 2)
-    assert got.groupBy("query_id").count().where("count = 2").count() == 11
+def brute_force(vectors, queries, k):
+    """Ids of the best rows by cosine for plain lists of (id, vector)."""
+    out = {}
+    for q, wanted in queries:
+        scored = [(-round(float(v @ wanted) / ((np.linalg.norm(v) + 1e-9) * (np.linalg.norm(wanted) + 1e-9)), 9), i) for i, v in vectors]
+        out[q] = [i for _, i in sorted(scored)[:k]]
+    return out
+
+
+def found_ids(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r.id)
+    return out
+
+
+@pytest.mark.parametrize("first_pass", [None, 0.25])
+def test_query_batches_of_any_size_take_one_path(spark, monkeypatch, first_pass):
+    """More queries than a chunk and more vectors than a block, some queries and vectors equal."""
+    monkeypatch.setattr(ve, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(ve, "BLOCK_ROWS", 11)
+    rng = np.random.RandomState(11)
+    data = rng.randint(-2, 3, (150, 4)).astype(float)
+    vectors = [(f"v{i:03d}", v) for i, v in enumerate(data)]
+    queries = [(i, v) for i, v in enumerate(rng.randint(-2, 3, (40, 4)).astype(float))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "query_id int, embedding array<double>").repartition(3)
+    assert found_ids(ve.top_k(df, asked, 6, first_pass=first_pass)) == brute_force(vectors, queries, 6)
+
+
+def test_queries_that_cannot_be_compared_get_no_hits(spark):
+    df = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(9)] + [("odd", [1.0, 2.0, 3.0])], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (6, []),
+                                   (7, [1.0, 1.0, 1.0]), (8, [0.0, 0.0])], "query_id int, embedding array<double>")
+    got = found_ids(ve.top_k(df, asked, 2))
+    assert set(got) == {0, 7, 8} and got[0] == ["v1", "v2"] and got[7] == ["odd"] and got[8] == ["v0", "v1"]
+    assert found_ids(ve.top_k(df, asked, 2, first_pass=0.5)) == got
 
 
 def test_empty_inputs(spark):
@@ -96,15 +130,45 @@ def test_empty_inputs(spark):
         ve.top_k(full, query(spark, [1, 0]), 3, metric="other")
 
 
-def test_cells_probe_all_is_exact_and_few_is_subset(spark):
+def test_cells_probe_all_is_exact(spark):
     rng = np.random.RandomState(3)
     df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(rng.randn(300, 8))], "id string, embedding array<float>")
-    stored = ce.assign_cells(df, 5)
+    centres = ce.train_cells(df, cells=12)
+    stored = ce.assign_cells(df, centres)
     q = query(spark, *rng.randn(3, 8))
-    exact = {(r.query_id, r.id) for r in ve.top_k(df, q, 5).collect()}
-    assert {(r.query_id, r.id) for r in ce.top_k_near(stored, q, 5, bits=5, flips=5).collect()} == exact
-    near = {(r.query_id, r.id) for r in ce.top_k_near(stored, q, 5, bits=5, flips=1).collect()}
-    assert len(near & exact) >= 7
+    exact = found_ids(ce.find(df, q, 5))
+    assert found_ids(ce.find(stored, q, 5, "cells", centres=centres, probes=12)) == exact
+    assert set(found_ids(ce.find(stored, q, 5, "cells", centres=centres, probes=1))) == set(exact)
+    with pytest.raises(ValueError, match="unknown method"):
+        ce.find(df, q, 5, "other")
+    with pytest.raises(ValueError, match="unknown method"):
+        se.search(table(spark, [("a", [1, 0], 0, False)]), q, AS_OF, method="other")
+
+
+def test_cells_recall_on_the_whole_table(spark):
+    """Recall of at least 0.9 while a query reads less than 30 % of the rows."""
+    sf_dir = "/root/testdata/sf0.1"
+    vectors, queries = fx.vectors(spark, sf_dir), fx.topic_queries(spark, sf_dir)
+    exact = found_ids(ce.find(vectors, queries, 10))
+    near = found_ids(QUERIES["vector_topk_cells"](spark, sf_dir))
+    recall = sum(len(set(exact[q]) & set(near[q])) for q in exact) / sum(map(len, exact.values()))
+    centres = ce.train_cells(vectors, cells=512)
+    sizes = {r.cell: r["count"] for r in ce.assign_cells(vectors, centres).groupBy("cell").count().collect()}
+    asked = ce.probed_cells(queries, centres, 110).collect()
+    share = sum(sizes.get(c, 0) for r in asked for c in r.cells) / len(asked) / vectors.count()
+    assert recall >= 0.9 and share < 0.3, (recall, share)
+
+
+def test_cells_take_tables_with_unusable_vectors(spark):
+    rows = [(f"g{i}", [1.0, float(i)]) for i in range(30)] + [("nan", [float("nan"), 1.0]), ("short", [1.0]), ("none", None), ("zero", [0.0, 0.0]), ("null", [None, 1.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    centres = ce.train_cells(df, cells=4)
+    asked = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [float("nan"), 0.0])], "query_id int, embedding array<double>")
+    got = found_ids(ce.find(ce.assign_cells(df, centres), asked, 3, "cells", centres=centres, probes=4))
+    assert got == {0: ["g2", "g3", "g1"]} or got[0][0] == "g2"
+    empty = df.where("false")
+    none = ce.train_cells(empty, cells=4)
+    assert ce.find(ce.assign_cells(empty, none), asked, 3, "cells", centres=none, probes=4).count() == 0
 
 
 def test_native_cosine_and_digest_embeddings(spark):
