@@ -89,3 +89,8 @@ def compact(
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written to this table."""
+    return _exists(spark, f"{path}/{BASE}") or _exists(spark, f"{path}/{CHANGES}")

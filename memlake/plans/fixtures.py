@@ -5,9 +5,13 @@ Every view covers its whole source table.  ``oracles.py`` states the same deriva
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memlake.session import use_all_cores, use_utc
+from memlake.sources.files import _filesystem
 
 AS_OF = "2024-01-20 00:00:00"
 BASE = "2023-08-01 00:00:00"
@@ -196,3 +200,20 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).withColumn(
         "file", F.concat(F.lit("/exports/c"), F.col("conv_id").cast("string"), F.lit("_"), part)
     )
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each text (path, text; a null text deletes the file) below ``root``, by the tasks that have the rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                filesystem, where = _filesystem(root + path)
+                if text is None:
+                    filesystem.delete_file(where)
+                    continue
+                filesystem.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(where) as stream:
+                    stream.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -11,7 +11,7 @@ from memlake.plans import fixtures as fx
 from memlake.plans.knowledge import CONTRADICTIONS
 from memlake.plans.oracles import compressed, over, stripped
 from memlake.plans.registry import query
-from memlake.session import shared_folder
+from memlake.session import materialise, shared_folder
 from memlake.sources import conversations as cv
 from memlake.sources import entries as en
 from memlake.sources import files as fi
@@ -36,8 +36,8 @@ def files_classify(spark, sf_dir):
 @query("files_since", over("files", """
 SELECT doc_id FROM fx_files WHERE mtime >= TIMESTAMP '2023-08-01 06:00:00'"""))
 def files_since(spark, sf_dir):
-    files = fx.files(spark, sf_dir).withColumnRenamed("mtime", "modificationTime")
-    return fi._limit(files, "2023-08-01 06:00:00", None).select("doc_id")
+    files = fx.files(spark, sf_dir).withColumnRenamed("mtime", "modificationTime").withColumn("error", F.lit(None).cast("string"))
+    return fi.select_files(files, "2023-08-01 06:00:00").select("doc_id")
 
 
 @query("files_to_drawers", over("files", rf"""
@@ -61,6 +61,58 @@ def file_vector_entries(spark, sf_dir):
     )
 
 
+def _places(spark, sf_dir) -> DataFrame:
+    """The documents as files, some below a folder whose name starts with a dot, some below one that scans leave out."""
+    doc = F.col("doc_id")
+    top = F.when(doc % 13 == 0, F.lit("/node_modules")).when(doc % 10 == 0, F.lit("/.notes/_old")).otherwise(F.lit(""))
+    files = fx.text_files(spark, sf_dir).withColumn("path", F.concat(top, F.replace("path", F.lit("/data/"), F.lit("/"))))
+    return files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+
+
+_PLACES = """(SELECT doc_id, concat(CASE WHEN doc_id % 13 = 0 THEN '/node_modules' WHEN doc_id % 10 = 0 THEN '/.notes/_old' ELSE '' END,
+  replace(path, '/data/', '/')) AS path, coalesce(text, '') AS text FROM fx_files)"""
+
+
+def _below(root: str) -> Column:
+    return F.replace("path", fi.plain_path(F.lit(root)), F.lit(""))
+
+
+@query("scan_folder", over("files", f"""
+SELECT path, strlen(text) AS length, md5(text) AS digest FROM {_PLACES} WHERE doc_id % 13 <> 0"""))
+def scan_folder(spark, sf_dir):
+    """Every document written as a file, the folder listed and read."""
+    root = f"{shared_folder(spark)}/docs"
+    fx.write_files(_places(spark, sf_dir), root)
+    found = fi.scan_files(spark, root).where("error is null")
+    return found.select(_below(root).alias("path"), "length", F.md5("content").alias("digest"))
+
+
+@query("broken_exports", over("files", r"""
+SELECT concat('/', doc_id, '.json') AS path, CASE WHEN doc_id % 11 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'broken'
+  WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'read' END AS state, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN
+  CASE WHEN regexp_matches(text, '\S') THEN 2 ELSE 1 END ELSE 0 END AS messages FROM fx_files"""))
+def broken_exports(spark, sf_dir):
+    """Documents written as exports of two messages; some are cut short, some are none, some vanish between listing and reading.  Each
+    spoils only itself."""
+    root = f"{shared_folder(spark)}/exports"
+    doc = F.col("doc_id")
+    message = F.concat(F.lit('{"text":'), _json(F.coalesce("text", F.lit(""))), F.lit(',"ts":"1","user":"u"}'))
+    whole = F.concat(F.lit("["), message, F.lit(',{"text":"end","ts":"2","user":"u"}]'))
+    text = F.when(doc % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 9)).when(doc % 5 == 0, F.lit('{"turns":[]}')).otherwise(whole)
+    files = fx.text_files(spark, sf_dir).select("doc_id", F.concat(F.lit("/"), doc.cast("string"), F.lit(".json")).alias("path"), text.alias("text"))
+    fx.write_files(files, root)
+    listed = fi.list_files(spark, root)
+    fx.write_files(files.where(doc % 11 == 0).withColumn("text", F.lit(None).cast("string")), root)
+    scanned = materialise(fi.read_files(listed).select("path", "error", fi.decode_text(F.col("content")).alias("text")))
+    exports = scanned.where("error is null").select("path", "text")
+    messages = cv.parse_exports(exports).groupBy("path").agg(F.count("*").alias("messages"))
+    broken = cv.unparsed(exports).select("path", F.lit("broken").alias("said"))
+    known = exports.select("path", F.when(cv.detect_format(F.col("path"), F.col("text")) == "unknown", "unknown").otherwise("read").alias("kind"))
+    states = scanned.select("path", "error").join(broken, "path", "left").join(known, "path", "left").join(messages, "path", "left")
+    return states.select(_below(root).alias("path"), F.when(F.col("error").isNotNull(), "unreadable").otherwise(F.coalesce("said", "kind")).alias("state"),
+                         F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
 # ---- conversations --------------------------------------------------------------------------------------------------
 
 @query("messages_to_drawers", over("turn_files", rf"""
@@ -293,6 +345,36 @@ def watch_ingest(spark, sf_dir):
     return read_current(spark, path, ["id"]).select("id", "wing", "room", "hall", F.md5("content").alias("digest"))
 
 
+_WATCHED_TEXT = "CASE doc_id % 4 WHEN 0 THEN concat(text, ' and more of it') WHEN 1 THEN substr(text, 1, 10) ELSE text END"
+
+
+@query("watch_modified", over("files", rf"""
+SELECT doc_id, md5({compressed('changed')}) AS digest, CASE WHEN doc_id % 6 = 5 OR doc_id % 4 IN (0, 1) THEN 2 ELSE 1 END AS looks FROM (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce({_WATCHED_TEXT}, '') AS changed FROM fx_files)
+WHERE doc_id % 4 <> 2 AND regexp_matches(changed, '\S')"""))
+def watch_modified(spark, sf_dir):
+    """A folder looked at three times.  After the first look files are added, lengthened, shortened and deleted; the third finds nothing.
+    ``looks`` tells which look gave the stored version."""
+    folder = shared_folder(spark)
+    root, doc = f"{folder}/in", F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    docs = fx.text_files(spark, sf_dir).select("doc_id", F.concat(F.lit("/"), doc.cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+    changed = F.when(doc % 4 == 0, F.concat("text", F.lit(" and more of it"))).when(doc % 4 == 1, F.substring("text", 1, 10)).when(
+        doc % 4 == 2, F.lit(None).cast("string")).otherwise(F.col("text"))
+    look = lambda n: wa.poll_folder(spark, root, f"{folder}/state", f"look-{n}", n, f"{folder}/drawers", f"{folder}/vectors", as_of=fx.AS_OF)
+    late = doc % 6 == 5
+    fx.write_files(docs.where(~late | (doc % 4 == 2)), root)
+    look(1)
+    fx.write_files(docs.select("doc_id", "path", changed.alias("text")).where(late | (doc % 4 != 3)), root)
+    look(2)
+    if look(3):
+        raise ValueError("a look at an unchanged folder found changes")
+    stored = spark.read.parquet(f"{folder}/drawers/changes").groupBy("id").agg(F.max("_seq").cast("int").alias("looks"))
+    current = read_current(spark, f"{folder}/drawers", ["id"])
+    kept = read_current(spark, f"{folder}/vectors", ["id"]).select("id")  # both tables lose the same rows
+    return current.join(kept, "id", "left_semi").join(stored, "id").select(F.col("room").cast("long").alias("doc_id"), F.md5("content").alias("digest"), "looks")
+
+
 # ---- adding and importing memories ----------------------------------------------------------------------------------
 
 @query("memories_add", f"""

@@ -112,3 +112,11 @@ MESSAGE = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
+
+# What a look at a folder found: each file with the ids of what it became.
+FOLDER_STATE = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("mtime", T.TimestampType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("ids", T.ArrayType(T.StringType())),
+])

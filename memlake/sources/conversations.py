@@ -112,10 +112,10 @@ def parse_exports(files: DataFrame) -> DataFrame:
 
 
 def unparsed(files: DataFrame) -> DataFrame:
-    """Export files of a known JSON format whose content is not valid for it."""
+    """Export files (path, text) that are no valid JSON, or of a known JSON format whose content is not valid for it: (path, format)."""
     tagged = files.withColumn("format", detect_format(F.col("path"), F.col("text")))
     schemas = {"claude": _CLAUDE, "chatgpt": _CHATGPT, "slack": _SLACK}
-    broken = F.lit(False)
+    broken = (suffix(F.col("path")) == ".json") & F.try_parse_json("text").isNull()
     for name, schema in schemas.items():
         broken = broken | ((F.col("format") == name) & F.from_json("text", schema).isNull())
     return tagged.where(broken).select("path", "format")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from memlake.functions.shorthand import compress
 from memlake.functions.text import is_blank
 from memlake.functions.times import as_time
+from memlake.session import materialise
 
 # Hall of a file by its extension (everything else is a fact), extensions treated as code, names left out of a
 # scan and the largest file read.
@@ -37,7 +39,11 @@ _FILE = T.StructType([
     T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()),
     T.StructField("content", T.BinaryType()),
+    T.StructField("error", T.StringType()),
 ])
+#: A round of listing: files, and folders still to be listed.
+_STEP = T.StructType([*_FILE.fields[:3], T.StructField("error", T.StringType()), T.StructField("open", T.BooleanType())])
+_FOLDERS_PER_ROUND = 1000
 
 
 # ---- path parts -----------------------------------------------------------------------------------------------------
@@ -78,117 +84,169 @@ def scan_files(
     max_bytes: int | None = None,
     skip_dirs: tuple[str, ...] = SKIP_DIRS,
     skip_files: tuple[str, ...] = SKIP_FILES,
-    hidden: bool = True,
 ) -> DataFrame:
-    """All files below ``path`` as (path, modificationTime, length, content).
+    """All files below ``path``, or the file ``path``, as (path, modificationTime, length, content, error).
 
-    Size and time limits are pushed into the listing, before any content is read.  Spark's own listing leaves out names
-    that start with ``_`` or ``.`` (such as ``__init__.py``); ``hidden`` adds those with a second, distributed listing.
-    """
-    root = full_path(spark, path)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = _limit(listed, since, max_bytes)
-    if hidden:
-        kept = kept.unionByName(_scan_hidden(spark, root, since, max_bytes, skip_dirs))
-    kept = kept.withColumn("path", plain_path(F.col("path")))
-    below = F.split(F.replace("path", F.concat(plain_path(F.lit(root)), F.lit("/")), F.lit("")), "/")
-    in_skipped = F.arrays_overlap(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))),
-                                  F.array(*[F.lit(d) for d in skip_dirs]))
-    return kept.where(~in_skipped & ~file_name(F.col("path")).isin(*skip_files))
+    Names that start with ``_`` or ``.`` (such as ``__init__.py``), which Spark's own listing leaves out, are files like others.  A
+    folder that can't be listed or a file that can't be read is a row with its ``error`` and no content; the others are not affected.
+    Size and time limits hold before any content is read.
 
+    Stores that only Spark's readers reach (see ``list_files``) are read with its ``binaryFile`` source: without those names, and one
+    unreadable file ends the job there.
+    """
+    return read_files(select_files(list_files(spark, path, skip_dirs), since, max_bytes, skip_files))
 
-def full_path(spark: SparkSession, path: str) -> str:
-    """The path with its file system, as Spark resolves it, without a trailing slash."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
 
+def list_files(spark: SparkSession, path: str, skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
+    """The files below ``path`` as (path, modificationTime, length, error), contents unread.
 
-def _limit(files: DataFrame, since, max_bytes: int | None) -> DataFrame:
+    Folders are listed by tasks, in rounds: a task walks on from the folders it was given, and what it has not reached after
+    ``_FOLDERS_PER_ROUND`` folders is dealt to all tasks again in the next round.  So neither the driver nor one task lists a large tree,
+    and wide and deep trees take few rounds.
+    """
+    root = full_path(spark, path)
+    if not _is_known(root):
+        return _listed_by_spark(spark, root, skip_dirs)
+    frontier = spark.createDataFrame([(root,)], "folder string")
+    rounds: list[DataFrame] = []
+    while True:
+        step = materialise(frontier.repartition("folder").mapInArrow(_walk(root, skip_dirs), _STEP))
+        rounds.append(step.where(~F.col("open")))
+        frontier = step.where("open").select(F.col("path").alias("folder"))
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, rounds).drop("open").withColumn("path", plain_path(F.col("path")))
+
+
+def select_files(listed: DataFrame, since=None, max_bytes: int | None = None, skip_files: tuple[str, ...] = ()) -> DataFrame:
+    """Listed files within the limits; rows with an error stay.  A time that can't be read is no limit."""
+    failed = F.col("error").isNotNull()
     if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
+        listed = listed.where(failed | (F.col("length") <= max_bytes))
     if since is not None:
-        # A time that can't be read is no filter.
         start = F.try_to_timestamp(F.lit(since)) if isinstance(since, str) else as_time(since)
-        files = files.where(start.isNull() | (F.col("modificationTime") >= start))
-    return files
+        listed = listed.where(failed | start.isNull() | (F.col("modificationTime") >= start))
+    return listed.where(~file_name(F.col("path")).isin(*skip_files)) if skip_files else listed
 
 
-def _scan_hidden(spark: SparkSession, uri: str, since, max_bytes, skip_dirs) -> DataFrame:
-    """Files whose path below the root has a part that Spark's listing ignores.
+def read_files(listed: DataFrame) -> DataFrame:
+    """Listed files with their ``content``, spread over all tasks by path and opened one by one."""
+    if "content" in listed.columns:
+        return listed
+    return listed.repartition("path").mapInArrow(_read_contents, _FILE)
 
-    The folders directly under the root are walked by different tasks; contents are then read in a second stage that is
-    spread by path, after the size and time limits.
-    """
-    from pyarrow import fs
 
-    filesystem, root = _filesystem(uri)
-    if filesystem.get_file_info(root).type != fs.FileType.Directory:
-        return spark.createDataFrame([], _FILE)
-    top = filesystem.get_file_info(fs.FileSelector(root))
-    starts = [(root, False)] + [(i.path, True) for i in top if i.type == fs.FileType.Directory and i.base_name not in skip_dirs]
-    listing = T.StructType(_FILE.fields[:3])
-    tasks = min(len(starts), spark.sparkContext.defaultParallelism * 4)
-    found = (
-        spark.createDataFrame(starts, "start string, deep boolean").repartition(tasks, "start")
-        .mapInArrow(_walk_hidden(uri, skip_dirs), listing)
-    )
-    return _limit(found, since, max_bytes).repartition("path").mapInArrow(_read_contents(uri), _FILE)
+def unreadable(files: DataFrame) -> DataFrame:
+    """What a scan could not list or read: (path, error)."""
+    return files.where(F.col("error").isNotNull()).select("path", "error")
+
+
+def full_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it, without a trailing slash."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+
+
+def _listed_by_spark(spark: SparkSession, root: str, skip_dirs: tuple[str, ...]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.split(F.replace("path", F.lit(root + "/"), F.lit("")), "/")
+    in_skipped = F.arrays_overlap(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))), F.array(*[F.lit(d) for d in skip_dirs]).cast("array<string>"))
+    return files.where(~in_skipped).withColumn("error", F.lit(None).cast("string"))
 
 
 def _filesystem(uri: str):
-    """File system and the root's path in it."""
+    """File system and the path in it.  Names of the same store in other systems' spelling are known too."""
     from pyarrow import fs
 
-    if uri.startswith("file:"):
+    if uri.startswith("file:") or uri.startswith("/"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    for other, usual in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(other):
+            uri = usual + uri.removeprefix(other)
     return fs.FileSystem.from_uri(uri)
 
 
-def _ignored_by_listing(name: str) -> bool:
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+def _is_known(uri: str) -> bool:
+    """Whether tasks can open this store without Spark's readers."""
+    try:
+        _filesystem(uri)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
 
 
-def _walk_hidden(uri: str, skip_dirs: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(root: str, skip_dirs: tuple[str, ...]):
+    def rows(folder: str) -> Iterator[tuple]:
+        """Files and unreached folders (``open``) below a folder."""
         from pyarrow import fs
 
-        filesystem, root = _filesystem(uri)
-        scheme = "" if uri.startswith("file:") else uri[: len(uri) - len(root)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                open_dirs = [row["start"]]
-                rows = []
-                while open_dirs:
-                    for info in filesystem.get_file_info(fs.FileSelector(open_dirs.pop())):
-                        if info.type == fs.FileType.Directory:
-                            if row["deep"] and info.base_name not in skip_dirs:
-                                open_dirs.append(info.path)
-                        elif any(_ignored_by_listing(part) for part in info.path[len(root):].strip("/").split("/")):
-                            rows.append((scheme + info.path, info.mtime, info.size))
-                if rows:
-                    paths, times, sizes = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(paths, pa.string()), pa.array(times, pa.timestamp("us", "UTC")), pa.array(sizes, pa.int64())],
-                        names=["path", "modificationTime", "length"],
-                    )
+        filesystem, start = _filesystem(folder)
+        scheme = folder[: len(folder) - len(start)] if not folder.startswith("file:") else ""
+        info = filesystem.get_file_info(start)
+        if info.type != fs.FileType.Directory:
+            if folder == root:
+                yield scheme + start, info.mtime, info.size, None if info.type == fs.FileType.File else "not found", False
+            return
+        waiting, reached = [start], 0
+        while waiting and reached < _FOLDERS_PER_ROUND:
+            here = waiting.pop()
+            reached += 1
+            try:
+                found = filesystem.get_file_info(fs.FileSelector(here))
+            except OSError as error:
+                yield scheme + here, None, None, _said(error), False
+                continue
+            for info in found:
+                if info.type != fs.FileType.Directory:
+                    yield scheme + info.path, info.mtime, info.size, None, False
+                elif info.base_name not in skip_dirs:
+                    waiting.append(info.path)
+        for rest in waiting:
+            yield (scheme or "file:") + rest, None, None, None, True
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
 
+        def given() -> pa.RecordBatch:
+            paths, times, sizes, errors, unreached = zip(*out)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(times, pa.timestamp("us", "UTC")), pa.array(sizes, pa.int64()), pa.array(errors, pa.string()),
+                 pa.array(unreached, pa.bool_())], names=_STEP.names)
 
-def _read_contents(uri: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, root = _filesystem(uri)
-        scheme = "" if uri.startswith("file:") else uri[: len(uri) - len(root)]
         for batch in batches:
-            for i in range(batch.num_rows):  # one file per output batch keeps memory flat
-                row = batch.slice(i, 1)
-                with filesystem.open_input_stream(row.column("path")[0].as_py()[len(scheme):]) as stream:
-                    content = stream.read()
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*row.schema.names, "content"])
+            for folder in batch.column(0).to_pylist():
+                for row in rows(folder):
+                    out.append(row)
+                    if len(out) >= 10_000:
+                        yield given()
+                        out = []
+        if out:
+            yield given()
 
     return run
 
 
+def _said(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).splitlines()[0]}"
+
+
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # one file per output batch keeps memory flat
+            row = batch.slice(i, 1).to_pydict()
+            content, error = None, row["error"][0]
+            if error is None:
+                try:
+                    filesystem, path = _filesystem(row["path"][0])
+                    with filesystem.open_input_stream(path) as stream:
+                        content = stream.read()
+                except OSError as failure:
+                    error = _said(failure)
+            given = {"path": row["path"], "modificationTime": row["modificationTime"], "length": row["length"], "content": [content], "error": [error]}
+            yield pa.RecordBatch.from_pydict(given, schema=pa.schema([
+                ("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())]))
+
+
 # ---- text and class -------------------------------------------------------------------------------------------------
 
 def non_text_extensions() -> list[str]:

@@ -1,7 +1,7 @@
 """Watch mode: files that arrive in a folder become drawers and vector entries, continuously.
 
-The file source reports every path once.  A file changed in place afterwards is picked up by ``changed_files``, a batch
-comparison of paths and times, which goes through the same ``ingest_batch``.
+``watch`` follows a stream of files, such as Spark's file source, which reports every path once.  ``watch_changes`` looks at the folder
+again and again instead: it also sees files that were changed, shortened or deleted, and takes away what they no longer hold.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from memlake.functions.vectors import digest_embedding
 from memlake.operators.claims import text_conflicts
 from memlake.operators.ranking import latest
-from memlake.operators.tables import write_change
-from memlake.schema import EXCERPT_CHARS
+from memlake.operators.tables import read_current, table_exists, write_change
+from memlake.schema import EXCERPT_CHARS, FOLDER_STATE
+from memlake.session import materialise
 from memlake.sources import conversations as cv
 from memlake.sources import files as fi
 from memlake.sources.entries import drawer_columns, vector_entries
@@ -26,13 +27,8 @@ WATCHED = (".py", ".js", ".ts", ".md", ".txt", ".json", ".yaml")
 _BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch_folder(
-    spark: SparkSession, path: str, mode: str = "files", max_files_per_trigger: int = 10_000
-) -> DataFrame:
-    """Stream of new files (path, mtime, length, text, is_text) with a watched suffix, at any depth.
-
-    In ``files`` mode, files above the size limit are dropped before their content is read.
-    """
+def watch_folder(spark: SparkSession, path: str, max_files_per_trigger: int = 10_000) -> DataFrame:
+    """Stream of new files (path, mtime, length, text, is_text) with a watched suffix, at any depth."""
     arrived = (
         spark.readStream.format("binaryFile").schema(_BINARY_FILE)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger).load(path)
@@ -72,21 +68,8 @@ def ingest_batch(
     ``convos`` mode, not a known export, go to the error table; they never stop the batch.
     """
     files = latest(files, ["path"], [F.col("mtime").desc()])
-    good, reason = F.col("is_text"), "not text"
-    if mode == "convos":
-        good = good & (cv.detect_format(F.col("path"), F.col("text")) != "unknown")
-        reason = "not a known export"
-    elif mode != "files":
-        raise ValueError(f"unknown mode {mode!r}: use files or convos")
-    usable = files.where(good)
-    if mode == "files":
-        # A single watched file is filed under its own name.
-        mined = fi.files_to_drawers(usable, as_of, wing, fi.stem(F.col("path")), carry=("mtime",))
-        extra = ("path",)
-    else:
-        messages = cv.parse_exports(usable.select("path", "mtime", "text"))
-        mined = cv.messages_to_drawers(messages, as_of, wing, carry=("mtime",))
-        extra = ("role",)
+    good, reason = _usable(mode)
+    mined, extra = _mined(files.where(good), as_of, wing, mode)
     seq = F.unix_micros(F.col("mtime").cast("timestamp"))
     write_change(drawer_columns(mined, "mtime"), drawers_path, name, seq)
     if vectors_path is not None:
@@ -97,6 +80,104 @@ def ingest_batch(
         write_change(rejected, errors_path, name, seq)
 
 
+def _usable(mode: str) -> tuple[Column, str]:
+    """Which files (path, text, is_text) the mode takes, and what is said of the others."""
+    if mode == "files":
+        return F.col("is_text"), "not text"
+    if mode == "convos":
+        return F.col("is_text") & (cv.detect_format(F.col("path"), F.col("text")) != "unknown"), "not a known export"
+    raise ValueError(f"unknown mode {mode!r}: use files or convos")
+
+
+def _mined(usable: DataFrame, as_of, wing: str, mode: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """What the files become, with their path and mtime, and the columns that go into the metadata."""
+    if mode == "files":
+        # A single watched file is filed under its own name.
+        return fi.files_to_drawers(usable, as_of, wing, fi.stem(F.col("path")), carry=("mtime",)), ("path",)
+    messages = cv.parse_exports(usable.select("path", "mtime", "text"))
+    return cv.messages_to_drawers(messages, as_of, wing, carry=("path", "mtime")), ("role",)
+
+
+def poll_folder(
+    spark: SparkSession,
+    path: str,
+    state_path: str,
+    name: str,
+    at: int,
+    drawers_path: str,
+    vectors_path: str | None = None,
+    errors_path: str | None = None,
+    as_of=None,
+    wing: str = "default",
+    mode: str = "files",
+    embedder: Callable[[Column], Column] = digest_embedding,
+    excerpt_chars: int | None = EXCERPT_CHARS,
+) -> bool:
+    """One look at a folder, as change set ``name``; whether anything had changed.
+
+    The folder's state at the last look is a table at ``state_path``: path, mtime, length and the ids of what the file became.  Files whose
+    state is new are read and ingested; ids that a changed file no longer gives, and all ids of a deleted one, are deleted from drawers
+    and vectors.  ``at`` (microseconds) is the time of the look and orders versions: later looks win, whatever the files' own times are.
+    Files that can't be read go to the error table and are tried again at the next look.  The state is written last, in one change set,
+    so a look that failed half-way is done again from the same state and replaces its own change sets.
+    """
+    listed = fi.list_files(spark, path).where(F.col("error").isNull() & fi.suffix(F.col("path")).isin(*WATCHED)).select(
+        "path", F.col("modificationTime").alias("mtime"), "length")
+    if table_exists(spark, state_path):
+        known = read_current(spark, state_path, ["path"], FOLDER_STATE)
+    else:
+        known = spark.createDataFrame([], FOLDER_STATE)
+    same = (F.col("path") == F.col("_path")) & F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("length").eqNullSafe(F.col("_length"))
+    changed = listed.join(known.select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime"), F.col("length").alias("_length")), same, "left_anti")
+    gone = known.join(listed.select("path"), "path", "left_anti")
+    if changed.isEmpty() and gone.isEmpty():
+        return False
+
+    read = fi.read_files(changed.select("path", F.col("mtime").alias("modificationTime"), "length", F.lit(None).cast("string").alias("error")))
+    files = materialise(read.select(
+        "path", F.col("modificationTime").alias("mtime"), "length", fi.decode_text(F.col("content")).alias("text"),
+        F.coalesce(fi.looks_like_text(F.col("path"), F.col("content")), F.lit(False)).alias("is_text"), "error"))
+    good, reason = _usable(mode)
+    mined, extra = _mined(files.where(F.col("error").isNull() & good), as_of, wing, mode)
+    seq = F.lit(at)
+    now = materialise(mined.select("path", "id"))
+    before = known.join(files.where("error is null").select("path"), "path", "left_semi").unionByName(gone).select(F.explode("ids").alias("id"))
+    vanished = before.join(now, "id", "left_anti").distinct()
+
+    def write(rows: DataFrame, table: str) -> None:
+        write_change(rows, table, name, seq)
+        blank = [F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        write_change(vanished.select(*blank), table, f"{name}-gone", seq, deleted=F.lit(True))
+
+    write(drawer_columns(mined), drawers_path)
+    if vectors_path is not None:
+        write(vector_entries(mined, embedder=embedder, excerpt_chars=excerpt_chars, extra=extra), vectors_path)
+    if errors_path is not None:
+        said = F.coalesce("error", F.when(~F.coalesce(good, F.lit(False)), F.lit(reason)))
+        write_change(files.select("path", "mtime", said.alias("reason")).where("reason is not null"), errors_path, name, seq)
+    ids = now.groupBy("path").agg(F.collect_list("id").alias("ids"))  # at most the messages of one file
+    state = files.where("error is null").select("path", "mtime", "length").join(ids, "path", "left").select(
+        "path", "mtime", "length", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.lit(False).alias("is_gone"))
+    rows = state.unionByName(gone.withColumn("is_gone", F.lit(True)))
+    write_change(rows, state_path, name, seq, deleted=F.col("is_gone"))
+    return True
+
+
+def watch_changes(spark: SparkSession, path: str, state_path: str, drawers_path: str, as_of, interval: str = "10 seconds", **options) -> StreamingQuery:
+    """Looks at the folder every ``interval``; ``query.stop()`` ends it.  ``options`` are those of ``poll_folder``.
+
+    A clock stream drives the looks, so that they are numbered and one that failed is repeated under its number when the stream starts
+    again.
+    """
+    def each_batch(batch: DataFrame, number: int) -> None:
+        at = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]
+        if at is not None:
+            poll_folder(spark, path, state_path, f"look-{number:012d}", at, drawers_path, as_of=as_of, **options)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{state_path}/_checkpoint").trigger(processingTime=interval).start()
+
+
 def watch(
     files: DataFrame,
     drawers_path: str,

@@ -181,7 +181,7 @@ def test_watch_files(spark, tmp_path):
 
 def test_watch_conversations(spark, exports, tmp_path):
     out, err = str(tmp_path / "d"), str(tmp_path / "e")
-    stream = wa.watch_folder(spark, exports, mode="convos")
+    stream = wa.watch_folder(spark, exports)
     wa.watch(stream, out, AS_OF, mode="convos", errors_path=err, available_now=True).awaitTermination()
     assert [r.content for r in read_current(spark, out, ["id"]).where("room = 'c'").collect()] == ["first part\nsecond part"]
     reasons = {r.path.rsplit("/", 1)[1] for r in read_current(spark, err, ["path"]).collect()}
@@ -228,6 +228,97 @@ def test_times_that_cannot_be_read(spark):
     texts = ["NaN", "Infinity", "-Infinity", "1e300", "junk", "", None, "1700000000.5"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(times.parse_epoch(F.col("t"))).alias("u"))
     assert [r.u for r in df.collect()] == [None] * 7 + [1_700_000_000_500_000]
-    files = spark.createDataFrame([("a", 1)], "path string, length long").withColumn("modificationTime", F.current_timestamp())
-    assert fi._limit(files, "not a time", None).count() == 1
-    assert fi._limit(files, "2999-01-01", None).count() == 0
+    files = spark.createDataFrame([("a", 1, None)], "path string, length long, error string").withColumn("modificationTime", F.current_timestamp())
+    assert fi.select_files(files, "not a time").count() == 1
+    assert fi.select_files(files, "2999-01-01").count() == 0
+
+
+# --- scanning folders and looking at them again
+
+def test_scan_goes_on_after_errors(spark, tmp_path, monkeypatch):
+    """Folders in several rounds, a link to nowhere, a file that vanishes after the listing, and an unknown store."""
+    monkeypatch.setattr(fi, "_FOLDERS_PER_ROUND", 2)
+    root = write(tmp_path / "in", {f"d{i}/e{i}/_f/{j}.md": f"text {i} {j}" for i in range(5) for j in range(3)} | {"top.md": "top", "build/x.md": "skipped", "gone.md": "gone"})
+    os.symlink(f"{root}/nowhere", f"{root}/dangling.md")
+    listed = fi.list_files(spark, root)
+    os.remove(f"{root}/gone.md")
+    rows = {r.path.removeprefix(root + "/"): r for r in fi.read_files(listed).collect()}
+    assert len(rows) == 17 and bytes(rows["d3/e3/_f/1.md"].content) == b"text 3 1" and "build/x.md" not in rows
+    assert {p for p, r in rows.items() if r.error} == {"gone.md"} and rows["gone.md"].content is None  # a link to nowhere is no file
+    assert [r.error.split(":")[0] for r in fi.unreadable(fi.read_files(listed)).collect()] == ["FileNotFoundError"]
+    assert fi.unreadable(fi.scan_files(spark, root)).count() == 0
+    assert fi.scan_files(spark, f"{root}/top.md").first().content == b"top"
+    assert not fi._is_known("viewfs://store/in") and fi._is_known(root)
+    by_spark = fi._listed_by_spark(spark, f"file:{root}", ("build",))
+    assert {r.path.rsplit("/", 1)[1] for r in by_spark.where("path like '%.md'").select("path").collect()} >= {"top.md"}
+
+
+def test_unparsed_exports(spark, exports):
+    assert {r.path.rsplit("/", 1)[1] for r in cv.unparsed(cv.scan_exports(spark, exports)).collect()} == {"broken.json"}
+
+
+def test_looks_at_a_changing_folder(spark, tmp_path):
+    root = write(tmp_path / "in", {"a.md": "the first", "b.md": "stays", "c.md": "goes", "d.bin": "not watched", "bad.md": b"\xff\xfe\xff"})
+    state, out, vec, err = (str(tmp_path / n) for n in ("state", "drawers", "vectors", "errors"))
+
+    def look(n):
+        return wa.poll_folder(spark, root, state, f"look-{n}", n, out, vec, err, AS_OF, "w")
+
+    def stored(table=out):
+        return {r.room: r for r in read_current(spark, table, ["id"]).collect()}
+
+    assert look(1) and {k: r.content for k, r in stored().items()} == {"a": "first", "b": "stays", "c": "goes"}
+    assert not look(2)
+    write(tmp_path / "in", {"a.md": "changed", "e.md": "late", "b.md": "   "})
+    os.remove(f"{root}/c.md")
+    for _ in range(2):  # a look that is done again replaces its own change sets
+        assert look(3)
+        assert {k: r.content for k, r in stored().items()} == {"a": "changed", "e": "late"}
+        assert set(stored(vec)) == {"a", "e"}
+        for f in (tmp_path / "state" / "changes" / "change=look-3").iterdir():
+            f.unlink()
+        (tmp_path / "state" / "changes" / "change=look-3").rmdir()
+    assert [r.reason for r in read_current(spark, err, ["path"]).collect()] == ["not text"]
+    # A file that comes back with an older time than its deletion is seen too.
+    assert look(4)
+    write(tmp_path / "in", {"c.md": "is back"}, 1_000_000_000)
+    assert look(5) and stored()["c"].content == "is back"
+
+
+def test_looks_take_vanished_messages_away(spark, tmp_path):
+    talk = "**Human:** the first message is long enough\n**Assistant:** and so is the second message\n"
+    root = write(tmp_path / "in", {"t.md": talk, "bad.json": "[1"})
+    state, out = str(tmp_path / "state"), str(tmp_path / "drawers")
+
+    def look(n):
+        wa.poll_folder(spark, root, state, f"look-{n}", n, out, as_of=AS_OF, mode="convos")
+        return sorted(r.content for r in read_current(spark, out, ["id"]).collect())
+
+    assert len(look(1)) == 2
+    write(tmp_path / "in", {"t.md": talk.split("**Assistant")[0]})
+    assert look(2) == ["first message:long enough"]
+    os.remove(f"{root}/t.md")
+    assert look(3) == []
+
+
+def test_watch_changes_runs_as_a_stream(spark, tmp_path):
+    import time
+
+    root = write(tmp_path / "in", {"a.md": "first"})
+    state, out = str(tmp_path / "state"), str(tmp_path / "drawers")
+    query = wa.watch_changes(spark, root, state, out, AS_OF, interval="1 second")
+    try:
+        for content in ("first", "second one"):
+            write(tmp_path / "in", {"a.md": content})
+            deadline = time.time() + 60
+            while time.time() < deadline:
+                try:
+                    found = [r.content for r in read_current(spark, out, ["id"]).collect()]
+                except Exception:  # nothing written yet, or being written
+                    found = []
+                if found == [content]:
+                    break
+                time.sleep(0.5)
+            assert found == [content] and query.exception() is None
+    finally:
+        query.stop()
