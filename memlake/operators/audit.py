@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.times import age_days
-from memlake.operators.store import known_hall
+from memlake.operators.store import known_hall, with_records
 from memlake.operators.triples import missing_valid_from
 
 # Fixed value: days without a new drawer after which a wing counts as inactive.
@@ -40,14 +40,14 @@ def inactive_wings(drawers: DataFrame, as_of, threshold_days: int = INACTIVE_DAY
 
 def audit(
     drawers: DataFrame, closets: DataFrame, tunnels: DataFrame, triples: DataFrame, as_of,
-    threshold_days: int = INACTIVE_DAYS,
+    threshold_days: int = INACTIVE_DAYS, wings: DataFrame | None = None, rooms: DataFrame | None = None,
 ) -> DataFrame:
-    """All counters as (metric, value).
+    """All counters as (metric, value).  Wings and rooms that only have a record count too (``wings``: name; ``rooms``: wing, name).
 
     The drawers are read once: one row per room holds its counts and newest time, and totals, wings and the two anti-joins
     are computed from those rows.
     """
-    rooms = drawers.groupBy("wing", "room").agg(
+    used = drawers.groupBy("wing", "room").agg(
         F.count("*").alias("n"), F.count_if("pinned").alias("pinned"),
         F.count_if(~F.coalesce(known_hall(), F.lit(False))).alias("orphans"), F.max("ts").alias("last"),
     )
@@ -55,18 +55,20 @@ def audit(
     linked = (
         tunnels.select(F.col("source_wing").alias("wing"), "room").distinct().withColumn("linked", F.lit(True))
     )
-    wings = (
-        rooms.join(closed, ["wing", "room"], "left").join(linked, ["wing", "room"], "left")
+    places = with_records(used, wings, rooms)
+    no_room = F.col("room").isNull()  # of a wing without rooms
+    by_wing = (
+        places.join(closed, ["wing", "room"], "left").join(linked, ["wing", "room"], "left")
         .groupBy("wing").agg(
-            F.count("*").alias("rooms"), F.sum("n").alias("n"), F.sum("pinned").alias("pinned"),
+            F.count("room").alias("rooms"), F.sum("n").alias("n"), F.sum("pinned").alias("pinned"),
             F.sum("orphans").alias("orphans"), F.max("last").alias("last"),
-            F.count_if(F.col("closed").isNull()).alias("no_closet"),
-            F.count_if(F.col("linked").isNull()).alias("no_tunnel"),
+            F.count_if(F.col("closed").isNull() & ~no_room).alias("no_closet"),
+            F.count_if(F.col("linked").isNull() & ~no_room).alias("no_tunnel"),
         )
     )
     stale = F.floor(age_days(F.col("last"), as_of)) > threshold_days
     total = lambda column: F.coalesce(F.sum(column), F.lit(0))
-    totals = wings.agg(
+    totals = by_wing.agg(
         total("orphans").alias("orphaned_drawers"), total("no_closet").alias("rooms_no_closet"),
         F.count_if(stale).alias("inactive_wings"), total("no_tunnel").alias("rooms_without_tunnel"),
         total("pinned").alias("pinned_count"), total("n").alias("total_drawers"), total("rooms").alias("total_rooms"),

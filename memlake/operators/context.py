@@ -26,10 +26,15 @@ NO_IDENTITY = "[L0] No identity set."
 NO_RESULTS = "  No results found."
 
 
+def _recent_facts(drawers: DataFrame, as_of) -> DataFrame:
+    pinned = F.coalesce("pinned", F.lit(False))
+    recent = pinned | F.coalesce(age_days(F.col("ts"), as_of) < CRITICAL_DAYS, F.lit(False))
+    return drawers.where((F.col("hall") == "facts") & recent).select("wing", "id", "ts", pinned.alias("pinned"), "content")
+
+
 def critical_facts(drawers: DataFrame, as_of, n: int = CRITICAL_FACTS) -> DataFrame:
     """Per wing: pinned or recent facts (pinned first, then newest) as one shorthand text; every wing gets a row."""
-    recent = F.col("pinned") | F.coalesce(age_days(F.col("ts"), as_of) < CRITICAL_DAYS, F.lit(False))
-    facts = drawers.where((F.col("hall") == "facts") & recent).select("wing", "id", "ts", "pinned", "content")
+    facts = _recent_facts(drawers, as_of)
     order = [F.col("pinned").desc(), F.col("ts").desc_nulls_last(), F.col("id")]
     chosen = top_n(facts, ["wing"], order, n)
     block = chosen.groupBy("wing").agg(
@@ -41,15 +46,34 @@ def critical_facts(drawers: DataFrame, as_of, n: int = CRITICAL_FACTS) -> DataFr
     )
 
 
+def critical_facts_all(drawers: DataFrame, as_of, n: int = CRITICAL_FACTS) -> DataFrame:
+    """The same over all wings: one row, also where there are no drawers."""
+    order = [F.col("pinned").desc(), F.col("ts").desc_nulls_last(), F.col("id")]
+    chosen = _recent_facts(drawers, as_of).orderBy(*order).limit(n).select(F.struct(
+        (~F.col("pinned")).alias("p"), F.col("ts").isNull().alias("u"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), "id", "content").alias("one"))
+    block = chosen.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("one")).alias("ones"))  # n rows at most
+    text = compress(F.array_join(F.transform("ones", lambda o: o["content"]), "\n"))
+    return block.select("n", F.when(F.col("n") == 0, F.lit(NO_FACTS)).otherwise(text).alias("content"))
+
+
 def identity_block(identity: str | None) -> Column:
     return F.lit(f"[L0:identity]\n{identity.strip()}" if identity and identity.strip() else NO_IDENTITY)
 
 
 def wake_up(drawers: DataFrame, as_of, identity: str | None, n: int = CRITICAL_FACTS) -> DataFrame:
     """Cold-start context per wing with its approximate size in words."""
-    facts = critical_facts(drawers, as_of, n)
+    return _woken(critical_facts(drawers, as_of, n), identity)
+
+
+def wake_up_all(drawers: DataFrame, as_of, identity: str | None, n: int = CRITICAL_FACTS) -> DataFrame:
+    """Cold-start context over all wings: one row."""
+    return _woken(critical_facts_all(drawers, as_of, n), identity)
+
+
+def _woken(facts: DataFrame, identity: str | None) -> DataFrame:
     context = F.concat(identity_block(identity), F.lit("\n\n[L1:facts]\n"), strip(F.col("content")))
-    return facts.select("wing", context.alias("context")).withColumn("words", F.size(F.split("context", r"\s+")))
+    return facts.withColumn("context", context).drop("n", "content").withColumn(
+        "words", F.size(F.split("context", r"\s+")))
 
 
 def room_recall(rooms: DataFrame, closets: DataFrame) -> DataFrame:

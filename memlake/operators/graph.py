@@ -30,8 +30,12 @@ def neighbours_many(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
     return adjacency.join(nodes.select("node").distinct(), "node", "left_semi")
 
 
-def all_rooms(drawers: DataFrame) -> DataFrame:
-    return drawers.select("wing", "room").distinct()
+def all_rooms(drawers: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
+    """Every (wing, room) with drawers, and those that only have a record (``wing``, ``name``)."""
+    places = drawers.select("wing", "room")
+    if rooms is not None:
+        places = places.unionByName(rooms.select("wing", F.col("name").alias("room")))
+    return places.distinct()
 
 
 def suggest_links(rooms: DataFrame, tunnels: DataFrame, min_rooms: int = 2) -> DataFrame:

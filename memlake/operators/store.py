@@ -175,14 +175,24 @@ def list_tunnels(tunnels: DataFrame, wing: str) -> DataFrame:
     return tunnels.where(F.col("source_wing") == wing)
 
 
-def stats(drawers: DataFrame, closets: DataFrame) -> DataFrame:
-    """Counts of wings, rooms, drawers in known halls, and closets.
+def with_records(used: DataFrame, wings: DataFrame | None = None, rooms: DataFrame | None = None) -> DataFrame:
+    """Rows per room (``wing``, ``room``, counts ...) and those of the records: a room without drawers has NULL counts, a wing without
+    rooms one row whose room is NULL."""
+    if rooms is not None:
+        used = used.join(rooms.select("wing", F.col("name").alias("room")).distinct(), ["wing", "room"], "full_outer")
+    if wings is not None:
+        used = used.join(wings.select(F.col("name").alias("wing")).distinct(), "wing", "full_outer")
+    return used
+
+
+def stats(drawers: DataFrame, closets: DataFrame, wings: DataFrame | None = None, rooms: DataFrame | None = None) -> DataFrame:
+    """Counts of wings, rooms, drawers in known halls, and closets; wings and rooms that only have a record count too.
 
     Drawers are reduced to one row per room first, so the distinct counts run over rooms and not over drawers.
     """
-    rooms = drawers.groupBy("wing", "room").agg(F.count_if(known_hall()).alias("n"))
-    return rooms.agg(
+    used = drawers.groupBy("wing", "room").agg(F.count_if(known_hall()).alias("n"))
+    return with_records(used, wings, rooms).agg(
         F.count_distinct("wing").alias("wings"),
-        F.count("*").alias("rooms"),
+        F.count("room").alias("rooms"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("drawers"),
     ).withColumn("closets", closets.where(known_hall()).agg(F.count("*")).scalar())

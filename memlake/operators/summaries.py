@@ -31,6 +31,13 @@ def fill_missing_closets(drawers: DataFrame, closets: DataFrame, as_of, limit: i
     return build_closets(drawers.join(have, ["wing", "room"], "left_anti"), as_of, limit)
 
 
+def fixed_rooms(rooms: DataFrame, closets: DataFrame) -> DataFrame:
+    """How many rooms (``wing``, ``room``) ``fill_missing_closets`` sees to: one row, ``fixed``.  A room without drawers counts, though there
+    is nothing to summarise."""
+    have = closets.where(known_hall()).select("wing", "room").distinct()
+    return rooms.select("wing", "room").distinct().join(have, ["wing", "room"], "left_anti").agg(F.count("*").alias("fixed"))
+
+
 def ratio_stats(texts: DataFrame, kind: str, original: Column, compressed: Column) -> DataFrame:
     """Mean, smallest and largest ratio per class of text, to two digits."""
     value = ratio(original, compressed)

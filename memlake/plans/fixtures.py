@@ -84,7 +84,7 @@ def tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    room_no = F.substring("room", 2, 9).cast("int")
+    room_no = F.substring("room", 2, 9).try_cast("int")
     return (
         drawers(spark, sf_dir).where((room_no % 3 != 0) & (F.col("hall") != "misc"))
         .groupBy("wing", "room", "hall").agg(F.min("content").alias("content"), F.max("ts").alias("updated"))

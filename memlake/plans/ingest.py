@@ -224,6 +224,31 @@ def _joined_turns(spark, sf_dir) -> DataFrame:
     return turns.select(F.concat("file", F.lit(".md")).alias("path"), F.array_join(parts, "").alias("text"))
 
 
+@query("text_sniff", over("files", """
+SELECT doc_id, CASE WHEN doc_id % 8 = 4 AND doc_id % 3 = 1 THEN 'a.png' ELSE 'a.txt' END AS name,
+  NOT (doc_id % 3 = 1 AND doc_id % 8 = 4) AND doc_id % 5 <> 2 AS is_text FROM fx_files"""))
+def text_sniff(spark, sf_dir):
+    """Documents as bytes: some named as images, some with bytes that are no text at their beginning, others only far behind it."""
+    doc = F.col("doc_id")
+    name = F.when((doc % 8 == 4) & (doc % 3 == 1), F.lit("a.png")).otherwise(F.lit("a.txt"))
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    padding = F.concat(F.lit("x"), F.repeat(F.lit("é"), F.lit(300))).cast("binary")  # the 512th byte is the first one of a character
+    junk = F.unhex(F.lit("FFFEFF"))
+    content = F.when(doc % 5 == 2, F.concat(junk, body)).when(doc % 5 == 3, F.concat(padding, junk, body)).otherwise(body)
+    return fx.text_files(spark, sf_dir).select("doc_id", name.alias("name"), fi.looks_like_text(name, content).alias("is_text"))
+
+
+@query("vector_metadata", over("files", rf"""
+SELECT substr(sha256(path), 1, 16) AS id, concat('["', substr(ext, 2), '","file"]') AS tags, cast(is_code AS varchar) AS code, room
+FROM ({_CLASSIFIED}) WHERE regexp_matches(text, '\S')"""))
+def vector_metadata(spark, sf_dir):
+    """Metadata of vector entries is text; a list of tags is JSON."""
+    mined = fi.files_to_drawers(fx.text_files(spark, sf_dir), fx.AS_OF, "docs").withColumn("code", F.col("hall") == "discoveries")
+    entries = en.vector_entries(mined, extra=("tags", "code"))
+    meta = F.col("metadata")
+    return entries.select("id", meta["tags"].alias("tags"), meta["code"].alias("code"), meta["room"].alias("room"))
+
+
 # ---- notes, pages, issues -------------------------------------------------------------------------------------------
 
 def _notes(spark, sf_dir) -> DataFrame:
@@ -314,6 +339,34 @@ def documents_to_drawers(spark, sf_dir):
     return both.select("room", F.md5("content").alias("digest"), F.array_join("tags", ",").alias("tags"))
 
 
+@query("reader_registry", rf"""
+SELECT reader, title, digest FROM (
+  SELECT 'obsidian' AS reader, concat('n', doc_id) AS title, md5({stripped('text')}) AS digest FROM documents WHERE regexp_matches(text, '\S')
+  UNION ALL SELECT 'notion', concat('p', page_id), md5({stripped('html')}) FROM pages WHERE regexp_matches(html, '\S'))""")
+def reader_registry(spark, sf_dir):
+    """Notes and pages written as files and read by the name of their reader."""
+    folder = shared_folder(spark)
+    notes = _notes(spark, sf_dir).select(F.replace("path", F.lit("/vault/"), F.lit("/")).alias("path"), "text").where("text is not null")
+    pages = fx.pages(spark, sf_dir).select(F.concat(F.lit("/p"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("html", F.lit("")).alias("text"))
+    fx.write_files(notes, f"{folder}/vault")
+    fx.write_files(pages, f"{folder}/export")
+    read = [no.get_reader(name)(spark, f"{folder}/{place}").select(F.lit(name).alias("reader"), F.col("metadata")["title"].alias("title"), F.md5("content").alias("digest"))
+            for name, place in (("obsidian", "vault"), ("notion", "export"))]
+    return read[0].unionByName(read[1])
+
+
+@query("notes_edited", rf"""
+SELECT concat('n', doc_id) AS room, md5(concat('edited ', {stripped('text')})) AS digest, cast(count(*) OVER () AS bigint) AS total
+FROM documents WHERE regexp_matches(text, '\S')""")
+def notes_edited(spark, sf_dir):
+    """Notes saved as drawers and saved again after an edit: the same drawers, with the new text."""
+    notes = no.parse_notes(_notes(spark, sf_dir))
+    first = no.documents_to_drawers(notes, "obsidian", fx.AS_OF)
+    second = no.documents_to_drawers(notes.withColumn("content", F.concat(F.lit("edited "), "content")), "obsidian", fx.AS_OF)
+    merged = st.upsert(first, second, ["id"])
+    return merged.select("room", F.md5("content").alias("digest"), merged.agg(F.count("*")).scalar().alias("total"))
+
+
 # ---- changing tables and the stream ---------------------------------------------------------------------------------
 
 @query("table_merge_on_read", over("drawers", """

@@ -163,6 +163,32 @@ def text_claims(spark, sf_dir):
     return cl.extract_claims(fx.claims(spark, sf_dir)).select("claim_id", "person", "verb", "task")
 
 
+@query("text_claims_many", over("claims", """
+SELECT claim_id, person, verb, cast(claim_no AS int) AS claim_no, task FROM (
+  SELECT claim_id, concat('Clerk', claim_id % 50) AS person, 'owns' AS verb, 0 AS claim_no, concat('plan ', claim_id) AS task FROM fx_claims
+  UNION ALL SELECT claim_id, 'Ümit', 'owns', 1, concat('draft-', claim_id, ' now') FROM fx_claims
+  UNION ALL SELECT claim_id, 'Maya', 'finished', 0, concat('audit_', claim_id) FROM fx_claims
+  UNION ALL SELECT claim_id, 'Kai', 'finished', 1, 'rest' FROM fx_claims WHERE claim_id % 2 = 0)"""))
+def text_claims_many(spark, sf_dir):
+    """Several claims a text, of both patterns and with other letters."""
+    number = F.col("claim_id").cast("string")
+    clerk = F.concat(F.lit("Clerk"), (F.col("claim_id") % 50).cast("string"))
+    texts = fx.claims(spark, sf_dir).select("claim_id", F.concat(
+        clerk, F.lit(" is assigned to the plan "), number, F.lit(". Ümit OWNS draft-"), number, F.lit(" now; Maya shipped audit_"), number,
+        F.when(F.col("claim_id") % 2 == 0, F.lit(", then Kai closed the rest!")).otherwise(F.lit("."))).alias("text"))
+    return cl.extract_claims(texts).select("claim_id", "person", "verb", "claim_no", "task")
+
+
+@query("quoted_entities", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('name ', doc_id) END AS entity FROM documents""")
+def quoted_entities(spark, sf_dir):
+    """The first quoted text of every document, one in three of which begins with one."""
+    doc = F.col("doc_id")
+    plain = F.translate(F.coalesce("text", F.lit("")), '"', "'")
+    text = F.when(doc % 3 == 0, F.concat(F.lit('He said "name '), doc.cast("string"), F.lit('" and "" or "later": '), plain)).otherwise(plain)
+    return fx.documents(spark, sf_dir).select("doc_id", cl.quoted_entity(text).alias("entity"))
+
+
 # Claims and active assignments with their lower-cased texts, and the pairs that contradict each other.
 CONTRADICTIONS = rf"""
 said AS MATERIALIZED (SELECT *, lower(task) AS low_task, lower(person) AS low_person FROM (

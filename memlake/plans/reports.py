@@ -11,12 +11,15 @@ from memlake.operators import diary as di
 from memlake.operators import graph as gr
 from memlake.operators import replay as rp
 from memlake.operators import search as se
+from memlake.operators import store as st
 from memlake.operators import summaries as su
+from memlake.operators.tables import append_rows
 from memlake.plans import fixtures as fx
 from memlake.plans.oracles import AS_OF, compressed, decompressed, over
 from memlake.plans.recall import _ranked
 from memlake.plans.registry import query
 from memlake.schema import AGENT
+from memlake.session import shared_folder
 
 _KNOWN = "hall IN ('facts','events','discoveries','preferences','advice')"
 
@@ -59,6 +62,25 @@ def wake_up(spark, sf_dir):
     return co.wake_up(fx.drawers(spark, sf_dir), fx.AS_OF, "I keep notes.").drop("words")
 
 
+_ALL_L1 = f"""
+WITH chosen AS (SELECT content, row_number() OVER (ORDER BY pinned DESC, ts DESC, id) AS r FROM fx_drawers
+  WHERE hall = 'facts' AND (pinned OR date_diff('microsecond', ts, {AS_OF}) / 86400000000.0 < 30) QUALIFY r <= 20),
+joined AS (SELECT count(*) AS n, string_agg(content, chr(10) ORDER BY r) AS content FROM chosen),
+block AS (SELECT n, CASE WHEN n = 0 THEN 'No critical facts available.' ELSE {compressed('content')} END AS content FROM joined)"""
+
+
+@query("wake_up_all", over("drawers", rf"""{_ALL_L1}
+SELECT *, cast(len(string_split_regex(context, '\s+')) AS int) AS words FROM (SELECT concat('[L0:identity]', chr(10), 'I keep notes.', chr(10), chr(10), '[L1:facts]', chr(10),
+  regexp_replace(content, '^\s+|\s+$', '', 'g')) AS context FROM block)"""))
+def wake_up_all(spark, sf_dir):
+    return co.wake_up_all(fx.drawers(spark, sf_dir), fx.AS_OF, "I keep notes.")
+
+
+@query("l1_facts_all", over("drawers", f"""{_ALL_L1} SELECT * FROM block"""))
+def l1_facts_all(spark, sf_dir):
+    return co.critical_facts_all(fx.drawers(spark, sf_dir), fx.AS_OF)
+
+
 @query("room_recall", over("rooms closets", r"""
 WITH lines AS (SELECT wing, room, string_agg(concat('  [', hall, '] ', regexp_replace(content, '^\s+|\s+$', '', 'g')), chr(10)
   ORDER BY list_position(['facts','events','discoveries','preferences','advice'], hall)) AS l
@@ -141,6 +163,73 @@ def audit_metrics(spark, sf_dir):
                     fx.triples(spark, sf_dir), fx.AS_OF)
 
 
+def _records(spark, sf_dir):
+    """Records of wings and rooms, some of which have no drawers: an attic in every second wing, and a planned wing for each."""
+    used = fx.drawers(spark, sf_dir).select("wing").distinct()
+    wings = used.select(F.concat("wing", F.lit("-planned")).alias("name")).unionByName(used.select(F.col("wing").alias("name")))
+    attic = used.where(F.substring("wing", 2, 9).cast("int") % 2 == 0).select("wing", F.lit("attic").alias("name"))
+    return wings, attic.unionByName(gr.all_rooms(fx.drawers(spark, sf_dir)).withColumnRenamed("room", "name"))
+
+
+_ATTICS = "(SELECT count(DISTINCT wing) FROM fx_drawers WHERE cast(substr(wing, 2) AS int) % 2 = 0)"
+
+
+@query("audit_with_records", over("drawers rooms closets tunnels triples", f"""
+SELECT metric, value + CASE WHEN metric IN ('rooms_no_closet', 'rooms_without_tunnel', 'total_rooms') THEN {_ATTICS}
+  WHEN metric = 'total_wings' THEN (SELECT count(DISTINCT wing) FROM fx_drawers) ELSE 0 END AS value FROM ({_AUDIT_SQL})"""))
+def audit_with_records(spark, sf_dir):
+    wings, rooms = _records(spark, sf_dir)
+    return au.audit(fx.drawers(spark, sf_dir), fx.closets(spark, sf_dir), fx.tunnels(spark, sf_dir), fx.triples(spark, sf_dir), fx.AS_OF, wings=wings, rooms=rooms)
+
+
+@query("stats_with_records", over("drawers rooms closets", f"""
+SELECT 2 * count(DISTINCT wing) AS wings, count(DISTINCT concat(wing, '/', room)) + {_ATTICS} AS rooms, count(*) FILTER ({_KNOWN}) AS drawers,
+  (SELECT count(*) FROM fx_closets) AS closets FROM fx_drawers"""))
+def stats_with_records(spark, sf_dir):
+    wings, rooms = _records(spark, sf_dir)
+    return st.stats(fx.drawers(spark, sf_dir), fx.closets(spark, sf_dir), wings, rooms)
+
+
+@query("rooms_fixed", over("rooms closets drawers", f"""
+SELECT {_ATTICS} + (SELECT count(*) FROM (SELECT wing, room FROM fx_rooms EXCEPT SELECT wing, room FROM fx_closets)) AS fixed"""))
+def rooms_fixed(spark, sf_dir):
+    _, rooms = _records(spark, sf_dir)
+    return su.fixed_rooms(gr.all_rooms(fx.drawers(spark, sf_dir), rooms), fx.closets(spark, sf_dir))
+
+
+@query("replay_of_hall", over("drawers", f"""
+WITH r AS (SELECT *, {decompressed('content')} AS full_text, CASE WHEN pinned THEN 'about 2023, mayb' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown,
+    row_number() OVER (PARTITION BY wing, room ORDER BY CASE WHEN pinned THEN NULL ELSE ts END NULLS FIRST, id) AS seq FROM fx_drawers WHERE hall = 'facts' QUALIFY seq <= 100),
+e AS (SELECT *, concat('[', shown, '] [FACTS]', CASE WHEN pinned THEN ' 📌' ELSE '' END, chr(10), '  ',
+  CASE WHEN length(full_text) > 300 THEN concat(substr(full_text, 1, 297), '...') ELSE full_text END, chr(10)) AS entry FROM r),
+s AS (SELECT wing, room, concat(repeat('=', 60), chr(10), 'Room: ', room, '  Wing: ', wing, chr(10), '  ', count(*), ' memories  |  from ', arg_min(shown, seq), ' to ',
+  arg_max(shown, seq), chr(10), repeat('=', 60), chr(10), chr(10), string_agg(entry, chr(10) ORDER BY seq)) AS story FROM e GROUP BY wing, room)
+SELECT wing, room, story FROM s
+UNION ALL SELECT wing, room, concat('No memories found for room ', chr(39), room, chr(39), ' in wing ', chr(39), wing, chr(39), '.') FROM (
+  SELECT DISTINCT wing, 'attic' AS room FROM fx_drawers UNION SELECT DISTINCT wing, room FROM fx_drawers) ANTI JOIN s USING (wing, room)"""))
+def replay_of_hall(spark, sf_dir):
+    """One hall of every room; pinned drawers have times that can't be read, and every wing is asked for a room that it hasn't."""
+    drawers = fx.drawers(spark, sf_dir)
+    unclear = drawers.withColumn("said", F.when(F.col("pinned"), F.lit("about 2023, maybe")).otherwise(F.col("ts").cast("string"))).withColumn(
+        "ts", F.when(~F.col("pinned"), F.col("ts")))
+    asked = gr.all_rooms(drawers).unionByName(drawers.select("wing").distinct().select("wing", F.lit("attic").alias("room")))
+    return rp.replay_text(unclear, hall="facts", raw_time="said", asked=asked)
+
+
+@query("diary_append", over("diary", f"""
+SELECT agent, md5({compressed('content')}) AS digest, 2 AS copies FROM fx_diary WHERE agent = 'user' UNION ALL
+SELECT agent, md5({compressed('content')}), 1 FROM fx_diary WHERE agent <> 'user'"""))
+def diary_append(spark, sf_dir):
+    """Every message appended to a stored diary, those of one agent twice."""
+    path = f"{shared_folder(spark)}/diary"
+    diary = fx.diary(spark, sf_dir)
+    entries = di.new_entries(diary.select("agent", "content", F.array("id").alias("tags")), fx.AS_OF)
+    append_rows(entries, path)
+    append_rows(entries.where(F.col("agent") == "user"), path)
+    stored = spark.read.parquet(path).groupBy("agent", "tags", "content").agg(F.count("*").cast("int").alias("copies"))
+    return stored.select("agent", F.md5("content").alias("digest"), "copies")
+
+
 @query("inactive_wings", over("drawers", f"""
 SELECT wing, max(ts) AS last_activity, cast(floor(date_diff('microsecond', max(ts), {AS_OF}) / 86400000000.0) AS bigint) AS days
 FROM fx_drawers GROUP BY wing HAVING days > 90"""))

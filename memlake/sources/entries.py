@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.vectors import digest_embedding
-from memlake.operators.vectors import metadata_map
+from memlake.operators.vectors import metadata_map, metadata_value
 from memlake.schema import EXCERPT_CHARS
 
 _DRAWER_COLUMNS = ["id", "wing", "room", "hall", "content", "ts", "pinned", "decay_weight", "tags"]
@@ -31,11 +31,11 @@ def vector_entries(
     """Vector entries of an ingested frame that still carries its raw text.
 
     An entry keeps an excerpt of the raw text (``excerpt_chars``; None keeps all of it) and embeds exactly what it keeps.
-    ``extra`` names further columns that go into the metadata.
+    ``extra`` names further columns that go into the metadata, lists and structs as JSON.
     """
     text = F.col(raw) if excerpt_chars is None else F.substring(F.col(raw), 1, excerpt_chars)
     pinned = F.col("pinned") if "pinned" in df.columns else F.lit(False)
-    details = {name: F.col(name).cast("string") for name in ("wing", "room", "hall", *extra)}
+    details = {name: metadata_value(df, name) for name in ("wing", "room", "hall", *extra)}
     details["timestamp"] = F.col("ts").cast("string")
     return df.select(
         "id", text.alias("text"), "wing", "room", "hall", "ts", pinned.alias("pinned"), metadata_map(**details).alias("metadata"),

@@ -158,9 +158,10 @@ def documents_to_drawers(documents: DataFrame, reader: str, as_of, wing: str = "
     """
     path = F.col("metadata")["path"]
     content = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
-    identity = F.coalesce(path, F.col("metadata")["id"], F.lit(""))
+    # An edited note keeps its id; only a document with neither path nor id is known by its content.
+    known = F.coalesce(F.nullif(path, F.lit("")), F.nullif(F.col("metadata")["id"], F.lit("")))
     return documents.select(
-        content_id(F.lit(reader), identity, F.col("content")).alias("id"),
+        F.when(known.isNotNull(), content_id(F.lit(reader), known)).otherwise(content_id(F.lit(reader), F.lit(""), F.col("content"))).alias("id"),
         F.lit(wing).alias("wing"), F.coalesce(stem(path), F.lit("unknown")).alias("room"), F.lit("facts").alias("hall"),
         content.alias("content"), F.coalesce("ts", as_time(as_of)).alias("ts"),
         F.array(F.lit("plugin"), F.lit(reader)).alias("tags"),
