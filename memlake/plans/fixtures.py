@@ -202,6 +202,23 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_joined(pieces: DataFrame, path: str) -> None:
+    """Write texts (column ``text``) one after the other, in the order they come in, as one JSON list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, where = _filesystem(path)
+        filesystem.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(where) as stream:
+            comma = b"["
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    stream.write(comma + text.encode())
+                    comma = b",\n"
+            stream.write(b"]")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    pieces.select("text").mapInArrow(run, "n long").collect()
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Write each text (path, text; a null text deletes the file) below ``root``, by the tasks that have the rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

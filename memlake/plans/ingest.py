@@ -15,6 +15,7 @@ from memlake.session import materialise, shared_folder
 from memlake.sources import conversations as cv
 from memlake.sources import entries as en
 from memlake.sources import files as fi
+from memlake.sources import large_exports as lx
 from memlake.sources import notes as no
 from memlake.sources import stored as sd
 from memlake.sources import transcripts as tr
@@ -199,6 +200,39 @@ def json_exports(spark, sf_dir):
     )
 
 
+_TURNS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY turn) AS pos, dense_rank() OVER (ORDER BY file) - 1 AS place,
+  row_number() OVER (ORDER BY file, turn) - 1 AS n, TIMESTAMP '2023-08-01 00:00:00' + turn * INTERVAL '1' MINUTE AS said_at FROM fx_turn_files)"""
+
+
+@query("json_exports_split", over("turn_files", rf"""{_TURNS}
+SELECT concat(file, '/', ending) AS path, format, 0 AS convo_idx, cast(pos + shift AS int) AS msg_idx, role,
+  md5({stripped('text')}) AS digest, epoch_us(said_at) + micros AS at_micros
+FROM numbered, (VALUES ('claude.json', 'claude', -1, 0), ('chatgpt.json', 'chatgpt', 0, 250000), ('slack.json', 'slack', -1, 100)) f(ending, format, shift, micros)
+WHERE regexp_matches(text, '\S')"""))
+def json_exports_split(spark, sf_dir):
+    """The JSON exports of all conversations as files, read in ranges of 700 bytes: the same messages as of whole files."""
+    root = f"{shared_folder(spark)}/exports"
+    fx.write_files(_export_files(spark, sf_dir).select(F.replace("path", F.lit("/exports/"), F.lit("/")).alias("path"), "text"), root)
+    messages, _ = lx.split_exports(spark, root, range_bytes=700)
+    return messages.select(F.concat(F.lit("/exports"), _below(root)).alias("path"), "format", "convo_idx", "msg_idx", "role", F.md5("text").alias("digest"),
+                           F.unix_micros("ts").alias("at_micros"))
+
+
+@query("json_exports_large", over("turn_files", rf"""{_TURNS}
+SELECT format, cast(CASE WHEN format = 'slack' THEN 0 ELSE place END AS int) AS convo_idx,
+  cast(CASE format WHEN 'slack' THEN n WHEN 'claude' THEN pos - 1 ELSE pos END AS int) AS msg_idx, role, md5({stripped('text')}) AS digest
+FROM numbered, (VALUES ('claude'), ('chatgpt'), ('slack')) f(format) WHERE regexp_matches(text, '\S')"""))
+def json_exports_large(spark, sf_dir):
+    """One file of each format that holds all conversations, read by many tasks."""
+    root = f"{shared_folder(spark)}/large"
+    files = _export_files(spark, sf_dir).withColumn("text", F.substring("text", F.lit(2), F.length("text") - 2))
+    for name in ("claude", "chatgpt", "slack"):
+        own = files.where(F.col("path").endswith(f"/{name}.json"))
+        fx.write_joined(own.repartitionByRange(1, "path").sortWithinPartitions("path"), f"{root}/{name}.json")
+    messages, _ = lx.split_exports(spark, root, range_bytes=1 << 16)
+    return messages.select("format", "convo_idx", "msg_idx", "role", F.md5("text").alias("digest"))
+
+
 @query("split_transcripts", over("turn_files", rf"""
 WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY turn) AS pos, count(*) OVER (PARTITION BY file) AS n FROM fx_turn_files)
 SELECT concat(file, '.md') AS path, cast(pos AS int) AS part_no, md5({stripped('text')}) AS digest,
