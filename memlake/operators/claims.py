@@ -64,14 +64,14 @@ def containment_ids(containers: DataFrame, parts: DataFrame) -> DataFrame:
     """(container_id, part_id) of all parts found in containers.  Inputs are distinct texts with columns ``id`` and ``text``.
 
     Containers are cut into all their pieces of the lengths that parts have, up to ``_PIECE`` characters; a piece travels with
-    the id of its text only.  A part no longer than that equals one of these pieces.  For a longer part, one of its own pieces
+    the id of its text only, as a hash.  A part no longer than that equals one of these pieces.  For a longer part, one of its own pieces
     is the join key: the one found least often; a part with a piece no container has is in none of them.  The texts of the
-    pairs so found are then compared, the longer one fetched last.  Empty and NULL texts are in no pair.
+    pairs so found are then compared, so equal hashes of different pieces do no harm; the longer one is fetched last.  Empty and NULL texts are in no pair.
     """
     parts = parts.where(F.length("text") > 0)
     lengths = parts.agg(F.collect_set(F.least(F.length("text"), F.lit(_PIECE)))).scalar()  # at most _PIECE numbers
     pieces = _pieces(containers, lengths)
-    frequency = pieces.where(F.length("piece") == _PIECE).groupBy("piece").agg(F.count("*").alias("n"))
+    frequency = pieces.where(F.col("chars") == _PIECE).groupBy("piece").agg(F.count("*").alias("n"))
     own = _pieces(parts.where(F.length("text") > _PIECE), F.array(F.lit(_PIECE)))
     rarest = (
         own.join(frequency, "piece", "left")
@@ -79,24 +79,24 @@ def containment_ids(containers: DataFrame, parts: DataFrame) -> DataFrame:
         .where(F.col("missing") == 0)
         .select("id", F.col("k.piece").alias("piece"))
     )
-    short = parts.where(F.length("text") <= _PIECE).select("id", F.col("text").alias("piece"))
-    keys = short.unionByName(rarest).select(F.col("id").alias("part_id"), "piece")
-    candidates = pieces.join(keys, "piece").select(F.col("id").alias("container_id"), "part_id").distinct()
-    with_part = candidates.join(parts.select(F.col("id").alias("part_id"), F.col("text").alias("_part")), "part_id")
+    short = parts.where(F.length("text") <= _PIECE).select(F.xxhash64("text").alias("piece"), F.col("id").alias("part_id"), F.col("text").alias("_part"))
+    long = rarest.join(parts, "id").select("piece", F.col("id").alias("part_id"), F.col("text").alias("_part"))
+    candidates = pieces.select("piece", F.col("id").alias("container_id")).join(short.unionByName(long), "piece").drop("piece")
     whole = containers.select(F.col("id").alias("container_id"), F.col("text").alias("_whole"))
-    return with_part.join(whole, "container_id").where(F.contains("_whole", "_part")).select("container_id", "part_id")
+    found = candidates.join(whole, "container_id").where(F.contains("_whole", "_part")).select("container_id", "part_id")
+    return found.distinct()  # a piece may be in several blocks of a text; the rows of a container are together already
 
 
 def _pieces(texts: DataFrame, lengths: Column) -> DataFrame:
-    """(id, piece): all substrings with one of the given lengths, distinct within a block of the text."""
+    """(id, chars, piece): all substrings with one of the given lengths, as 64-bit hashes, distinct within a block of the text."""
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(_BLOCK))
     blocks = texts.where(F.length("text") > 0).select(
         "id", F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(_BLOCK + _PIECE - 1)))).alias("block"),
     )
     sized = blocks.select("id", "block", F.explode(lengths).alias("n")).where(F.length("block") >= F.col("n"))
     places = F.sequence(F.lit(1), F.least(F.lit(_BLOCK), F.length("block") - F.col("n") + 1))
-    cut = F.array_distinct(F.transform(places, lambda i: F.substring("block", i, F.col("n"))))
-    return sized.select("id", F.explode(cut).alias("piece"))
+    cut = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("block", i, F.col("n")))))
+    return sized.select("id", F.col("n").alias("chars"), F.explode(cut).alias("piece"))
 
 
 def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text") -> DataFrame:
