@@ -128,6 +128,25 @@ def count_overlapping(intervals: DataFrame, groups: dict[str, Sequence[str]], st
     )
 
 
+def covered_periods(intervals: DataFrame, keys: Sequence[str], start: str, end: str, least: int = 1) -> DataFrame:
+    """The maximal periods of each key in which at least ``least`` of its intervals hold at any time: keys, ``start``, ``end``.
+
+    Bounds belong to their intervals, so intervals that touch go on in one period; a NULL bound is open, and so are those of the result.
+    Intervals that end before they start are left out.  Counting runs over cells of the time axis, and what opens and closes periods is
+    numbered in the same way and paired by number, so a key with very many intervals is never ordered in one task.
+    """
+    keys = list(keys)
+    running = _running_counts(_bounds(_as_numbers(intervals, start, end), keys), keys)
+    level = F.col("_started") - F.col("_ended")
+    opens, closes = (level >= least) & (level - F.col("_s") < least), (level >= least) & (level - F.col("_e") < least)
+    marks = running.select(*keys, "_at", opens.cast("int").alias("_s"), closes.cast("int").alias("_e")).where("_s + _e > 0")
+    numbered = _running_counts(marks, keys)
+    first = numbered.where("_s = 1").select(*keys, F.col("_started").alias("_k"), F.col("_at").alias("_from"))
+    last = numbered.where("_e = 1").select(*keys, (F.col("_ended") + 1).alias("_k"), F.col("_at").alias("_until"))
+    bound = lambda c: F.timestamp_micros(F.when(F.abs(F.col(c)) < _ALWAYS, F.col(c)))
+    return first.join(last, [*keys, "_k"]).select(*keys, bound("_from").alias(start), bound("_until").alias(end))
+
+
 def _as_numbers(intervals: DataFrame, start: str, end: str) -> DataFrame:
     """Bounds as microseconds, open ones as far away; only intervals that do not end before they start."""
     micros = lambda c, default: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(default))
@@ -163,6 +182,6 @@ def _running_counts(bounds: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum("_e").over(before), F.lit(0)).alias("_ce"),
     )
     return times.join(cells, [*keys, "_cell"]).select(
-        *keys, "_at", (F.col("_in_s") + F.col("_cs")).alias("_started"),
+        *keys, "_at", "_s", "_e", (F.col("_in_s") + F.col("_cs")).alias("_started"),
         (F.col("_in_e") - F.col("_e") + F.col("_ce")).alias("_ended"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.functions.times import as_time
-from memlake.operators.intervals import count_covering, count_overlapping, point_in_interval_join
+from memlake.operators.intervals import count_covering, count_overlapping, covered_periods, point_in_interval_join
 
 SPO = ["subject", "predicate", "object"]
 _COLUMNS = ["id", *SPO, "valid_from", "valid_until", "confidence", "source"]
@@ -209,6 +209,16 @@ def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ") -> DataFram
     )
 
 
+def conflict_periods(triples: DataFrame) -> DataFrame:
+    """When each (subject, predicate) had two objects or more at once: maximal periods, ``subject, predicate, valid_from, valid_until``.
+
+    Periods of one object are merged first, so an object that is stated twice is no conflict with itself.  The result grows with the
+    number of changes, however many triples hold at once.
+    """
+    one_each = covered_periods(triples.select(*SPO, "valid_from", "valid_until"), SPO, "valid_from", "valid_until")
+    return covered_periods(one_each, ["subject", "predicate"], "valid_from", "valid_until", least=2)
+
+
 def overlap_conflicts(triples: DataFrame) -> DataFrame:
     """Triples whose period overlaps that of another object of the same subject and predicate, at any time.
 

@@ -124,6 +124,25 @@ def overlap_conflicts(spark, sf_dir):
     return kg.overlap_conflicts(fx.triples(spark, sf_dir))
 
 
+@query("kg_conflict_periods", over("triples", """
+WITH t AS (SELECT subject, predicate, object, coalesce(epoch_us(valid_from), -9000000000000000000) AS s, coalesce(epoch_us(valid_until), 9000000000000000000) AS e
+  FROM fx_triples),
+i AS (SELECT *, sum(new) OVER (PARTITION BY subject, predicate, object ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY subject, predicate, object ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+  FROM t WHERE s <= e)),
+m AS (SELECT subject, predicate, min(s) AS s, max(e) AS e FROM i GROUP BY subject, predicate, object, island),
+b AS (SELECT DISTINCT subject, predicate, unnest([s, e]) AS moment FROM m),
+c AS (SELECT b.subject, b.predicate, moment, count(*) AS n, count(*) FILTER (s < moment) AS before, count(*) FILTER (e > moment) AS later
+  FROM b JOIN m ON b.subject = m.subject AND b.predicate = m.predicate AND s <= moment AND e >= moment GROUP BY ALL),
+opening AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY moment) AS k FROM c WHERE n >= 2 AND before < 2),
+closing AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY moment) AS k FROM c WHERE n >= 2 AND later < 2)
+SELECT subject, predicate, CASE WHEN o.moment > -9000000000000000000 THEN o.moment END AS from_micros, CASE WHEN e.moment < 9000000000000000000 THEN e.moment END AS until_micros
+FROM opening o JOIN closing e USING (subject, predicate, k)"""))
+def conflict_periods(spark, sf_dir):
+    return kg.conflict_periods(fx.triples(spark, sf_dir)).select(
+        "subject", "predicate", F.unix_micros("valid_from").alias("from_micros"), F.unix_micros("valid_until").alias("until_micros"))
+
+
 @query("kg_as_of_join", over("triples", """
 SELECT e.event_id, any_value(e.event_type) AS event_type, count(t.id) AS n_facts
 FROM events e LEFT JOIN fx_triples t ON t.subject = concat('u', cast(e.user_id AS varchar))

@@ -199,3 +199,28 @@ def test_interval_join_matches_brute_force(spark, stretch):
     got = [(r.pid, r.id) for r in joined.collect()]
     assert len(got) == len(set(got))
     assert set(got) == expected
+
+
+def test_conflict_periods_against_all_moments(spark):
+    """Whole numbers as days: the periods hold at exactly the moments (days and half days) where two objects hold."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        start = rng.choice([None, *range(1, 28)])
+        rows.append((i, rng.choice("AB"), "p", rng.choice("xyz"), start, rng.choice([None, *range(1, 29)]) if rng.random() < 0.3 else (start or 1) + rng.randrange(-1, 4)))
+    rows += [(1000 + i, "hot", "p", f"o{i % 3}", 5, 6) for i in range(300)] + [(2000, "touch", "p", "x", 1, 5), (2001, "touch", "p", "y", 5, 9), (2002, "touch", "p", "x", 9, 12),
+             (2003, "same", "p", "x", 1, 9), (2004, "same", "p", "x", 3, 5)]
+    day = lambda c: f"timestamp_micros(cast({c} as bigint) * 86400000000)"
+    df = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, a int, b int").selectExpr(
+        "id", "subject", "predicate", "object", f"{day('a')} AS valid_from", f"{day('b')} AS valid_until").repartition(5)
+    found = kg.conflict_periods(df).selectExpr("subject", "unix_micros(valid_from) / 86400000000 AS a", "unix_micros(valid_until) / 86400000000 AS b").collect()
+    holds = lambda a, b, t: (a is None or a <= t) and (b is None or t <= b)
+    for subject in {r[1] for r in rows}:
+        for t in [x / 2 for x in range(-2, 70)]:
+            objects = {o for _, s, _, o, a, b in rows if s == subject and holds(a, b, t) and not (a is not None and b is not None and b < a)}
+            assert sum(holds(r.a, r.b, t) for r in found if r.subject == subject) == (len(objects) > 1), (subject, t)
+    assert [(r.a, r.b) for r in found if r.subject == "hot"] == [(5, 6)]
+    assert sorted((r.a, r.b) for r in found if r.subject == "touch") == [(5, 5), (9, 9)] and not [r for r in found if r.subject == "same"]
+    assert kg.conflict_periods(df.where("false")).count() == 0
