@@ -432,6 +432,31 @@ def watch_ingest(spark, sf_dir):
     return read_current(spark, path, ["id"]).select("id", "wing", "room", "hall", F.md5("content").alias("digest"))
 
 
+@query("watch_burst", over("files", rf"""
+SELECT substr(sha256(path), 1, 16) AS id, 1 + cast(doc_id % 4 = 0 AS int) AS versions, md5({compressed("CASE WHEN doc_id % 4 = 0 THEN concat(text, ' again') ELSE text END")}) AS digest
+FROM fx_files WHERE regexp_matches(text, '\S')"""))
+def watch_burst(spark, sf_dir):
+    """Every file reported four times within minutes, one in four changed on the way: each text is written once."""
+    path = f"{shared_folder(spark)}/drawers"
+    doc = F.col("doc_id")
+    events = fx.files_of(fx.table_stream(spark, sf_dir, "documents")).withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    text = F.when((doc % 4 == 0) & (F.col("n") >= 2), F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    later = F.timestamp_micros(F.unix_micros(F.col("mtime").cast("timestamp")) + F.col("n") * 60_000_000)
+    arriving = events.select("path", later.alias("mtime"), "length", text.alias("text"), F.lit(True).alias("is_text"), "doc_id")
+
+    changed = (doc % 4 == 0) & F.col("text").endswith(" again")
+
+    def in_order(batch, number):  # within one batch only the newest state of a path would be taken
+        for part, wanted in enumerate((~changed, changed)):
+            wa.ingest_batch(batch.where(wanted), f"batch-{number}-{part}", path, None, None, fx.AS_OF, "w")
+
+    writer = wa.without_repeats(arriving, "1 hour").writeStream.foreachBatch(in_order).option("checkpointLocation", f"{path}/_checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.parquet(f"{path}/changes").groupBy("id").agg(F.count("*").cast("int").alias("versions"))
+    current = read_current(spark, path, ["id"]).select("id", F.md5("content").alias("digest"))
+    return versions.join(current, "id")
+
+
 _WATCHED_TEXT = "CASE doc_id % 4 WHEN 0 THEN concat(text, ' and more of it') WHEN 1 THEN substr(text, 1, 10) ELSE text END"
 
 

@@ -178,6 +178,12 @@ def watch_changes(spark: SparkSession, path: str, state_path: str, drawers_path:
     return clock.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{state_path}/_checkpoint").trigger(processingTime=interval).start()
 
 
+def without_repeats(files: DataFrame, within: str) -> DataFrame:
+    """A stream of files (path, mtime, text, ...) without those that repeat path and text of an earlier one by less than ``within``."""
+    hashed = files.withColumn("mtime", F.col("mtime").cast("timestamp")).withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    return hashed.withWatermark("mtime", within).dropDuplicatesWithinWatermark(["path", "_text"]).select(*files.columns)
+
+
 def watch(
     files: DataFrame,
     drawers_path: str,
@@ -188,13 +194,20 @@ def watch(
     errors_path: str | None = None,
     checkpoint: str | None = None,
     available_now: bool = False,
+    burst: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Start the stream; ``query.stop()`` ends it.
 
     ``files`` is ``watch_folder`` or any stream of the same columns.  The checkpoint lives with the table by default, so
     micro-batch numbers, which name the change sets, belong to one table.
+
+    Editors and copies report a file several times in a row.  With ``burst`` (such as ``10 minutes``) a path that comes again with the
+    same text within that time is left out before anything is embedded or written; the state kept for it is bounded by that time.
     """
+    if burst is not None:
+        files = without_repeats(files, burst)
+
     def each_batch(batch: DataFrame, number: int) -> None:
         batch.persist()  # read for drawers, vectors and errors
         try:
