@@ -83,15 +83,16 @@ def seeded_order(seed: int, epoch: Column, doc_id: Column, text: Column) -> Colu
 
 def choose(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *, budget_share: float = 1.0,
            max_epochs: int = MAX_EPOCHS, seed: int = SEED, tokens: Column | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``mix_tokens`` and ``mix_copies``, how often each row is taken (0: left out).
+    """``docs`` with ``mix_tokens``, ``mix_copies``, how often each row is taken whole, and ``mix_part``, the tokens of a further copy that is cut.
 
     The budget is ``budget_share`` of all tokens.  A leaf with quota ``q`` and ``a`` tokens gives ``q // a`` whole epochs, then the
-    prefix of the next epoch, in the order of a seeded hash, whose tokens fit into what is left of ``q``.
+    first ``q % a`` tokens of the next epoch, in the order of a seeded hash; the document in which they end is taken in part, so the
+    tokens given are the quota.  Equal rows (of one hash) share what is left for them, so at most a token for each of them is not given.
 
     The prefix is found without sorting a leaf: tokens are added up by 4096 ranges of the hash, and only the range in which the quota
-    ends is ordered, by leaf.  Rows without tokens (null or empty text) belong to the prefix if their hash does.  Rows whose hash is equal
-    (repeated rows) are taken together or not at all.  A null level is a branch of its own; a null id hashes as "-"; names may
-    clash with anything but mix_tokens and mix_copies; an empty table gives no rows.
+    ends is ordered, by leaf.  Rows without tokens (null or empty text) belong to the prefix if their hash does.  A null level is a branch
+    of its own; a null id hashes as "-"; very long texts count whole; names may clash with anything but mix_tokens, mix_copies and
+    mix_part; an empty table gives no rows.
     """
     names = [f"_level{k}" for k in range(len(levels))]
     counted = word_tokens(text) if tokens is None else tokens.cast("long")
@@ -112,22 +113,54 @@ def choose(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str,
     # The range in which the quota ends: the first one that doesn't fit whole; without one the whole epoch would fit.
     edge = ranges.where(F.col("before") + F.col("tokens") > F.col("left")).groupBy(*names).agg(
         F.min("range").alias("range"), F.min_by("before", "range").alias("before"))
-    ends = hashed.withColumn("range", F.substring("hash", 1, 3)).join(edge, [*names, "range"]).groupBy(*names, "range", "before", "left", "hash").agg(F.sum("tokens").alias("tokens"))
+    ends = hashed.withColumn("range", F.substring("hash", 1, 3)).join(edge, [*names, "range"]).groupBy(*names, "range", "before", "left", "hash").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     upto = Window.partitionBy(*names).orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = ends.withColumn("total", F.col("before") + F.sum("tokens").over(upto)).where(F.col("total") <= F.col("left")).groupBy(*names).agg(F.max("hash").alias("cut"))
-    cuts = materialise(plan.select(*names, "epochs", "left").join(edge.select(*names, "range"), names, "left").join(last, names, "left")
-                       .withColumn("cut", F.when(F.col("range").isNull(), F.lit("g")).otherwise(F.coalesce("cut", "range"))).select(*names, "epochs", "left", "cut"))
-    keyed = docs.select("*", *level_columns, counted.alias("mix_tokens"))
+    totals = ends.withColumn("total", F.col("before") + F.sum("tokens").over(upto))
+    last = totals.where(F.col("total") <= F.col("left")).groupBy(*names).agg(F.max("hash").alias("cut"))
+    # The document in which the quota ends, and how much of it is wanted.
+    share = F.floor((F.col("left") - F.col("total") + F.col("tokens")) / F.col("rows"))
+    crossed = totals.where(F.col("total") > F.col("left")).groupBy(*names).agg(F.min_by(F.struct("hash", share.alias("part")), "hash").alias("next"))
+    cuts = materialise(plan.select(*names, "epochs", "left").join(edge.select(*names, "range"), names, "left").join(last, names, "left").join(crossed, names, "left")
+                       .withColumn("cut", F.when(F.col("range").isNull(), F.lit("g")).otherwise(F.coalesce("cut", "range"))).select(
+                           *names, "epochs", "left", "cut", F.col("next.hash").alias("next"), F.col("next.part").alias("part")))
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    taken = keyed.join(cuts, names, "left").withColumn("_hash", seeded_order(seed, F.col("epochs"), F.col(id_column), digest))
-    extra = (F.col("left") > 0) & (F.col("_hash") <= F.col("cut"))
-    return taken.withColumn("mix_copies", F.col("epochs") + extra.cast("long")).drop(*names, "epochs", "left", "cut", "_hash")
+    # The caller's columns stay inside one struct, where their names can't clash.
+    keyed = docs.select(F.struct("*").alias("row"), *level_columns, counted.alias("tokens"), F.col(id_column).alias("id"), digest.alias("digest"))
+    taken = keyed.join(cuts, names, "left").withColumn("hash", seeded_order(seed, F.col("epochs"), F.col("id"), F.col("digest")))
+    copies = F.col("epochs") + ((F.col("left") > 0) & (F.col("hash") <= F.col("cut"))).cast("long")
+    part = F.when((F.col("left") > 0) & (F.col("hash") == F.col("next")), F.col("part")).otherwise(F.lit(0))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("tokens").alias("mix_tokens"), copies.alias("mix_copies"),
+                        part.cast("long").alias("mix_part"))
+
+
+def first_words(text: str, n: Column) -> Column:
+    """The beginning of a text with its first ``n`` words."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]] = WEIGHTS, **options) -> DataFrame:
-    """The mixture: the rows and columns of ``docs``, each row as often as ``choose`` takes it."""
-    chosen = choose(docs, levels, weights, **options).where("mix_copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    """The mixture: the columns of ``docs``, each row as often as ``choose`` takes it, and cut copies behind; n_chars follows the text.
+
+    Tokens are words here.  Null and empty texts, repeated rows, ties, very long texts and an empty table as in ``choose``; columns of
+    ``docs`` may have any names but mix_tokens, mix_copies and mix_part.
+    """
+    chosen = choose(docs, levels, weights, **options).where("mix_copies > 0 OR mix_part > 0")
+    name = options.get("text", "text")
+    whole = F.array_repeat(F.lit(0).cast("long"), F.col("mix_copies").cast("int"))
+    cuts = F.explode(F.concat(whole, F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<long>"))))
+    packed = chosen.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), cuts.alias("cut"))
+    cut_text = F.when(F.col("cut") > 0, first_words(f"row.{name}", F.col("cut"))).otherwise(F.col("row").getField(name))
+    packed = packed.withColumn("new_text", cut_text)
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == name:
+            value = F.col("new_text")
+        elif c == "n_chars":
+            value = F.when(F.col("cut") > 0, F.length("new_text").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return packed.select(*columns)
 
 
 def production_levels() -> dict[str, Column]:
@@ -162,7 +195,8 @@ _ORACLE = rf"""
 WITH n AS (
   SELECT doc_id, coalesce('=d' || CAST(TRY_CAST(nullif(regexp_extract(source, '[0-9]+'), '') AS INTEGER) % 5 AS VARCHAR), '-') AS domain,
          coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS digest
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS digest
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS available FROM n GROUP BY ALL),
 b AS (SELECT least(sum(available), sum(available) * {MAX_EPOCHS}) AS budget FROM leaves),
@@ -172,9 +206,11 @@ p AS (SELECT domain, lang, source, available, CASE WHEN available > 0 THEN budge
 h AS (SELECT n.*, epochs, quota - epochs * available AS rest,
              md5('{SEED}:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || digest) AS hash
       FROM n JOIN p USING (domain, lang, source)),
-t AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM h)
+t AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total,
+        sum(tokens) OVER (PARTITION BY domain, lang, source, hash) AS alike, count(*) OVER (PARTITION BY domain, lang, source, hash) AS n FROM h)
 SELECT doc_id, nullif(substr(domain, 2), '') AS domain, nullif(substr(lang, 2), '') AS lang, nullif(substr(source, 2), '') AS source, tokens AS n_tokens,
-       CAST(epochs + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+       CAST(epochs + CASE WHEN rest > 0 AND total <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+       CAST(CASE WHEN rest > 0 AND total > rest AND total - alike < rest THEN (rest - total + alike) // n ELSE 0 END AS BIGINT) AS part_tokens
 FROM t
 """
 
@@ -183,4 +219,5 @@ FROM t
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = production_levels()
     chosen = choose(table(spark, sf_dir), levels, WEIGHTS)
-    return chosen.select("doc_id", levels["domain"].alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+    return chosen.select("doc_id", levels["domain"].alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"),
+                         F.col("mix_part").alias("part_tokens"))

@@ -227,7 +227,7 @@ def test_mixture_by_brute_force(parquet):
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["en", "fr", None]), rng.choice(["s0", "s1", "s5", None])) for i in range(200)]
     rows += [rows[3]] * 2
     df = parquet(rows)
-    got = {r.doc_id: (r.mix_tokens, r.mix_copies) for r in mixing.choose(df, mixing.production_levels(), max_epochs=2).collect()}
+    got = {r.doc_id: (r.mix_tokens, r.mix_copies, r.mix_part) for r in mixing.choose(df, mixing.production_levels(), max_epochs=2).collect()}
     leaves = {}
     for i, t, lang, s in rows:
         n = int(s[1:]) % 5 if s else None
@@ -262,10 +262,36 @@ def test_mixture_by_brute_force(parquet):
         have = sum(n for _, n, _ in docs)
         epochs, left = divmod(quotas[leaf], have)
         hashed = sorted((hashlib.md5(f"{mixing.SEED}:{epochs}:{i}:{d}".encode()).hexdigest(), i, n) for i, n, d in docs)
+        given = 0
         for i, n, _ in docs:
             mine = next(h for h, k, _ in hashed if k == i)
-            extra = left > 0 and sum(m for h, _, m in hashed if h <= mine) <= left
-            assert got[i] == (n, epochs + extra), (leaf, i)
+            before, same = sum(m for h, _, m in hashed if h < mine), [m for h, _, m in hashed if h == mine]
+            extra = left > 0 and before + sum(same) <= left
+            part = max(0, left - before) // len(same) if left > 0 and not extra else 0
+            assert got[i] == (n, epochs + extra, part), (leaf, i)
+            given += n * (epochs + extra) + part
+        # The whole quota is given, but for what equal rows can't share evenly.
+        assert quotas[leaf] - max(sum(k == j for j, _, _ in docs) for k, _, _ in docs) < given <= quotas[leaf]
+
+
+def test_mixture_gives_whole_documents_and_one_cut_for_each_leaf(spark):
+    rows = [(i, "  " + " \n".join(f"w{i}_{k}" for k in range(5 + i % 7)) + " ", "en", "s1", 1) for i in range(30)] + [(90, "x " * 500, "fr", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    mixed = mixing.mix(docs, mixing.production_levels(), max_epochs=1, budget_share=0.5).collect()
+    texts = {r[0]: r[1] for r in rows}
+    total = sum(len(t.split()) for t in texts.values())
+    assert sum(len(r.text.split()) for r in mixed) in range(total // 2 - 3, total // 2 + 1)
+    cut = [r for r in mixed if r.text != texts[r.doc_id]]
+    assert len(cut) <= 2 and all(texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) and r.text for r in cut)
+
+
+def test_mixture_takes_columns_of_any_name(spark):
+    names = ["epochs", "left", "cut", "_hash", "_level0", "_level1", "row", "hash", "tokens", "id", "digest", "next", "part", "range", "quota", "new_text", "rows"]
+    docs = spark.createDataFrame([(i, "a b c d", "en", "s1", 7, *["v"] * len(names)) for i in range(9)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix(docs, mixing.production_levels(), max_epochs=1, budget_share=0.5)
+    assert mixed.columns == docs.columns and all(set(r[5:]) == {"v"} for r in mixed.collect())
+    assert sum(len(r.text.split()) for r in mixed.collect()) == 18
 
 
 def test_mixture_of_odd_rows(odd, empty):
