@@ -19,6 +19,8 @@ SMOOTHING = 0.1
 PENALTY = 2.0  # for each language beyond the first, times the log of the number of letters
 SLICE_CHARS = 1 << 20
 ITERATIONS = 50
+#: Languages of a model: its size on the driver and in each task is 4 * 2**BITS bytes for each, 134 MB for all.
+MAX_LANGS = 128
 
 
 def _letters() -> np.ndarray:
@@ -155,11 +157,15 @@ def identify(texts: list[str | None], model: Model, penalty: float = PENALTY) ->
     return pred, np.clip(score, 0, 1), sets, shares
 
 
-def train(labelled: DataFrame) -> Model:
+def train(labelled: DataFrame, max_langs: int = MAX_LANGS) -> Model:
     """A model of all whole texts of ``labelled`` (text, lang); rows without text or lang teach nothing.
 
-    Counts are added up by Spark; what reaches the driver is at most 2**BITS numbers for each language.
+    Counts are added up by Spark; what reaches the driver is at most 2**BITS numbers for each language.  A model has ``max_langs`` languages
+    at most: with more values of lang than that, those of the most rows (ties: the name that sorts first), and rows of others teach nothing.
     """
+    names = labelled.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("rows"))
+    known = [r["lang"] for r in names.orderBy(F.col("rows").desc(), "lang").limit(max_langs).collect()]
+    labelled = labelled.where(F.col("lang").cast("string").isin(known)) if known else labelled.where(F.lit(False))
     rows = bounded(labelled).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     summed = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow().to_pandas()

@@ -191,8 +191,11 @@ def _read(with_payload: bool):
                 found = hashlib.sha256(payload).digest()
                 if found != media_id:
                     raise ValueError("damaged medium")
+                # The stored form is one string of bytes: the head, as the stored plan has it, and the chunks in order, as they were read.
                 head = manifest([(s["digest"], s["length"]) for s in plan], len(payload))
-                rows.append((media_id, len(payload), found.hex(), zlib.crc32(payload[-16:]), len(head) + len(payload), hashlib.sha256(head).hexdigest(),
+                stored = hashlib.sha256(head)
+                stored.update(payload)
+                rows.append((media_id, len(payload), found.hex(), zlib.crc32(payload[-16:]), len(head) + len(payload), stored.hexdigest(),
                              feature_of(payload, len(plan)), *([payload] if with_payload else [])))
             if rows:
                 kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if with_payload else [])]
@@ -204,7 +207,7 @@ def _read(with_payload: bool):
 
 def read_store(spark: SparkSession, folder: str, *, with_payload: bool = False) -> DataFrame:
     """A row for each stored payload, rebuilt and checked: media_id, payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes),
-    media_bytes and media_sha256 (of the stored form: its head and chunks, and of the head that names them), feature, and the payload if asked for.
+    media_bytes and media_sha256 (length and digest of the stored form: its head and then its chunks), feature, and the payload if asked for.
 
     Payloads without borrowed chunks are read where they lie; the others meet the chunks they borrow by digest.
     """

@@ -1,6 +1,7 @@
 """Each operator against brute force, and with nulls, empty and very long texts, repeated rows, clashing names and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -429,6 +430,71 @@ def test_em_shares():
     assert share == pytest.approx([0.75, 0.25], abs=1e-3)
 
 
+def best_subset(p, n, penalty):
+    """The languages of the best penalised likelihood among all subsets, with their shares."""
+    tries = []
+    for size in range(1, p.shape[1] + 1):
+        for chosen in itertools.combinations(range(p.shape[1]), size):
+            share = np.full(size, 1 / size)
+            for _ in range(400):
+                joint = p[:, chosen] * share
+                share = (joint / joint.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
+            tries.append((float(n @ np.log((p[:, chosen] * share).sum(1))) - penalty * (size - 1), chosen, share))
+    return max(tries, key=lambda t: t[0])
+
+
+def test_chosen_languages_are_the_best_of_all_subsets():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        p = rng.dirichlet(np.full(60, 0.3), 4).T + 1e-4
+        truth = rng.dirichlet(np.ones(rng.integers(1, 4)))
+        n = rng.multinomial(400, (p[:, :len(truth)] @ truth) / (p[:, :len(truth)] @ truth).sum()).astype(float)
+        penalty = 2 * np.log(n.sum() + 1)
+        value, chosen, share = best_subset(p, n, penalty)
+        found, shares = language.select_languages(np.log(p), n, penalty)
+        assert sorted(found) == sorted(chosen)
+        assert dict(zip(found, shares)) == pytest.approx(dict(zip(chosen, share)), abs=0.01)
+
+
+def test_prediction_by_brute_force(spark, tmp_path):
+    """The whole query against plain counting of trigrams and trying all sets of languages."""
+    rng = random.Random(12)
+    alphabet = {"xx": "abcdeéß", "yy": "abcfghi", "zz": "mnopabq"}
+    word = lambda lang: "".join(rng.choice(alphabet[lang]) for _ in range(rng.randrange(2, 7)))
+    rows = [(i, " ".join(word(lang).upper() if rng.random() < 0.2 else word(lang) for _ in range(rng.randrange(30, 90))), lang) for i in range(60) for lang in [rng.choice(list(alphabet))]]
+    rows += [(100 + i, " ".join([word("xx") for _ in range(40)] + [word("zz") for _ in range(20 + i)]), "xx") for i in range(10)]
+    rows += [(200, None, "xx"), (201, "", "yy"), (202, "12 .", "zz"), (203, "abc", None), (None, "mno mno", "zz")]
+    spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, *_ in rows}
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        return [t[k - 1:k + 2] for k in range(1, len(t) - 1) if t[k] != " "]
+
+    counts = {lang: Counter(g for i, t, known in rows if known == lang and t is not None and not held[i] for g in grams(t)) for lang in alphabet}
+    chance = lambda g, lang: (counts[lang][g] + language.SMOOTHING) / (sum(counts[lang].values()) + language.SMOOTHING * 2 ** language.BITS)
+    got = {r.doc_id: r for r in language.op7_language(spark, str(tmp_path)).collect()}
+    langs = sorted(alphabet)
+    for i, text, _ in rows:
+        seen = Counter(grams(text))
+        if not seen:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = np.array([[chance(g, lang) for lang in langs] for g in seen])
+        n = np.array([float(c) for c in seen.values()])
+        _, chosen, share = best_subset(p, n, language.PENALTY * np.log(n.sum() + 1))
+        total = (n[:, None] * np.log(p)).sum(0)
+        score = share.max() * (1 / np.exp(total - total.max()).sum() if len(chosen) == 1 else 1)
+        assert got[i].lang_pred == langs[chosen[int(share.argmax())]] and got[i].held_out == held[i]
+        assert got[i].score == pytest.approx(score, abs=0.02)
+
+
+def test_number_of_languages_is_bounded(parquet):
+    rows = [(i, "abc abd", f"l{i % 7}", "s") for i in range(30)]
+    model = language.train(parquet(rows), max_langs=3)
+    assert model.langs == ["l0", "l1", "l2"]
+
+
 def test_held_out_accuracy(spark):
     got = language_rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(language_rows.where(~language.held_out()))
