@@ -6,11 +6,13 @@ the surnames of these wherever else they stand in the same text.
 Equal entities get equal surrogates in the whole table, also where they are written differently (phone numbers by their digits,
 addresses without regard to case, a surname after different titles); different entities get different ones.  Surrogates are drawn by
 a keyed hash in rounds: of entities that draw the same candidate the first in order keeps it, a candidate that is an entity of the
-table itself is never given, and the others draw again.  What is left after ``ROUNDS`` rounds gets a 256-bit tag.
+table itself is never given, and the others draw again: longer names, or numbers and addresses of the same length, of which those left after ``ROUNDS`` rounds get a 256-bit tag.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from memlake.session import materialise
 ROUNDS = 4
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Doña", "Lady", "Госпожа", "Κυρία"]
-_TITLES = "|".join(sorted(MALE + FEMALE, key=lambda t: (-len(t), t)))
+#: Titles that don't tell the gender; given names after them get names of neither.
+NEUTRAL = ["Dr", "Dra", "Prof", "Professor", "Professorin", "Doctor", "Docteur", "Maître", "Rev", "Доктор", "Профессор", "Δρ", "Καθηγητής"]
+_TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda t: (-len(t), t)))
 #: Lengths are bounded and quantifiers possessive, so that no text makes the search slow; only an address's labels are given back, as what
 #: follows it may be a full stop.
 _DATE = r"[0-9]{2}[./-][0-9]{2}[./-](?:1[5-9]|2[01])[0-9]{2}(?![0-9])"
@@ -36,7 +40,8 @@ _PHONES = [
 ]
 #: A possessive "'s" is no part of a name.
 _END = r"(?!\p{L}|['-](?!s(?!\p{L}))\p{L})"
-_WORD = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L})){1,39}+"
+#: A title is no name, as in "Prof. Dr. Meier", where the name begins after the last one.
+_WORD = rf"(?!(?:{_TITLES})(?!\p{{L}}))" + r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L})){1,39}+"
 _PARTICLES = "(?:(?:von|van|vom|zu|zur|de|der|den|del|della|da|di|du|dos|la|le|el|al|bin|ten|ter) ){0,3}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,7}\.[A-Za-z]{2,24}+(?![A-Za-z0-9])",
@@ -47,7 +52,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap necessary sign of an entity: most texts go no further.
-SIGN = rf"@|[0-9]|{_TITLES}"
+SIGN = rf"@|[0-9]|(?<!\p{{L}})(?:{_TITLES})[. ]"
 
 
 def _kind(mention: Column) -> Column:
@@ -77,7 +82,7 @@ def _parts(mention: Column, kind: Column) -> Column:
     """The entities in a mention, each (kind, canonical text): names have given names, of the title's gender, and a surname last."""
     words = F.split(mention, " ")
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(title.isin(FEMALE), "given_f").otherwise("given_m")
+    gender = F.when(title.isin(FEMALE), "given_f").when(title.isin(NEUTRAL), "given_n").otherwise("given_m")
 
     def entity(kind_column: Column, text: Column) -> Column:
         return F.struct(kind_column.alias("kind"), text.alias("entity"))
@@ -113,26 +118,26 @@ _SYLLABLES = {
     "cyrillic": ["ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"],
     "greek": ["βα", "δε", "φι", "γο", "χα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "βε", "θι", "ζο"],
 }
-_ENDINGS = {  # script: given name of a man, of a woman, surname
-    "latin": ("n", "a", "r"), "cyrillic": ("н", "на", "ров"), "greek": ("ς", "α", "ου"),
+_ENDINGS = {  # script: given name of a man, of a woman, of either, surname
+    "latin": ("n", "a", "i", "r"), "cyrillic": ("н", "на", "и", "ров"), "greek": ("ς", "α", "ι", "ου"),
 }
 
 
-def _name(kind: Column, entity: Column, drawn: Column) -> Column:
-    """A name in the same script, its ending by gender, its length near the entity's."""
+def _name(kind: Column, entity: Column, drawn: Column, attempt: int) -> Column:
+    """A name in the same script, its ending by gender, its length near the entity's; longer with each attempt, so names never run out."""
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    syllables = F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.length(entity) / 2).cast("int")))
+    syllables = F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.length(entity) / 2).cast("int"))) + attempt
     out = None
     for name in _SYLLABLES:
         listed = F.array(*map(F.lit, _SYLLABLES[name]))
         stem = F.array_join(F.transform(F.sequence(F.lit(0), syllables - 1), lambda i: F.element_at(listed, _stream(drawn, i) % 16 + 1)), "")
-        man, woman, family = _ENDINGS[name]
-        full = F.concat(stem, F.when(kind == "given_m", man).when(kind == "given_f", woman).otherwise(family))
+        man, woman, either, family = _ENDINGS[name]
+        full = F.concat(stem, F.when(kind == "given_m", man).when(kind == "given_f", woman).when(kind == "given_n", either).otherwise(family))
         out = F.when(script == name, full) if out is None else out.when(script == name, full)
     return out
 
 
-def candidate(kind: Column, entity: Column, drawn: Column) -> Column:
+def candidate(kind: Column, entity: Column, drawn: Column, attempt: int = 0) -> Column:
     """A surrogate of the same kind: an address at a reserved top-level domain, an IPv4 address of the reserved class E, digits with
     the country code or issuer digit and (for cards that have it) a right check digit, or a name."""
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
@@ -144,7 +149,7 @@ def candidate(kind: Column, entity: Column, drawn: Column) -> Column:
     body = F.substr(phone, F.lit(1), F.length(entity) - 1)
     check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
     card = F.concat(body, F.when(_luhn(entity) == 0, check).otherwise(F.substr(phone, F.length(entity), F.lit(1))))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).otherwise(_name(kind, entity, drawn))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).otherwise(_name(kind, entity, drawn, attempt))
 
 
 def _luhn(digits: Column) -> Column:
@@ -155,12 +160,23 @@ def _luhn(digits: Column) -> Column:
 
 
 def assign_surrogates(entities: DataFrame, key: str, *, make=candidate, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity); no surrogate is given twice in a kind, or is an entity of that kind."""
+    """(kind, entity, surrogate) for distinct (kind, entity); no surrogate is given twice in a kind, or is an entity of that kind.
+
+    Names are drawn until all have one.  Of the other kinds, which keep their length, what has none after ``rounds`` rounds gets a tag.
+    """
     left = entities
     done: DataFrame | None = None
-    for attempt in range(rounds):
+    named = F.col("kind").isin(*_NAMES)
+    tags: DataFrame | None = None
+    for attempt in count():
+        if attempt == rounds:
+            tag = F.concat(F.lit("["), F.col("kind"), F.lit("-"), _drawn(key, F.lit(-1), F.col("kind"), F.col("entity")), F.lit("]"))
+            tags = left.where(~named).select("kind", "entity", tag.alias("surrogate"))
+            left = left.where(named)
+            if left.isEmpty():
+                return done.unionByName(tags)
         drawn = left.withColumn("drawn", _drawn(key, F.lit(attempt), F.col("kind"), F.col("entity")))
-        tried = drawn.select("kind", "entity", make(F.col("kind"), F.col("entity"), F.col("drawn")).alias("surrogate"))
+        tried = drawn.select("kind", "entity", make(F.col("kind"), F.col("entity"), F.col("drawn"), attempt).alias("surrogate"))
         winners = tried.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         taken = entities.select("kind", F.col("entity").alias("surrogate"))
         if done is not None:
@@ -169,9 +185,10 @@ def assign_surrogates(entities: DataFrame, key: str, *, make=candidate, rounds:
         done = won if done is None else done.unionByName(won)
         left = materialise(left.join(won, ["kind", "entity"], "left_anti"))
         if left.isEmpty():
-            return done
-    tag = F.concat(F.lit("["), F.col("kind"), F.lit("-"), _drawn(key, F.lit(-1), F.col("kind"), F.col("entity")), F.lit("]"))
-    return done.unionByName(left.select("kind", "entity", tag.alias("surrogate")))
+            return done if tags is None else done.unionByName(tags)
+
+
+_NAMES = ("given_m", "given_f", "given_n", "surname")
 
 
 def _rendered(mention: Column, kind: Column, found: Column) -> Column:
@@ -213,12 +230,16 @@ def replace_personal_data(docs: DataFrame, key: str, *, text: str = "text", **op
     length are read whole; all other columns stay, except one called ``entities``; an empty table gives no rows.
     """
     docs = docs.drop("entities")
-    table_of = surrogate_table(docs, key, text=text, **options)
+    columns = docs.columns
+    table_of = surrogate_table(docs.select(text), key, text=text, **options)
+    # The caller's columns stay inside one struct, where their names can't clash.
+    docs = docs.select(F.struct("*").alias("_whole"), F.col(text).alias("_text"))
+    text, name = "_text", text
     found = F.when(F.col(text).rlike(SIGN), F.regexp_extract_all(F.col(text), _entity_pattern(F.col(text)), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     empty = F.create_map().cast("map<string,long>")
-    plain = marked.where(F.size("_found") == 0).drop("_found").withColumn("entities", empty)
-    others = [c for c in docs.columns if c != text]
+    plain = marked.where(F.size("_found") == 0).select("_whole.*", empty.alias("entities"))
+    others = [F.col("_whole").getField(c).alias(c) for c in columns if c != name]
     pieces = (marked.where(F.size("_found") > 0)
               .select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_rest") if others else F.lit(True).alias("_rest"),
                       F.split(F.col(text), _entity_pattern(F.col(text)), -1).alias("_between"), "_found"))
@@ -232,13 +253,14 @@ def replace_personal_data(docs: DataFrame, key: str, *, text: str = "text", **op
         F.sort_array(F.collect_list(F.struct("_at", F.concat("_before", "replacement", "_after").alias("s"), "kind"))).alias("_parts"))
     kinds = F.transform(F.array(*[F.lit(k) for k in PATTERNS]), lambda k: F.struct(k, F.size(F.filter("_parts", lambda p: p["kind"] == k)).cast("long")))
     counts = F.map_filter(F.map_from_entries(kinds), lambda k, n: n > 0)
-    whole = F.array_join(F.transform("_parts", lambda p: p["s"]), "").alias(text)
-    rebuilt = written.select(*[whole if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns], counts.alias("entities"))
+    whole = F.array_join(F.transform("_parts", lambda p: p["s"]), "")
+    rebuilt = written.select("_rest", whole.alias("_new"), counts.alias("_counts"))
+    rebuilt = rebuilt.select(*[(F.col("_new") if c == name else F.col("_rest").getField(c)).alias(f"_c{i}") for i, c in enumerate(columns)], "_counts").toDF(*columns, "entities")
     return plain.unionByName(rebuilt)
 
 
 @query("op8_surrogates")
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
-    done = replace_personal_data(docs, "memlake")
+    done = replace_personal_data(docs, spark.conf.get("spark.memlake.surrogateKey", "memlake"))
     return done.select("doc_id", *[F.coalesce(F.element_at("entities", k), F.lit(0)).cast("long").alias(f"n_{k}") for k in PATTERNS], "text")

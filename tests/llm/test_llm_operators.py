@@ -564,13 +564,58 @@ def test_names_of_several_words_and_without_title(parquet):
 
 def test_surrogates_never_collide(spark):
     entities = spark.createDataFrame([("ip", f"e{i}") for i in range(40)], "kind string, entity string")
-    narrow = lambda kind, entity, drawn: F.concat(F.lit("e"), (F.conv(F.substr(drawn, F.lit(1), F.lit(4)), 16, 10).cast("int") % 90).cast("string"))
+    narrow = lambda kind, entity, drawn, attempt: F.concat(F.lit("e"), (F.conv(F.substr(drawn, F.lit(1), F.lit(4)), 16, 10).cast("int") % 90).cast("string"))
     got = surrogates.assign_surrogates(entities, "k", make=narrow, rounds=3).collect()
     names = [r.surrogate for r in got]
     assert len(got) == 40 == len(set(names)) and not set(names) & {f"e{i}" for i in range(40)}
     assert any(n.startswith("[ip-") for n in names)  # the space was too small for all
 
 
+def test_names_never_run_out(spark):
+    """Far more short surnames than short surrogates: all get one, of letters only."""
+    rng = random.Random(1)
+    short = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 7))) for _ in range(6000)}
+    entities = spark.createDataFrame([("surname", n) for n in short], "kind string, entity string")
+    got = [r.surrogate for r in surrogates.assign_surrogates(entities, "k").collect()]
+    assert len(got) == len(short) == len(set(got)) and not set(got) & short and all(n.isalpha() for n in got)
+
+
+def test_titles_of_either_gender_and_several_titles(parquet):
+    rows = [(1, "Dr Anna Schmidt and Prof. Hans Meier met Frau Meier; Prof. Dr. Weber spoke. Доктор Иванов.", "en", "a"), (2, "Drama Professionals and Meadow stay", "en", "a")]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(parquet(rows), "key").collect()}
+    found = re.fullmatch(r"Dr (\w+) (\w+) and Prof\. (\w+) (\w+) met Frau (\w+); Prof\. Dr\. (\w+) spoke\. Доктор ([А-Я][а-я]+)\.", got[1].text).groups()
+    assert found[3] == found[4] and not {"Anna", "Schmidt", "Hans", "Meier", "Weber", "Иванов"} & set(found) and got[1].entities == {"name": 5}
+    assert got[2].text == rows[1][1]
+
+
+def test_surrogates_by_brute_force(parquet):
+    """Many texts of one pattern: what stands for each entity is a one-to-one map of kind, form and spelling, the same everywhere."""
+    rng = random.Random(6)
+    people = [f"{a}{b}" for a in ("Lem", "Kor", "Tav", "Bil", "Nor") for b in ("in", "ak", "ost")]
+    facts = []
+    for i in range(150):
+        facts.append((rng.choice(["Mr", "Mrs"]), rng.choice(people), f"u{rng.randrange(40)}@h{rng.randrange(3)}.org", f"+1 (212) 555-01{rng.randrange(40):02d}", f"10.0.{rng.randrange(4)}.{rng.randrange(9)}"))
+    rows = [(i, "{} {} of {} rang {} from {}, and so on.".format(*f), "en", "a") for i, f in enumerate(facts)]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(parquet(rows), "key").collect()}
+    maps = [{} for _ in range(4)]
+    for i, f in enumerate(facts):
+        m = re.fullmatch(r"(Mrs?) (\w+) of (\S+) rang (\+1 \(\d{3}\) \d{3}-\d{4}) from ([\d.]+), and so on\.", got[i].text)
+        assert m.group(1) == f[0] and got[i].entities == {"email": 1, "ip": 1, "phone": 1, "name": 1}
+        for one, real, new in zip(maps, f[1:], m.groups()[1:]):
+            assert one.setdefault(real, new) == new
+    for one in maps:
+        assert len(set(one.values())) == len(one) and not set(one) & set(one.values())
+    other = surrogates.replace_personal_data(parquet(rows), "another key").collect()
+    assert all(r.text != got[r.doc_id].text for r in other)
+
+
+def test_surrogates_take_columns_of_any_name(spark):
+    names = ["_found", "_row", "_rest", "_between", "_at", "_whole", "_text", "_parts", "mention", "kind", "replacement"]
+    docs = spark.createDataFrame([(1, "ask Mr Stone", *["v"] * len(names)), (2, "nobody", *["v"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = surrogates.replace_personal_data(docs, "key")
+    assert got.columns == [*docs.columns, "entities"] and all(set(r[2:-1]) == {"v"} for r in got.collect())
+
+
 # --- 9: secrets
 
 BASE = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
