@@ -15,7 +15,7 @@ import numpy as np
 
 from memlake.llm.worker import kept
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode White_Space, as the tokenizer has it
 _MARK = f"(?:[^\\w{_W}]|_)"
 #: Letters and digits, marks, white space but its last character; a stretch that starts with an apostrophe runs to the next space.
