@@ -138,12 +138,12 @@ def tenure_headers(stored: DataFrame, as_of) -> DataFrame:
     return _with_stored(found, stored).select(F.lit("tenure").alias("type"), "subject", "predicate", "n_active", "stored")
 
 
-def tenure_conflict_rows(stored: DataFrame, as_of) -> DataFrame:
+def tenure_conflict_rows(stored: DataFrame, as_of, whole: bool = False) -> DataFrame:
     """Tenure conflicts described as ``S P — o1 vs o2`` (newest first), with the newest triple.
 
-    Very large conflicts come in several rows (``piece``), each describing its share of the objects.
+    Very large conflicts come in several rows (``piece``), each describing its share of the objects, unless ``whole`` is set.
     """
-    return _with_stored(kg.tenure_lists(stored, as_of), stored).select(
+    return _with_stored(kg.tenure_lists(stored, as_of, whole=whole), stored).select(
         F.lit("tenure").alias("type"),
         F.concat("subject", F.lit(" "), "predicate", F.lit(" — "), "objects").alias("description"),
         "subject", "predicate", "piece", "stored",

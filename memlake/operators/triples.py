@@ -190,23 +190,30 @@ def tenure_members(triples: DataFrame, as_of) -> DataFrame:
     return active(triples, as_of).join(keys, ["subject", "predicate"])
 
 
-def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ") -> DataFrame:
+def tenure_lists(triples: DataFrame, as_of, separator: str = " vs ", whole: bool = False) -> DataFrame:
     """Objects of each conflict joined newest id first, with the id of its newest triple.
 
     A pair with more than ``_ITEMS_PER_PIECE`` members gets several rows: its id range is cut into that many equal steps and
-    each row (``piece`` 0, 1, ...) lists one step.  Reading the pieces in order gives the whole list.
+    each row (``piece`` 0, 1, ...) lists one step.  Reading the pieces in order gives the whole list.  With ``whole`` the pieces
+    of a pair are put together again, as one row (``piece`` 0), which then holds all of its objects.
     """
     members = tenure_members(triples, as_of)
     pieces = F.ceil(F.col("n_active") / _ITEMS_PER_PIECE)
-    width = F.col("stored_id") - F.col("first_id") + 1
-    # Cast first: id distance times piece count may leave 64 bits.
-    piece = F.floor((F.col("stored_id") - F.col("id")).cast("decimal(28,0)") * pieces / width)
+    # Cast first: an id distance, and more so its product with the piece count, may leave 64 bits.
+    back = lambda c: F.col("stored_id").cast("decimal(20,0)") - F.col(c)
+    # In whole numbers: a quotient rounded to a few decimals may reach the next step.
+    piece = F.call_function("div", back("id") * pieces, back("first_id") + 1)
     listed = F.sort_array(F.collect_list(F.struct("id", "object")), asc=False)
-    return (
-        members.withColumn("piece", piece.cast("long"))
+    lists = (
+        members.withColumn("piece", piece)
         .groupBy("subject", "predicate", "stored_id", "piece")
         .agg(F.array_join(F.transform(listed, lambda m: m["object"]), separator).alias("objects"))
     )
+    if not whole:
+        return lists
+    parts = F.array_sort(F.collect_list(F.struct("piece", "objects")))
+    joined = F.array_join(F.transform(parts, lambda p: p["objects"]), separator)
+    return lists.groupBy("subject", "predicate", "stored_id").agg(F.lit(0).cast("long").alias("piece"), joined.alias("objects"))
 
 
 def conflict_periods(triples: DataFrame) -> DataFrame:

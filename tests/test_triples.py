@@ -109,6 +109,23 @@ def test_large_conflicts_are_listed_whole_in_pieces(spark, monkeypatch):
     assert kg.tenure_members(t, AS_OF).where("subject = 'hot'").count() == 95
 
 
+def test_distant_ids_are_one_piece(spark):
+    t = table(spark, ("a", "p", "x"), ("a", "p", "y"), ("a", "p", "z"))
+    for last in (6_000_000, 2**62):
+        far = t.withColumn("id", F.when(F.col("id") == F.lit(2), last).when(F.col("id") > 2, last - 1).otherwise(F.lit(-5)).cast("long"))
+        assert [(r.piece, r.objects) for r in kg.tenure_lists(far, AS_OF).collect()] == [(0, "y vs z vs x")]
+
+
+@pytest.mark.parametrize("name", ["conflict_labels"])
+def test_a_large_conflict_is_one_row_as_in_its_sql(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from contract import DATA, compare, duck
+
+    monkeypatch.setattr(kg, "_ITEMS_PER_PIECE", 2)
+    sf_dir = str(DATA / "sf0.01")
+    assert compare(spark, duck(sf_dir), sf_dir, entry.queries()[name], entry.oracle_sql()[name])[0] == "equal"
+
+
 def test_resolution_policies(spark):
     t = table(spark, ("Kai", "assigned_to", "orion"), ("Kai", "assigned_to", "driftwood"))
     found = cl.tenure_headers(t, AS_OF)
