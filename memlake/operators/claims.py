@@ -23,9 +23,13 @@ LABEL_MARKS = {"tenure": "🔴", "assignment": "🟡", "date": "🟠"}
 OTHER_MARK = "⚪"
 
 # Text pieces of up to this length are the join keys of the containment search; texts are cut block by block.
-_PIECE = 8
+_PIECE = 16
 _BLOCK = 1024
 
+# A piece is cut only if a key begins with the same ``_START`` characters; so many bits tell.
+_START = 6
+_STARTS = 1 << 14
+
 
 def extract_claims(texts: DataFrame, text: str = "text") -> DataFrame:
     """Every claim in the text: ``person``, ``verb``, ``task`` and its position among the claims of that pattern."""
@@ -45,89 +49,105 @@ def extract_claims(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def containment_pairs(containers: DataFrame, parts: DataFrame) -> DataFrame:
     """All (container, part) with ``part`` a substring of ``container``.  Inputs are distinct texts named so."""
-    containers = containers.select(text_id("container").alias("container_id"), "container")
-    parts = parts.select(text_id("part").alias("part_id"), "part")
-    found = containment_ids(_named(containers), _named(parts))
-    return found.join(parts, "part_id").join(containers, "container_id").select("container", "part")
-
+    found = candidates(containers.select("container"), parts.select("part"), "container", "part")
+    whole = containers.select(text_id("container").alias("_container"), "container")
+    return found.join(whole, "_container").where(F.contains("container", "part")).select("container", "part")
 
-def text_id(text: str) -> Column:
-    """A text's 128-bit digest, by which it travels through joins."""
-    return F.unhex(F.md5(F.col(text)))
 
+def text_id(text: str | Column) -> Column:
+    """A text's 64-bit hash, by which it travels through joins; texts that share one are told apart when they are compared."""
+    return F.xxhash64(text)
 
-def _named(texts: DataFrame) -> DataFrame:
-    return texts.toDF("id", "text")
 
+def candidates(containers: DataFrame, parts: DataFrame, container: str, part: str) -> DataFrame:
+    """The rows of ``parts``, each with the id (``_container``) of every text that may hold its text, once: all that do, and few others.
 
-def containment_ids(containers: DataFrame, parts: DataFrame) -> DataFrame:
-    """(container_id, part_id) of all parts found in containers.  Inputs are distinct texts with columns ``id`` and ``text``.
-
-    Containers are cut into all their pieces of the lengths that parts have, up to ``_PIECE`` characters; a piece travels with
-    the id of its text only, as a hash.  A part no longer than that equals one of these pieces.  For a longer part, one of its own pieces
-    is the join key: the one found least often; a part with a piece no container has is in none of them.  The texts of the
-    pairs so found are then compared, so equal hashes of different pieces do no harm; the longer one is fetched last.  Empty and NULL texts are in no pair.
+    ``container`` and ``part`` name the text columns.  Containers are cut into their pieces of the lengths that parts have, up to
+    ``_PIECE`` characters; a piece travels with the id of its text only, as a hash.  A part no longer than that equals one of these
+    pieces.  For a longer part, one of its own pieces is the join key: the one found least often; a part with a piece no container has
+    is in none of them.  Only pieces that begin as some key does are cut at all: a bit for each of ``_STARTS`` hashes of a length and
+    a beginning tells which.  Other columns of ``parts`` are carried along, so that no pair of ids has to find its rows again.  The caller
+    compares the texts, as different ones may share a hash.  Empty and NULL texts are in no pair.
     """
-    parts = parts.where(F.length("text") > 0)
-    lengths = parts.agg(F.collect_set(F.least(F.length("text"), F.lit(_PIECE)))).scalar()  # at most _PIECE numbers
-    pieces = _pieces(containers, lengths)
+    parts = parts.where(F.length(part) > 0)
+    ids = parts.select(text_id(part).alias("id"), F.col(part).alias("text"))
+    long = ids.where(F.length("text") > _PIECE).distinct()
+    lengths = parts.agg(F.collect_set(F.least(F.length(part), F.lit(_PIECE)))).scalar()  # at most _PIECE numbers
+    short = ids.where(F.length("text") <= _PIECE).select(_start(F.col("text"), F.length("text")).alias("start"))
+    inner = long.select(F.explode(F.transform(_places(F.length("text"), F.lit(_PIECE)), lambda i: _start(F.substring("text", i, F.lit(_PIECE)), F.lit(_PIECE)))).alias("start"))
+    pieces = _pieces(containers.select(text_id(container).alias("id"), F.col(container).alias("text")), lengths, _bits(short.unionByName(inner)))
+
     frequency = pieces.where(F.col("chars") == _PIECE).groupBy("piece").agg(F.count("*").alias("n"))
-    own = _pieces(parts.where(F.length("text") > _PIECE), F.array(F.lit(_PIECE)))
+    own = long.select("id", F.explode(F.array_distinct(F.transform(_places(F.length("text"), F.lit(_PIECE)), lambda i: F.xxhash64(F.substring("text", i, F.lit(_PIECE)))))).alias("piece"))
     rarest = (
         own.join(frequency, "piece", "left")
         .groupBy("id").agg(F.min(F.struct("n", "piece")).alias("k"), F.count_if(F.col("n").isNull()).alias("missing"))
         .where(F.col("missing") == 0)
-        .select("id", F.col("k.piece").alias("piece"))
+        .select(F.col("id").alias("_part_id"), F.col("k.piece").alias("_piece"))
     )
-    short = parts.where(F.length("text") <= _PIECE).select(F.xxhash64("text").alias("piece"), F.col("id").alias("part_id"), F.col("text").alias("_part"))
-    long = rarest.join(parts, "id").select("piece", F.col("id").alias("part_id"), F.col("text").alias("_part"))
-    candidates = pieces.select("piece", F.col("id").alias("container_id")).join(short.unionByName(long), "piece").drop("piece")
-    whole = containers.select(F.col("id").alias("container_id"), F.col("text").alias("_whole"))
-    found = candidates.join(whole, "container_id").where(F.contains("_whole", "_part")).select("container_id", "part_id")
-    return found.distinct()  # a piece may be in several blocks of a text; the rows of a container are together already
+    keyed = parts.where(F.length(part) <= _PIECE).withColumn("_piece", F.xxhash64(part)).unionByName(
+        parts.where(F.length(part) > _PIECE).withColumn("_part_id", text_id(part)).join(rarest, "_part_id").select(*parts.columns, "_piece"))
+    return keyed.join(pieces.select(F.col("piece").alias("_piece"), F.col("id").alias("_container")), "_piece").drop("_piece")
+
+
+def _start(piece: Column, chars: Column) -> Column:
+    """Which of the ``_STARTS`` bits stands for a piece of this length with this beginning."""
+    return F.pmod(F.xxhash64(chars.cast("int"), F.substring(piece, F.lit(1), F.lit(_START))), F.lit(_STARTS))
+
 
+def _bits(starts: DataFrame) -> Column:
+    """One array of ``_STARTS`` bits, 64 a number, in which those of ``start`` are set."""
+    words = starts.groupBy(F.floor(F.col("start") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("start") % 64).cast("int"))).alias("bits"))
+    found = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(_STARTS // 64 - 1)), lambda i: F.coalesce(F.col("found")[i], F.lit(0).cast("long")))
+    return found.select(every).scalar()
 
-def _pieces(texts: DataFrame, lengths: Column) -> DataFrame:
-    """(id, chars, piece): all substrings with one of the given lengths, as 64-bit hashes, distinct within a block of the text."""
+
+def _places(length: Column, chars: Column) -> Column:
+    """Where pieces of this length begin, in texts that are as long or longer."""
+    return F.sequence(F.lit(1), length - chars + 1)
+
+
+def _pieces(texts: DataFrame, lengths: Column, bits: Column) -> DataFrame:
+    """(id, chars, piece): all substrings with one of the given lengths and a beginning in ``bits``, as 64-bit hashes, distinct for each id."""
+    named = texts.where(F.length("text") > 0).groupBy("id").agg(F.collect_set("text").alias("texts"))  # one text, but for equal hashes
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(_BLOCK))
-    blocks = texts.where(F.length("text") > 0).select(
-        "id", F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(_BLOCK + _PIECE - 1)))).alias("block"),
+    blocks = named.select("id", F.size("texts").alias("n_texts"), F.explode("texts").alias("text")).select(
+        "id", ((F.col("n_texts") == 1) & (F.length("text") <= _BLOCK)).alias("alone"),
+        F.explode(F.transform(starts, lambda i: F.substring("text", i, F.lit(_BLOCK + _PIECE - 1)))).alias("block"),
     )
-    sized = blocks.select("id", "block", F.explode(lengths).alias("n")).where(F.length("block") >= F.col("n"))
-    places = F.sequence(F.lit(1), F.least(F.lit(_BLOCK), F.length("block") - F.col("n") + 1))
+    sized = blocks.withColumn("bits", bits).select("id", "alone", "block", "bits", F.explode(lengths).alias("n")).where(F.length("block") >= F.col("n"))
+    begins = lambda i: _start(F.substring("block", i, F.col("n")), F.col("n"))
+    known = lambda i: F.getbit(F.col("bits")[F.floor(begins(i) / 64).cast("int")], (begins(i) % 64).cast("int")) == 1
+    places = F.filter(_places(F.least(F.length("block"), F.lit(_BLOCK - 1) + F.col("n")), F.col("n")), known)
     cut = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("block", i, F.col("n")))))
-    return sized.select("id", F.col("n").alias("chars"), F.explode(cut).alias("piece"))
+    found = sized.select("id", "alone", F.col("n").alias("chars"), F.explode(cut).alias("piece"))
+    return found.where("alone").drop("alone").unionByName(found.where("not alone").drop("alone").distinct())
 
 
 def text_conflicts(texts: DataFrame, stored: DataFrame, as_of, text: str = "text") -> DataFrame:
     """Claims that name another person than an active ``assigned_to`` triple about the same task.
 
     Task and object match when one contains the other, ignoring case.  The texts are read once: their claims are written to
-    the shared folder and the text itself is not carried on.  Distinct tasks and objects are matched once; repeated claims
-    and repeated triples are joined back to the matches by equality.
+    the shared folder and the text itself is not carried on.  Each different task and object is cut into pieces once; the rows of the
+    shorter text go through the search as they are, so a pair is shuffled once, to the rows of the longer one.
     """
-    claims = materialise(
-        extract_claims(texts, text).drop(text).withColumn("_low", F.lower("task")).withColumn("_task", text_id("_low"))
-    )
-    assigned = kg.active(stored.where(F.col("predicate") == "assigned_to"), as_of).withColumn("_low", F.lower("object"))
-    assigned = assigned.withColumn("_object", text_id("_low"))
-    tasks = _named(claims.select("_task", "_low").distinct())
-    objects = _named(assigned.select("_object", "_low").distinct())
-    in_task = containment_ids(tasks, objects).select(F.col("container_id").alias("_task"), F.col("part_id").alias("_object"))
-    in_object = (
-        containment_ids(objects, tasks)
-        .where(F.col("container_id") != F.col("part_id"))
-        .select(F.col("part_id").alias("_task"), F.col("container_id").alias("_object"))
-    )
-    pairs = in_task.unionByName(in_object)
-    other = assigned.select(
-        "_object", F.struct(*[c for c in stored.columns]).alias("stored"), F.lower("subject").alias("_subject")
-    )
-    joined = claims.drop("_low").join(pairs, "_task").join(other, "_object").where(F.col("_subject") != F.lower("person"))
-    return joined.drop("_task", "_object", "_subject").select(
-        "*",
+    claims = materialise(extract_claims(texts, text).drop(text))
+    assigned = kg.active(stored.where(F.col("predicate") == "assigned_to"), as_of)
+    said = claims.withColumn("_task", F.lower("task"))
+    known = assigned.select(F.lower("object").alias("_object"), *[F.col(c).alias(f"_stored_{c}") for c in stored.columns])
+    in_task = candidates(said, known, "_task", "_object").join(said.withColumn("_container", text_id("_task")), "_container").where(
+        F.contains("_task", "_object"))
+    in_object = candidates(known, said, "_object", "_task").join(known.withColumn("_container", text_id("_object")), "_container").where(
+        F.contains("_object", "_task") & (F.col("_object") != F.col("_task")))
+    other = F.lower("_stored_subject") != F.lower("person")
+    found = in_task.where(other).unionByName(in_object.where(other))
+    return found.select(
+        *claims.columns,
+        F.struct(*[F.col(f"_stored_{c}").alias(c) for c in stored.columns]).alias("stored"),
         F.lit("assignment").alias("type"),
-        F.concat(F.lit("Attribution conflict on '"), F.col("stored.object"), F.lit("'")).alias("description"),
+        F.concat(F.lit("Attribution conflict on '"), F.col("_stored_object"), F.lit("'")).alias("description"),
         F.concat(F.lit('"'), "person", F.lit(" "), "verb", F.lit(" "), "task", F.lit('"')).alias("incoming_text"),
     )
 

@@ -66,3 +66,17 @@ def test_label_detail_and_quoted_entity(spark):
     detail = rows.select(cl.detail_text(*[F.col(c) for c in "spofild"]).alias("t")).collect()
     assert detail[0].t == "  Stored:  Uma runs Ledger (from 2023-03-04)\n  New:     fresh\n  Location: dock/crane"
     assert detail[1].t == "only this"
+
+
+def test_candidates_come_once_with_their_columns_and_few_pieces(spark):
+    numbered = [f"task-{n}" for n in range(150)] + ["x" * 5000 + "task-7" + "y" * 5000 + "task-7"]
+    texts = spark.createDataFrame([(t,) for t in numbered], "whole string")
+    parts = spark.createDataFrame([(i, t) for i in (1, 2) for t in numbered], "copy int, part string")
+    found = cl.candidates(texts, parts, "whole", "part").join(texts.withColumn("_container", cl.text_id("whole")), "_container")
+    got = found.where("contains(whole, part)").select("copy", "part", "whole").collect()
+    assert sorted(map(tuple, got)) == sorted((i, p, w) for i in (1, 2) for p in numbered for w in numbered if p in w)
+
+    bits = cl._bits(parts.where("length(part) < 10").select(cl._start(F.col("part"), F.length("part")).alias("start")))
+    pieces = cl._pieces(texts.where("length(whole) < 10").select(F.xxhash64("whole").alias("id"), F.col("whole").alias("text")),
+                        F.array(*[F.lit(n) for n in (6, 7, 8)]), bits)
+    assert pieces.count() == 10 + 90 * 2 + 50 * 3  # only those that begin with "task-" and a digit; all of them were 610
