@@ -222,13 +222,16 @@ def write_joined(pieces: DataFrame, path: str) -> None:
 def write_files(files: DataFrame, root: str) -> None:
     """Write each text (path, text; a null text deletes the file) below ``root``, by the tasks that have the rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 filesystem, where = _filesystem(root + path)
                 if text is None:
                     filesystem.delete_file(where)
                     continue
-                filesystem.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                if (folder := where.rsplit("/", 1)[0]) != made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made = folder
                 with filesystem.open_output_stream(where) as stream:
                     stream.write(text.encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})

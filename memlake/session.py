@@ -43,6 +43,16 @@ def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal small rows that each cost much work, such as paths of files to be opened, over all tasks.
+
+    Without a number Spark merges the tasks of such a shuffle by its bytes, so that one core would do the work of many.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that every executor can reach, below the one the cluster names in ``spark.checkpoint.dir``.
 

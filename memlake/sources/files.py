@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from memlake.functions.shorthand import compress
 from memlake.functions.text import is_blank
 from memlake.functions.times import as_time
-from memlake.session import materialise
+from memlake.session import materialise, spread
 
 # Hall of a file by its extension (everything else is a fact), extensions treated as code, names left out of a
 # scan and the largest file read.
@@ -44,6 +44,8 @@ _FILE = T.StructType([
 #: A round of listing: files, and folders still to be listed.
 _STEP = T.StructType([*_FILE.fields[:3], T.StructField("error", T.StringType()), T.StructField("open", T.BooleanType())])
 _FOLDERS_PER_ROUND = 1000
+# Read contents that are handed on together: so many bytes or files at most, or one larger file.
+_BATCH_BYTES, _BATCH_FILES = 1 << 20, 1000
 
 
 # ---- path parts -----------------------------------------------------------------------------------------------------
@@ -107,12 +109,12 @@ def list_files(spark: SparkSession, path: str, skip_dirs: tuple[str, ...] = SKIP
     root = full_path(spark, path)
     if not _is_known(root):
         return _listed_by_spark(spark, root, skip_dirs)
-    frontier = spark.createDataFrame([(root,)], "folder string")
+    frontier = spark.createDataFrame([(root,)], "folder string").coalesce(1)
     rounds: list[DataFrame] = []
     while True:
-        step = materialise(frontier.repartition("folder").mapInArrow(_walk(root, skip_dirs), _STEP))
+        step = materialise(frontier.mapInArrow(_walk(root, skip_dirs), _STEP))
         rounds.append(step.where(~F.col("open")))
-        frontier = step.where("open").select(F.col("path").alias("folder"))
+        frontier = spread(step.where("open").select(F.col("path").alias("folder")), "folder")
         if frontier.isEmpty():
             break
     return reduce(DataFrame.unionAll, rounds).drop("open").withColumn("path", plain_path(F.col("path")))
@@ -133,7 +135,7 @@ def read_files(listed: DataFrame) -> DataFrame:
     """Listed files with their ``content``, spread over all tasks by path and opened one by one."""
     if "content" in listed.columns:
         return listed
-    return listed.repartition("path").mapInArrow(_read_contents, _FILE)
+    return spread(listed, "path").mapInArrow(_read_contents, _FILE)
 
 
 def unreadable(files: DataFrame) -> DataFrame:
@@ -231,20 +233,27 @@ def _said(error: Exception) -> str:
 
 
 def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([
+        ("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
     for batch in batches:
-        for i in range(batch.num_rows):  # one file per output batch keeps memory flat
-            row = batch.slice(i, 1).to_pydict()
-            content, error = None, row["error"][0]
-            if error is None:
+        rows, held = [], 0
+        for row in batch.select(["path", "modificationTime", "length", "error"]).to_pylist():
+            content = None
+            if row["error"] is None:
                 try:
-                    filesystem, path = _filesystem(row["path"][0])
+                    filesystem, path = _filesystem(row["path"])
                     with filesystem.open_input_stream(path) as stream:
                         content = stream.read()
                 except OSError as failure:
-                    error = _said(failure)
-            given = {"path": row["path"], "modificationTime": row["modificationTime"], "length": row["length"], "content": [content], "error": [error]}
-            yield pa.RecordBatch.from_pydict(given, schema=pa.schema([
-                ("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())]))
+                    row["error"] = _said(failure)
+            size = len(content or b"")
+            if rows and (held + size > _BATCH_BYTES or len(rows) >= _BATCH_FILES):  # small batches keep memory flat
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+            rows.append({**row, "content": content})
+            held += size
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 # ---- text and class -------------------------------------------------------------------------------------------------

@@ -322,3 +322,24 @@ def test_watch_changes_runs_as_a_stream(spark, tmp_path):
             assert found == [content] and query.exception() is None
     finally:
         query.stop()
+
+
+def test_few_small_paths_are_read_by_many_tasks(spark, tmp_path):
+    root = write(tmp_path / "in", {f"d{i % 7}/f{i}.md": "x" * i for i in range(60)} | {"empty.md": ""})
+    read = fi.read_files(fi.list_files(spark, root))
+    rows = read.select("path", "length", "content", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 61 and all(len(r.content) == r.length for r in rows)
+    assert len({r.task for r in rows}) > 3  # one before: Spark merges tasks by the bytes of the paths
+
+
+def test_contents_are_handed_on_in_bounded_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fi, "_BATCH_BYTES", 100)
+    for i, size in enumerate((40, 40, 40, 300, 1, 0)):
+        (tmp_path / f"f{i}").write_bytes(b"x" * size)
+    listed = pa.RecordBatch.from_pylist([{"path": f"{tmp_path}/f{i}", "modificationTime": None, "length": 0, "error": None} for i in range(7)],
+                                        schema=pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("error", pa.string())]))
+    batches = list(fi._read_contents(iter([listed])))
+    assert [[len(c) if c is not None else None for c in b.column("content").to_pylist()] for b in batches] == [[40, 40], [40], [300], [1, 0, None]]
+    assert "FileNotFoundError" in batches[-1].column("error")[2].as_py()
