@@ -13,11 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from memlake.session import materialise
+from memlake.session import materialise, spread
 from memlake.sources.conversations import PARSERS, SKIP_DIRS
 from memlake.sources.files import _filesystem, list_files, select_files, suffix
 
 RANGE_BYTES = 8 << 20
+# Cut messages that are handed on together: so many bytes at most, or one larger message.
+_BATCH_BYTES = 1 << 20
 _QUOTE, _BACKSLASH, _COMMA, _COLON = 34, 92, 44, 58
 _SIGN = np.zeros(256, np.int8)
 _SIGN[[ord("{"), ord("[")]] = 1
@@ -141,9 +143,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``convo`` and ``message`` count commas since the range's start; ``opens`` says whether ``message`` and ``key`` are complete in it.
     """
+    out, held = [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            out = []
             reader = Reader(row["path"])
             start = row["start"]
             scan = Scan(reader.bytes(start, row["stop"]), reader.backslashes_before(start), row["in_string"], row["depth"])
@@ -160,13 +162,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, opened = (_key_before(reader, start + int(here[-1])), True) if len(here) else (None, False)
                 since = np.searchsorted(commas3, at) - (np.searchsorted(commas3, here[-1]) if opened else 0)
                 out.append((row["path"], start, row["format"], key, int(np.searchsorted(commas1, at)), int(since), raw.decode("utf-8", "replace"), opened, None, None, None))
-                if len(out) >= 1000:
+                held += len(raw)
+                if len(out) >= 1000 or held > _BATCH_BYTES:
                     yield _rows(out)
-                    out = []
+                    out, held = [], 0
             last = int(opens3[-1]) if len(opens3) else None
             out.append((row["path"], start, row["format"], None if last is None else _key_before(reader, start + last), None, None, None, last is not None,
                         len(commas1), len(commas3), len(commas3) if last is None else len(commas3) - int(np.searchsorted(commas3, last))))
-            yield _rows(out)
+    if out:
+        yield _rows(out)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -207,7 +211,7 @@ def split_exports(spark: SparkSession, path: str, since=None, range_bytes: int =
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = listed.select("path", "length", F.explode(starts).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("stop"), "length")
-    counted = materialise(ranges.repartition("path", "start").mapInArrow(
+    counted = materialise(spread(ranges, "path", "start").mapInArrow(
         _count, "path string, start long, stop long, quotes long, outside long, inside long, format string, error string"))
 
     file = Window.partitionBy("path").orderBy("start")
@@ -217,7 +221,7 @@ def split_exports(spark: SparkSession, path: str, since=None, range_bytes: int =
     placed = placed.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))).withColumn(
         "format", F.first("format").over(file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     known = placed.where(F.col("format").isin(*_MESSAGE_DEPTH)).select("path", "start", "stop", "in_string", "depth", "format")
-    cut = materialise(known.repartition("path", "start").mapInArrow(_cut, _CUT))
+    cut = materialise(spread(known, "path", "start").mapInArrow(_cut, _CUT))
 
     # What comes into each range from those before it: commas so far, and since the last opening of a list or map of messages.
     spans = cut.where("text is null")
