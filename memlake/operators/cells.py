@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.vectors import norm
 from memlake.operators.vectors import _inverse_norms, best_of, chunked, packed, top_k, usable_queries
+from memlake.session import materialise
 
 _SEED = 20240120
+# Parts of the sample that are clustered side by side; a fixed number, so the centres don't depend on the cluster's size.
+_SAMPLE_PARTS = 64
 METHODS = ("exact", "cells")
 
 
@@ -31,14 +34,17 @@ def train_cells(vectors: DataFrame, cells: int = 64, sample_rows: int = 65_536,
     from pyspark.ml.functions import array_to_vector
 
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    sample = vectors.where(finite).select("id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    chosen = vectors.where(finite).select("id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = materialise(chosen)  # read by every step of the fit; the table only once
     if dim is None:
         common = sample.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
         if common is None:
             return np.zeros((0, 0))
         dim = common["dim"]
     sized = sample.where(F.size("embedding") == dim).withColumn("norm", norm(F.col("embedding")))
-    unit = sized.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("norm"))).alias("features"))
+    # The limit leaves one task, which would do all rounds of the clustering.
+    spread = sized.repartition(_SAMPLE_PARTS, "id").sortWithinPartitions("id")
+    unit = spread.select(array_to_vector(F.transform("embedding", lambda x: x / F.col("norm"))).alias("features"))
     return np.array(KMeans(k=cells, seed=_SEED, maxIter=20).fit(unit).clusterCenters())
 
 
@@ -51,7 +57,8 @@ def _nearest(embeddings: pd.Series, centres: np.ndarray, n: int) -> list[np.ndar
         matrix = np.stack([embeddings.iloc[i] for i in fit]).astype(np.float64)
         matrix *= _inverse_norms(matrix)[:, None]
         distance = (centres * centres).sum(axis=1)[None, :] - 2 * matrix @ centres.T
-        for i, order in zip(fit, np.argsort(distance, axis=1, kind="stable")[:, :n].astype(np.int32)):
+        nearest = distance.argmin(axis=1)[:, None] if n == 1 else np.argsort(distance, axis=1, kind="stable")[:, :n]
+        for i, order in zip(fit, nearest.astype(np.int32)):
             out[i] = order
     return out
 

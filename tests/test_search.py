@@ -217,3 +217,14 @@ def test_vectors_that_cannot_be_compared_are_no_hits(spark):
     clean = ve.top_k(spark.createDataFrame(good, schema), query, 3).collect()
     mixed = ve.top_k(spark.createDataFrame(bad[:3] + good + bad[3:], schema).coalesce(1), query, 3).collect()
     assert len(clean) == 3 and sorted(map(tuple, mixed)) == sorted(map(tuple, clean))
+
+
+def test_cells_are_trained_by_many_tasks(spark, monkeypatch):
+    import pyspark.ml.clustering as ml
+
+    seen = []
+    fit = ml.KMeans.fit
+    monkeypatch.setattr(ml.KMeans, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("embedding"))
+    assert ce.train_cells(rows, cells=4).shape == (4, 2)
+    assert seen == [ce._SAMPLE_PARTS]  # one before, whatever the sample's size
