@@ -87,7 +87,7 @@ def top_k_near(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarr
     if where is not None:
         vectors = vectors.where(where)
     asked = probed_cells(usable_queries(queries), centres, probes)
-    chunks = chunked(asked)
+    chunks = chunked(asked, metric)
     # A row for each cell at most; with a table partitioned by cell it prunes the folders of the others.
     near = vectors.join(F.broadcast(chunks.select("cell").distinct()), "cell", "left_semi")
     blocks = packed(near.sortWithinPartitions("cell"), metric, keep)

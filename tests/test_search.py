@@ -228,3 +228,42 @@ def test_cells_are_trained_by_many_tasks(spark, monkeypatch):
     rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("embedding"))
     assert ce.train_cells(rows, cells=4).shape == (4, 2)
     assert seen == [ce._SAMPLE_PARTS]  # one before, whatever the sample's size
+
+
+def test_a_task_gives_what_it_met_best_so_far(spark, monkeypatch):
+    """Later blocks of a task give no rows below what its earlier blocks gave (before, each block gave its own best)."""
+    monkeypatch.setattr(ve, "BLOCK_ROWS", 11)
+    monkeypatch.setattr(ve, "top_n", lambda found, *_: found)
+    vectors = spark.createDataFrame([(f"v{i:03d}", [1.0, i / 100]) for i in range(150)], "id string, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, [1.0, -float(i)]) for i in range(5)], "query_id int, embedding array<double>").coalesce(1)
+    assert ve.top_k(vectors, asked, 6).count() == 5 * 6
+
+
+def test_first_pass_gives_floors_and_no_rows(spark, monkeypatch):
+    """A row per chunk and task is shuffled, and a floor is the k-th best of the sampled vectors, where there are so many."""
+    monkeypatch.setattr(ve, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ve, "CHUNK_ROWS", 3)
+    rng = np.random.RandomState(2)
+    data, asked = rng.randn(60, 4), rng.randn(8, 4)
+    vectors = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(data)], "id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, embedding array<double>").coalesce(1)
+    chunks = ve.materialise(ve.chunked(ve.usable_queries(queries).withColumn("cells", F.array(F.lit(0))), "inner"))
+    for k in (5, 61):
+        floors = {q: f for r in ve._bounded(vectors, chunks, k, "inner", 9).collect() for q, f in zip(r.owners, np.frombuffer(r.floors))}
+        least = {q: np.sort(data @ v)[-k] if k <= 60 else -np.inf for q, v in enumerate(asked)}
+        assert floors == pytest.approx(least, abs=2e-9) and len(floors) == 8
+        assert all(floors[q] <= least[q] for q in least)
+
+
+def test_scores_closer_than_single_precision(spark, monkeypatch):
+    monkeypatch.setattr(ve, "BLOCK_ROWS", 16)
+    rng = np.random.RandomState(4)
+    close = [(f"v{i:03d}", np.array([1.0, 1.0, 0.5]) + 3e-8 * rng.randint(-9, 9, 3)) for i in range(120)]
+    queries = [(i, np.array([1.0, 0.9 + i / 50, 0.1])) for i in range(9)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in close], "id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in queries], "query_id int, embedding array<double>")
+    for first_pass in (None, 0.5):
+        assert found_ids(ve.top_k(df, asked, 4, first_pass=first_pass)) == brute_force(close, queries, 4)
+    # Numbers that single precision doesn't hold, very small and very large ones.
+    large = spark.createDataFrame([(f"v{i}", [float(i), 10.0 ** (3 * i)]) for i in range(20)], "id string, embedding array<double>")
+    assert found_ids(ve.top_k(large, query(spark, [0, 1e20], [1, 0], [1, -1e-56]), 2, metric="inner")) == {0: ["v19", "v18"], 1: ["v19", "v18"], 2: ["v18", "v17"]}
