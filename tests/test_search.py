@@ -267,3 +267,10 @@ def test_scores_closer_than_single_precision(spark, monkeypatch):
     # Numbers that single precision doesn't hold, very small and very large ones.
     large = spark.createDataFrame([(f"v{i}", [float(i), 10.0 ** (3 * i)]) for i in range(20)], "id string, embedding array<double>")
     assert found_ids(ve.top_k(large, query(spark, [0, 1e20], [1, 0], [1, -1e-56]), 2, metric="inner")) == {0: ["v19", "v18"], 1: ["v19", "v18"], 2: ["v18", "v17"]}
+
+
+def test_blocks_of_long_vectors_are_small(spark):
+    """A block holds a megabyte, not a number of rows: with 384 numbers it was up to six."""
+    vectors = spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.array_repeat(F.col("id").cast("double"), 384).alias("embedding"), F.lit(0).alias("cell"))
+    blocks = ve.packed(vectors, "inner", ()).select(F.length("matrix").alias("bytes"), F.size("v0").alias("rows")).collect()
+    assert sum(r.rows for r in blocks) == 1000 and max(r.bytes for r in blocks) <= 1 << 20
